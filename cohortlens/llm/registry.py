@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import ann, chat, impact, mixing
 
 
 def queries() -> dict:
     return {
         "op1_source_mixing": mixing.op1_source_mixing,
+        "op2_block_ann": ann.op2_block_ann,
+        "op3_impact_topk": impact.op3_impact_topk,
         "op8_preference_formatting": chat.op8_preference_formatting,
     }
 
@@ -15,5 +17,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_source_mixing": mixing.oracle(),
+        "op2_block_ann": ann.ORACLE,
+        "op3_impact_topk": impact.ORACLE,
         "op8_preference_formatting": chat.ORACLE,
     }
