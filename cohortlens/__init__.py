@@ -1,3 +1,10 @@
 """Replicate-aware signature analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so they need no installation there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
