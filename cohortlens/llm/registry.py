@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, impact, mixing
+from . import ann, chat, impact, mixing, packing, token_counts, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,10 @@ def queries() -> dict:
         "op1_source_mixing": mixing.op1_source_mixing,
         "op2_block_ann": ann.op2_block_ann,
         "op3_impact_topk": impact.op3_impact_topk,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_arc_to_warc": warc.op6_arc_to_warc,
         "op8_preference_formatting": chat.op8_preference_formatting,
+        "op9_token_counts": token_counts.op9_token_counts,
     }
 
 
@@ -19,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_source_mixing": mixing.oracle(),
         "op2_block_ann": ann.ORACLE,
         "op3_impact_topk": impact.ORACLE,
+        "op6_arc_to_warc": warc.ORACLE,
         "op8_preference_formatting": chat.ORACLE,
     }
