@@ -60,3 +60,29 @@ def worker_state() -> dict:
     import builtins
 
     return builtins.__dict__.setdefault("_cohortlens_state", {})
+
+
+def add_column(df: DataFrame, name: str, kind: str, values, reads: str = "text") -> DataFrame:
+    """df with one more column, made from its column ``reads`` by Arrow batches. values() is called once a task and
+    returns a function from a list of values to a list of results."""
+    from pyspark.sql import types as T
+
+    field = {"double": T.DoubleType(), "long": T.LongType(), "double[]": T.ArrayType(T.DoubleType())}[kind]
+    schema = T.StructType([*df.schema.fields, T.StructField(name, field)])
+    at = df.columns.index(reads)
+
+    def run(batches):
+        import pyarrow as pa
+
+        made = {"double": pa.float64(), "long": pa.int64(), "double[]": pa.list_(pa.float64())}[kind]
+        give = values()
+        for batch in batches:
+            new = pa.array(give([x.as_py() or "" for x in batch.column(at)]), made)
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
+def crc_fold(doc_id) -> "F.Column":
+    """crc32 of the id as text, modulo 3; 1 marks rows held out from training."""
+    return F.crc32(doc_id.cast("string")) % 3

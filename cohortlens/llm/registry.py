@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, impact, mixing, packing, token_counts, warc
+from . import ann, chat, impact, mixing, packing, quality, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_source_mixing": mixing.op1_source_mixing,
         "op2_block_ann": ann.op2_block_ann,
         "op3_impact_topk": impact.op3_impact_topk,
+        "op4_ftrl_toxicity": toxicity.op4_ftrl_toxicity,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_arc_to_warc": warc.op6_arc_to_warc,
         "op8_preference_formatting": chat.op8_preference_formatting,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_site_quality": quality.op10_site_quality,
     }
 
 
