@@ -163,7 +163,7 @@ def pages_to_warc(pages: DataFrame, path: str) -> None:
     slim = rows.select("page_id", "digest", F.octet_length("html").alias("n_bytes"))
     total = slim.agg(F.sum(F.col("n_bytes") + 1024)).first()[0] or 0
     files = max(1, -(-total // FILE_BYTES))
-    both = rows.repartition(files, "page_id").join(mark_revisits(slim).repartition(files, "page_id").hint("shuffle_hash"), ["page_id", "digest"], "left")
+    both = rows.repartition(files, "page_id", "digest").join(mark_revisits(slim).repartition(files, "page_id", "digest").hint("shuffle_hash"), ["page_id", "digest"], "left")
     both.select("page_id", "url", "html", "refers_to").mapInArrow(_convert, "value string").write.option("lineSep", TERMINATOR).option("compression", "gzip").text(path)
 
 
