@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, worker_state
 
 CAPACITY = 2048
-BUCKET = 4096
+BUCKET = 512
 #: The memo of a worker is emptied beyond so many words (about 150 MB); that changes speed only.
 MEMO_WORDS = 600_000
 #: Not white space to the tokenizer's patterns, but to str.split.
