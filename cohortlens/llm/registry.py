@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, impact, mixing, packing, quality, token_counts, toxicity, warc
+from . import ann, chat, impact, mixing, neardup, packing, quality, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_ftrl_toxicity": toxicity.op4_ftrl_toxicity,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_arc_to_warc": warc.op6_arc_to_warc,
+        "op7_chosen_path_dedup": neardup.op7_chosen_path_dedup,
         "op8_preference_formatting": chat.op8_preference_formatting,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_site_quality": quality.op10_site_quality,
