@@ -70,6 +70,7 @@ def add_column(df: DataFrame, name: str, kind: str, values, reads: str = "text")
     field = {"double": T.DoubleType(), "long": T.LongType(), "double[]": T.ArrayType(T.DoubleType())}[kind]
     schema = T.StructType([*df.schema.fields, T.StructField(name, field)])
     at = df.columns.index(reads)
+    text_batches(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -83,6 +84,17 @@ def add_column(df: DataFrame, name: str, kind: str, values, reads: str = "text")
     return df.mapInArrow(run, schema)
 
 
+#: Rows of whole texts that go to Python at once, where the session sets no number of its own.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's 10,000 rows, for operators that send whole texts to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def crc_fold(doc_id) -> "F.Column":
     """crc32 of the id as text, modulo 3; 1 marks rows held out from training."""
     return F.crc32(doc_id.cast("string")) % 3

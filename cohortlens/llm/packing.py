@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_state
+from .common import materialize, text_batches, worker_state
 
 CAPACITY = 2048
 BUCKET = 512
-#: The memo of a worker is emptied beyond so many words (about 150 MB); that changes speed only.
-MEMO_WORDS = 600_000
+#: A worker remembers so many words (about 60 MB) for good, later ones within a call only; that changes speed only.
+MEMO_WORDS = 250_000
 #: Not white space to the tokenizer's patterns, but to str.split.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 #: Texts without these are lower-cased as a whole, which is what the file's normaliser does to each of their characters.
@@ -57,36 +57,39 @@ class WordEncoder:
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        memo, merge, rest, parts = self.memo, self.merge, set(), []
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        memo, merge, rest, parts, out = self.memo, self.merge, set(), [], {}
         for w in new:
             head = w.rstrip(string.punctuation)
             if merge and head and head.isalpha() and max(head) < "\u0250" and "\u0130" not in head:
                 low, tail = head.lower(), w[len(head):]
-                if low not in memo:
-                    memo[low] = merge(low)
-                if tail and tail not in memo:
-                    rest.add(tail)
-                parts.append((w, low, tail))
+                ids = memo.get(low) or out.get(low) or merge(low)
+                if not tail:
+                    out[w] = ids
+                else:
+                    parts.append((w, ids, tail))
+                    if tail not in memo:
+                        rest.add(tail)
             else:
                 rest.add(w)
-        todo = [w for w in rest if w not in memo]
-        memo.update(zip(todo, self._library(todo)))
-        for w, low, tail in parts:
-            memo[w] = memo[low] + memo[tail] if tail else memo[low]
+        todo = list(rest)
+        out.update(zip(todo, self._library(todo)))
+        for w, ids, tail in parts:
+            out[w] = ids + (out[tail] if tail in out else memo[tail])
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if any(s in t for s in self.special) or any(c in t for c in ODD_SPACES) else (t.lower() if self.merge and not NOT_LATIN.search(t) else t).split() for t in texts]
         seen: set[str] = set()
         for words in split:
             seen.update(words or ())
-        new = seen.difference(self.memo)
-        if new:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-                new = seen
-            self._learn(new)
-        get = self.memo.__getitem__
+        learned = self._learn(seen.difference(self.memo))
+        if len(self.memo) + len(learned) <= MEMO_WORDS:
+            self.memo.update(learned)
+            get = self.memo.__getitem__
+        else:
+            learned.update((w, self.memo[w]) for w in seen if w in self.memo)
+            get = learned.__getitem__
         return [self._library([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
 
 
@@ -130,7 +133,7 @@ def encoder(path: str) -> WordEncoder:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(path: str, capacity: int, separator: int, group_bytes: int = 1 << 20):
+def _pieces(path: str, capacity: int, separator: int, group_bytes: int = 4 << 20):
     tail = np.array([separator], dtype="<u4").tobytes()
 
     def run(batches):
@@ -195,6 +198,7 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, capacity, separator), PIECES)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, path_exists, worker_state
+from .common import new_path, path_exists, text_batches, worker_state
 
 LIMIT = 4096
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -74,6 +74,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     """doc_id, content (digest), n_bytes, n_tokens. tokenizer: path of a .model or .json file; cache: a folder on shared
     storage, made if missing."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
+    text_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("content"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("row"))
     slim = rows.select("doc_id", "content", "row", F.octet_length("text").cast("long").alias("n_bytes"))

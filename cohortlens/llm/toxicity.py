@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_column, crc_fold
+from .common import add_column, crc_fold, text_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
@@ -91,6 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
     sample = known.select("doc_id", "y", F.md5(F.col("doc_id").cast("string")).alias("at")).orderBy("at", "doc_id").limit(params.max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("at", "y", "text")  # at most max_rows ids
     bits = params.bits
+    text_batches(docs.sparkSession)
 
     def hashed(batches):
         for batch in batches:
@@ -101,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
         rows = []
         for batch in batches:
             flat, ends = batch.column("h").flatten().to_numpy(), batch.column("h").offsets.to_numpy() - batch.column("h").offsets[0].as_py()
-            rows += [(np.append(flat[a:b], 1 << bits), y) for a, b, y in zip(ends, ends[1:], batch.column("y").to_pylist())]
+            rows += [(np.append(flat[a:b], np.int32(1 << bits)), y) for a, b, y in zip(ends, ends[1:], batch.column("y").to_pylist())]
         idx, w = ftrl(rows, params) if rows else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(idx.astype(np.int64)), pa.array(w)], ["i", "w"])
 
