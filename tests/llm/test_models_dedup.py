@@ -113,8 +113,10 @@ def edits(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, size):
+@pytest.mark.parametrize("size, work", [(2, 64), (2, 0), (5, 0)])
+def test_near_duplicates_equal_brute_force(spark, size, work, monkeypatch):
+    """work 0: large nodes branch all the way, with pivots and the pass over their fringe."""
+    monkeypatch.setattr(neardup, "WORK", work)
     rng = np.random.default_rng(size)
     rows, base = [], [list(rng.choice(WORDS, 80)) for _ in range(12)]
     for i in range(420):
@@ -143,8 +145,9 @@ def test_blocks_compare_everything(spark, monkeypatch):
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "hub long, other long")
-    got = {r["rep"]: r["label"] for r in neardup.components(links).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    for one_task in (neardup.FOREST_ROWS, 0):
+        got = {r["rep"]: r["label"] for r in neardup.components(links.repartition(5), one_task).collect()}
+        assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
 def test_near_duplicates_of_odd_rows(spark):
