@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cell_queries, contract_queries, evidence_queries, prep_queries
+from . import cell_queries, contract_queries, evidence_queries, fit_queries, prep_queries
 
-MODULES = (cell_queries, contract_queries, prep_queries, evidence_queries)
+MODULES = (cell_queries, contract_queries, prep_queries, evidence_queries, fit_queries)
 
 
 def queries() -> dict:
