@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, text_batches, worker_state
+from .common import materialize, text_batches, tidied, worker_state
 
 CAPACITY = 2048
 BUCKET = 512
-#: A worker remembers so many words (about 60 MB) for good, later ones within a call only; that changes speed only.
-MEMO_WORDS = 250_000
+#: A worker remembers so many words (about 50 MB) for good, later ones within a call only; that changes speed only.
+MEMO_WORDS = 200_000
 #: Not white space to the tokenizer's patterns, but to str.split.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 #: Texts without these are lower-cased as a whole, which is what the file's normaliser does to each of their characters.
@@ -199,7 +199,7 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
     text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, capacity, separator), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_pieces(tokenizer, capacity, separator)), PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

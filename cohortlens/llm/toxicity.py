@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_column, crc_fold, text_batches
+from .common import add_column, crc_fold, text_batches, tidied
 
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
         idx, w = ftrl(rows, params) if rows else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(idx.astype(np.int64)), pa.array(w)], ["i", "w"])
 
-    fitted = rows.mapInArrow(hashed, "at string, y int, h array<int>").repartition(1).sortWithinPartitions("at").mapInArrow(learn, "i long, w double").toPandas()
+    fitted = rows.mapInArrow(tidied(hashed), "at string, y int, h array<int>").repartition(1).sortWithinPartitions("at").mapInArrow(tidied(learn), "i long, w double").toPandas()
     return fitted["i"].to_numpy(np.int64), fitted["w"].to_numpy(float)
 
 
