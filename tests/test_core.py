@@ -137,6 +137,10 @@ def test_run_external_and_tampering(spark, tmp_path):
     assert metrics_["roc_auc"] > 0.95 and metrics_["pvalue"] == 0.05 and not metrics_["blockers"]
     evidence = spark.read.parquet(str(tmp_path / "run/evidence.parquet"))
     assert {r["feature_id"] for r in evidence.where("passes_robustness_gates").collect()} >= {"g00", "g01", "g02", "g03"}
+    from cohortlens.reporting import figure_tables, write_report
+
+    figures = figure_tables(spark, tmp_path / "run")
+    assert {"curves", "calibration", "path", "permutations"} <= set(figures) and all(f.count() for f in figures.values())
     new_x, new_y = synthetic(seed=8)
     new = long.limit(0).unionByName(frames(spark, new_x, new_y)[0].withColumn("sample_id", F.concat(F.lit("x"), "sample_id")))
     new_meta = frames(spark, new_x, new_y)[1].withColumns({c: F.concat(F.lit("x"), c) for c in ("sample_id", "donor")})
@@ -147,6 +151,7 @@ def test_run_external_and_tampering(spark, tmp_path):
         external_validate(spark, tmp_path / "run", long, meta)
     with pytest.raises(ValueError, match="not empty"):
         run_analysis(spark, long, meta, config, tmp_path / "run")
+    assert "auc" in open(write_report(spark, tmp_path / "run")).read()
     model = tmp_path / "run/model.json"
     model.write_text(model.read_text().replace("0", "1", 1))
     with pytest.raises(ValueError, match="changed"):
@@ -378,6 +383,18 @@ def test_streaming_moments_equal_batch(spark, tmp_path):
     assert key(spark.table("moments")) == key(C.gene_moments(df, (0.5,)))
 
 
+def test_synthetic_studies(spark, tmp_path):
+    from cohortlens.sources import synthetic as Y
+
+    for scenario in Y.SCENARIOS:
+        long, meta, truth = Y.bulk(spark, 24, 8, 3, scenario)
+        assert long.count() == 192 and meta.count() == 24 and len(truth) == (0 if scenario == "noise" else 4)
+    cells_, counts = Y.cells(spark, 3, 6, 4)
+    assert cells_.count() == 48 and C.pseudobulk(cells_, counts).count() == 12 * 6
+    Y.write_example(spark, tmp_path / "e", samples=12, features=5)
+    assert load_config(tmp_path / "e/config.json").group == "donor"
+
+
 def test_command_line(spark, tmp_path, capsys):
     from cohortlens.__main__ import main
 
