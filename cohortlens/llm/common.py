@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach: spark.checkpoint.dir. Only where that is unset (tests on
-    one machine) a temporary folder is made and set for the rest of the session."""
+    """The folder every executor and the driver can reach: spark.checkpoint.dir. Only where that is unset (tests on one
+    machine) a temporary folder is made, one for each application."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="cohortlens-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="cohortlens-")
+        path = _own[app]
     return path.rstrip("/")
 
 
