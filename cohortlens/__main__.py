@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     from .config import load_config
     from .operators import cells as C
     from .sources import matrices as S
-    from .workflow import external_validate, run_analysis
+    from .workflow import external_validate, family, run_analysis
 
     spark = SparkSession.builder.getOrCreate()
     try:
@@ -61,9 +61,19 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         cells, counts = spark.read.parquet(args.cells), spark.read.parquet(args.counts)
         meta = cells.drop("cell_id", "state").dropDuplicates(["sample_id"])
-        for state in sorted(r[0] for r in cells.select("state").distinct().collect()):
+        if config.single_cell_mode == "distribution":
+            from .operators import distribution as D
+
+            config = D.feature_config(config)
+            views = [D.distribution_features(cells, counts, config, i) for i in range(config.cell_resamples + 1)]
+            print(run_analysis(spark, views[0].select("sample_id", "feature_id", "value"), meta, config, args.output, [v.select("sample_id", "feature_id", "value") for v in views[1:]]))
+            D.feature_schema(views[0]).write.mode("errorifexists").parquet(f"{args.output}/feature_schema.parquet")
+            return 0
+        states = sorted(r[0] for r in cells.select("state").distinct().collect())
+        configs = family({s: config for s in states})
+        for state in states:
             part = C.pseudobulk(C.select_states(cells, [state]), counts, config.min_cells).select("sample_id", F.col("gene_id").alias("feature_id"), F.col("count").cast("double").alias("value"))
-            print(state, run_analysis(spark, part, meta.join(part.select("sample_id").distinct(), "sample_id", "left_semi"), config, f"{args.output}/{state}"))
+            print(state, run_analysis(spark, part, meta.join(part.select("sample_id").distinct(), "sample_id", "left_semi"), configs[state], f"{args.output}/{state}"))
         return 0
     except (ValueError, OSError, ImportError) as e:
         print(f"ERROR: {e}", file=sys.stderr)

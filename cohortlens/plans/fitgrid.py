@@ -50,7 +50,7 @@ def pack(long: DataFrame, metadata: DataFrame, config: Config) -> Packed:
         raise ValueError("the matrix exceeds max_dense_mb")
     order = F.broadcast(long.sparkSession.createDataFrame(list(enumerate(features)), "ord int, feature_id string"))
     rows = long.join(order, "feature_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("v")).select("sample_id", F.transform("v", lambda e: e["value"]).alias("v")).toPandas().set_index("sample_id")["v"]
-    x = np.array([np.array(rows[s], dtype=float) for s in meta["sample_id"]])
+    x = np.array([np.array([np.nan if v is None else v for v in rows[s]], dtype=float) for s in meta["sample_id"]])
     kind = config.outcome_type
     if kind == "continuous":
         y, classes = meta[config.outcome].to_numpy(float), ()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import asdict, replace
 from pathlib import Path
 
@@ -40,11 +41,13 @@ def check_study(long: DataFrame, metadata: DataFrame, config: Config) -> list[st
     return blockers
 
 
-def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, config: Config, output: str | Path) -> dict:
-    """long: sample_id, feature_id, value; metadata: sample_id and the configured columns. Writes the run; returns its summary."""
+def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, config: Config, output: str | Path, perturbed: Sequence[DataFrame] = ()) -> dict:
+    """long: sample_id, feature_id, value; metadata: sample_id and the configured columns; perturbed: the same features from
+    subsamples of the cells. Writes the run; returns its summary."""
     with Run(spark, output, {"configuration": asdict(config), "version": "0.1.0"}) as run:
         blockers = check_study(long, metadata, config)
         p = G.pack(long, metadata, config)
+        p = replace(p, perturbed=tuple(G.pack(v, metadata, config).x for v in perturbed))
         run.record("feature_universe", {"features": list(p.features), "samples": list(p.samples), "classes": list(p.classes)})
         batches = config.assess_batches and config.batch is not None and len(np.unique(p.batches)) > 1
         units = [*G.outer_units(p, config, config.permutations), *G.stability_units(p, config), G.final_unit(p), *(G.batch_units(p, config) if batches else [])]
