@@ -395,6 +395,27 @@ def test_synthetic_studies(spark, tmp_path):
     assert load_config(tmp_path / "e/config.json").group == "donor"
 
 
+def test_distribution_features(spark):
+    from cohortlens.operators import distribution as D
+    from cohortlens.sources import synthetic as Y
+
+    cells_, counts = Y.cells(spark, 4, 8, 6)
+    blocks = ("abundance", "gene_mean", "gene_detection", "gene_variance", "gene_tail", "gene_correlation", "program_mean", "program_variance", "program_q90", "program_fraction", "program_correlation")
+    config = Config(single_cell_mode="distribution", feature_blocks=blocks, gene_pairs=(("gene_0000", "gene_0001"),), programs={"p": ("gene_0000", "gene_0002"), "q": ("gene_0003",)}, program_thresholds={"p": 0.5, "q": 0.5}, min_cells=5, cell_resamples=1, group="donor")
+    out = D.distribution_features(cells_, counts, config)
+    per_state = 1 + 8 * 3 + 8 * 3 + 1 + 2 * 4 + 1
+    assert out.count() == 8 * 2 * per_state and out.groupBy("sample_id", "feature_id").count().where("count > 1").isEmpty()
+    assert D.feature_schema(out).count() == 2 * per_state
+    few = D.distribution_features(cells_, counts, Config(**{**config.__dict__, "min_cells": 7}))
+    assert few.where("kind != 'abundance' and value is not null").isEmpty() and few.where("kind = 'abundance' and value is null").isEmpty()
+    view = D.distribution_features(cells_, counts, config, 1)
+    assert view.select("feature_id").distinct().exceptAll(out.select("feature_id").distinct()).isEmpty()
+    meta = cells_.drop("cell_id", "state").dropDuplicates(["sample_id"])
+    fc = D.feature_config(config)
+    p = G.pack(out.select("sample_id", "feature_id", "value"), meta, fc)
+    assert p.x.shape == (8, 2 * per_state) and D.contract(counts, config)["version"] == 1
+
+
 def test_command_line(spark, tmp_path, capsys):
     from cohortlens.__main__ import main
 
