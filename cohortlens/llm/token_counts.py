@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, path_exists, text_batches, tidied, worker_state
+from .common import materialize, new_path, path_exists, text_batches, tidied, worker_state
 
 LIMIT = 4096
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -82,7 +82,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     misses = slim.groupBy("content").agg(F.min("row").alias("row")).join(known.select("content"), "content", "left_anti")
     texts = rows.select("content", "row", "text").join(misses.hint("shuffle_hash"), ["content", "row"], "left_semi")
     texts.select("content", "text").mapInArrow(tidied(_encode(tokenizer, version)), CACHE).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # written before the join, so that adaptive execution can split a digest that many documents share
+    counts = materialize(read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return slim.drop("row").join(counts, "content").select("doc_id", "content", "n_bytes", "n_tokens")
 
 
