@@ -278,6 +278,8 @@ def _json(u: dict) -> str:
 
 def outer_units(p: Packed, config: Config, permutations: int = 0) -> list[dict]:
     """Nested validation of the observed labels (perm_id 0) and of permutations, as units."""
+    if config.cv_strategy == "temporal":
+        raise ValueError("the fit grid has no temporal folds yet; operators.splits.temporal_folds makes them")
     out = []
     for perm in range(permutations + 1):
         y = permuted(p, config, perm)
