@@ -245,6 +245,38 @@ def win5(spark, d):
     return _times(spark, d).select("first").distinct().withColumn("bucket", (F.ntile(7).over(W.orderBy("first")) - 1).cast("int"))
 
 
+# the same over all orders: a group is a customer's year, as whole histories span the table and leave no training side
+YEARS = "WITH t AS (SELECT o_custkey || ':' || year(o_orderdate::DATE) AS \"group\", min(o_orderdate::DATE - DATE '1970-01-01')::DOUBLE AS first, max(o_orderdate::DATE - DATE '1970-01-01')::DOUBLE AS last FROM orders GROUP BY 1)"
+YEAR_FOLDS = TEMPORAL.replace(TIMES, YEARS)
+
+
+def _year_times(spark, d):
+    o = table(spark, d, "orders").withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("double"))
+    return S.group_times(o.withColumn("customer_year", F.concat_ws(":", "o_custkey", F.year("o_orderdate"))), "customer_year", "day")
+
+
+@query("win4_customer_year_times", YEARS + " SELECT * FROM t")
+def win4_years(spark, d):
+    return _year_times(spark, d)
+
+
+@query("spl6_customer_year_folds", YEAR_FOLDS + " SELECT fold, \"group\", 'test' AS role FROM t JOIN w USING (first) UNION ALL SELECT fold, \"group\", 'train' FROM t JOIN b ON last < begin - 30")
+def spl6_years(spark, d):
+    return S.temporal_folds(_year_times(spark, d), 3, 0.5, 30)
+
+
+@query("jn15_customer_year_range_join", YEAR_FOLDS + " SELECT fold, \"group\" FROM t JOIN b ON last < begin - 30")
+def jn15_years(spark, d):
+    return spl6_years(spark, d).where("role = 'train'").drop("role")
+
+
+@query("win5_customer_year_windows", YEARS + " SELECT first, (ntile(7) OVER (ORDER BY first) - 1)::INTEGER AS bucket FROM (SELECT DISTINCT first FROM t)")
+def win5_years(spark, d):
+    from pyspark.sql import Window as W
+
+    return _year_times(spark, d).select("first").distinct().withColumn("bucket", (F.ntile(7).over(W.orderBy("first")) - 1).cast("int"))
+
+
 @query("spl7_class_coverage", FOLDS + ", n AS (SELECT unnest(range(5))::INTEGER AS fold) SELECT n.fold, count(DISTINCT label) AS classes, count(DISTINCT label) = (SELECT count(DISTINCT label) FROM g) AS covers FROM n JOIN f ON f.fold <> n.fold GROUP BY 1")
 def spl7(spark, d):
     g = _customers(spark, d).drop("stratum")
