@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import nb_dispersion, nb_fit, normal_two_sided
+from ..functions.kernels import nb_dispersion, nb_fit, normal_two_sided, size_factors
 from ..functions.metrics import benjamini_hochberg
 from .prep import prevalence
 
@@ -66,6 +66,23 @@ def _vectors(pdf: pd.DataFrame, at: dict[str, int], n: int) -> np.ndarray:
     return y
 
 
+def _wald_fit(y, x, offset, alpha, replicates) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and covariance; counts far off are replaced by trimmed means where a condition has 7 samples."""
+    n = len(y)
+    beta, cov, mu = nb_fit(y, x, offset, alpha)
+    if replicates >= 7:
+        w = mu / (1 + alpha * mu)
+        lever = np.einsum("ij,jk,ik->i", x, cov, x) * w
+        cook = (y - mu) ** 2 / (mu + alpha * mu * mu) * lever / np.maximum(1 - lever, 1e-8) ** 2 / x.shape[1]
+        far = cook > 10.0
+        if far.any():
+            normal = np.sort(y / np.exp(offset))
+            cut = int(0.2 * n)
+            y = np.where(far, np.rint(normal[cut:n - cut].mean() * np.exp(offset)), y)
+            beta, cov, mu = nb_fit(y, x, offset, alpha)
+    return beta, cov
+
+
 def differential_expression(long: DataFrame, metadata: DataFrame, condition: str, categorical=(), numeric=(), continuous: bool = False, min_count: float = 5.0, min_prevalence: float = 0.2) -> DataFrame:
     """feature_id, contrast, base_mean, log2_fold_change, standard_error, p, padj. long: raw counts; metadata: sample_id and the
     design's columns."""
@@ -90,17 +107,7 @@ def differential_expression(long: DataFrame, metadata: DataFrame, condition: str
         mean = float((y / np.exp(offset)).mean())
         prior = (math.log(max(a0 + a1 / max(mean, 1e-8), 1e-8)), spread)
         alpha = nb_dispersion(y, x, offset, prior)
-        beta, cov, mu = nb_fit(y, x, offset, alpha)
-        if replicates >= 7:
-            w = mu / (1 + alpha * mu)
-            lever = np.einsum("ij,jk,ik->i", x, cov, x) * w
-            cook = (y - mu) ** 2 / (mu + alpha * mu * mu) * lever / np.maximum(1 - lever, 1e-8) ** 2 / x.shape[1]
-            far = cook > 10.0
-            if far.any():
-                normal = np.sort(y / np.exp(offset))
-                cut = int(0.2 * n)
-                y = np.where(far, np.rint(normal[cut:n - cut].mean() * np.exp(offset)), y)
-                beta, cov, mu = nb_fit(y, x, offset, alpha)
+        beta, cov = _wald_fit(y, x, offset, alpha, replicates)
         rows = []
         for j in tested:
             se = math.sqrt(max(cov[j, j], 0))
@@ -111,6 +118,32 @@ def differential_expression(long: DataFrame, metadata: DataFrame, condition: str
     return benjamini_hochberg(tests, "p")
 
 
+def screen(counts: np.ndarray, x: np.ndarray, tested: list[int], eligible: np.ndarray, replicates: int) -> np.ndarray:
+    """Smallest adjusted p-value over the contrasts of each gene by the tests of differential_expression, for a matrix in one
+    task (samples x genes); 1 where a gene is not eligible or has no test."""
+    genes = np.flatnonzero(eligible & (counts > 0).any(axis=0))
+    if len(genes) < 2:
+        raise ValueError("too few expressed genes for count tests")
+    y = np.rint(counts[:, genes])
+    offset = np.log(size_factors(y))
+    mean = (y / np.exp(offset)[:, None]).mean(axis=0)
+    a0, a1, spread = _trend(mean, np.array([nb_dispersion(v, x, offset) for v in y.T]), len(x) - x.shape[1])
+    p = np.full((len(genes), len(tested)), np.nan)
+    for g, v in enumerate(y.T):
+        alpha = nb_dispersion(v, x, offset, (math.log(max(a0 + a1 / max(mean[g], 1e-8), 1e-8)), spread))
+        beta, cov = _wald_fit(v, x, offset, alpha, replicates)
+        for k, j in enumerate(tested):
+            se = math.sqrt(max(cov[j, j], 0))
+            p[g, k] = normal_two_sided(beta[j] / se) if se > 0 else np.nan
+    flat, adjusted = p.ravel(), np.ones(p.size)
+    known = np.flatnonzero(~np.isnan(flat))
+    order = known[np.argsort(flat[known], kind="stable")]
+    adjusted[order] = np.minimum(np.minimum.accumulate((flat[order] * len(order) / np.arange(1, len(order) + 1))[::-1])[::-1], 1)
+    out = np.ones(counts.shape[1])
+    out[genes] = adjusted.reshape(p.shape).min(axis=1)
+    return out
+
+
 def _trend(mean: np.ndarray, disp: np.ndarray, df: int) -> tuple[float, float, float]:
     """Robust fit of dispersion = a0 + a1 / mean, and the variance of log dispersions around it beyond sampling noise."""
     use = (disp > 1e-7) & (mean > 0)

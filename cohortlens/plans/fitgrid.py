@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.kernels import dummy, elastic_net, group_weights, mean_loss
+from ..operators.expression_tests import design_matrix, screen
 
 RESULT = """stage string, perm_id int, repeat int, fold int, strength double, l1_ratio double, normalization string, converged boolean, loss double, baseline_loss double,
 tuning array<struct<strength:double,l1_ratio:double,mean_loss:double,sd:double,n:int,mean_features:double>>, coefs array<struct<contrast:int,feature:int,coef:double>>,
@@ -44,6 +45,8 @@ class Packed:
 
 def pack(long: DataFrame, metadata: DataFrame, config: Config) -> Packed:
     """Collect a study (sample_id, feature_id, value; metadata by sample_id), after checking its size against max_dense_mb."""
+    if config.candidate_method == "deseq2" and config.group and not config.de_pair_group and not metadata.groupBy(config.group).count().where("count > 1").isEmpty():
+        raise ValueError("count tests of groups with several samples need de_pair_group, or one sample a group")
     features = [r[0] for r in long.select("feature_id").distinct().orderBy("feature_id").collect()]
     meta = metadata.orderBy("sample_id").toPandas()
     if len(features) * len(meta) * 8 / 2**20 > config.max_dense_mb:
@@ -117,9 +120,9 @@ def normalize(x: np.ndarray, method: str, reference: np.ndarray | None):
 
 
 class Prepared:
-    """Normaliser, filters, screen and scaler of the training rows."""
+    """Normaliser, filters, screen and scaler of the training rows. nuisance: categorical columns of the count tests."""
 
-    def __init__(self, x, y, covariates, config: Config, allowed: np.ndarray | None = None):
+    def __init__(self, x, y, covariates, config: Config, allowed: np.ndarray | None = None, nuisance: dict[str, np.ndarray] | None = None):
         self.config, self.reference, self.fill = config, None, None
         if config.imputation == "median":
             self.fill = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in x.T])
@@ -141,6 +144,9 @@ class Prepared:
         if config.candidate_method == "association" and len(idx):
             score = np.full(x.shape[1], -np.inf)
             score[idx] = _association(n[:, idx], y, config.outcome_type == "continuous")
+        elif config.candidate_method == "deseq2":
+            padj = _count_tests(x, y, covariates, config, nuisance)
+            idx, score = idx[padj[idx] <= config.de_fdr], -padj
         if config.candidate_method != "none":
             idx = idx[np.argsort(-score[idx], kind="stable")[: config.max_features]]
         self.selected = np.sort(idx)
@@ -157,6 +163,26 @@ class Prepared:
         return np.column_stack([(self.normalized(x)[:, self.selected] - self.center) / self.scale, (covariates - self.c_center) / self.c_scale])
 
 
+def prepare(p: Packed, rows: np.ndarray, y: np.ndarray, config: Config, allowed: np.ndarray | None = None) -> Prepared:
+    """Prepared of some rows of a study; y: their labels."""
+    nuisance = {name: column[rows] for name, column, used in (("batch", p.batches, config.batch), ("group", p.groups, config.group and config.de_pair_group)) if used}
+    return Prepared(p.x[rows], y, p.covariates[rows], config, allowed, nuisance)
+
+
+def _count_tests(x, y, covariates, config: Config, nuisance) -> np.ndarray:
+    """Adjusted p-values of the genes in the training rows, beside batch, covariates and, if paired, groups."""
+    if nuisance is None:
+        raise ValueError("count tests need the batches and groups of the rows")
+    continuous = config.outcome_type == "continuous"
+    numeric = {f"covariate_{j}": c for j, c in enumerate(covariates.T) if len(set(c)) > 1}
+    meta = pd.DataFrame({"condition": y if continuous else [f"{int(v):06d}" for v in y], **nuisance, **numeric})
+    if "group" in nuisance and meta.duplicated(["group", "condition"]).any():
+        raise ValueError("paired tests need one sample a group and condition")
+    design, _, tested = design_matrix(meta, "condition", list(nuisance), list(numeric), continuous)
+    replicates = 0 if continuous else int(meta["condition"].value_counts().min())
+    return screen(x, design, tested, (x >= config.min_count).mean(axis=0) >= config.min_prevalence, replicates)
+
+
 def _association(n, y, continuous):
     if continuous:
         a, b = n - n.mean(axis=0), y - y.mean()
@@ -171,13 +197,15 @@ def _association(n, y, continuous):
 def tune(p: Packed, rows, y, config: Config, covariates_only: bool = False):
     """(strength, ratio, table) by inner folds over the grid; shared preparation and warm starts in a fold."""
     kind, k = config.outcome_type, len(p.classes)
+    if covariates_only and config.candidate_method == "deseq2":  # genes are dropped below: no tests for them
+        config = replace(config, candidate_method="none")
     folds = group_folds(p.groups[rows], y[rows], config.inner_folds, config.seed, kind != "continuous")
     losses: dict[tuple[float, float], list[tuple[float, float]]] = {}
     for f in range(config.inner_folds):
         tr, te = rows[folds != f], rows[folds == f]
         if kind != "continuous" and len(set(y[tr])) < k:
             raise ValueError("an inner training fold lacks a class")
-        prep = Prepared(p.x[tr], y[tr], p.covariates[tr], config)
+        prep = prepare(p, tr, y[tr], config)
         a, b = prep.transform(p.x[tr], p.covariates[tr]), prep.transform(p.x[te], p.covariates[te])
         if covariates_only:
             a, b = a[:, len(prep.selected):], b[:, len(prep.selected):]
@@ -215,7 +243,7 @@ def run_unit(p: Packed, u: dict, config: Config) -> dict:
         strength, ratio = u["strength"], u["l1_ratio"]
     else:
         strength, ratio, table = tune(p, train, y, config)
-    prep = Prepared(p.x[train], y[train], p.covariates[train], config, allowed)
+    prep = prepare(p, train, y[train], config, allowed)
     a, w = prep.transform(p.x[train], p.covariates[train]), group_weights(p.groups[train])
     fit = elastic_net(a, y[train], w, kind, strength, ratio, max_iter=config.max_iter) if a.shape[1] else dummy(y[train], w, kind, k)
     m = len(prep.selected)

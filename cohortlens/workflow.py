@@ -89,7 +89,7 @@ def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, conf
 
 def freeze(p: G.Packed, config: Config, strength: float, ratio: float) -> dict:
     """All that scoring new samples needs."""
-    prep, w = G.Prepared(p.x, p.y, p.covariates, config), group_weights(p.groups)
+    prep, w = G.prepare(p, np.arange(len(p.y)), p.y, config), group_weights(p.groups)
     a = prep.transform(p.x, p.covariates)
     fit = elastic_net(a, p.y, w, config.outcome_type, strength, ratio, max_iter=config.max_iter) if a.shape[1] else dummy(p.y, w, config.outcome_type, max(2, len(p.classes)))
     return {

@@ -1,8 +1,14 @@
 """Operators do the whole job: nothing is left out by a filter, a default or an unread setting."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.config import Config
+from cohortlens.operators import expression_tests as X
+from cohortlens.plans import fitgrid as G
 from cohortlens.plans import registry
+from test_core import SMALL, frames, packed, synthetic
 
 
 def test_temporal_queries_read_all_orders(spark, sf_dir):
@@ -15,3 +21,27 @@ def test_temporal_queries_read_all_orders(spark, sf_dir):
     assert set(roles) == {(f, r) for f in range(3) for r in ("train", "test")}  # no side is empty
     assert q["jn15_customer_year_range_join"](spark, sf_dir).count() == sum(n for (_, r), n in roles.items() if r == "train")
     assert q["win5_customer_year_windows"](spark, sf_dir).count() == times.select("first").distinct().count()
+
+
+def test_count_tests_screen_the_training_rows(spark):
+    """deseq2 keeps what the count tests of the training rows keep, not the most variable genes."""
+    x, y = synthetic(samples=24, features=14)
+    x[:, 13] = np.random.default_rng(0).permutation(np.r_[np.full(12, 2), np.full(12, 900)])  # varies most, says nothing
+    config = Config(**(SMALL | {"candidate_method": "deseq2", "de_fdr": 0.05, "batch": "batch", "max_features": 5}))
+    p = packed(x, y)
+    rows = np.sort(np.random.default_rng(1).permutation(24)[:18])
+    long, meta = frames(spark, x[rows], y[rows])
+    tests = X.differential_expression(long, meta.drop("batch").join(spark.createDataFrame([(f"s{i:03d}", p.batches[r]) for i, r in enumerate(rows)], "sample_id string, batch string"), "sample_id"), "phenotype", ["batch"])
+    padj = {r["feature_id"]: r["padj"] for r in tests.collect()}
+    kept = G.prepare(p, rows, p.y[rows], config).selected
+    best = sorted((v, f) for f, v in padj.items() if v <= 0.05)[:5]
+    assert {p.features[j] for j in kept} == {f for _, f in best} >= {"g00", "g01", "g02", "g03"}
+    assert "g13" not in {p.features[j] for j in kept} and "g13" in {p.features[j] for j in G.prepare(p, rows, p.y[rows], Config(**(SMALL | {"max_features": 5}))).selected}
+    with pytest.raises(ValueError):
+        G.Prepared(p.x, p.y, p.covariates, config)  # no silent fall back to variance
+    unit = G.final_unit(p, strength=0.02, l1_ratio=0.5)
+    got = G.run_units(spark, p, [unit], config).first()
+    assert got["error"] is None and got["retained"] == G.prepare(p, np.arange(24), p.y, config).selected.tolist()
+    repeated = meta.withColumn("donor", F.lit("d"))
+    with pytest.raises(ValueError, match="several samples"):
+        G.pack(long, repeated, config)
