@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         config = load_config(args.config)
         if args.command == "bulk":
-            meta = S.read_delimited(spark, args.metadata, [c for c in (config.outcome, config.group, config.batch) if c and config.outcome_type != "continuous"])
+            meta = S.read_delimited(spark, args.metadata, [c for c in (config.outcome, config.group, config.batch, config.permutation_strata) if c and config.outcome_type != "continuous"])
             meta = meta.withColumnRenamed(meta.columns[0], "sample_id")
             print(run_analysis(spark, S.to_long(S.read_delimited(spark, args.expression), meta, args.orientation), meta, config, args.output))
             return 0

@@ -37,6 +37,7 @@ class Packed:
     classes: tuple[str, ...]
     covariates: np.ndarray
     perturbed: tuple[np.ndarray, ...] = ()
+    strata: np.ndarray | None = None
 
     @property
     def mb(self) -> float:
@@ -47,6 +48,8 @@ def pack(long: DataFrame, metadata: DataFrame, config: Config) -> Packed:
     """Collect a study (sample_id, feature_id, value; metadata by sample_id), after checking its size against max_dense_mb."""
     if config.candidate_method == "deseq2" and config.group and not config.de_pair_group and not metadata.groupBy(config.group).count().where("count > 1").isEmpty():
         raise ValueError("count tests of groups with several samples need de_pair_group, or one sample a group")
+    if config.permutation_strata and (config.permutation_strata not in metadata.columns or not metadata.where(F.col(config.permutation_strata).isNull()).isEmpty()):
+        raise ValueError("permutation_strata must name a metadata column without missing values")
     features = [r[0] for r in long.select("feature_id").distinct().orderBy("feature_id").collect()]
     meta = metadata.orderBy("sample_id").toPandas()
     if len(features) * len(meta) * 8 / 2**20 > config.max_dense_mb:
@@ -63,7 +66,7 @@ def pack(long: DataFrame, metadata: DataFrame, config: Config) -> Packed:
             raise ValueError("the number of classes does not fit the outcome type")
         y, classes = meta[config.outcome].astype(str).map({c: i for i, c in enumerate(labels)}).to_numpy(float), tuple(labels)
     text = lambda c: meta[c].astype(str).to_numpy() if c else meta["sample_id"].astype(str).to_numpy()
-    return Packed(x, y, text(config.group), text(config.batch), tuple(features), tuple(meta["sample_id"].astype(str)), classes, meta[list(config.covariates)].to_numpy(float).reshape(len(meta), -1))
+    return Packed(x, y, text(config.group), text(config.batch), tuple(features), tuple(meta["sample_id"].astype(str)), classes, meta[list(config.covariates)].to_numpy(float).reshape(len(meta), -1), strata=text(config.permutation_strata) if config.permutation_strata else None)
 
 
 def key_order(values, *keys) -> list:
@@ -92,9 +95,11 @@ def group_folds(groups: np.ndarray, y: np.ndarray, folds: int, seed: int, classe
 
 
 def permuted(p: Packed, config: Config, perm: int) -> np.ndarray:
-    """Labels of permutation ``perm`` (0: as observed)."""
+    """Labels of permutation ``perm`` (0: as observed), exchanged within permutation_strata where they are configured."""
     if perm == 0:
         return p.y
+    if config.permutation_strata and (config.permutation_scheme == "within_group" or p.strata is None):
+        raise ValueError("permutation_strata need the group scheme and a study packed with them")
     y = p.y.copy()
     if config.permutation_scheme == "within_group":
         for g in np.unique(p.groups):
@@ -105,8 +110,13 @@ def permuted(p: Packed, config: Config, perm: int) -> np.ndarray:
     label = {g: p.y[p.groups == g] for g in names}
     if any(len(set(v)) > 1 for v in label.values()):
         raise ValueError("group permutation needs one outcome a group")
-    for g, h in zip(names, key_order(names, config.seed + 7919, perm)):
-        y[p.groups == g] = label[h][0]
+    stratum = {g: set(p.strata[p.groups == g]) if config.permutation_strata else {"all"} for g in names}
+    if any(len(s) > 1 for s in stratum.values()):
+        raise ValueError("a permutation stratum must hold whole groups")
+    for s in sorted(set().union(*stratum.values())):
+        own = [g for g in names if s in stratum[g]]
+        for g, h in zip(own, key_order(own, config.seed + 7919, perm)):
+            y[p.groups == g] = label[h][0]
     return y
 
 

@@ -45,3 +45,24 @@ def test_count_tests_screen_the_training_rows(spark):
     repeated = meta.withColumn("donor", F.lit("d"))
     with pytest.raises(ValueError, match="several samples"):
         G.pack(long, repeated, config)
+
+
+def test_permutations_stay_within_strata(spark):
+    """Each stratum keeps its labels; without strata nothing changes; groups of several strata are refused."""
+    x, y = synthetic(samples=24, features=6)
+    site = np.array(["a" if i < 8 or i >= 20 else "b" for i in range(24)])
+    long, meta = frames(spark, x, y)
+    meta = meta.join(spark.createDataFrame([(f"s{i:03d}", s) for i, s in enumerate(site)], "sample_id string, site string"), "sample_id")
+    config = Config(**(SMALL | {"permutation_strata": "site", "permutations": 5}))
+    p = G.pack(long, meta, config)
+    labels = [np.asarray(u["labels"]) for u in G.outer_units(p, config, 5) if u["fold"] == 0]
+    assert len({tuple(v) for v in labels}) > 3
+    for v in labels:
+        assert all(sorted(v[site == s]) == sorted(p.y[site == s]) for s in "ab")
+    free = Config(**(SMALL | {"permutations": 5}))
+    assert any(sorted(G.permuted(p, free, k)[site == "a"]) != sorted(p.y[site == "a"]) for k in range(1, 6))
+    for bad in (dict(permutation_strata="site", group="batch"), dict(permutation_strata="site", permutation_scheme="within_group"), dict(permutation_strata="nowhere")):
+        c = Config(**(SMALL | bad))
+        m = meta.withColumn("phenotype", F.when(F.col("batch") == "b0", "0").otherwise("1")) if c.group == "batch" else meta
+        with pytest.raises(ValueError, match="strat"):
+            G.permuted(G.pack(long, m, c), c, 1)
