@@ -27,6 +27,9 @@ def check_study(long: DataFrame, metadata: DataFrame, config: Config) -> list[st
     if config.input_scale == "counts":
         bad += [r["check_id"] for r in K.count_contract(long).where("violations > 0").collect()]
     bad += ["samples_differ"] if not K.key_differences(long, metadata, "sample_id").isEmpty() else []
+    if config.input_scale != "features" and not K.profile_duplicates(long, metadata.select("sample_id", F.col(group).alias("group"))).isEmpty():  # summaries may tie
+        bad.append("profile_in_several_groups")
+    bad += [f"covariate_leakage:{c}" for c in leaking_covariates(metadata, config)]
     if bad:
         raise ValueError("the study breaks its contract: " + ", ".join(bad))
     blockers = []
@@ -41,11 +44,62 @@ def check_study(long: DataFrame, metadata: DataFrame, config: Config) -> list[st
     return blockers
 
 
+def leaking_covariates(metadata: DataFrame, config: Config) -> list[str]:
+    """Covariates that give the outcome away: texts with too many levels or one outcome each, numbers that copy it."""
+    text = [c for c, kind in metadata.dtypes if c in config.covariates and kind == "string"]
+    out = [r["covariate"] for r in K.covariate_leakage(metadata, text, config.outcome).where("high_cardinality" + (" or determines_outcome" if config.outcome_type != "continuous" else "")).collect()] if text else []
+    numbers = [c for c in config.covariates if c not in text]
+    if numbers and config.outcome_type != "multiclass":
+        one = metadata.agg(F.max(config.outcome)).first()[0]
+        y = F.col(config.outcome).cast("double") if config.outcome_type == "continuous" else (F.col(config.outcome) == one).cast("double")
+        r = metadata.agg(*[K.pearson(F.col(c).cast("double"), y).alias(c) for c in numbers]).first()
+        out += [c for c in numbers if abs(r[c] or 0.0) > 1 - 1e-12]
+    return sorted(out)
+
+
+def study_warnings(long: DataFrame, metadata: DataFrame, config: Config) -> list[str]:
+    """What a reader of the run should know: labels in sample ids, libraries far from the others."""
+    out = []
+    if config.outcome_type != "continuous":
+        labels = metadata.select(F.col(config.outcome).cast("string").alias("label")).distinct()
+        out += ["id_contains_outcome"] if not K.ids_with_labels(metadata, labels).isEmpty() else []
+    if config.input_scale == "counts":
+        far = K.library_outliers(long.groupBy("sample_id").agg(F.sum("value").alias("library"))).where("outlier").orderBy("sample_id")
+        out += [f"library_outlier:{r['sample_id']}" for r in far.select("sample_id").collect()]
+    return out
+
+
+def refuse_unbuilt(config: Config) -> None:
+    """Settings whose stages a run does not have: an error, not a shorter run."""
+    unbuilt = [name for name in ("panel_validation", "supporting_de") if getattr(config, name)]
+    unbuilt += ["de_pair_group without candidate_method deseq2"] if config.de_pair_group and config.candidate_method != "deseq2" else []
+    if unbuilt:
+        raise ValueError("not built into runs: " + ", ".join(unbuilt))
+
+
+def correlation_groups(spark: SparkSession, p: G.Packed, coefs: DataFrame, stability: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Correlations of the best-ranked selected features over all samples (descriptive), their complete-linkage groups,
+    the groups' selection frequencies and the members' substitutions."""
+    chosen = [r["feature_id"] for r in E.candidates(stability, config.correlation_max_features).collect()]  # bounded by the setting
+    plain = replace(config, candidate_method="none")
+    n = G.prepare(p, np.arange(len(p.y)), p.y, plain).normalized(p.x)
+    at = {f: j for j, f in enumerate(p.features)}
+    chosen = [f for f in chosen if n[:, at[f]].std() > 1e-12]
+    values = [(s, f, float(n[i, at[f]])) for f in chosen for i, s in enumerate(p.samples)]
+    matrix = E.correlation_matrix(spark.createDataFrame(values, "sample_id string, feature_id string, value double"), spark.createDataFrame([(f,) for f in chosen], "feature_id string"))
+    r = {(x["a"], x["b"]): x["r"] for x in matrix.collect()}
+    members = spark.createDataFrame(list(E.complete_linkage(chosen, r, config.correlation_threshold).items()) if chosen else [], "feature_id string, group_id string")
+    tol = config.coefficient_tolerance
+    return matrix, members, E.group_frequencies(coefs, members, tol), E.substitution(coefs, members, tol)
+
+
 def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, config: Config, output: str | Path, perturbed: Sequence[DataFrame] = ()) -> dict:
     """long: sample_id, feature_id, value; metadata: sample_id and the configured columns; perturbed: the same features from
     subsamples of the cells. Writes the run; returns its summary."""
+    refuse_unbuilt(config)
     with Run(spark, output, {"configuration": asdict(config), "version": "0.1.0"}) as run:
         blockers = check_study(long, metadata, config)
+        warnings = study_warnings(long, metadata, config)
         p = G.pack(long, metadata, config)
         p = replace(p, perturbed=tuple(G.pack(v, metadata, config).x for v in perturbed))
         run.record("feature_universe", {"features": list(p.features), "samples": list(p.samples), "classes": list(p.classes)})
@@ -75,11 +129,14 @@ def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, conf
         gated = E.feature_gates(table, blockers, config.selection_threshold, config.sign_threshold, config.outer_selection_threshold, config.coefficient_tolerance, [f"frequency_{n}" for n in norms], tested)
         evidence = run.table("evidence", E.final_order(gated))
         run.table("panel", E.select_panel(stability, config.selection_threshold, config.sign_threshold, config.panel_max_features))
+        parts = correlation_groups(spark, p, G.coefficients(fits, p, "stability"), stability, config)
+        for name, part in zip(("correlations", "correlation_members", "correlation_groups", "substitutions"), parts):
+            run.table(name, part)
         best = fits.where("stage = 'final'").select("strength", "l1_ratio").first()
         if best["strength"] is not None:
             run.table("path", G.run_units(spark, p, G.path_units(p, best["l1_ratio"], sorted(config.strengths)), config))
             run.record("model", freeze(p, config, best["strength"], best["l1_ratio"]))
-        metrics = {"loss": seen["loss"], "baseline_loss": seen["baseline_loss"], "loss_improvement": seen["improvement"], "pvalue": pvalue, "blockers": blockers, "passing": evidence.where("passes_robustness_gates").count()}
+        metrics = {"loss": seen["loss"], "baseline_loss": seen["baseline_loss"], "loss_improvement": seen["improvement"], "pvalue": pvalue, "blockers": blockers, "warnings": warnings, "passing": evidence.where("passes_robustness_gates").count()}
         if config.outcome_type == "binary":
             scored = M.group_weights(predictions.where("class = 1").join(metadata.select("sample_id", F.col(config.group or "sample_id").alias("__g")), "sample_id"), "__g").withColumn("y", F.col("y").cast("int"))
             metrics |= M.ranking(scored).first().asDict() | M.brier(scored).first().asDict() | M.confusion(scored, config.decision_threshold).first().asDict()

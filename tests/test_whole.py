@@ -66,3 +66,42 @@ def test_permutations_stay_within_strata(spark):
         m = meta.withColumn("phenotype", F.when(F.col("batch") == "b0", "0").otherwise("1")) if c.group == "batch" else meta
         with pytest.raises(ValueError, match="strat"):
             G.permuted(G.pack(long, m, c), c, 1)
+
+
+def test_runs_check_the_study_and_refuse_what_they_lack(spark, tmp_path):
+    from cohortlens.workflow import check_study, run_analysis, study_warnings
+
+    x, y = synthetic(samples=24, features=8)
+    long, meta = frames(spark, x, y)
+    config = Config(**SMALL)
+    assert study_warnings(long, meta, config) == [] and check_study(long, meta, config) is not None
+    copied = x.copy()
+    copied[3] = copied[2]
+    with pytest.raises(ValueError, match="profile_in_several_groups"):
+        check_study(frames(spark, copied, y)[0], meta, config)
+    leaking = meta.withColumns({"dose": F.col("phenotype").cast("double") * 2 + 1, "age": F.xxhash64("sample_id").cast("double"), "ward": F.concat(F.lit("w"), "phenotype")})
+    with pytest.raises(ValueError, match="covariate_leakage:dose, covariate_leakage:ward"):
+        check_study(long, leaking, Config(**(SMALL | {"covariates": ("age", "dose", "ward")})))
+    named = lambda c: F.regexp_replace(c, "^s000$", "s_case")
+    big = long.withColumn("value", F.when(F.col("sample_id") == "s005", F.col("value") * 100).otherwise(F.col("value"))).withColumn("sample_id", named("sample_id"))
+    called = meta.withColumns({"sample_id": named("sample_id"), "phenotype": F.when(F.col("phenotype") == "0", "case").otherwise("control")})
+    assert study_warnings(big, called, config) == ["id_contains_outcome", "library_outlier:s005"]
+    for more in (dict(panel_validation=True), dict(supporting_de=True), dict(de_pair_group=True)):
+        with pytest.raises(ValueError, match="not built"):
+            run_analysis(spark, long, meta, Config(**(SMALL | more)), tmp_path / "refused")
+    assert not (tmp_path / "refused").exists()
+
+
+def test_runs_write_correlation_groups(spark, tmp_path):
+    from cohortlens.workflow import run_analysis
+
+    x, y = synthetic(samples=24, features=8)
+    x[:, 1] = x[:, 0] + np.random.default_rng(0).integers(0, 2, 24)
+    long, meta = frames(spark, x, y)
+    metrics = run_analysis(spark, long, meta, Config(**(SMALL | {"permutations": 0, "l1_ratios": (0.2,)})), tmp_path / "run")
+    members = {r["feature_id"]: r["group_id"] for r in spark.read.parquet(str(tmp_path / "run/correlation_members.parquet")).collect()}
+    chosen = {r["feature_id"] for r in spark.read.parquet(str(tmp_path / "run/stability.parquet")).where("selection_frequency > 0").collect()}
+    assert set(members) == chosen >= {"g00", "g01"} and members["g00"] == members["g01"]
+    pair = spark.read.parquet(str(tmp_path / "run/correlations.parquet")).where("a = 'g00' and b = 'g01'").first()
+    assert pair["r"] > 0.99 and spark.read.parquet(str(tmp_path / "run/substitutions.parquet")).count() > 0
+    assert metrics["warnings"] == []
