@@ -30,15 +30,32 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def pseudobulk_studies(cells, counts, config) -> dict:
+    """state -> (long counts, configuration): sums of the cells that pass quality control, of cell_type_value only if it is
+    set; alpha is divided by the number of states run."""
+    from pyspark.sql import functions as F
+
+    from .operators import cells as C
+    from .operators.distribution import quality_cells
+    from .workflow import family
+
+    states = sorted(r[0] for r in cells.select("state").distinct().collect())
+    if config.cell_type_value:
+        if config.cell_type_value not in states:
+            raise ValueError("the requested cell type is absent")
+        states = [config.cell_type_value]
+    kept, configs = quality_cells(cells, counts, config), family({s: config for s in states})
+    bulk = {s: C.pseudobulk(C.select_states(kept, [s]), counts, config.min_cells) for s in states}
+    return {s: (b.select("sample_id", F.col("gene_id").alias("feature_id"), F.col("count").cast("double").alias("value")), configs[s]) for s, b in bulk.items()}
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
     from .config import load_config
-    from .operators import cells as C
     from .sources import matrices as S
-    from .workflow import external_validate, family, run_analysis
+    from .workflow import external_validate, run_analysis
 
     spark = SparkSession.builder.getOrCreate()
     try:
@@ -69,11 +86,8 @@ def main(argv: list[str] | None = None) -> int:
             print(run_analysis(spark, views[0].select("sample_id", "feature_id", "value"), meta, config, args.output, [v.select("sample_id", "feature_id", "value") for v in views[1:]]))
             D.feature_schema(views[0]).write.mode("errorifexists").parquet(f"{args.output}/feature_schema.parquet")
             return 0
-        states = sorted(r[0] for r in cells.select("state").distinct().collect())
-        configs = family({s: config for s in states})
-        for state in states:
-            part = C.pseudobulk(C.select_states(cells, [state]), counts, config.min_cells).select("sample_id", F.col("gene_id").alias("feature_id"), F.col("count").cast("double").alias("value"))
-            print(state, run_analysis(spark, part, meta.join(part.select("sample_id").distinct(), "sample_id", "left_semi"), configs[state], f"{args.output}/{state}"))
+        for state, (part, one) in pseudobulk_studies(cells, counts, config).items():
+            print(state, run_analysis(spark, part, meta.join(part.select("sample_id").distinct(), "sample_id", "left_semi"), one, f"{args.output}/{state}"))
         return 0
     except (ValueError, OSError, ImportError) as e:
         print(f"ERROR: {e}", file=sys.stderr)

@@ -105,3 +105,20 @@ def test_runs_write_correlation_groups(spark, tmp_path):
     pair = spark.read.parquet(str(tmp_path / "run/correlations.parquet")).where("a = 'g00' and b = 'g01'").first()
     assert pair["r"] > 0.99 and spark.read.parquet(str(tmp_path / "run/substitutions.parquet")).count() > 0
     assert metrics["warnings"] == []
+
+
+def test_pseudobulk_sums_cells_that_pass(spark):
+    from cohortlens.__main__ import pseudobulk_studies
+
+    cells = spark.createDataFrame([("c1", "s1", "A"), ("c2", "s1", "A"), ("c3", "s1", "A"), ("c4", "s1", "B"), ("c5", "s1", "A")], "cell_id string, sample_id string, state string")
+    counts = spark.createDataFrame([("c1", "g", 5), ("c1", "h", 5), ("c2", "g", 1), ("c3", "g", 4), ("c3", "MT-1", 40), ("c4", "g", 7), ("c4", "h", 2), ("c5", "g", 30)], "cell_id string, gene_id string, count long")
+    limits = dict(min_cells=1, cell_min_counts=2, cell_min_genes=2, mitochondrial_prefix="MT-", max_mito_fraction=0.5)
+    values = lambda df: {(r["feature_id"]): r["value"] for r in df.collect()}
+    both = pseudobulk_studies(cells, counts, Config(**limits))
+    assert set(both) == {"A", "B"} and both["A"][1].permutation_alpha == 0.025
+    assert values(both["A"][0]) == {"g": 5.0, "h": 5.0, "MT-1": 0.0}  # c2, c3 and c5 fail
+    one = pseudobulk_studies(cells, counts, Config(**limits, cell_type_value="B"))
+    assert set(one) == {"B"} and one["B"][1].permutation_alpha == 0.05
+    assert pseudobulk_studies(cells, counts, Config(**(limits | {"min_cells": 2})))["A"][0].isEmpty()  # rejected cells do not count
+    with pytest.raises(ValueError, match="absent"):
+        pseudobulk_studies(cells, counts, Config(cell_type_value="C"))
