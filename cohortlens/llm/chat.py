@@ -18,9 +18,11 @@ completions. Empty tables give no rows. Other columns are ignored. Text is never
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK_TURNS = 256
+NEXT_BUCKETS = 1024
 END = "<|end|>\n"
 
 
@@ -92,22 +94,54 @@ def preference_sides(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Preference data from plain conversations: chosen is the conversation as it is; rejected is the same up to its
     last assistant turn, which is replaced by the first assistant turn of the conversation with the next conv_id.
     Conversations without an assistant turn, or without such a neighbour, give no pair."""
+    conv, last, first = _answers(conversations)
+    return _swapped(conv, last.join(first.withColumn("conv_id", F.col("conv_id") - 1), "conv_id"))
+
+
+def _answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns; last assistant turn of each conversation that has one; its first answer."""
     conv = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null").distinct()
     said = conv.where("role = 'assistant'")
     last = said.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    first = said.groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("f")).select((F.col("conv_id") - 1).alias("conv_id"), F.col("f.text").alias("other"))
-    swap = last.join(first, "conv_id")
+    first = said.groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("f")).select("conv_id", F.col("f.text").alias("other"))
+    return conv, last, first
+
+
+def _swapped(conv: DataFrame, swap: DataFrame) -> tuple[DataFrame, DataFrame]:
     as_turns = lambda df: df.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     kept = as_turns(conv.join(swap, "conv_id").where("turn < last_turn"))
     put = swap.select(F.col("conv_id").alias("pair_id"), F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
     return as_turns(conv), kept.unionByName(put)
 
 
+def all_preference_sides(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As preference_sides, but the other answer is that of the next conversation that has one, whatever the gap between the
+    ids, and of the first one for the last: every conversation with an assistant turn gives a pair. A conversation that is
+    the only one with an answer meets its own first answer."""
+    conv, last, first = _answers(conversations)
+    ends = last.agg(F.min("conv_id"), F.max("conv_id")).first()
+    if ends[0] is None:
+        return _swapped(conv, last.join(first, "conv_id"))
+    width = (ends[1] - ends[0]) // NEXT_BUCKETS + 1
+    ids = last.withColumn("bucket", F.expr(f"conv_id div {width}L"))
+    # the next id is in the same bucket, or the first of the next bucket that has any
+    heads = ids.groupBy("bucket").agg(F.min("conv_id").alias("head"))
+    heads = heads.select("bucket", F.coalesce(F.lead("head").over(W.orderBy("bucket")), F.lit(ends[0])).alias("after"))  # a bounded number of rows
+    within = F.lead("conv_id").over(W.partitionBy("bucket").orderBy("conv_id"))
+    following = ids.withColumn("next", within).join(F.broadcast(heads), "bucket").select("conv_id", "last_turn", F.coalesce("next", "after").alias("next"))
+    return _swapped(conv, following.join(first.withColumnRenamed("conv_id", "next"), "next").drop("next"))
+
+
 def op8_preference_formatting(spark, sf_dir):
     chosen, rejected = preference_sides(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return format_preferences(chosen, rejected)
 
 
+def op8_preference_pairs_all(spark, sf_dir):
+    chosen, rejected = all_preference_sides(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return format_preferences(chosen, rejected)
+
+
 ORACLE = r"""
 WITH conv AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 said AS (SELECT * FROM conv WHERE role = 'assistant'),
@@ -136,3 +170,8 @@ SELECT pair_id, chunk, count(*) FILTER (part = 'p') AS n_common,
   coalesce(string_agg((pos + length(head)) || ':' || length(body), ';' ORDER BY turn, role, text) FILTER (part = 'r' AND role = 'assistant'), '') AS rejected_spans
 FROM spanned GROUP BY 1, 2
 """
+
+ORACLE_ALL = ORACLE.replace("SELECT conv_id - 1 AS conv_id, text AS other", "SELECT conv_id AS next, text AS other").replace(
+    "swap AS (SELECT * FROM last JOIN first USING (conv_id))",
+    "swap AS (SELECT conv_id, last_turn, other FROM (SELECT *, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next FROM last) JOIN first USING (next))",
+)
