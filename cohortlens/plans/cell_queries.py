@@ -263,6 +263,14 @@ def snk4(spark, d):
     return wide.select("sample_id", *[F.col(f"`Brand#{i}`").alias(f"brand_{i}") for i in (1, 2, 3)])
 
 
+@query("snk4_all_genes_matrix", PSEUDO_SQL + " SELECT state, sample_id, " + ", ".join(f"sum(count) FILTER (gene_id = 'Brand#{i}')::BIGINT AS brand_{i}" for i in range(1, 26)) + " FROM pseudo GROUP BY 1, 2")
+def snk4_all(spark, d):
+    s = study(spark, d)
+    genes = sorted(r[0] for r in s.genes.select("gene_id").distinct().collect())  # genes: a declared dimension
+    wide = C.pseudobulk(s.cells, s.counts, 5).groupBy("state", "sample_id").pivot("gene_id", genes).agg(F.sum("count"))
+    return wide.select("state", "sample_id", *[F.col(f"`{g}`").alias(g.lower().replace("#", "_")) for g in genes])
+
+
 @query("snk5_count_subset", BASE_SQL + " SELECT * FROM counts WHERE cell_id IN (SELECT cell_id FROM cells WHERE batch = 'EUROPE')")
 def snk5(spark, d):
     s = study(spark, d)

@@ -236,6 +236,15 @@ def src2(spark, d):
     return to_long(wide, metadata(s))
 
 
+@query("src2_all_genes_long_form", EXPR_SQL + " SELECT sample_id, feature_id, value FROM expr")
+def src2_all(spark, d):
+    from ..sources.matrices import to_long, to_wide
+
+    s = study(spark, d)
+    genes = sorted(r[0] for r in s.genes.select("gene_id").distinct().collect())  # genes: a declared dimension
+    return to_long(to_wide(expression(s), genes), metadata(s))
+
+
 @query("src6_annotations", BASE_SQL + " SELECT g.gene_id, coalesce(gene_symbol, '') AS gene_symbol FROM (SELECT DISTINCT gene_id FROM counts) g LEFT JOIN (SELECT p_brand AS gene_id, min(p_name) AS gene_symbol FROM part WHERE p_size < 25 AND p_brand <> 'Brand#9' GROUP BY 1) USING (gene_id)")
 def src6(spark, d):
     from ..sources.matrices import annotate

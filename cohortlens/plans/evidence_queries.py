@@ -172,6 +172,14 @@ def cor1(spark, d):
     return E.correlation_matrix(x, few).select("a", "b", *r6("r"))
 
 
+CORR_RANKED = CORR.replace("('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6')", f"(SELECT feature_id FROM ({SQL['srt4_correlation_candidates']}))")
+
+
+@query("cor1_ranked_candidates", CORR_RANKED + " SELECT a, b, round(greatest(least(r, 1), -1), 6) AS r FROM cor")
+def cor1_ranked(spark, d):
+    return E.correlation_matrix(P.log_cpm(kq.expression(study(spark, d))), srt4(spark, d)).select("a", "b", *r6("r"))
+
+
 MEMBERS = {f"Brand#{i}": f"correlation_{(i - 1) // 3 + 1:03d}" for i in range(1, 10)}
 MEMBERS_SQL = COEF + ", members AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in MEMBERS.items()) + ") t(feature_id, group_id)), x AS (SELECT group_id, contrast, fit_id, feature_id, (abs(coef) > 1e-8)::INT AS s FROM coefs JOIN members USING (feature_id))"
 
@@ -283,6 +291,14 @@ def rep1(spark, d):
     return long.join(kq.metadata(s).select("sample_id", "outcome", "batch"), "sample_id").join(C.cell_totals(s.cells), ["sample_id", "state"]).select("sample_id", "state", "source", "outcome", "batch", "n_cells", *r6("value"))
 
 
+@query("rep1_ranked_evidence", SQL["rep1_distribution_evidence"].replace("('Brand#1', 'Brand#2')", f"(SELECT feature_id FROM ({SQL['srt6_preview_limit']}))"))
+def rep1_ranked(spark, d):
+    s = study(spark, d)
+    top = srt6(spark, d).select(F.col("feature_id").alias("source")).distinct()
+    long = C.gene_blocks(cq._grid(spark, d), (), cq.MIN_CELLS).where("kind = 'gene_mean'").join(F.broadcast(top), "source")
+    return long.join(kq.metadata(s).select("sample_id", "outcome", "batch"), "sample_id").join(C.cell_totals(s.cells), ["sample_id", "state"]).select("sample_id", "state", "source", "outcome", "batch", "n_cells", *r6("value"))
+
+
 @query("rep2_cell_quality", cq.QUALITY_SQL + f" SELECT sample_id, min(outcome) AS outcome, count(*) AS cells, count(*) FILTER (NOT ({cq.KEEP_SQL})) AS failed, round(avg(library), 6) AS mean_library FROM quality GROUP BY 1")
 def rep2(spark, d):
     s = study(spark, d)

@@ -207,6 +207,22 @@ def jn12(spark, d):
     return spl5(spark, d).where("role = 'train'").drop("role")
 
 
+# the same with all donors in every state
+LBO_ALL = LBO.replace(" WHERE donor < 'J' OR state <> 'P'", "")
+
+
+@query("spl5_all_donors_batch_out", LBO_ALL)
+def spl5_all(spark, d):
+    c = study(spark, d).cells
+    m = c.select("sample_id", "donor", F.when(F.col("state") == "P", "Z").otherwise(F.col("batch")).alias("batch")).distinct()
+    return S.leave_batch_out(m, "donor", "batch")
+
+
+@query("jn12_all_donors_training", LBO_ALL.replace("SELECT held AS batch, sample_id, 'test' AS role FROM m JOIN b ON held = batch UNION ALL SELECT held, sample_id, 'train'", "SELECT held AS batch, sample_id"))
+def jn12_all(spark, d):
+    return spl5_all(spark, d).where("role = 'train'").drop("role")
+
+
 @query("jn13_group_semi_join", FOLDS + " SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT \"group\" FROM f WHERE fold = 0)")
 def jn13(spark, d):
     chosen = spl1(spark, d).where("fold = 0").select(F.col("group").alias("o_custkey"))

@@ -141,3 +141,23 @@ def test_every_answered_conversation_gives_a_pair(spark, sf_dir):
     df = chat.format_preferences(*chat.all_preference_sides(sparse))
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({chat.ORACLE_ALL})").fetchall())
     assert df.select("pair_id").distinct().count() == sparse.where("role = 'assistant'").select("conv_id").distinct().count()
+
+
+def test_queries_over_all_donors_and_genes(spark, sf_dir):
+    from cohortlens.sources.study import study
+
+    q, s = registry.queries(), study(spark, sf_dir)
+    genes = {r[0] for r in s.genes.select("gene_id").collect()}
+    folds = q["spl5_all_donors_batch_out"](spark, sf_dir)
+    for state, test in (("P", "batch = 'Z'"), (None, "true")):
+        want = (s.cells.where(F.col("state") == state) if state else s.cells).select("sample_id").distinct()
+        assert want.exceptAll(folds.where("role = 'test'").where(test).select("sample_id").distinct()).isEmpty()
+    assert q["jn12_all_donors_training"](spark, sf_dir).count() == folds.where("role = 'train'").count() > 0
+    assert {r[0] for r in q["src2_all_genes_long_form"](spark, sf_dir).select("feature_id").distinct().collect()} == genes
+    matrix = q["snk4_all_genes_matrix"](spark, sf_dir)
+    assert len(matrix.columns) == 2 + len(genes) and matrix.select("state").distinct().count() == s.cells.select("state").distinct().count()
+    ranked = {r[0] for r in q["srt4_correlation_candidates"](spark, sf_dir).select("feature_id").collect()}
+    pairs = q["cor1_ranked_candidates"](spark, sf_dir).collect()
+    assert {r["a"] for r in pairs} | {r["b"] for r in pairs} == ranked
+    shown = {r[0] for r in q["srt6_preview_limit"](spark, sf_dir).select("feature_id").distinct().collect()}
+    assert {r[0] for r in q["rep1_ranked_evidence"](spark, sf_dir).select("source").distinct().collect()} == shown
