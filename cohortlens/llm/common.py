@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach: spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a temporary folder is made, one for each application."""
+    """The folder every executor and the driver can reach: spark.checkpoint.dir. Where that is unset, a temporary folder for each
+    application on one machine (tests); on a cluster, whose executors could not reach that, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        app = spark.sparkContext.applicationId
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="cohortlens-")
         path = _own[app]
@@ -47,13 +50,6 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared storage through Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -89,15 +85,22 @@ def tidied(run):
     return go
 
 
-def add_column(df: DataFrame, name: str, kind: str, values, reads: str = "text") -> DataFrame:
-    """df with one more column, made from its column ``reads`` by Arrow batches. values() is called once a task and
-    returns a function from a list of values to a list of results."""
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """prefix, with underscores behind it until no column of df begins with it (in whatever case)."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def add_column(df: DataFrame, name: str, kind: str, values, reads: str = "text", keep: bool = True) -> DataFrame:
+    """df with one more column, made from its column ``reads`` (which goes unless keep) by Arrow batches. values() is called once a
+    task and returns a function from a list of values to a list of results."""
     from pyspark.sql import types as T
 
     field = {"double": T.DoubleType(), "long": T.LongType(), "double[]": T.ArrayType(T.DoubleType())}[kind]
-    schema = T.StructType([*df.schema.fields, T.StructField(name, field)])
     at = df.columns.index(reads)
-    text_batches(df.sparkSession)
+    rest = [k for k in range(len(df.columns)) if keep or k != at]
+    schema = T.StructType([*(df.schema.fields[k] for k in rest), T.StructField(name, field)])
 
     def run(batches):
         import pyarrow as pa
@@ -105,21 +108,31 @@ def add_column(df: DataFrame, name: str, kind: str, values, reads: str = "text")
         made = {"double": pa.float64(), "long": pa.int64(), "double[]": pa.list_(pa.float64())}[kind]
         give = values()
         for batch in batches:
-            new = pa.array(give([x.as_py() or "" for x in batch.column(at)]), made)
-            yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, name])
+            texts, new = batch.column(at), []
+            for a in range(0, len(texts), PART_ROWS):
+                new += give([x.as_py() or "" for x in texts.slice(a, PART_ROWS)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), pa.array(new, made)], [*(batch.schema.names[k] for k in rest), name])
 
     return df.mapInArrow(tidied(run), schema)
 
 
-#: Rows of whole texts that go to Python at once, where the session sets no number of its own.
+#: Rows of whole texts that go to Python at once, where the session sets no number of its own; and those that are Python strings at a time.
 TEXT_ROWS = 2000
+PART_ROWS = 500
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches than Spark's 10,000 rows, for operators that send whole texts to Python."""
+@contextlib.contextmanager
+def text_batches(spark: SparkSession):
+    """Smaller Arrow batches than Spark's 10,000 rows while an operator sends whole texts to Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(TEXT_ROWS))
+    if spark.conf.get(key) != "10000":
+        yield
+        return
+    spark.conf.set(key, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, "10000")
 
 
 def crc_fold(doc_id) -> "F.Column":

@@ -1,30 +1,39 @@
 """Near-duplicate classes by a chosen-path set similarity join.
 
 A document is the set of its distinct word shingles. Equal sets are collapsed first. Every distinct set carries
-``HASHES`` minwise hashes. In each of ``trees`` independent trees a node selects, by a hash of its own path, one of these
-hashes and, with probability 1/similarity - 1, a second one; a set goes down the branch named by the value it has there. So
-similar sets stay together on some path with a probability that does not fade with depth, and dissimilar ones part. The
-first two levels are taken at once; then nodes of at most ``SMALL`` sets are compared exhaustively (all pairs, on 64-byte
-sketches of the minwise hashes), and larger nodes go on branching. A large node is first compared with ``PIVOTS`` of its
-members, and sets that look similar to one of them are linked to it and leave the node, which keeps groups of thousands of
-near copies from being paired with each other. What is still in large nodes is compared exhaustively in blocks once that
-is cheap (``WORK``), or after ``DEPTH`` more levels.
+``HASHES`` minwise hashes. In a tree a node selects, by a hash of its own path, 1 / similarity of these hashes on average; a
+set goes down the branches named by the values it has there. So similar sets stay together on some path with a probability
+that does not fade with depth, and dissimilar ones part. The first two levels are taken at once.
+
+Crowds come first: in up to ``ROUNDS`` trees, sets that share a node with more than ``SMALL`` others meet ``PIVOTS`` of its
+members, and those that look similar to one become its satellites; a satellite, once confirmed on full sets, is of its
+centre's class, and a class counts once in every node from then on. So a crowd costs a row a node, not one a member.
+
+Then ``trees`` independent trees: nodes of at most ``SMALL`` classes are compared exhaustively (all pairs, on 64-byte
+sketches of the minwise hashes); larger ones go on branching, until comparing them exhaustively, in blocks and on full sets,
+is cheap (``WORK``), or for ``DEPTH`` more levels. Nothing leaves a node early. A class stands in a comparison by its centre:
+as its members are within distance d = 1 - similarity of it, whatever is similar to a member is within 2 d of the centre (3 d if it is a
+member of another class), and every class that may be so near is compared with all members, exactly and in blocks.
 
 Candidate pairs are confirmed on the full sets, recomputed from whole texts: first one pair for each set; then, of all
-other pairs, those whose ends are still in different classes; last, exactly and block by block, between a class that makes
-up half of a large node and the sets of that node that are not in it. Links make classes by forests within tasks, then, if many are
-left, by repeated minimum labels with pointer jumping as DataFrame joins. No step gathers a group, a component or a list of links in one task or on the driver.
+other pairs, those whose ends are still in different classes; last, sets near a crowd with its members. Links make classes by forests
+within tasks, then, if many are left, by repeated minimum labels with pointer jumping as DataFrame joins. No step gathers a
+group, a component or a list of links in one task or on the driver.
 
-Recall: a tree misses a pair of similarity 0.8 about as often as not, so ``trees`` = 12 leave under 1 in 1000; pairs above
-0.9 are missed far more rarely. Confirmed links are exact.
+Recall: two levels down, a tree keeps a pair of similarity 0.8 together in 7 of 10 cases, so ``trees`` = 12 lose one in 10**6;
+where nodes stay large for more levels, under 1 in 1000. All trees share the hashes of a set, and a pair is passed over where
+their estimate is four standard deviations low (1 in 30,000), so losses of different trees are not independent. Confirmed links are exact.
 
 Defined results. Null, empty or blank text: an empty set, linked with nothing. Fewer words than a shingle has: the whole
 sequence is the one shingle. Null doc_id: linked with nothing, component null, kept. Rows that share a doc_id stay or go
-together. Empty tables give no rows; other columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
+together. Very long texts count whole. Empty tables give no rows; other columns are ignored by ``near_duplicates`` and kept by
+``keep_one``. percent is from 1 to 100.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,15 +45,35 @@ HASHES = 64
 TREES = 12
 SMALL = 16
 PIVOTS = 4
+ROUNDS = 4
 DEPTH = 12
-HUB_ROWS = 256
-#: Large nodes are compared exhaustively once that makes at most so many comparisons for each set of the input.
-WORK = 16
+HUB_ROWS = 512
+#: Large nodes are compared exhaustively once that makes at most so many comparisons for each set of the input, and one copy of its text.
+WORK = 256
 #: So many links (counted, after each task has reduced its own to a forest) are solved in one task; more by joins.
 FOREST_ROWS = 200_000
-BLOCK = 128
-#: Estimates from 64 one-byte sketches are off by 0.05 (one deviation) at 0.8.
-LOOKS_POSSIBLE, LOOKS_SIMILAR, LOOKS_SURE = 0.8 - 0.2, 0.8, 0.92
+BLOCK = 512
+#: Estimates may be so many standard deviations off before a pair is lost, and before a pair counts as sure.
+SLACK, SURE = 4, 3
+
+
+def deviation(similarity: float) -> float:
+    """Standard deviation of an estimate from HASHES hashes."""
+    return math.sqrt(max(similarity * (1 - similarity), 0.0) / HASHES)
+
+
+class Limits:
+    """What follows from percent. least[c], looks[c]: similarity, and its estimate, that a pair of centres has at least if of its c
+    classes with members (0, 1 or 2) some member is similar to the other side."""
+
+    def __init__(self, percent: int):
+        if not 1 <= percent <= 100:
+            raise ValueError("percent must be from 1 to 100")
+        self.percent, self.similarity = percent, percent / 100
+        self.least = np.array([max(0.0, 1 - (c + 1) * (1 - self.similarity)) for c in range(3)])
+        self.looks = np.array([max(0.0, x - SLACK * deviation(x)) for x in self.least])
+        self.sure = self.similarity + SURE * deviation(self.similarity)
+
 
 SEED = np.random.default_rng(20240229)
 MULTIPLY = (SEED.integers(1, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -86,13 +115,13 @@ def sketch(sig: np.ndarray) -> np.ndarray:
 
 
 def branch(nodes: np.ndarray, sigs: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, child nodes): each row of sigs goes to the children that its node selects."""
+    """(rows, child nodes): each row of sigs goes to the children that its node selects, 1 / similarity on average."""
     r = mix(nodes ^ np.uint64(0xD6E8FEB86659FD93))
-    first = (r % np.uint64(HASHES)).astype(np.int64)
-    again = ((r >> np.uint64(40)).astype(float) / 2**24 < 1 / similarity - 1).nonzero()[0]
-    second = ((r >> np.uint64(8)) % np.uint64(HASHES)).astype(np.int64)
-    rows = np.concatenate([np.arange(len(nodes)), again])
-    at = np.concatenate([first, second[again]])
+    whole = int(1 / similarity)
+    more = np.flatnonzero((r >> np.uint64(40)).astype(float) / 2**24 < 1 / similarity - whole)
+    rows = np.concatenate([np.arange(len(nodes))] * whole + [more])
+    turn = np.repeat(np.arange(whole + 1), [len(nodes)] * whole + [len(more)]).astype(np.uint64)
+    at = (mix(r[rows] + turn * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(HASHES)).astype(np.int64)
     return rows, mix(nodes[rows] * np.uint64(0x9E3779B97F4A7C15) + mix((sigs[rows, at].astype(np.uint64) << np.uint64(8)) + at.astype(np.uint64)))
 
 
@@ -118,21 +147,39 @@ def _matrix(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), HASHES)
 
 
-def _plant(trees: int, similarity: float):
-    """Nodes two levels down each tree."""
+def _plant(first: int, trees: int, similarity: float, once: bool):
+    """(node, rep, cls) of sets two levels down the trees numbered from first on; of rows that differ in rep only, one a batch if once."""
 
     def run(batches):
         for batch in batches:
-            sigs, reps = _matrix(batch.column("sig"), np.uint32), batch.column("rep").to_numpy()
-            rep, node = [], []
-            for t in range(trees):
+            sigs, reps, classes = _matrix(batch.column("sig"), np.uint32), batch.column("rep").to_numpy(), batch.column("cls").to_numpy()
+            at, node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for t in range(first, first + trees):
                 rows, nodes = np.arange(len(reps)), np.full(len(reps), mix(np.array([t + 1], np.uint64))[0])
                 for _ in range(2):
                     k, nodes = branch(nodes, sigs[rows], similarity)
                     rows = rows[k]
-                rep.append(reps[rows])
+                at.append(rows)
                 node.append(nodes.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(rep))], ["node", "rep"])
+            rows, nodes = np.concatenate(at), np.concatenate(node)
+            if once:
+                order = np.lexsort((classes[rows], nodes))
+                rows, nodes = rows[order], nodes[order]
+                new = np.ones(len(rows), bool)
+                new[1:] = (nodes[1:] != nodes[:-1]) | (classes[rows[1:]] != classes[rows[:-1]])
+                rows, nodes = rows[new], nodes[new]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(reps[rows]), pa.array(classes[rows])], ["node", "rep", "cls"])
+
+    return run
+
+
+def _descend(similarity: float):
+    """Rows (node, rep, cls, sig) -> (node, rep, cls) one level further down."""
+
+    def run(batches):
+        for batch in batches:
+            rows, child = branch(batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("sig"), np.uint32), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(pa.array(batch.column(c).to_numpy()[rows]) for c in ("rep", "cls"))], ["node", "rep", "cls"])
 
     return run
 
@@ -161,17 +208,17 @@ def _groups(batches, keys):
 PAIRS = "hub long, other long, wave int"
 
 
-def node_pairs(reps: np.ndarray, sizes: np.ndarray, marks: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
+def node_pairs(reps: np.ndarray, sizes: np.ndarray, marks: np.ndarray, crowd: np.ndarray, limits: Limits) -> list[tuple[int, int, int]]:
     """Candidate pairs of one small node: wave 1 for a spanning forest by falling estimate, wave 2 for the others unless
-    sure links of the forest join their ends already."""
+    sure links of the forest join their ends already; wave 3 for a class with members (first) and what may be near one of them."""
     order = np.argsort(reps)
-    reps, sizes, marks = reps[order], sizes[order], marks[order]
+    reps, sizes, marks, crowd = reps[order], sizes[order], marks[order], crowd[order].astype(np.int64)
     i, j = np.triu_indices(len(reps), 1)
     small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-    keep = (100 * small >= percent * large) & (reps[i] != reps[j])
-    i, j = i[keep], j[keep]
+    keep = small >= (limits.least[crowd[i] + crowd[j]] - 1e-9) * large
+    i, j, small, large = i[keep], j[keep], small[keep], large[keep]
     est = (marks[i] == marks[j]).mean(axis=1)
-    fit = np.flatnonzero(est >= LOOKS_POSSIBLE)
+    fit = np.flatnonzero((est >= limits.looks[0]) & (100 * small >= limits.percent * large))
     out, top, sure = [], list(range(len(reps))), list(range(len(reps)))
 
     def root(up, x):
@@ -184,11 +231,13 @@ def node_pairs(reps: np.ndarray, sizes: np.ndarray, marks: np.ndarray, percent:
         a, b = root(top, i[k]), root(top, j[k])
         if a != b:
             top[b] = a
-            if est[k] >= LOOKS_SURE:
+            if est[k] >= limits.sure:
                 sure[root(sure, j[k])] = root(sure, i[k])
             out.append((reps[i[k]], reps[j[k]], 1))
         elif root(sure, i[k]) != root(sure, j[k]):
             out.append((reps[i[k]], reps[j[k]], 2))
+    for k in np.flatnonzero((crowd[i] + crowd[j] > 0) & (est >= limits.looks[crowd[i] + crowd[j]])):
+        out.append((reps[i[k]], reps[j[k]], 3) if crowd[i[k]] else (reps[j[k]], reps[i[k]], 3))
     return out
 
 
@@ -197,87 +246,97 @@ def _pairs_batch(rows: list[tuple[int, int, int]]):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()))], ["hub", "other", "wave"])
 
 
-def _compare(percent: int):
+def _compare(limits: Limits):
     def run(batches):
         for table, starts in _groups(batches, ("node",)):
-            reps, sizes, marks = table.column("rep").to_numpy(), table.column("n").to_numpy(), _matrix(table.column("mark"), np.uint8)
+            reps, sizes, marks, crowd = (table.column(c).to_numpy() if c != "mark" else _matrix(table.column(c), np.uint8) for c in ("cls", "n", "mark", "crowd"))
             out = []
             for a, b in zip(starts, [*starts[1:], table.num_rows]):
-                if b - a > 1:
-                    out += node_pairs(reps[a:b], sizes[a:b], marks[a:b], percent)
+                out += node_pairs(reps[a:b], sizes[a:b], marks[a:b], crowd[a:b], limits)
             yield _pairs_batch([(int(x), int(y), w) for x, y, w in out])
 
     return run
 
 
-def _pivot(percent: int, similarity: float):
-    """Rows of large nodes with their node's pivots: the pair with the nearest pivot, and the children of what remains."""
+def _nearest(limits: Limits):
+    """Rows (rep, n, mark) of crowded nodes with their node's pivots: the pair with a pivot that looks similar, if any, the smallest of several."""
 
     def run(batches):
         for batch in batches:
-            reps, nodes, sizes, sigs = batch.column("rep").to_numpy(), batch.column("node").to_numpy(), batch.column("n").to_numpy(), _matrix(batch.column("sig"), np.uint32)
-            marks, linked = sketch(sigs), np.zeros(len(reps), bool)
-            pivots = batch.column("pivots")
-            out = {"node": [], "rep": [], "hub": [], "wave": []}
-            near: dict[int, tuple[list, np.ndarray]] = {}
+            reps, sizes, marks, pivots = batch.column("rep").to_numpy(), batch.column("n").to_numpy(), _matrix(batch.column("mark"), np.uint8), batch.column("pivots")
+            hub, other = [], []
             for r in range(len(reps)):
-                if nodes[r] not in near:
-                    own = sorted(pivots[r].as_py(), key=lambda p: p["rep"])
-                    m = np.frombuffer(b"".join(p["mark"] for p in own), np.uint8).reshape(len(own), HASHES)
-                    near[nodes[r]] = own, m
-                own, m = near[nodes[r]]
-                est = (m == marks[r]).mean(axis=1)
-                fit = [k for k, p in enumerate(own) if p["rep"] != reps[r] and est[k] >= LOOKS_POSSIBLE and 100 * min(p["n"], sizes[r]) >= percent * max(p["n"], sizes[r])]
+                own = sorted(pivots[r].as_py(), key=lambda p: p["rep"])
+                if any(p["rep"] == reps[r] for p in own):
+                    continue
+                est = (np.frombuffer(b"".join(p["mark"] for p in own), np.uint8).reshape(len(own), HASHES) == marks[r]).mean(axis=1)
+                fit = [p["rep"] for p, e in zip(own, est) if e >= limits.similarity and 100 * min(p["n"], sizes[r]) >= limits.percent * max(p["n"], sizes[r])]
                 if fit:
-                    close = [k for k in fit if est[k] >= LOOKS_SIMILAR]
-                    best = close[0] if close else max(fit, key=lambda k: (est[k], -k))  # the smallest id of several
-                    out["node"].append(None)
-                    out["rep"].append(int(reps[r]))
-                    out["hub"].append(own[best]["rep"])
-                    out["wave"].append(1 if est[best] >= LOOKS_SIMILAR else 2)
-                    linked[r] = est[best] >= LOOKS_SIMILAR and all(p["rep"] != reps[r] for p in own)
-            open_rows = np.flatnonzero(~linked)
-            rows, child = branch(nodes[open_rows].view(np.uint64), sigs[open_rows], similarity)
-            out["node"] += child.view(np.int64).tolist()
-            out["rep"] += reps[open_rows[rows]].tolist()
-            out["hub"] += [None] * len(rows)
-            out["wave"] += [None] * len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["rep"], pa.int64()), pa.array(out["hub"], pa.int64()), pa.array(out["wave"], pa.int32())], ["node", "rep", "hub", "wave"])
+                    hub.append(fit[0])
+                    other.append(int(reps[r]))
+            yield pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(other, pa.int64())], ["hub", "other"])
 
     return run
 
 
-def candidate_pairs(sets: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """sets: rep, n, sig, mark of the distinct sets. Distinct candidate pairs (PAIRS); the rows (node, rep, m) of large nodes
-    before they branched, if any; and those of large nodes left to compare exhaustively, if any."""
-    similarity = percent / 100
-    rows = materialize(sets.select("rep", "sig").mapInArrow(tidied(_plant(trees, similarity)), "node long, rep long"), "near-nodes")
-    found, crowds, rest, budget = [], None, None, WORK * sets.count()
+def crowd_stars(sets: DataFrame, limits: Limits) -> DataFrame | None:
+    """(hub, other): sets that look similar to a pivot of a crowded node, each with one hub; no hub is another's other. None without crowds."""
+    rest, stars = sets.select("rep", F.col("rep").alias("cls"), "sig"), None
+    for turn in range(ROUNDS):
+        rows = rest.mapInArrow(tidied(_plant(1000 + turn, 1, limits.similarity, False)), "node long, rep long, cls long")
+        rows = materialize(rows.select("node", "rep"), "near-crowd-nodes")
+        large = materialize(rows.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > SMALL).select("node"), "near-large")
+        few = large.count()
+        if not few:
+            break
+        inside = materialize(rows.join(broadcast_if_small(large, few), "node"), "near-crowded")
+        pivots = inside.groupBy("node").agg(F.min("rep").alias("p0"), *[F.min(F.struct(F.xxhash64("node", "rep", F.lit(k)), "rep")).getField("rep").alias(f"p{k}") for k in range(1, PIVOTS)])
+        pivots = pivots.select("node", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("rep")).join(sets.select("rep", "n", "mark"), "rep")
+        pivots = materialize(pivots.groupBy("node").agg(F.collect_list(F.struct("rep", "n", "mark")).alias("pivots")), "near-pivots")  # PIVOTS a node at most
+        near = inside.join(sets.select("rep", "n", "mark"), "rep").join(broadcast_if_small(pivots, few, 20_000), "node").select("rep", "n", "mark", "pivots")
+        near = materialize(near.mapInArrow(tidied(_nearest(limits)), "hub long, other long").groupBy("other").agg(F.min("hub").alias("hub")), "near-near")
+        hubs = (near if stars is None else near.unionByName(stars)).select(F.col("hub").alias("other")).distinct()
+        new = materialize(near.join(hubs, "other", "left_anti").select("hub", "other"), "near-stars")
+        stars = new if stars is None else stars.unionByName(new)
+        n = new.count()
+        if n * 10 < inside.count():
+            break
+        rest = rest.join(broadcast_if_small(new.select(F.col("other").alias("rep")), n), "rep", "left_anti")
+    return stars
+
+
+def place(rows: DataFrame) -> DataFrame:
+    """rows: node, cls, repeats allowed. (node, cls, m): the classes of each node that has several, and their number."""
+    mixed = rows.groupBy("node").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("node")
+    shared = materialize(rows.join(mixed, "node").select("node", "cls"), "near-shared").distinct()
+    return materialize(shared.join(shared.groupBy("node").agg(F.count("*").alias("m")), "node"), "near-placed")
+
+
+def candidate_pairs(sets: DataFrame, limits: Limits, trees: int) -> tuple[DataFrame, DataFrame | None]:
+    """sets: rep, cls, n, sig, mark, crowd of the distinct sets. Candidate pairs of classes (PAIRS, repeats possible), and the rows
+    (node, cls, m, crowd) of large nodes left to compare exhaustively, if any."""
+    described = sets.where("cls = rep").select("cls", "n", "mark", "crowd")
+    planted = lambda once: sets.select("rep", "cls", "sig").mapInArrow(tidied(_plant(0, trees, limits.similarity, once)), "node long, rep long, cls long")
+    rows, found, rest, n = planted(True), [], None, sets.count()
     for depth in range(DEPTH + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-        placed = materialize(rows.join(sizes, "node").select("node", "rep", "m"), "near-placed")
-        small = placed.where(F.col("m") <= SMALL).join(sets.select("rep", "n", "mark"), "rep").select("node", "rep", "n", "mark")
-        found.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(tidied(_compare(percent)), PAIRS))
+        placed = place(materialize(rows.select("node", "cls"), "near-nodes"))
+        small = placed.where(F.col("m") <= SMALL).join(described, "cls").select("node", "cls", "n", "mark", "crowd")
+        found.append(materialize(small.repartition("node").sortWithinPartitions("node").mapInArrow(tidied(_compare(limits)), PAIRS), "near-found"))
         large = placed.where(F.col("m") > SMALL)
-        pairs = large.agg(F.sum("m")).first()[0]  # each row meets the m rows of its node
+        pairs, copies = large.agg(F.sum("m"), F.count("*")).first()  # each class meets the m classes of its node
         if pairs is None:
             break
-        if pairs <= budget or depth == DEPTH:
-            rest = large
+        if pairs <= WORK * n and copies <= n or depth == DEPTH:
+            rest = large.join(described.select("cls", "crowd"), "cls").select("node", "cls", "m", "crowd")
             break
-        crowds = large if depth == 0 else crowds
-        full = large.join(sets, "rep")
-        pivots = large.groupBy("node").agg(F.min("rep").alias("p0"), *[F.min(F.struct(F.xxhash64("node", "rep", F.lit(k)), "rep")).getField("rep").alias(f"p{k}") for k in range(1, PIVOTS)])
-        pivots = pivots.select("node", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("rep")).join(sets.select("rep", "n", "mark"), "rep")
-        pivots = materialize(pivots.groupBy("node").agg(F.collect_list(F.struct("rep", "n", "mark")).alias("pivots")), "near-pivots")  # PIVOTS a node at most
-        step = full.join(broadcast_if_small(pivots, pivots.count(), 20_000), "node").select("node", "rep", "n", "sig", "pivots")
-        step = materialize(step.mapInArrow(tidied(_pivot(percent, similarity)), "node long, rep long, hub long, wave int"), "near-step")
-        found.append(step.where("hub is not null").select("hub", F.col("rep").alias("other"), "wave"))
-        rows = step.where("hub is null").select("node", "rep")
+        nodes = materialize(large.select("node").distinct(), "near-large")
+        inside = (planted(False) if depth == 0 else rows).join(broadcast_if_small(nodes, nodes.count()), "node")
+        rows = inside.join(sets.select("rep", "sig"), "rep").select("node", "rep", "cls", "sig").mapInArrow(tidied(_descend(limits.similarity)), "node long, rep long, cls long")
+        rows = materialize(rows, "near-rows")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.groupBy("hub", "other").agg(F.min("wave").alias("wave")), crowds, rest
+    return out, rest
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -313,22 +372,32 @@ def _fringe(size: int, percent: int):
     return run
 
 
-def fringe_links(crowds: DataFrame, label: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links between a class that makes up half of a large node and sets that shared such a node but are not in the
-    class; those may have been lost as the members left the node early. A class is dealt over blocks of about HUB_ROWS members,
-    each of which the sets visit."""
-    rows = materialize(crowds.join(label, "rep", "left").select("node", "m", "rep", F.coalesce("label", "rep").alias("label")), "near-crowds")
-    main = rows.groupBy("node", "m", "label").agg(F.count("*").alias("k")).where("2 * k >= m").groupBy("node").agg(F.min("label").alias("main"))
-    main = materialize(main, "near-main")
-    edge = materialize(rows.join(broadcast_if_small(main, main.count()), "node").where("label != main").select("rep", "main").distinct(), "near-edge")
-    own = rows.select("rep", F.col("label").alias("main")).distinct().join(edge.select("main").distinct(), "main", "left_semi")
-    own = materialize(own, "near-own")
-    blocks = own.groupBy("main").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("blocks"))
-    own = own.join(blocks, "main").select("main", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("inside"))
-    edge = edge.join(blocks, "main").select("main", "rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("inside"))
-    cells = materialize(own.unionByName(edge), "near-cells")
-    cells = cells.join(texts_of(docs, cells.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep"), "rep").select("main", "block", "inside", "rep", "text")
-    return cells.repartition("main", "block").sortWithinPartitions("main", "block", F.desc("inside")).mapInArrow(tidied(_fringe(size, percent)), "hub long, other long")
+def _ring(limits: Limits):
+    """The rows (hub, rep) whose sketches allow that rep is similar to a member of the hub's class."""
+
+    def run(batches):
+        for batch in batches:
+            small, large = (f(batch.column("n").to_numpy(), batch.column("hub_n").to_numpy()) for f in (np.minimum, np.maximum))
+            est = (_matrix(batch.column("mark"), np.uint8) == _matrix(batch.column("hub_mark"), np.uint8)).mean(axis=1)
+            near = (est >= limits.looks[1]) & (small >= (limits.least[1] - 1e-9) * large)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[near]) for c in ("hub", "rep")], ["hub", "rep"])
+
+    return run
+
+
+def member_links(edges: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, limits: Limits) -> DataFrame:
+    """Confirmed links between members (cls, rep; centres too) of the hubs of edges (hub, other) and the others or their members. A
+    class is dealt over blocks of about HUB_ROWS members, each of which the sets near it visit."""
+    visits = edges.join(members.withColumnRenamed("cls", "other"), "other", "left").select("hub", F.coalesce("rep", "other").alias("rep")).distinct()
+    marked = visits.join(sets.select("rep", "n", "mark"), "rep").join(sets.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("mark").alias("hub_mark")), "hub")
+    visits = materialize(marked.mapInArrow(tidied(_ring(limits)), "hub long, rep long"), "near-visits")
+    own = members.withColumnRenamed("cls", "hub").join(visits.select("hub").distinct(), "hub", "left_semi")
+    blocks = materialize(own.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("blocks")), "near-blocks")
+    own = own.join(blocks, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("inside"))
+    visits = visits.join(blocks, "hub").select("hub", "rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("inside"))
+    cells = materialize(own.unionByName(visits), "near-cells")
+    cells = cells.join(texts_of(docs, cells.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep"), "rep").select(F.col("hub").alias("main"), "block", "inside", "rep", "text")
+    return cells.repartition("main", "block").sortWithinPartitions("main", "block", F.desc("inside")).mapInArrow(tidied(_fringe(size, limits.percent)), "hub long, other long")
 
 
 class Index:
@@ -340,26 +409,33 @@ class Index:
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order]
 
-    def similar(self, x: np.ndarray, percent: int) -> np.ndarray:
+    def common(self, x: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections with x."""
         low = np.searchsorted(self.keys, x, "left")
         n = np.searchsorted(self.keys, x, "right") - low
         hits = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(self.owner[hits], minlength=len(self.lengths))
+        return np.bincount(self.owner[hits], minlength=len(self.lengths))
+
+    def similar(self, x: np.ndarray, percent: int) -> np.ndarray:
+        both = self.common(x)
         return np.flatnonzero(100 * both >= percent * (self.lengths + len(x) - both))
 
 
-def _cells(size: int, percent: int):
-    """A spanning forest of the confirmed links among the sets of each cell."""
+def _cells(size: int, limits: Limits):
+    """For the sets of each cell a spanning forest of the confirmed links (wave 0), and (wave 3) classes with members beside what may be near one."""
 
     def run(batches):
         for table, starts in _groups(batches, ("node", "x", "y")):
             out = []
             for a, b in zip(starts, [*starts[1:], table.num_rows]):
-                reps, first = np.unique(table.column("rep").to_numpy()[a:b], return_index=True)
+                reps, first = np.unique(table.column("cls").to_numpy()[a:b], return_index=True)
+                crowd = table.column("crowd").to_numpy()[a:b][first].astype(np.int64)
                 sets = [shingles(table.column("text")[int(a + k)].as_py(), size) for k in first]
                 index, top = Index(sets), list(range(len(sets)))
                 for i, x in enumerate(sets):
-                    for j in index.similar(x, percent):
+                    both = index.common(x)
+                    union = index.lengths + len(x) - both
+                    for j in np.flatnonzero(100 * both >= limits.percent * union):
                         r, q = int(i), int(j)
                         while top[r] != r:
                             r = top[r]
@@ -367,19 +443,22 @@ def _cells(size: int, percent: int):
                             q = top[q]
                         if r != q:
                             top[max(r, q)] = min(r, q)
-                            out.append((int(reps[i]), int(reps[j])))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["hub", "other"])
+                            out.append((int(reps[i]), int(reps[j]), 0))
+                    if crowd[i]:
+                        near = both >= (limits.least[1 + crowd] - 1e-9) * union
+                        out += [(int(reps[i]), int(reps[j]), 3) for j in np.flatnonzero(near) if j != i]
+            yield _pairs_batch(out)
 
     return run
 
 
-def block_links(large: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links within nodes compared exhaustively, as a grid of blocks of about BLOCK rows."""
+def block_links(large: DataFrame, texts: DataFrame, size: int, limits: Limits) -> DataFrame:
+    """PAIRS (see _cells) within nodes compared exhaustively, as a grid of blocks of about BLOCK rows."""
     side = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), side.cast("long")).cast("int")
+    own = F.pmod(F.xxhash64("cls"), side.cast("long")).cast("int")
     cells = large.withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), side - 1)))
-    cells = cells.select("node", "rep", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y")).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    return cells.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y").mapInArrow(tidied(_cells(size, percent)), "hub long, other long")
+    cells = cells.select("node", "cls", "crowd", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y")).join(texts.withColumnRenamed("doc_id", "cls"), "cls")
+    return cells.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y").mapInArrow(tidied(_cells(size, limits)), PAIRS)
 
 
 def _check(size: int, percent: int):
@@ -460,9 +539,9 @@ def components(links: DataFrame, one_task: int = FOREST_ROWS) -> DataFrame:
             return label
 
 
-def _more(links: DataFrame, label: DataFrame, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and labels once these pairs are confirmed too."""
-    more = materialize(confirm(materialize(pairs, "near-rest"), texts, size, percent), "near-confirmed")
+def _more(links: DataFrame, label: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and labels with these confirmed links too."""
+    more = materialize(more, "near-confirmed")
     if more.isEmpty():
         return links, label
     links = links.unionByName(more)
@@ -471,34 +550,62 @@ def _more(links: DataFrame, label: DataFrame, pairs: DataFrame, texts: DataFrame
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
-    text_batches(docs.sparkSession)
+    limits = Limits(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(docs.mapInArrow(tidied(_describe(size)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "near-sets")
-    linked = rows.where("n_shingles > 0 and doc_id is not null")
-    first = linked.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("f"))
-    sets = first.select("k1", "k2", F.col("f.doc_id").alias("rep"), F.col("f.n_shingles").alias("n"), F.col("f.sig").alias("sig"))
-    sets = materialize(sets.mapInArrow(tidied(_marks), "k1 long, k2 long, rep long, n long, sig binary, mark binary"), "near-distinct")
-    found, crowds, rest = candidate_pairs(sets.select("rep", "n", "sig", "mark"), percent, trees)
-    pairs = materialize(found, "near-pairs")
-    ids = pairs.select(F.explode(F.array("hub", "other")).alias("doc_id"))
-    texts = texts_of(docs, ids if rest is None else ids.unionByName(rest.select(F.col("rep").alias("doc_id"))))
-    first = pairs.where("wave = 1").groupBy("other").agg(F.min("hub").alias("hub")).select("hub", "other")  # one link a set will do mostly
-    links = confirm(materialize(first, "near-first"), texts, size, percent)
-    links = materialize(links if rest is None else links.unionByName(block_links(rest, texts, size, percent)), "near-confirmed")
-    label = components(links)
-    of = lambda c: label.select(F.col("rep").alias(c), F.col("label").alias(f"{c}_label"))
-    rest = pairs.join(of("hub"), "hub", "left").join(of("other"), "other", "left")
-    rest = rest.where(F.coalesce("hub_label", "hub") != F.coalesce("other_label", "other")).select("hub", "other")
-    links, label = _more(links, label, rest, texts, size, percent)
-    if crowds is not None:
-        more = materialize(fringe_links(crowds, label, docs, size, percent), "near-confirmed")
-        label = label if more.isEmpty() else components(links.unionByName(more))
+    with text_batches(docs.sparkSession):
+        rows = materialize(docs.mapInArrow(tidied(_describe(size)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "near-sets")
+        linked = rows.where("n_shingles > 0 and doc_id is not null")
+        first = linked.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("f"))
+        sets = first.select("k1", "k2", F.col("f.doc_id").alias("rep"), F.col("f.n_shingles").alias("n"), F.col("f.sig").alias("sig"))
+        sets = materialize(sets.mapInArrow(tidied(_marks), "k1 long, k2 long, rep long, n long, sig binary, mark binary"), "near-distinct")
+        label = _classes(sets, docs, size, limits, trees)
     classes = sets.select("k1", "k2", "rep").join(label, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _classes(sets: DataFrame, docs: DataFrame, size: int, limits: Limits, trees: int) -> DataFrame:
+    """(rep, label) of the sets in a link."""
+    ends = lambda pairs: pairs.select(F.explode(F.array("hub", "other")).alias("doc_id"))
+    stars, members = crowd_stars(sets, limits), None
+    whole = sets.select("rep", "n", "sig", "mark", F.col("rep").alias("cls"), F.lit(False).alias("crowd"))
+    links = None
+    if stars is not None:
+        stars = materialize(stars, "near-stars")
+        links = materialize(confirm(stars, texts_of(docs, ends(stars)), size, limits.percent), "near-confirmed")
+        members = materialize(links.select(F.col("hub").alias("cls"), F.col("other").alias("rep")).unionByName(links.select(F.col("hub").alias("cls"), F.col("hub").alias("rep")).distinct()), "near-members")
+        whole = sets.select("rep", "n", "sig", "mark").join(broadcast_if_small(members, members.count()), "rep", "left")
+        whole = whole.select("rep", "n", "sig", "mark", F.coalesce("cls", "rep").alias("cls"), F.col("cls").isNotNull().alias("crowd"))
+    found, rest = candidate_pairs(whole, limits, trees)
+    found = materialize(found.groupBy("hub", "other").agg(F.min("wave").alias("wave"), F.max("wave").alias("last")), "near-pairs")
+    pairs, edges = found.where("wave < 3").select("hub", "other", "wave"), found.where("last = 3").select("hub", "other")
+    ids = ends(pairs)
+    texts = texts_of(docs, ids if rest is None else ids.unionByName(rest.select(F.col("cls").alias("doc_id"))))
+    first = pairs.where("wave = 1").groupBy("other").agg(F.min("hub").alias("hub")).select("hub", "other")  # one link a set will do mostly
+    new = confirm(materialize(first, "near-first"), texts, size, limits.percent)
+    if rest is not None:
+        blocks = materialize(block_links(rest, texts, size, limits), "near-blocked")
+        new = new.unionByName(blocks.where("wave = 0").select("hub", "other"))
+        edges = edges.unionByName(blocks.where("wave = 3").select("hub", "other")).distinct()
+    new = materialize(new, "near-confirmed")
+    links = new if links is None else links.unionByName(new)
+    label = components(links)
+    links, label = _more(links, label, confirm(materialize(_apart(pairs.select("hub", "other"), label), "near-rest"), texts, size, limits.percent))
+    if members is not None:
+        edges = materialize(_apart(edges, label), "near-edges")
+        if not edges.isEmpty():
+            links, label = _more(links, label, member_links(edges, members, sets, docs, size, limits))
+    return label
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different classes."""
+    of = lambda c: label.select(F.col("rep").alias(c), F.col("label").alias(f"{c}_label"))
+    both = pairs.join(of("hub"), "hub", "left").join(of("other"), "other", "left")
+    return both.where(F.coalesce("hub_label", "hub") != F.coalesce("other_label", "other")).select("hub", "other")
+
+
 def _marks(batches):
     for batch in batches:
         marks = sketch(_matrix(batch.column("sig"), np.uint32))

@@ -131,6 +131,61 @@ def test_near_duplicates_equal_brute_force(spark, size, work, monkeypatch):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in got.items() if i == c)
 
 
+@pytest.mark.parametrize("percent", [50, 60, 90, 95])
+def test_recall_at_other_similarities(spark, percent):
+    """Isolated pairs just above and just below the bound: all but one in a hundred of the former are found, none of the latter."""
+    rng = np.random.default_rng(percent)
+    rows, want = [], {}
+    for i in range(300):
+        words, n = [f"w{i}_{k}" for k in range(120)], int(round(119 * 2 * percent / (100 + percent)))
+        above, below = words[: n + 2], words[: n - 3]  # 2-word shingles: n + 1 and n - 4 of 119 stay
+        other = (above if i % 3 else below) + [f"x{i}_{k}" for k in range(120 - len(above if i % 3 else below))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        want[2 * i + 1] = 2 * i if i % 3 else 2 * i + 1
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 2, percent).collect()}
+    true = classes(sorted((int(i), t) for i, t in rows), 2, percent)
+    pairs = [i for i in want if true[i][1] != i]
+    found = [i for i in pairs if got[i] == true[i][1]]
+    print(f"similarity {percent}: {len(found)} of {len(pairs)} pairs")
+    assert len(pairs) == 200 and len(found) >= 0.99 * len(pairs)
+    assert all(got[i] == i for i in want if true[i][1] == i)
+
+
+def test_members_of_crowds_keep_their_other_links(spark):
+    """Sets similar to a member of a crowd but not to its centre, and crowds linked by their members only."""
+    base = [f"b{k}" for k in range(200)]
+    rows = [(i, " ".join(base[:100] + [f"c{i}"] + base[101:])) for i in range(60)]  # a crowd around 0
+    rows += [(1000 + i, " ".join([f"d{k}" for k in range(10 + 2 * (i % 5))] + base[10 + 2 * (i % 5):])) for i in range(10)]
+    rows += [(2000 + i, " ".join([f"d{k}" for k in range(28)] + base[28:190] + [f"e{i}_{k}" for k in range(10)])) for i in range(5)]
+    far = [f"d{k}" for k in range(45)] + base[45:]
+    rows += [(3000 + i, " ".join(far[:150] + [f"f{i}"] + far[151:])) for i in range(60)]  # another, 0.6 from the first
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, 2).collect()}
+    assert got == classes(rows, 2, 80)
+
+
+def test_crowds_are_collapsed(spark):
+    """A crowd of near copies costs a class a node in the trees, not a row a member."""
+    rng = np.random.default_rng(11)
+    base = list(rng.choice(WORDS, 200))
+    docs = spark.createDataFrame([(i, edits(rng, base, 2)) for i in range(400)], "doc_id long, text string")
+    got = neardup.near_duplicates(docs, 2).collect()
+    assert {r["component_id"] for r in got} == {0}
+    sets = [(r[0], neardup.shingles(r[1], 2)) for r in docs.collect()]
+    marked = [(i, len(x), neardup.minwise(x).tobytes(), neardup.sketch(neardup.minwise(x)).tobytes()) for i, x in sets]
+    stars = neardup.crowd_stars(spark.createDataFrame(marked, "rep long, n long, sig binary, mark binary"), neardup.Limits(80))
+    assert stars.count() > 350
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k}" for k in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-5000])), (3, " ".join(words[20_000:])), (4, "w1 w2")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_blocks_compare_everything(spark, monkeypatch):
     """Nodes that never get small are compared in a grid."""
     monkeypatch.setattr(neardup, "DEPTH", 0)
