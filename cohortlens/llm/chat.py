@@ -5,9 +5,10 @@ pair_id found in both it finds the longest common prefix of turns, renders that
 either side as ``chosen`` and ``rejected``, with character spans (0-based start, length; the role header left out, the
 end marker inside) of the text to train on: the turns of ``trained_role`` in the completions, nothing in the prompt.
 
-Turns are compared by turn number, so the prefix is an aggregation and a join on (pair_id, turn): no conversation is
-ever gathered for it. Text is assembled in chunks of ``chunk_turns`` turn numbers, one row each, so a conversation of
-any length never meets in one group; conversations within one chunk give exactly one row.
+Turns are compared by turn number, so the prefix is an aggregation of digests by (pair_id, turn): no conversation is ever
+gathered for it, and no text moves. Then the turns that are rendered (of the common prefix, the chosen side's only) meet once,
+by pair. A pair is one row, ``part`` 0, however its turns are numbered. Only pairs of more than ``part_turns`` turns (of
+both sides together) come in several rows, each holding the next such number of them, so that no group grows without bound.
 
 Defined results. Null pair_id: the row takes no part. Null turn: -1, before all others. Null role: "unknown"; null
 text: "". Rows repeated exactly within a side count once. Different rows with one turn number are kept, ordered by
@@ -21,23 +22,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK_TURNS = 256
-NEXT_BUCKETS = 1024
+from .common import BROADCAST_ROWS, broadcast_if_small, materialize
+
+PART_TURNS = 4096
+#: Turn numbers that are counted together.
+STEP = 256
 END = "<|end|>\n"
 
 
 def _turns(df: DataFrame, side: str) -> DataFrame:
-    return (
-        df.select(
-            F.col("pair_id"),
-            F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
-            F.coalesce(F.col("role"), F.lit("unknown")).alias("role"),
-            F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        )
-        .where(F.col("pair_id").isNotNull())
-        .distinct()
-        .withColumn("side", F.lit(side))
-    )
+    return df.select(
+        F.col("pair_id"),
+        F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
+        F.coalesce(F.col("role"), F.lit("unknown")).alias("role"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.lit(side).alias("side"),
+    ).where(F.col("pair_id").isNotNull())
 
 
 def _header(role: Column) -> Column:
@@ -63,73 +63,78 @@ def _spans(turns: Column, trained_role: str) -> Column:
     return F.aggregate(turns, start, step, lambda acc: F.array_join(acc["spans"], ";"))
 
 
-def format_preferences(chosen: DataFrame, rejected: DataFrame, trained_role: str = "assistant", chunk_turns: int = CHUNK_TURNS) -> DataFrame:
-    rows = _turns(chosen, "c").unionByName(_turns(rejected, "r"))
-    turn = F.struct("turn", "role", "text")
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, turn)))
-    by_turn = rows.groupBy("pair_id", "turn").agg(side("c").alias("c"), side("r").alias("r"))
-    cut = (
-        by_turn.groupBy("pair_id")
-        .agg(F.min(F.when(F.col("c") != F.col("r"), F.col("turn"))).alias("cut"), F.max(F.size("c")).alias("n_c"), F.max(F.size("r")).alias("n_r"),
-             F.sum(F.size("c")).alias("all_c"))
-        .where("n_c > 0 and n_r > 0")
-        .select("pair_id", "cut")
+def _prefixes(rows: DataFrame, part_turns: int) -> DataFrame:
+    """For each pair found on both sides: cut (the first turn that differs), repeats (whether rows are repeated exactly), and parts, the
+    number of the part that holds the turns from each multiple of STEP on, where it changes."""
+    digest = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")))
+    slim = rows.select("pair_id", "turn", "side", digest.alias("d"))
+    side = lambda s: F.sort_array(F.collect_set(F.when(F.col("side") == s, F.col("d")))).alias(s)
+    by_turn = slim.groupBy("pair_id", "turn").agg(side("c"), side("r"), F.count("*").alias("n"))
+    steps = by_turn.groupBy("pair_id", F.floor(F.col("turn") / STEP).alias("step")).agg(
+        F.min(F.when(F.col("c") != F.col("r"), F.col("turn"))).alias("cut"), F.sum(F.size("c")).alias("c"), F.sum(F.size("r")).alias("r"), F.sum("n").alias("n")
     )
-    common = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
-    none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    parts = by_turn.join(cut, "pair_id").select(
-        "pair_id", F.floor(F.col("turn") / chunk_turns).cast("long").alias("chunk"),
-        F.when(common, F.col("c")).otherwise(none).alias("p"), F.when(common, none).otherwise(F.col("c")).alias("c"), F.when(common, none).otherwise(F.col("r")).alias("r"),
+    pairs = steps.groupBy("pair_id").agg(
+        F.min("cut").alias("cut"), F.sum("c").alias("c"), F.sum("r").alias("r"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("step", (F.col("c") + F.col("r")).alias("turns")))).alias("steps")
     )
-    whole = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
-    out = parts.groupBy("pair_id", "chunk").agg(whole("p").alias("p"), whole("c").alias("c"), whole("r").alias("r"))
+    kind = "struct<before:bigint,parts:array<struct<step:bigint,part:bigint>>>"
+
+    def step(acc, x):
+        part = F.floor(acc["before"] / part_turns)
+        new = (F.size(acc["parts"]) == 0) | (F.element_at(acc["parts"], -1)["part"] != part)
+        parts = F.when(new, F.concat(acc["parts"], F.array(F.struct(x["step"].alias("step"), part.alias("part"))))).otherwise(acc["parts"])
+        return F.struct((acc["before"] + x["turns"]).alias("before"), parts.alias("parts")).cast(kind)
+
+    start = F.struct(F.lit(0).alias("before"), F.array().alias("parts")).cast(kind)
+    return pairs.where("c > 0 and r > 0").select("pair_id", "cut", (F.col("n") > F.col("c") + F.col("r")).alias("repeats"), F.aggregate("steps", start, step)["parts"].alias("parts"))
+
+
+def format_preferences(chosen: DataFrame, rejected: DataFrame, trained_role: str = "assistant", part_turns: int = PART_TURNS) -> DataFrame:
+    """pair_id, part, n_common, prompt, chosen, rejected, chosen_spans, rejected_spans."""
+    rows = _turns(chosen, "c").unionByName(_turns(rejected, "r"))
+    pairs = materialize(_prefixes(rows, part_turns), "chat-pairs")
+    n, again = pairs.agg(F.count("*"), F.count_if("repeats")).first()
+    common = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
+    placed = rows.join(broadcast_if_small(pairs, n), "pair_id").where(~(common & (F.col("side") == "r")))
+    part = F.element_at(F.filter("parts", lambda p: p["step"] <= F.floor(F.col("turn") / STEP)), -1)["part"]
+    place = ["pair_id", part.alias("part"), F.when(common, "p").otherwise(F.col("side")).alias("side"), "turn", "role", "text"]
+    if again:
+        placed = placed.where("not repeats").select(*place).unionByName(placed.where("repeats").select(*place).distinct())
+    else:
+        placed = placed.select(*place)
+    if n > BROADCAST_ROWS:  # joined by shuffle: dealt anew, so that a hot pair can be split in the join
+        placed = placed.repartition("pair_id", "part")
+    turn = F.struct("turn", "role", "text")
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, turn))).alias(s)
+    out = placed.groupBy("pair_id", "part").agg(side("p"), side("c"), side("r"))
     return out.select(
-        "pair_id", "chunk", F.size("p").cast("long").alias("n_common"), _render(F.col("p")).alias("prompt"),
+        "pair_id", "part", F.size("p").cast("long").alias("n_common"), _render(F.col("p")).alias("prompt"),
         _render(F.col("c")).alias("chosen"), _render(F.col("r")).alias("rejected"),
         _spans(F.col("c"), trained_role).alias("chosen_spans"), _spans(F.col("r"), trained_role).alias("rejected_spans"),
     )
 
 
 def preference_sides(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Preference data from plain conversations: chosen is the conversation as it is; rejected is the same up to its
-    last assistant turn, which is replaced by the first assistant turn of the conversation with the next conv_id.
-    Conversations without an assistant turn, or without such a neighbour, give no pair."""
-    conv, last, first = _answers(conversations)
-    return _swapped(conv, last.join(first.withColumn("conv_id", F.col("conv_id") - 1), "conv_id"))
-
-
-def _answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Turns; last assistant turn of each conversation that has one; its first answer."""
-    conv = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null").distinct()
-    said = conv.where("role = 'assistant'")
-    last = said.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    first = said.groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("f")).select("conv_id", F.col("f.text").alias("other"))
-    return conv, last, first
-
-
-def _swapped(conv: DataFrame, swap: DataFrame) -> tuple[DataFrame, DataFrame]:
-    as_turns = lambda df: df.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    kept = as_turns(conv.join(swap, "conv_id").where("turn < last_turn"))
-    put = swap.select(F.col("conv_id").alias("pair_id"), F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
-    return as_turns(conv), kept.unionByName(put)
-
-
-def all_preference_sides(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As preference_sides, but the other answer is that of the next conversation that has one, whatever the gap between the
-    ids, and of the first one for the last: every conversation with an assistant turn gives a pair. A conversation that is
-    the only one with an answer meets its own first answer."""
-    conv, last, first = _answers(conversations)
-    ends = last.agg(F.min("conv_id"), F.max("conv_id")).first()
-    if ends[0] is None:
-        return _swapped(conv, last.join(first, "conv_id"))
-    width = (ends[1] - ends[0]) // NEXT_BUCKETS + 1
-    ids = last.withColumn("bucket", F.expr(f"conv_id div {width}L"))
-    # the next id is in the same bucket, or the first of the next bucket that has any
-    heads = ids.groupBy("bucket").agg(F.min("conv_id").alias("head"))
-    heads = heads.select("bucket", F.coalesce(F.lead("head").over(W.orderBy("bucket")), F.lit(ends[0])).alias("after"))  # a bounded number of rows
-    within = F.lead("conv_id").over(W.partitionBy("bucket").orderBy("conv_id"))
-    following = ids.withColumn("next", within).join(F.broadcast(heads), "bucket").select("conv_id", "last_turn", F.coalesce("next", "after").alias("next"))
-    return _swapped(conv, following.join(first.withColumnRenamed("conv_id", "next"), "next").drop("next"))
+    """Preference data from plain conversations: chosen is the conversation as it is; rejected is the same up to its last assistant
+    turn, which is replaced by the first assistant turn of the next conversation that has one, whatever the gap between the ids;
+    the last one takes the first's. Every conversation with an assistant turn gives a pair. A conversation that is the only one
+    with an answer meets its own first answer. Rows without conv_id or turn take no part."""
+    conv = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").where("conv_id is not null and turn is not null")
+    said = conv.where("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last_turn"), F.min("turn").alias("first_turn"))
+    # runs of ids by range; the next id is in the same run, or the first of the next run
+    ids = materialize(said.repartitionByRange("pair_id").withColumn("run", F.spark_partition_id()), "chat-ids")
+    heads = ids.groupBy("run").agg(F.min("pair_id").alias("head"))  # as many as shuffle partitions
+    order = W.orderBy("run")
+    heads = heads.select("run", F.coalesce(F.lead("head").over(order), F.min("head").over(W.partitionBy(F.lit(0)))).alias("after"))
+    within = F.lead("pair_id").over(W.partitionBy("run").orderBy("pair_id"))
+    pairs = ids.withColumn("next", within).join(F.broadcast(heads), "run").select("pair_id", "last_turn", F.coalesce("next", "after").alias("next"))
+    answer = ids.select(F.col("pair_id").alias("next"), "first_turn").join(pairs.select("pair_id", "next", "last_turn"), "next")
+    answer = materialize(answer, "chat-next")
+    n = answer.count()
+    kept = conv.join(broadcast_if_small(answer.select("pair_id", "last_turn"), n), "pair_id").where("turn < last_turn").drop("last_turn")
+    other = conv.where("role = 'assistant'").withColumnRenamed("pair_id", "next").join(broadcast_if_small(answer.select("next", F.col("first_turn").alias("turn"), "pair_id", "last_turn"), n), ["next", "turn"])
+    put = other.groupBy("pair_id", "last_turn").agg(F.min("text").alias("text"))
+    put = put.select("pair_id", F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), "text")
+    return conv, kept.unionByName(put)
 
 
 def op8_preference_formatting(spark, sf_dir):
@@ -137,17 +142,12 @@ def op8_preference_formatting(spark, sf_dir):
     return format_preferences(chosen, rejected)
 
 
-def op8_preference_pairs_all(spark, sf_dir):
-    chosen, rejected = all_preference_sides(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return format_preferences(chosen, rejected)
-
-
-ORACLE = r"""
+ORACLE = rf"""
 WITH conv AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 said AS (SELECT * FROM conv WHERE role = 'assistant'),
 last AS (SELECT conv_id, max(turn) AS last_turn FROM said GROUP BY 1),
-first AS (SELECT conv_id - 1 AS conv_id, text AS other FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM said) WHERE k = 1),
-swap AS (SELECT * FROM last JOIN first USING (conv_id)),
+first AS (SELECT conv_id AS next, text AS other FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM said) WHERE k = 1),
+swap AS (SELECT conv_id, last_turn, other FROM (SELECT *, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next FROM last) JOIN first USING (next)),
 rows AS (
   SELECT DISTINCT 'c' AS side, conv_id AS pair_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conv
   UNION ALL SELECT DISTINCT 'r', conv_id, turn, coalesce(role, 'unknown'), coalesce(text, '') FROM conv JOIN swap USING (conv_id) WHERE turn < last_turn
@@ -156,22 +156,18 @@ by_turn AS (
   SELECT pair_id, turn, coalesce(list((role, text) ORDER BY role, text) FILTER (side = 'c'), []) AS c, coalesce(list((role, text) ORDER BY role, text) FILTER (side = 'r'), []) AS r
   FROM rows GROUP BY 1, 2),
 cut AS (SELECT pair_id, min(turn) FILTER (c <> r) AS cut FROM by_turn GROUP BY 1 HAVING max(len(c)) > 0 AND max(len(r)) > 0),
+steps AS (SELECT pair_id, step, ((sum(n) OVER (PARTITION BY pair_id ORDER BY step) - n) // {PART_TURNS})::BIGINT AS part FROM (SELECT pair_id, floor(turn / {STEP})::BIGINT AS step, count(*) AS n FROM rows GROUP BY 1, 2)),
 placed AS (
-  SELECT pair_id, turn, turn // 256 AS chunk, role, text, CASE WHEN cut IS NULL OR turn < cut THEN 'p' ELSE side END AS part,
+  SELECT pair_id, turn, part, role, text, CASE WHEN cut IS NULL OR turn < cut THEN 'p' ELSE side END AS piece,
          '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body
-  FROM rows JOIN cut USING (pair_id) WHERE NOT (side = 'r' AND (cut IS NULL OR turn < cut))),
+  FROM rows JOIN cut USING (pair_id) JOIN steps USING (pair_id) WHERE step = floor(turn / {STEP}) AND NOT (side = 'r' AND (cut IS NULL OR turn < cut))),
 spanned AS (
-  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY pair_id, chunk, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM placed)
-SELECT pair_id, chunk, count(*) FILTER (part = 'p') AS n_common,
-  coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (part = 'p'), '') AS prompt,
-  coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (part = 'c'), '') AS chosen,
-  coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (part = 'r'), '') AS rejected,
-  coalesce(string_agg((pos + length(head)) || ':' || length(body), ';' ORDER BY turn, role, text) FILTER (part = 'c' AND role = 'assistant'), '') AS chosen_spans,
-  coalesce(string_agg((pos + length(head)) || ':' || length(body), ';' ORDER BY turn, role, text) FILTER (part = 'r' AND role = 'assistant'), '') AS rejected_spans
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY pair_id, part, piece ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM placed)
+SELECT pair_id, part, count(*) FILTER (piece = 'p') AS n_common,
+  coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (piece = 'p'), '') AS prompt,
+  coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (piece = 'c'), '') AS chosen,
+  coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (piece = 'r'), '') AS rejected,
+  coalesce(string_agg((pos + length(head)) || ':' || length(body), ';' ORDER BY turn, role, text) FILTER (piece = 'c' AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg((pos + length(head)) || ':' || length(body), ';' ORDER BY turn, role, text) FILTER (piece = 'r' AND role = 'assistant'), '') AS rejected_spans
 FROM spanned GROUP BY 1, 2
 """
-
-ORACLE_ALL = ORACLE.replace("SELECT conv_id - 1 AS conv_id, text AS other", "SELECT conv_id AS next, text AS other").replace(
-    "swap AS (SELECT * FROM last JOIN first USING (conv_id))",
-    "swap AS (SELECT conv_id, last_turn, other FROM (SELECT *, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next FROM last) JOIN first USING (next))",
-)

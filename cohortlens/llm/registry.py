@@ -15,7 +15,6 @@ def queries() -> dict:
         "op6_arc_to_warc": warc.op6_arc_to_warc,
         "op7_chosen_path_dedup": neardup.op7_chosen_path_dedup,
         "op8_preference_formatting": chat.op8_preference_formatting,
-        "op8_preference_pairs_all": chat.op8_preference_pairs_all,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_site_quality": quality.op10_site_quality,
     }
@@ -28,5 +27,4 @@ def oracle_sql() -> dict[str, str]:
         "op3_impact_topk": impact.ORACLE,
         "op6_arc_to_warc": warc.ORACLE,
         "op8_preference_formatting": chat.ORACLE,
-        "op8_preference_pairs_all": chat.ORACLE_ALL,
     }

@@ -34,14 +34,48 @@ def test_odd_rows_have_defined_results(spark):
     assert got[4]["n_common"] == 2  # tied turn numbers agree as a whole, in any order
 
 
-def test_long_conversations_come_in_chunks(spark):
-    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t} " + "x" * 5000) for t in range(600)]
-    c, r = turns(spark, rows), turns(spark, rows[:-1] + [(1, 599, "assistant", "other")])
-    got = sorted(chat.format_preferences(c, r).collect(), key=lambda x: x["chunk"])
-    assert [x["chunk"] for x in got] == [0, 1, 2]
-    whole = "".join(f"<|{role}|>\n{text}<|end|>\n" for _, _, role, text in rows[:-1])
-    assert "".join(x["prompt"] for x in got) == whole
-    assert got[2]["rejected"] == "<|assistant|>\nother<|end|>\n"
+def test_a_pair_is_one_row_however_its_turns_are_numbered(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t} " + "x" * 5000) for t in range(0, 600_000, 1000)]
+    c, r = turns(spark, rows), turns(spark, rows[:-1] + [(1, 599_000, "assistant", "other")])
+    (got,) = chat.format_preferences(c, r).collect()
+    render = lambda some: "".join(f"<|{role}|>\n{text}<|end|>\n" for _, _, role, text in some)
+    assert (got["part"], got["n_common"]) == (0, 599)
+    assert got["prompt"] == render(rows[:-1]) and got["chosen"] == render(rows[-1:]) and got["rejected"] == "<|assistant|>\nother<|end|>\n"
+
+
+def test_pairs_beyond_the_bound_come_in_parts(spark):
+    """Parts hold about part_turns turns of both sides each, by position; no turn is lost."""
+    rows = [(1, t, "user", f"text {t}") for t in range(0, 300_000, 300)]
+    got = sorted(chat.format_preferences(turns(spark, rows), turns(spark, rows[:-1]), part_turns=500).collect(), key=lambda x: x["part"])
+    assert [x["part"] for x in got] == [0, 1, 2, 3] and [x["n_common"] for x in got] == [250, 250, 250, 249]
+    assert "".join(x["prompt"] for x in got) == "".join(f"<|user|>\n{t}<|end|>\n" for _, _, _, t in rows[:-1])
+    assert got[3]["chosen"] == "<|user|>\ntext 299700<|end|>\n" and got[3]["rejected"] == ""
+
+
+def test_every_answered_conversation_gives_a_pair(spark):
+    """The next conversation with an answer, whatever the gap; the last takes the first's; repeated rows change nothing."""
+    conv = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (5, 0, "user", "none"), (9, 0, "user", "q9"), (9, 1, "assistant", "a9"), (9, 2, "assistant", "b9"), (10**15, 4, "assistant", "far"), (None, 0, "assistant", "x"), (1, None, "assistant", "x")]
+    df = spark.createDataFrame(conv * 2, "conv_id long, turn int, role string, text string")
+    got = {r["pair_id"]: (r["prompt"], r["rejected"]) for r in chat.format_preferences(*chat.preference_sides(df)).collect()}
+    say = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    assert got == {1: (say("user", "q1"), say("assistant", "a9")), 9: (say("user", "q9") + say("assistant", "a9"), say("assistant", "far")), 10**15: ("", say("assistant", "a1"))}
+
+
+def test_pairs_of_sparse_ids_equal_sql(spark, sf_dir):
+    import duckdb
+
+    rows = [(k, t, role, f"{role} {k}.{t}") for k in (-5, 7, 8, 900, 2**61) for t, role in enumerate(("user", "assistant", "user", "assistant"))] + [(9, 0, "user", "alone")]
+    got = {r["pair_id"]: r["rejected"] for r in chat.format_preferences(*chat.preference_sides(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    follows = {-5: 7, 7: 8, 8: 900, 900: 2**61, 2**61: -5}
+    assert got == {k: f"<|assistant|>\nassistant {n}.1<|end|>\n" for k, n in follows.items()}
+    none = spark.createDataFrame(rows[-1:], "conv_id long, turn long, role string, text string")
+    assert chat.format_preferences(*chat.preference_sides(none)).isEmpty()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet' WHERE conv_id % 3 <> 1")  # gaps
+    sparse = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id % 3 != 1")
+    df = chat.format_preferences(*chat.preference_sides(sparse))
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({chat.ORACLE})").fetchall())
+    assert df.select("pair_id").distinct().count() == sparse.where("role = 'assistant'").select("conv_id").distinct().count()
 
 
 def test_empty_tables(spark):
