@@ -8,7 +8,8 @@ paths toward their host's posterior. The final quality of a document replaces th
 its path's posterior; sparse sites hardly move it.
 
 Only counts and sums per site are shuffled. The table of sites is broadcast if its counted rows are few, else joined
-by shuffle with adaptive splitting of skewed sites; texts go through Python where they lie.
+by shuffle with adaptive splitting of skewed sites. Texts go through Python once, where they lie; the rows are written with
+their evidence, which sites are summed from and their posteriors joined to.
 
 Defined results. Null or empty text: features of ''. Null host or path: ''. Labels: of several for one doc_id the
 smallest counts; null labels are ignored; without labels of both classes the evidence is 0.5 throughout. Repeated rows
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_column, broadcast_if_small, crc_fold, materialize
+from .common import add_column, broadcast_if_small, crc_fold, free_prefix, materialize, text_batches
 
 CLASSES = (b"!", b"%$&*#@^~+=<>{}[]\\/_", b"|", b".,;:?'\"-()", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" ", b"\n")
 EDGE = 1e-3
@@ -83,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
     return fit(np.array(got["x"].tolist(), dtype=float), got["y"].to_numpy(float), params.ridge)
 
 
-def evidence(docs: DataFrame, model: np.ndarray | None, name: str = "__qua_evidence") -> DataFrame:
+def evidence(docs: DataFrame, model: np.ndarray | None, name: str = "__qua_evidence", keep_text: bool = True) -> DataFrame:
     coef = None if model is None else [float(v) for v in model]
 
     def scorer():
@@ -98,7 +99,7 @@ def evidence(docs: DataFrame, model: np.ndarray | None, name: str = "__qua_evide
 
         return give
 
-    return add_column(docs, name, "double", scorer)
+    return add_column(docs, name, "double", scorer, keep=keep_text)
 
 
 def _strength(groups: DataFrame, prior: Column) -> float:
@@ -127,27 +128,33 @@ def site_posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
     return both.select("host", "path", "host_posterior", ((F.col("s") + F.lit(k) * F.col("host_posterior")) / (F.col("n") + F.lit(k))).alias("path_posterior")), mean
 
 
-def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, params: QualityParams = QualityParams()) -> DataFrame:
-    """docs with __qua_host, __qua_path, __qua_evidence, __qua_host_posterior, __qua_path_posterior, __qua_quality."""
+def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, params: QualityParams = QualityParams(), prefix: str = "__qua_", keep_text: bool = True) -> DataFrame:
+    """docs, without ``text`` unless keep_text, with host, path, evidence, host_posterior, path_posterior and quality, each behind the prefix,
+    which no column of docs may have. Texts go through Python once: what is returned is written with its evidence."""
+    if free_prefix(docs, prefix) != prefix:
+        raise ValueError(f"docs have a column that begins with {prefix}")
     model = train(docs, labels, params)
-    site = {"__qua_host": F.coalesce(host.cast("string"), F.lit("")), "__qua_path": F.coalesce(path.cast("string"), F.lit(""))}
-    slim = evidence(docs.withColumns(site).select("__qua_host", "__qua_path", "text"), model)
-    sites, mean = site_posteriors(slim.select(F.col("__qua_host").alias("host"), F.col("__qua_path").alias("path"), F.col("__qua_evidence").alias("p")))
-    sites = materialize(sites.select(*[F.col(c).alias(f"__qua_{c}") for c in ("host", "path", "host_posterior", "path_posterior")]), "quality-sites")
-    rows = evidence(docs.withColumns(site), model).join(broadcast_if_small(sites, sites.count()), ["__qua_host", "__qua_path"])
+    h, p, e = (prefix + n for n in ("host", "path", "evidence"))
+    sited = docs.withColumns({h: F.coalesce(host.cast("string"), F.lit("")), p: F.coalesce(path.cast("string"), F.lit(""))})
+    with text_batches(docs.sparkSession):
+        rows = materialize(evidence(sited, model, e, keep_text), "quality-evidence")
+    sites, mean = site_posteriors(rows.select(F.col(h).alias("host"), F.col(p).alias("path"), F.col(e).alias("p")))
+    sites = materialize(sites.select(*[F.col(c).alias(prefix + c) for c in ("host", "path", "host_posterior", "path_posterior")]), "quality-sites")
+    rows = rows.join(broadcast_if_small(sites, sites.count()), [h, p])
     logit = lambda c: F.log(c / (1 - c))
     safe = lambda c: F.least(F.greatest(c, F.lit(EDGE)), F.lit(1 - EDGE))
-    odds = logit(F.col("__qua_evidence")) + logit(safe(F.col("__qua_path_posterior"))) - logit(safe(F.lit(mean)))
-    return rows.withColumn("__qua_quality", 1 / (1 + F.exp(-odds)))
+    odds = logit(F.col(e)) + logit(safe(F.col(prefix + "path_posterior"))) - logit(safe(F.lit(mean)))
+    return rows.withColumn(prefix + "quality", 1 / (1 + F.exp(-odds)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, params: QualityParams = QualityParams()) -> DataFrame:
     """The documents accepted, with their own columns only."""
-    return score(docs, labels, host, path, params).where(F.col("__qua_quality") >= params.min_quality).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = free_prefix(docs, "__qua_")
+    return score(docs, labels, host, path, params, prefix).where(F.col(prefix + "quality") >= params.min_quality).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_site_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = score(docs.select("doc_id", "text", "source", "lang"), labels.select("doc_id", "quality"), F.col("source"), F.col("lang"))
+    scored = score(docs.select("doc_id", "text", "source", "lang"), labels.select("doc_id", "quality"), F.col("source"), F.col("lang"), keep_text=False)
     names = {"__qua_host": "host", "__qua_path": "path", "__qua_evidence": "evidence", "__qua_host_posterior": "host_posterior", "__qua_path_posterior": "path_posterior", "__qua_quality": "quality"}
     return scored.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()], (F.col("__qua_quality") >= QualityParams.min_quality).alias("accepted"))
