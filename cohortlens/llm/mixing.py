@@ -8,16 +8,17 @@ lacks is passed to the parent's own siblings. Water-filling is closed form (one
 supply / weight), in exact integer arithmetic.
 
 ``select_mixture`` turns each leaf's budget into whole epochs and a token prefix of one more. That epoch is a seeded
-permutation, ordered by md5(seed : epoch : doc_id). Only sums per (leaf, first three hex digits of the key) and the one
-bucket that holds the prefix's end are ever ordered, so a leaf with a third of all rows is no hot partition; every
-document then decides for itself by comparing its key with its leaf's cut. Texts are never shuffled.
+permutation, ordered by md5(seed : epoch : doc_id). The prefix's end is found by digits of that key: sums per (leaf, first two
+hex digits), then of the next two within the pair of digits that holds the end, and so on, so no task orders more than 256
+sums of a leaf, whatever it holds (the last step orders the keys that share six digits); every document then decides for itself by
+comparing its key with its leaf's cut. Texts are counted where they lie and never shuffled.
 
 Defined results. A null domain, language, source or text counts as ''. Null doc_id is the key ''. Documents without
 tokens: 0 epochs' worth, taken only as their key falls before the cut. Rows that share a doc_id in a leaf fall on the
 same side of the cut; at the cut they share the tokens left in proportion, rounded down. Negative or null weights are
 0; a node without a weight gets ``default_weight``; weight 0 excludes a subtree. Ties in supply / weight are ordered by
-name. Shares are rounded down, so up to one token per node may stay unassigned. Empty tables give no rows. Columns of
-the input may have any names: internal ones start with "__mix_".
+name. Shares are rounded down, so up to one token per node may stay unassigned. Empty tables give no rows. Other columns may have any
+names but those that begin with the prefix ("__mix_") of what ``select_mixture`` adds; ``keep_mixture`` takes any.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, free_prefix, materialize
 
 LEVELS = ("domain", "lang", "source")
 
@@ -48,7 +49,7 @@ class MixtureSpec:
 
 def words(text: Column) -> Column:
     """Number of maximal runs of characters other than space, tab, line feed, carriage return."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[ \t\n\r]+"), lambda w: w != "")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \t\n\r]+")).cast("long")
 
 
 def _weight(level: str, spec: MixtureSpec) -> Column:
@@ -94,43 +95,69 @@ def plan_mixture(leaves: DataFrame, spec: MixtureSpec) -> DataFrame:
     return _fill(src, [d, l], s).select(d, l, s, "docs", "tokens", "alloc")
 
 
-def _leafed(docs: DataFrame, domain: Column, spec: MixtureSpec) -> DataFrame:
-    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return docs.withColumns({"__mix_domain": blank(domain), "__mix_lang": blank(F.col("lang")), "__mix_source": blank(F.col("source")), "__mix_tokens": words(F.col("text")), "__mix_id": blank(F.col("doc_id"))})
+def _edge(sums: DataFrame, leaf: list[str], by: str) -> DataFrame:
+    """sums: leaf, by, t (of one value of by, each once) and rest, the tokens wanted of a leaf. The leaf, that value of by where a running
+    sum of t reaches rest, the part of rest left for it, and its t."""
+    upto = W.partitionBy(*leaf).orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = sums.withColumn("upto", F.sum("t").over(upto)).where("upto - t < rest and upto >= rest")
+    return found.select(*leaf, by, (F.col("rest") - F.col("upto") + F.col("t")).cast("long").alias("rest"), F.col("t").cast("long").alias("t"))
 
 
-def select_mixture(docs: DataFrame, domain: Column, spec: MixtureSpec) -> DataFrame:
-    """docs (doc_id, text, lang, source and any others) with __mix_domain, __mix_lang, __mix_source, __mix_tokens,
-    __mix_epochs (whole epochs the document is used in) and __mix_prefix (tokens used of it in one more epoch)."""
+def _cuts(slim: DataFrame, plan: DataFrame, leaf: list[str], few: int, spec: MixtureSpec) -> DataFrame:
+    """leaf, cut, cut_left, cut_tokens: the key at which the prefix of a leaf's last epoch ends, what is left for it, and what it has.
+    slim: leaf, id, tokens; plan: leaf, epochs, rest."""
+    key = F.md5(F.concat_ws(":", F.lit(spec.seed), F.col("epochs").cast("string"), F.col("id")))
+    keyed = slim.join(broadcast_if_small(plan.where("rest > 0").select(*leaf, "epochs", "rest"), few), leaf).withColumn("key", key)
+    digit = lambda k: F.substring("key", 2 * k - 1, 2).alias(f"d{k}")
+    total = [F.sum("t").alias("t"), F.first("rest").alias("rest")]
+    two = materialize(keyed.select(*leaf, "rest", F.col("tokens").alias("t"), digit(1), digit(2)).groupBy(*leaf, "d1", "d2").agg(*total), "mix-sums")
+    edge = materialize(_edge(two.groupBy(*leaf, "d1").agg(*total), leaf, "d1").drop("t"), "mix-edge")
+    narrow = lambda df, edge, keys: df.drop("rest").join(broadcast_if_small(edge, few), [*leaf, *keys])
+    edge2 = _edge(narrow(two, edge, ["d1"]).select(*leaf, "d2", "t", "rest"), leaf, "d2").drop("t")
+    edge = materialize(edge2.join(edge.select(*leaf, "d1"), leaf), "mix-edge")
+    rows = narrow(keyed.select(*leaf, "rest", "key", F.col("tokens").alias("t"), digit(1), digit(2)), edge, ["d1", "d2"])
+    rows = materialize(rows.select(*leaf, "key", digit(3), "t", "rest").groupBy(*leaf, "d3", "key").agg(*total), "mix-last")
+    edge = _edge(rows.groupBy(*leaf, "d3").agg(*total), leaf, "d3").drop("t")
+    last = _edge(narrow(rows, edge, ["d3"]).select(*leaf, "key", "t", "rest"), leaf, "key")
+    return last.select(*leaf, F.col("key").alias("cut"), F.col("rest").alias("cut_left"), F.col("t").alias("cut_tokens"))
+
+
+def select_mixture(docs: DataFrame, domain: Column, spec: MixtureSpec, prefix: str = "__mix_", keep_text: bool = True) -> DataFrame:
+    """docs (doc_id, text, lang, source and any others; without text unless keep_text, which counts each text once only) with domain,
+    lang, source, tokens, epochs (whole epochs the document is used in) and prefix (tokens used of it in one more epoch), each behind the
+    prefix, which no column of docs may have."""
+    if free_prefix(docs, prefix) != prefix:
+        raise ValueError(f"docs have a column that begins with {prefix}")
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    made = {"domain": blank(domain), "lang": blank(F.col("lang")), "source": blank(F.col("source")), "tokens": words(F.col("text")), "id": blank(F.col("doc_id"))}
+    rows = docs.withColumns({prefix + k: v for k, v in made.items()})
+    if not keep_text:
+        rows = materialize(rows.drop("text"), "mix-tokens")
     leaf = [f"__mix_{x}" for x in LEVELS]
-    rows = _leafed(docs, domain, spec)
-    slim = materialize(rows.select(*leaf, "__mix_id", "__mix_tokens"), "mix-tokens")
-    leaves = slim.groupBy(*leaf).agg(F.count("*").alias("docs"), F.sum("__mix_tokens").alias("tokens"))
+    slim = rows.select(*[F.col(prefix + x).alias(f"__mix_{x}") for x in LEVELS], F.col(prefix + "id").alias("id"), F.col(prefix + "tokens").alias("tokens"))
+    slim = materialize(slim, "mix-tokens") if keep_text else slim
+    leaves = slim.groupBy(*leaf).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
     epochs = F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(F.lit(0)).cast("long")
     plan = plan_mixture(leaves, spec).withColumn("epochs", epochs)
     plan = materialize(plan.withColumn("rest", F.col("alloc") - F.col("epochs") * F.col("tokens")), "mix-plan")
     few = plan.count()
+    full = plan.select(*leaf, "epochs").join(_cuts(slim, plan, leaf, few, spec), leaf, "left")
+    at = {f"__mix_{x}": x for x in LEVELS} | {c: c for c in ("epochs", "cut", "cut_left", "cut_tokens")}
+    full = materialize(full.select(*[F.col(c).alias(prefix + n) for c, n in at.items()]), "mix-cut")
 
-    key = F.md5(F.concat_ws(":", F.lit(spec.seed), F.col("epochs").cast("string"), F.col("__mix_id")))
-    keyed = slim.join(broadcast_if_small(plan.where("rest > 0").select(*leaf, "epochs", "rest"), few), leaf).withColumn("key", key)
-    sums = keyed.withColumn("bucket", F.substring("key", 1, 3)).groupBy(*leaf, "bucket").agg(F.sum("__mix_tokens").alias("t"), F.first("rest").alias("rest"))
-    upto = W.partitionBy(*leaf).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = sums.withColumn("upto", F.sum("t").over(upto)).where("upto - t < rest and upto >= rest").select(*leaf, "bucket", (F.col("rest") - F.col("upto") + F.col("t")).alias("left"))
-    last = keyed.withColumn("bucket", F.substring("key", 1, 3)).join(broadcast_if_small(edge, few), [*leaf, "bucket"]).groupBy(*leaf, "key", "left").agg(F.sum("__mix_tokens").alias("t"))
-    upto = W.partitionBy(*leaf).orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cut = last.withColumn("upto", F.sum("t").over(upto)).where("upto - t < left and upto >= left").select(*leaf, F.col("key").alias("cut"), (F.col("left") - F.col("upto") + F.col("t")).alias("cut_left"), F.col("t").alias("cut_tokens"))
-    full = materialize(plan.select(*leaf, "epochs", "rest").join(cut, leaf, "left").select(*leaf, *[F.col(c).alias(f"__mix_{c}") for c in ("epochs", "rest", "cut", "cut_left", "cut_tokens")]), "mix-cut")
-
-    out = rows.join(broadcast_if_small(full, few), leaf)
-    own = F.md5(F.concat_ws(":", F.lit(spec.seed), F.col("__mix_epochs").cast("string"), F.col("__mix_id")))
-    share = F.expr("cast(__mix_cut_left * __mix_tokens div greatest(__mix_cut_tokens, 1) as bigint)")
-    prefix = F.when(F.col("__mix_cut").isNull(), F.lit(0)).when(F.col("__mix_key") < F.col("__mix_cut"), F.col("__mix_tokens")).when(F.col("__mix_key") == F.col("__mix_cut"), share).otherwise(F.lit(0)).cast("long")
-    return out.withColumn("__mix_key", own).withColumn("__mix_prefix", prefix).drop("__mix_key", "__mix_id", "__mix_rest", "__mix_cut", "__mix_cut_left", "__mix_cut_tokens")
+    out = rows.join(broadcast_if_small(full, few), [prefix + x for x in LEVELS])
+    col = lambda n: F.col(prefix + n)
+    key = F.md5(F.concat_ws(":", F.lit(spec.seed), col("epochs").cast("string"), col("id")))
+    share = F.expr(f"cast({prefix}cut_left * {prefix}tokens div greatest({prefix}cut_tokens, 1) as bigint)")
+    used = F.when(col("cut").isNull(), F.lit(0)).when(col("key") < col("cut"), col("tokens")).when(col("key") == col("cut"), share).otherwise(F.lit(0)).cast("long")
+    return out.withColumn(prefix + "key", key).withColumn(prefix + "prefix", used).drop(*[prefix + n for n in ("key", "id", "cut", "cut_left", "cut_tokens")])
 
 
 def keep_mixture(docs: DataFrame, domain: Column, spec: MixtureSpec) -> DataFrame:
     """The documents used at all, once each and with their own columns only."""
-    return select_mixture(docs, domain, spec).where("__mix_epochs > 0 or __mix_prefix > 0 or __mix_tokens = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = free_prefix(docs, "__mix_")
+    picked = select_mixture(docs, domain, spec, prefix)
+    return picked.where(f"{prefix}epochs > 0 or {prefix}prefix > 0 or {prefix}tokens = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def domain_of(source: Column) -> Column:
@@ -146,7 +173,7 @@ QUERY_SPEC = MixtureSpec(
 
 def op1_source_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    picked = select_mixture(docs, domain_of(F.col("source")), QUERY_SPEC)
+    picked = select_mixture(docs, domain_of(F.col("source")), QUERY_SPEC, keep_text=False)
     name = {"__mix_domain": "domain", "__mix_tokens": "n_tokens", "__mix_epochs": "epochs", "__mix_prefix": "prefix_tokens"}
     return picked.select("doc_id", *[F.col(k).alias(v) for k, v in name.items()], F.col("__mix_lang").alias("lang"), F.col("__mix_source").alias("source"))
 
