@@ -10,9 +10,10 @@ EPS = 2.220446049250313e-16
 
 
 def group_weights(rows: DataFrame, group: str) -> DataFrame:
-    """rows with w: 1 / size of the row's group, scaled to mean 1."""
-    whole = W.partitionBy(F.lit(1))
-    return rows.withColumn("w", 1 / F.count("*").over(W.partitionBy(group))).withColumn("w", F.col("w") / F.avg("w").over(whole))
+    """rows with w: 1 / size of the row's group, scaled to mean 1 (the sum of 1 / size is the number of groups)."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    scale = F.broadcast(sizes.agg((F.sum("__n") / F.count("*")).alias("__s")))  # one row
+    return rows.join(sizes, F.equal_null(rows[group], sizes[group])).drop(sizes[group]).join(scale).withColumn("w", F.col("__s") / F.col("__n")).drop("__s", "__n")
 
 
 def mean_of(x: Column) -> Column:
@@ -93,6 +94,23 @@ def macro_ranking(rows: DataFrame) -> DataFrame:
     return means.join(F.broadcast(n))
 
 
+def multiclass(rows: DataFrame) -> DataFrame:
+    """rows: y (class), probs, w -> log_loss, accuracy, and balanced_accuracy and mcc, null unless every class is observed."""
+    p = F.greatest(F.least(F.element_at("probs", F.col("y") + 1), F.lit(1 - EPS)), F.lit(EPS))
+    x = rows.select("y", "w", hard_label(F.col("probs")).alias("h"), (-F.log(p)).alias("l"), F.size("probs").alias("k"))
+    cells = x.groupBy("y", "h").agg(F.sum("w").alias("n"))  # classes x classes
+    t = cells.groupBy("y").agg(F.sum("n").alias("t"), F.sum(F.when(F.col("y") == F.col("h"), F.col("n")).otherwise(0.0)).alias("c"))
+    predicted = cells.groupBy(F.col("h").alias("y")).agg(F.sum("n").alias("p"))
+    sums = t.join(predicted, "y", "full").agg(
+        F.avg(F.col("c") / F.col("t")).alias("recall"), F.count("t").alias("seen"), F.sum("t").alias("s"), F.sum("c").alias("c"), F.sum(F.coalesce("p", F.lit(0.0)) * F.coalesce("t", F.lit(0.0))).alias("pt"),
+        F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum(F.col("t") * F.col("t")).alias("tt"))
+    whole = x.agg(mean_of(F.col("l")).alias("log_loss"), mean_of((F.col("h") == F.col("y")).cast("double")).alias("accuracy"), F.max("k").alias("k"))
+    spread = (F.col("s") * F.col("s") - F.col("pp")) * (F.col("s") * F.col("s") - F.col("tt"))
+    mcc = F.when(spread > 0, (F.col("c") * F.col("s") - F.col("pt")) / F.sqrt(F.when(spread > 0, spread))).otherwise(0.0)
+    every = F.col("seen") == F.col("k")
+    return whole.join(F.broadcast(sums)).select("log_loss", "accuracy", F.when(every, F.col("recall")).alias("balanced_accuracy"), F.when(every, mcc).alias("mcc"))
+
+
 def hard_label(probs: Column) -> Column:
     """Index of the first largest probability."""
     return (F.array_position(probs, F.array_max(probs)) - 1).cast("int")

@@ -39,6 +39,8 @@ def design_matrix(meta: pd.DataFrame, condition: str, categorical=(), numeric=()
         names.append("response_per_training_sd")
     else:
         levels = sorted(meta[condition].astype(str).unique())
+        if len(levels) < 2:
+            raise ValueError("the condition has a single level")
         for level in levels[1:]:
             cols.append((meta[condition].astype(str) == level).to_numpy(float))
             names.append(f"{level}_vs_{levels[0]}")

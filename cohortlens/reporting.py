@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics as M
+from .sources.runs import Store
 
 LIMITS = ("Selection frequencies describe this cohort and procedure; they are not effect sizes.", "A passing feature is a candidate predictive association; neither biology nor cause is established.")
 
 
 def figure_tables(spark: SparkSession, run: str | Path) -> dict[str, DataFrame]:
     """Name -> table of every figure that the run's results allow."""
-    read = lambda n: spark.read.parquet(str(Path(run) / f"{n}.parquet"))
+    store = Store(spark, run)
+    read = lambda n: spark.read.parquet(store.path(f"{n}.parquet"))
     evidence, fits, predictions = read("evidence"), read("fits"), read("predictions")
     out = {
         "selection_frequency": evidence.select("evidence_rank", "contrast", "feature_id", "selection_frequency", "outer_selection_frequency").where("evidence_rank <= 25"),
@@ -24,8 +26,17 @@ def figure_tables(spark: SparkSession, run: str | Path) -> dict[str, DataFrame]:
         "tuning_surface": fits.where("stage = 'final'").select(F.explode("tuning").alias("t")).select("t.strength", "t.l1_ratio", "t.mean_loss"),
         "permutations": fits.where("stage = 'outer'").groupBy("perm_id").agg((F.avg("baseline_loss") - F.avg("loss")).alias("improvement")),
     }
-    if (Path(run) / "path.parquet").exists():
+    if store.exists("path.parquet"):
         out["path"] = read("path").select("strength", F.explode("coefs").alias("c")).select("strength", "c.*")
+    members, groups = read("correlation_members"), read("correlation_groups")
+    out |= {"correlations": read("correlations"), "correlation_groups": groups.join(members.groupBy("group_id").agg(F.array_sort(F.collect_list("feature_id")).alias("members")), "group_id")}
+    if "de_log2fc" in evidence.columns:
+        out["expression_tests"] = evidence.where("de_padj is not null").select("evidence_rank", "gene_id", "contrast", "cell_type", "de_log2fc", (-F.log10("de_padj")).alias("minus_log10_padj"))
+    batch = json.loads(store.read("batch_validation.json"))["folds"]
+    if batch:
+        out["batches"] = spark.createDataFrame([(r["batch"], r["status"], r["loss_improvement"]) for r in batch], "batch string, status string, loss_improvement double")
+    if store.exists("panel_evidence.parquet"):
+        out["panel"] = read("panel_evidence").select("contrast", "feature_id", "panel_coefficient", "panel_outer_selection_frequency", "passes_panel_gates")
     if predictions.select("class").distinct().count() == 2:
         rows = predictions.where("class = 1").select(F.col("y").cast("int").alias("y"), "p", F.lit(1.0).alias("w"))
         out |= {"curves": M.curve(rows), "calibration": M.calibration(rows)}
@@ -36,11 +47,11 @@ def figure_tables(spark: SparkSession, run: str | Path) -> dict[str, DataFrame]:
 
 def write_report(spark: SparkSession, run: str | Path, rows: int = 25) -> str:
     """report.html beside the run: metrics, blockers, the first features, limits."""
-    metrics = json.loads((Path(run) / "metrics.json").read_text())
-    top = spark.read.parquet(str(Path(run) / "evidence.parquet")).where(F.col("evidence_rank") <= rows).orderBy("evidence_rank").select("evidence_rank", "feature_id", "contrast", "selection_frequency", "sign_consistency", "coefficient", "evidence_status").collect()
+    store = Store(spark, run)
+    metrics, qc = (json.loads(store.read(f"{n}.json")) for n in ("metrics", "qc_report"))
+    top = spark.read.parquet(store.path("evidence.parquet")).where(F.col("evidence_rank") <= rows).orderBy("evidence_rank").select("evidence_rank", "feature_id", "contrast", "selection_frequency", "sign_consistency", "coefficient", "evidence_status").collect()
     esc = lambda v: html.escape(f"{v:.4g}" if isinstance(v, float) else str(v))
     table = lambda head, body: "<table><tr>" + "".join(f"<th>{esc(h)}</th>" for h in head) + "</tr>" + "".join("<tr>" + "".join(f"<td>{esc(c)}</td>" for c in r) + "</tr>" for r in body) + "</table>"
-    page = "<!doctype html><meta charset='utf-8'><title>Run</title><h1>Run</h1>" + table(("metric", "value"), sorted((k, v) for k, v in metrics.items())) + "<h2>Features</h2>" + table(top[0].__fields__ if top else (), top) + "<h2>Limits</h2><ul>" + "".join(f"<li>{esc(x)}</li>" for x in LIMITS) + "</ul>"
-    target = Path(run) / "report.html"
-    target.write_text(page, encoding="utf-8")
-    return str(target)
+    page = "<!doctype html><meta charset='utf-8'><title>Run</title><h1>Run</h1>" + table(("metric", "value"), sorted((k, v) for k, v in metrics.items())) + "<h2>Study</h2>" + table(("figure", "value"), sorted(qc.items())) + "<h2>Features</h2>" + table(top[0].__fields__ if top else (), top) + "<h2>Limits</h2><ul>" + "".join(f"<li>{esc(x)}</li>" for x in LIMITS) + "</ul>"
+    store.write("report.html", page.encode())
+    return store.path("report.html")

@@ -1,13 +1,17 @@
-"""Run folders: a manifest with the life of a run, result tables as Parquet, frozen states, and hash checks."""
+"""Run folders on any file system that Spark reaches: a manifest with the life of a run, result tables, frozen states, and hash checks."""
 
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import math
 from pathlib import Path
 from typing import Any
 
+import numpy as np
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,61 +24,117 @@ def strict(value: Any) -> Any:
         return {str(k): strict(v) for k, v in value.items()}
     if isinstance(value, (list, tuple, set)):
         return [strict(v) for v in (sorted(value) if isinstance(value, set) else value)]
-    return value.item() if hasattr(value, "item") else value
+    return strict(value.item()) if hasattr(value, "item") else value
 
 
-def write_json(path: Path, value: Any) -> None:
-    path.write_text(json.dumps(strict(value), sort_keys=True, indent=1, allow_nan=False), encoding="utf-8")
+class Store:
+    """A folder reached through Hadoop's file system API, as Spark's own readers and writers reach it."""
 
+    def __init__(self, spark: SparkSession, folder: str | Path):
+        self.spark, hadoop = spark, spark.sparkContext._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(str(folder))
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = hadoop.FileSystem.newInstance(path.getFileSystem(conf).getUri(), conf)  # its own, as the next line changes it
+        self.fs.setWriteChecksum(False)
+        self.make, self.root = hadoop.Path, str(self.fs.makeQualified(path))
 
-def file_hashes(spark: SparkSession, folder: str) -> dict[str, str]:
-    """name -> SHA-256 of every file below a folder."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.sha2("content", 256).alias("h")).collect()
-    root = Path(folder).resolve()
-    return {str(Path(r["path"].removeprefix("file:")).resolve().relative_to(root)): r["h"] for r in rows}
+    def path(self, name: str = "") -> str:
+        return f"{self.root}/{name}" if name else self.root
+
+    def exists(self, name: str = "") -> bool:
+        return bool(self.fs.exists(self.make(self.path(name))))
+
+    def names(self) -> list[str]:
+        """Of what lies directly in the folder."""
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self.make(self.root))) if self.exists() else []
+
+    def create(self) -> None:
+        self.fs.mkdirs(self.make(self.root))
+
+    def write(self, name: str, data: bytes) -> None:
+        out = self.fs.create(self.make(self.path(name)), True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+
+    def read(self, name: str) -> bytes:
+        stream = self.fs.open(self.make(self.path(name)))
+        try:
+            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def hashes(self) -> dict[str, str]:
+        """name -> SHA-256 of every data file below the folder; files are read by executors."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root)
+        return {r["path"].removeprefix(self.root + "/"): r["h"] for r in files.select("path", F.sha2("content", 256).alias("h")).collect()}
+
+
+def as_json(value: Any) -> bytes:
+    return json.dumps(strict(value), sort_keys=True, indent=1, allow_nan=False).encode()
 
 
 class Run:
     """A run folder; as a context it ends as complete, or as failed with the error."""
 
     def __init__(self, spark: SparkSession, folder: str | Path, about: dict[str, Any]):
-        self.spark, self.folder, self.about = spark, Path(folder), dict(about)
-        if self.folder.exists() and any(self.folder.iterdir()):
+        self.spark, self.store, self.about = spark, Store(spark, folder), dict(about)
+        if self.store.names():
             raise ValueError("the output folder is not empty")
-        self.folder.mkdir(parents=True, exist_ok=True)
+        self.store.create()
 
     def _manifest(self, status: str, **more: Any) -> None:
-        write_json(self.folder / "manifest.json", self.about | {"status": status} | more)
+        self.store.write("manifest.json", as_json(self.about | {"status": status} | more))
 
     def __enter__(self) -> Run:
         self._manifest("running")
         return self
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        path = str(self.folder / f"{name}.parquet")
+        path = self.store.path(f"{name}.parquet")
         df.write.mode("errorifexists").parquet(path)
         return self.spark.read.parquet(path)
 
+    def csv(self, name: str, df: DataFrame) -> None:
+        """A folder name.csv with one file, with a header. For evidence tables: a few rows for each feature of the study."""
+        df.coalesce(1).write.mode("errorifexists").option("header", "true").csv(self.store.path(f"{name}.csv"))
+
     def record(self, name: str, value: Any) -> None:
-        write_json(self.folder / f"{name}.json", value)
+        self.store.write(f"{name}.json", as_json(value))
+
+    def tensor(self, name: str, **arrays: Any) -> None:
+        """Labelled arrays as name.npz."""
+        out = io.BytesIO()
+        np.savez_compressed(out, **arrays)
+        self.store.write(f"{name}.npz", out.getvalue())
 
     def __exit__(self, kind, error, _) -> bool:
         if error is not None:
             self._manifest("failed", error=str(error))
             return False
-        own = {p.relative_to(self.folder).as_posix(): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(self.folder.rglob("*")) if p.is_file() and not p.name.startswith(".") and not p.name.endswith(".crc")}
-        self._manifest("complete", outputs={k: v for k, v in own.items() if k != "manifest.json"})
+        self._manifest("complete", outputs={k: v for k, v in self.store.hashes().items() if k != "manifest.json"})
         return False
 
 
-def verify(folder: str | Path, names: list[str] | None = None) -> dict[str, Any]:
-    """The manifest of a complete run whose files (or those whose names start so) still have their hashes."""
-    folder = Path(folder)
-    manifest = json.loads((folder / "manifest.json").read_text(encoding="utf-8"))
+def read_record(spark: SparkSession, folder: str | Path, name: str) -> Any:
+    return json.loads(Store(spark, folder).read(f"{name}.json"))
+
+
+def verify(folder: str | Path, names: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, Any]:
+    """The manifest of a complete run whose files (or the records of these names) still have their hashes."""
+    store = Store(spark or SparkSession.active(), folder)
+    manifest = json.loads(store.read("manifest.json"))
     if manifest.get("status") != "complete":
         raise ValueError("the run is not complete")
-    for name, digest in manifest["outputs"].items():
-        if names is None or any(name.startswith(n) for n in names):
-            if not (folder / name).exists() or hashlib.sha256((folder / name).read_bytes()).hexdigest() != digest:
-                raise ValueError(f"{name} has changed since the run")
+    want = {k: v for k, v in manifest["outputs"].items() if names is None or k.rsplit(".", 1)[0] in names}
+    if names is not None and (lacking := set(names) - {k.rsplit(".", 1)[0] for k in want}):
+        raise ValueError(f"the run has no {', '.join(sorted(lacking))}")
+    try:
+        got = store.hashes() if names is None else {k: hashlib.sha256(store.read(k)).hexdigest() for k in want if store.exists(k)}
+    except (Py4JJavaError, PySparkException) as e:
+        raise ValueError("a file of the run has changed and cannot be read") from e
+    for name, digest in want.items():
+        if got.get(name) != digest:
+            raise ValueError(f"{name} has changed since the run")
     return manifest

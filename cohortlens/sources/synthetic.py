@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from .runs import Store, as_json
+
+# The scenarios and their sizes are part of the examples' format.
 SCENARIOS = ("signal", "noise", "correlated", "batch_confounded", "batch_specific", "imbalance", "outliers", "multiclass", "continuous")
 
 
@@ -61,12 +63,27 @@ def cells(spark: SparkSession, donors: int = 24, genes: int = 100, cells_each: i
     return spark.createDataFrame(rows, "cell_id string, sample_id string, donor string, phenotype string, state string, batch string"), spark.createDataFrame(entries, "cell_id string, gene_id string, count long")
 
 
-def write_example(spark: SparkSession, folder: str | Path, **options) -> None:
-    """A bulk study as Parquet, its planted features and a configuration."""
-    folder = Path(folder)
-    folder.mkdir(parents=True, exist_ok=True)
-    long, meta, truth = bulk(spark, **options)
-    long.write.mode("errorifexists").parquet(str(folder / "expression.parquet"))
-    meta.write.mode("errorifexists").parquet(str(folder / "metadata.parquet"))
-    (folder / "truth.json").write_text(json.dumps(truth))
-    (folder / "config.json").write_text(json.dumps({"group": "donor", "batch": "batch", "outcome_type": {"multiclass": "multiclass", "continuous": "continuous"}.get(options.get("scenario", ""), "binary")}))
+def write_example(spark: SparkSession, folder: str | Path, modality: str = "bulk", samples: int = 80, features: int = 200, seed: int = 7, scenario: str = "signal") -> None:
+    """A study as files that the command line reads, its planted features and a configuration: bulk as expression.csv and
+    metadata.csv, cells as Parquet tables."""
+    if modality not in ("bulk", "single-cell"):
+        raise ValueError("modality must be bulk or single-cell")
+    store = Store(spark, folder)
+    if store.names():
+        raise ValueError("the output folder is not empty")
+    store.create()
+    if modality == "bulk":
+        long, meta, truth = bulk(spark, samples, features, seed, scenario)
+        wide = long.groupBy("sample_id").pivot("feature_id").agg({"value": "first"}).orderBy("sample_id").toPandas()
+        store.write("expression.csv", wide.to_csv(index=False).encode())
+        store.write("metadata.csv", meta.orderBy("sample_id").toPandas().to_csv(index=False).encode())
+        kind = scenario if scenario in ("multiclass", "continuous") else "binary"
+    else:
+        if scenario != "signal":
+            raise ValueError("cells have the scenario signal only")
+        table, counts = cells(spark, samples, features, seed=seed)
+        table.write.mode("errorifexists").parquet(store.path("cells.parquet"))
+        counts.write.mode("errorifexists").parquet(store.path("counts.parquet"))
+        truth, kind = {f"gene_{j:04d}": sign for j, sign in enumerate((1, 1, -1, -1))}, "binary"
+    store.write("truth.json", as_json(truth))
+    store.write("config.json", as_json({"group": "donor", "batch": "batch", "outcome_type": kind, "seed": seed}))

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from .config import Config, load_config
 from .functions import metrics as M
-from .functions.kernels import elastic_net, dummy, group_weights
+from .functions.kernels import dummy, group_weights
 from .operators import contracts as K
 from .operators import evidence as E
+from .operators import expression_tests as X
 from .plans import fitgrid as G
-from .sources.runs import Run, verify
+from .sources.runs import Run, Store, read_record, strict, verify
 
 
 def check_study(long: DataFrame, metadata: DataFrame, config: Config) -> list[str]:
@@ -69,12 +70,17 @@ def study_warnings(long: DataFrame, metadata: DataFrame, config: Config) -> list
     return out
 
 
-def refuse_unbuilt(config: Config) -> None:
-    """Settings whose stages a run does not have: an error, not a shorter run."""
-    unbuilt = [name for name in ("panel_validation", "supporting_de") if getattr(config, name)]
-    unbuilt += ["de_pair_group without candidate_method deseq2"] if config.de_pair_group and config.candidate_method != "deseq2" else []
-    if unbuilt:
-        raise ValueError("not built into runs: " + ", ".join(unbuilt))
+def batch_record(metadata: DataFrame, config: Config) -> tuple[dict, list[str], list[str]]:
+    """How the batch goes with the outcome: (record, blockers, warnings)."""
+    if not config.batch:
+        return {"status": "not_assessed"}, [], []
+    if config.outcome_type == "continuous":
+        eta = K.eta_squared(metadata.withColumn("__y", F.col(config.outcome).cast("double")), config.batch, "__y").first()["eta_squared"] or 0.0
+        return {"status": "observed", "eta_squared": eta}, ["perfect_batch_confounding"] if eta > 1 - 1e-10 else [], ["batch_association"] if eta > 0.5 else []
+    r = K.cramers_v(metadata, config.batch, config.outcome).first()
+    v, perfect = r["cramers_v"] or 0.0, r["purity"] == 1
+    cells = [x.asDict() for x in K.crosstab(metadata, config.batch, config.outcome).orderBy(config.batch, config.outcome).collect()]  # batches x classes
+    return {"status": "observed", "cramers_v": v, "purity": r["purity"], "table": cells}, ["perfect_batch_confounding"] if perfect else [], ["batch_association"] if not perfect and v > 0.5 else []
 
 
 def correlation_groups(spark: SparkSession, p: G.Packed, coefs: DataFrame, stability: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -93,68 +99,239 @@ def correlation_groups(spark: SparkSession, p: G.Packed, coefs: DataFrame, stabi
     return matrix, members, E.group_frequencies(coefs, members, tol), E.substitution(coefs, members, tol)
 
 
-def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, config: Config, output: str | Path, perturbed: Sequence[DataFrame] = ()) -> dict:
+def expression_support(spark: SparkSession, p: G.Packed, long: DataFrame, metadata: DataFrame, config: Config, state_counts: DataFrame | None, state_cells: DataFrame | None) -> tuple[DataFrame | None, dict[str, str]]:
+    """gene_id, contrast, cell_type, de_log2fc, de_padj of exploratory count tests, one family over the states; and why states have none.
+    Bulk counts are one state."""
+    if state_counts is None:
+        if config.input_scale != "counts":
+            raise ValueError("supporting expression tests of distribution features need the counts by state")
+        name = config.cell_type_value or "bulk"
+        state_counts = long.withColumn("state", F.lit(name))
+        state_cells = metadata.select("sample_id", F.lit(name).alias("state"), F.lit(config.min_cells).alias("n_cells"))
+    continuous = config.outcome_type == "continuous"
+    codes = spark.createDataFrame([(c, f"{k:06d}") for k, c in enumerate(p.classes)], "__label string, __condition string")
+    meta = metadata.withColumn("__condition", F.col(config.outcome).cast("double")) if continuous else metadata.withColumn("__label", F.col(config.outcome).cast("string")).join(F.broadcast(codes), "__label")
+    texts = [c for c, text in zip(config.covariates, p.categorical) if text]
+    nuisance = [c for c in (config.batch, config.group if config.de_pair_group else None) if c] + texts
+    meta = meta.select("sample_id", "__condition", *nuisance, *[F.col(c).cast("double").alias(c) for c in config.covariates if c not in texts])
+    tests, failed = X.supporting_tests(state_counts.select("state", "sample_id", "feature_id", "value"), meta, "__condition", state_cells, config.min_cells, categorical=nuisance, numeric=[c for c in config.covariates if c not in texts], continuous=continuous, min_count=config.min_count, min_prevalence=config.min_prevalence)
+    if tests is None:
+        return None, failed
+    contrast = F.lit(0) if continuous else F.substring("contrast", 1, 6).cast("int") - 1
+    return tests.select(F.col("feature_id").alias("gene_id"), contrast.alias("contrast"), F.col("state").alias("cell_type"), F.col("log2_fold_change").alias("de_log2fc"), F.col("padj").alias("de_padj"), "p", "base_mean", "standard_error"), failed
+
+
+def outcome_metrics(scored: DataFrame, config: Config) -> dict:
+    """Weighted metrics of scored rows: sample_id, y (code or response), class, p, and the row's group."""
+    if config.outcome_type == "continuous":
+        rows = M.group_weights(scored, "group")
+        return rows.agg(M.mean_of((F.col("y") - F.col("p")) ** 2).alias("mse")).first().asDict() | M.regression(rows).first().asDict()
+    if config.outcome_type == "binary":
+        rows = M.group_weights(scored.where("class = 1"), "group").withColumn("y", F.col("y").cast("int"))
+        figures = M.ranking(rows).first().asDict() | M.brier(rows).first().asDict() | M.confusion(rows, config.decision_threshold).first().asDict() | M.log_loss(rows).first().asDict()
+        return figures | {"calibration": [r.asDict() for r in M.calibration(rows).orderBy("bin").collect()]}
+    keys = [c for c in ("repeat", "fold") if c in scored.columns]
+    probs = F.transform(F.array_sort(F.collect_list(F.struct("class", "p"))), lambda x: x["p"])
+    wide = scored.groupBy("sample_id", "group", *keys).agg(F.first("y").cast("int").alias("y"), probs.alias("probs"))
+    rows = M.group_weights(wide, "group")
+    return M.macro_ranking(rows).first().asDict() | M.multiclass(rows).first().asDict()
+
+
+def fits_of(spark: SparkSession, run: Run, p: G.Packed, config: Config, batches: bool) -> DataFrame:
+    """All fits of a run, written in two steps: those that need nothing else, then the panels chosen inside training rows."""
+    outer, batch = G.outer_units(p, config, config.permutations), G.batch_units(p, config) if batches else []
+    units = [*outer, *batch, *G.stability_units(p, config), G.final_unit(p)]
+    searched = [*outer, *batch] if config.panel_validation else []
+    units += G.panel_search_units(p, searched, config)
+    fits = run.table("fits", G.run_units(spark, p, units, config))
+    if not searched:
+        return fits
+    final = fits.where("stage = 'stability'").withColumns({"stage": F.lit("final_search"), "resample": F.col("fold"), "fold": F.lit(0)})
+    more = G.panel_units(fits.where("stage like '%_search'").unionByName(final), [*searched, G.final_unit(p)], config)
+    return fits.unionByName(run.table("panel_fits", G.run_units(spark, p, more, config)))
+
+
+def permutation_test(losses: dict, stage: str, permutations: int) -> float | None:
+    """Share of permutations as good as the observed labels; one that failed counts as at least as good."""
+    if not permutations or (stage, 0) not in losses:
+        return None
+    seen = losses[stage, 0]["improvement"]
+    null = [losses[stage, k]["improvement"] if (stage, k) in losses and not losses[stage, k]["failed"] else None for k in range(1, permutations + 1)]
+    return (1 + sum(x is None or x >= (-math.inf if seen is None else seen) - 1e-12 for x in null)) / (1 + permutations)
+
+
+def batch_validation(fits: DataFrame, p: G.Packed) -> dict:
+    """Status of every held-out batch; complete only if each could be tested."""
+    names = np.unique(p.batches)
+    panel = {r["fold"]: r["g"] for r in fits.where("stage = 'batch_panel'").select("fold", (F.col("baseline_loss") - F.col("loss")).alias("g")).collect()}
+    rows = []
+    for r in fits.where("stage = 'batch'").select("fold", "loss", "baseline_loss", "error").orderBy("fold").collect():
+        tested = r["error"] is None
+        rows.append({"batch": str(names[r["fold"]]), "status": "tested" if tested else "unidentifiable", "reason": r["error"], "loss": r["loss"], "baseline_loss": r["baseline_loss"], "loss_improvement": r["baseline_loss"] - r["loss"] if tested else None, "panel_loss_improvement": panel.get(r["fold"])})
+    return {"status": "tested" if rows and all(r["status"] == "tested" for r in rows) else "incomplete" if rows else "not_assessed", "folds": rows}
+
+
+def _stability_columns(coefs: DataFrame, config: Config, name: str) -> DataFrame:
+    f = E.frequency_and_sign(coefs, config.coefficient_tolerance)
+    return f.select("contrast", "feature_id", F.col("frequency").alias(f"{name}_selection_frequency"), F.col("consistency").alias(f"{name}_sign_consistency"), F.col("dominant_sign").alias(f"{name}_dominant_sign"))
+
+
+def write_tensors(run: Run, fits: DataFrame, p: G.Packed, config: Config) -> None:
+    """coefficients.npz: fits x contrasts x features of each stage, with labels, if the arrays keep within max_dense_mb."""
+    contrasts = max(1, len(p.classes) - 1)
+    stages = {name: fits.where(f"stage = '{name}' and perm_id = 0 and error is null") for name in ("stability", "outer", "outer_panel", "batch")}
+    sizes = {name: f.count() for name, f in stages.items()}
+    if sum(sizes.values()) * contrasts * len(p.features) * 8 / 2**20 > config.max_dense_mb:
+        raise ValueError("the coefficients exceed max_dense_mb")
+    arrays = {"features": np.array(p.features, dtype=str), "classes": np.array(p.classes, dtype=str)}
+    for name, f in stages.items():
+        arrays[name] = np.zeros((sizes[name], contrasts, len(p.features)))
+        rows = f.orderBy("repeat", "fold").select("repeat", "fold", "coefs").collect()
+        arrays[f"{name}_fits"] = np.array([(r["repeat"], r["fold"]) for r in rows], dtype=int).reshape(-1, 2)
+        for i, r in enumerate(rows):
+            for c in r["coefs"]:
+                arrays[name][i, c["contrast"], c["feature"]] = c["coef"]
+    run.tensor("coefficients", **arrays)
+
+
+def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, config: Config, output: str | Path, perturbed: Sequence[DataFrame] = (), identity: DataFrame | None = None, symbols: DataFrame | None = None, state_counts: DataFrame | None = None, state_cells: DataFrame | None = None, contract: dict | None = None) -> dict:
     """long: sample_id, feature_id, value; metadata: sample_id and the configured columns; perturbed: the same features from
-    subsamples of the cells. Writes the run; returns its summary."""
-    refuse_unbuilt(config)
-    with Run(spark, output, {"configuration": asdict(config), "version": "0.1.0"}) as run:
+    subsamples of the cells; identity: feature_id, kind, cell_type, source, unit of features that are not genes; symbols: gene_id,
+    gene_symbol; state_counts (state, sample_id, feature_id, value) and state_cells (state, sample_id, n_cells): counts behind distribution
+    features; contract: what external cells must share. Writes the run; returns its summary."""
+    if config.de_pair_group and not (config.candidate_method == "deseq2" or config.supporting_de):
+        raise ValueError("de_pair_group has no count tests to apply to")
+    with Run(spark, output, {"configuration": asdict(config), "version": "0.2.0", "cell_feature_contract": contract}) as run:
         blockers = check_study(long, metadata, config)
         warnings = study_warnings(long, metadata, config)
+        batch, more, also = batch_record(metadata, config)
+        blockers, warnings = [*blockers, *more], [*warnings, *also]
         p = G.pack(long, metadata, config)
         p = replace(p, perturbed=tuple(G.pack(v, metadata, config).x for v in perturbed))
+        run.record("qc_report", {"samples": len(p.samples), "features": len(p.features), "groups": len(set(p.groups)), "classes": list(p.classes), "gate_blockers": blockers, "warnings": warnings, "batch": batch})
         run.record("feature_universe", {"features": list(p.features), "samples": list(p.samples), "classes": list(p.classes)})
+        run.table("profile_hashes", profile_hashes(long))
         batches = config.assess_batches and config.batch is not None and len(np.unique(p.batches)) > 1
-        units = [*G.outer_units(p, config, config.permutations), *G.stability_units(p, config), G.final_unit(p), *(G.batch_units(p, config) if batches else [])]
-        fits = run.table("fits", G.run_units(spark, p, units, config))
-        loss = {(r["stage"], r["perm_id"]): r for r in G.losses(fits).collect()}  # one row a permutation
-        null = [r["improvement"] for (s, k), r in loss.items() if s == "outer" and k > 0 and r["improvement"] is not None]
-        seen = loss["outer", 0]
-        # a failed permutation counts as at least as good as the observed labels
-        pvalue = (1 + sum(x >= (seen["improvement"] or -math.inf) - 1e-12 for x in null) + config.permutations - len(null)) / (1 + config.permutations) if config.permutations else None
+        fits = fits_of(spark, run, p, config, batches)
+        broken = fits.where("error is not null and perm_id = 0 and stage not like 'batch%' and stage not like '%_search'").select("stage", "error").first()
+        if broken:
+            raise ValueError(f"a fit of the observed labels failed ({broken['stage']}): {broken['error']}")
+        loss = {(r["stage"], r["perm_id"]): r for r in G.losses(fits).collect()}  # one row a stage and permutation
+        seen, pvalue = loss["outer", 0], permutation_test(loss, "outer", config.permutations)
+        panel = {"improvement": loss["outer_panel", 0]["improvement"] if ("outer_panel", 0) in loss else None, "pvalue": permutation_test(loss, "outer_panel", config.permutations)} if config.panel_validation else None
+        validation = batch_validation(fits, p)
+        run.record("batch_validation", validation)
         predictions = run.table("predictions", G.predictions(fits, p))
-        stability = run.table("stability", E.stability_summary(G.coefficients(fits, p, "stability"), config.coefficient_tolerance))
-        outer = E.frequency_and_sign(G.coefficients(fits, p, "outer"), config.coefficient_tolerance).select("contrast", "feature_id", F.col("frequency").alias("outer_selection_frequency"), F.col("consistency").alias("outer_sign_consistency"), F.col("dominant_sign").alias("outer_dominant_sign"))
-        final = G.coefficients(fits, p, "final").select("contrast", "feature_id", F.col("coef").alias("coefficient"))
-        table = stability.join(outer, ["contrast", "feature_id"]).join(final, ["contrast", "feature_id"])
-        gains = []
-        if batches:
-            b = E.frequency_and_sign(G.coefficients(fits, p, "batch"), config.coefficient_tolerance)
-            table = table.join(b.select("contrast", "feature_id", F.col("frequency").alias("batch_selection_frequency"), F.col("consistency").alias("batch_sign_consistency"), F.col("dominant_sign").alias("batch_dominant_sign")), ["contrast", "feature_id"])
-            gains = [r["g"] if r["g"] is not None else math.nan for r in fits.where("stage = 'batch'").select((F.col("baseline_loss") - F.col("loss")).alias("g")).collect()]
-        tested = bool(gains) and not any(map(math.isnan, gains))
-        blockers = E.global_blockers(config.permutations, config.permutation_alpha, pvalue, seen["improvement"], bool(config.batch), tested, gains, blockers)
+        coefs = lambda stage: G.coefficients(fits, p, stage)
+        tol, tested = config.coefficient_tolerance, validation["status"] == "tested"
+        stability = run.table("stability", E.stability_summary(coefs("stability"), tol))
+        final = coefs("final").select("contrast", "feature_id", F.col("coef").alias("coefficient"), E.direction(F.col("coef"), tol).alias("coefficient_direction"))
+        table = stability.join(_stability_columns(coefs("outer"), config, "outer"), ["contrast", "feature_id"]).join(final, ["contrast", "feature_id"])
+        if tested:
+            table = table.join(_stability_columns(coefs("batch"), config, "batch"), ["contrast", "feature_id"])
+        unconverged = fits.agg(F.sum("unconverged")).first()[0] or 0
+        blockers = E.global_blockers(config.permutations, config.permutation_alpha, pvalue, seen["improvement"], bool(config.batch), tested, [r["loss_improvement"] for r in validation["folds"]], blockers, panel=panel, batch_panel=[r["panel_loss_improvement"] for r in validation["folds"]], unconverged=unconverged)
         norms = config.stability_normalizations or (config.normalization,)
-        by_norm = E.frequency_by(G.coefficients(fits, p, "stability"), "normalization", norms, config.coefficient_tolerance)
-        table = table.join(by_norm, ["contrast", "feature_id"])
-        gated = E.feature_gates(table, blockers, config.selection_threshold, config.sign_threshold, config.outer_selection_threshold, config.coefficient_tolerance, [f"frequency_{n}" for n in norms], tested)
+        table = table.join(E.frequency_by(coefs("stability"), "normalization", norms, tol), ["contrast", "feature_id"])
+        needed = [f"frequency_{n}" for n in norms]
+        if config.cell_resamples:
+            views = range(config.cell_resamples + 1)
+            table = table.join(E.frequency_by(coefs("stability"), "perturbation", views, tol, "frequency_cells_"), ["contrast", "feature_id"])
+            needed += [f"frequency_cells_{v}" for v in views]
+        parts = correlation_groups(spark, p, coefs("stability"), stability, config)
+        for name, part in zip(("correlations", "correlation_members", "correlation_groups", "substitutions"), parts):
+            run.csv(name, run.table(name, part))
+        members, groups = parts[1], parts[2].select(F.col("group_id").alias("correlated_feature_group"), "contrast", F.col("selection_frequency").alias("correlated_group_frequency"))
+        table = table.join(F.broadcast(members.withColumnRenamed("group_id", "correlated_feature_group")), "feature_id", "left").join(F.broadcast(groups), ["correlated_feature_group", "contrast"], "left")
+        if config.input_scale == "counts":
+            table = table.join(long.groupBy("feature_id").agg((F.count_if(F.col("value") > 0) / len(p.samples)).alias("expression_prevalence")), "feature_id", "left")
+        table = annotate(table, identity, symbols, config.cell_type_value or "bulk")
+        if config.supporting_de:
+            tests, failed = expression_support(spark, p, long, metadata, config, state_counts, state_cells)
+            run.record("de_design", {"unavailable": failed})
+            if tests is not None:
+                tests = run.table("differential_expression", tests)
+                table = E.join_expression_tests(table, tests.select("gene_id", "contrast", "cell_type", "de_log2fc", "de_padj"))
+        gated = E.feature_gates(table, blockers, config.selection_threshold, config.sign_threshold, config.outer_selection_threshold, tol, needed, tested)
         evidence = run.table("evidence", E.final_order(gated))
+        run.csv("biomarkers", evidence.orderBy("evidence_rank"))
+        run.csv("biomarker_stability", stability.orderBy("contrast", "feature_id"))
+        run.csv("coefficients", evidence.select("evidence_rank", "contrast", "feature_id", "kind", "cell_type", "coefficient", "coefficient_direction").orderBy("evidence_rank"))
+        run.csv("cv_results", fits.where("perm_id = 0 and error is null").select("stage", "repeat", "fold", "resample", F.explode("tuning").alias("t")).select("stage", "repeat", "fold", "resample", "t.*"))
+        run.csv("out_of_fold_predictions", predictions.orderBy("repeat", "sample_id", "class"))
         run.table("panel", E.select_panel(stability, config.selection_threshold, config.sign_threshold, config.panel_max_features))
-        parts = correlation_groups(spark, p, G.coefficients(fits, p, "stability"), stability, config)
-        for name, part in zip(("correlations", "correlation_members", "correlation_groups", "substitutions"), parts):
-            run.table(name, part)
+        write_tensors(run, fits, p, config)
         best = fits.where("stage = 'final'").select("strength", "l1_ratio").first()
-        if best["strength"] is not None:
-            run.table("path", G.run_units(spark, p, G.path_units(p, best["l1_ratio"], sorted(config.strengths)), config))
-            run.record("model", freeze(p, config, best["strength"], best["l1_ratio"]))
-        metrics = {"loss": seen["loss"], "baseline_loss": seen["baseline_loss"], "loss_improvement": seen["improvement"], "pvalue": pvalue, "blockers": blockers, "warnings": warnings, "passing": evidence.where("passes_robustness_gates").count()}
-        if config.outcome_type == "binary":
-            scored = M.group_weights(predictions.where("class = 1").join(metadata.select("sample_id", F.col(config.group or "sample_id").alias("__g")), "sample_id"), "__g").withColumn("y", F.col("y").cast("int"))
-            metrics |= M.ranking(scored).first().asDict() | M.brier(scored).first().asDict() | M.confusion(scored, config.decision_threshold).first().asDict()
+        run.table("path", G.run_units(spark, p, G.path_units(p, best["l1_ratio"], sorted(config.strengths)), config))
+        run.record("model", freeze(p, config, best["strength"], best["l1_ratio"]))
+        group = metadata.select("sample_id", F.col(config.group or "sample_id").cast("string").alias("group"))
+        metrics = {"loss": seen["loss"], "baseline_loss": seen["baseline_loss"], "loss_improvement": seen["improvement"], "pvalue": pvalue, "blockers": blockers, "warnings": warnings, "unconverged": unconverged, "passing": evidence.where("passes_robustness_gates").count()}
+        metrics |= outcome_metrics(predictions.join(group, "sample_id"), config)
+        if panel is not None:
+            metrics["panel"] = panel | panel_results(run, fits, p, config, evidence, coefs) | {f"oof_{k}": v for k, v in outcome_metrics(G.predictions(fits, p, "outer_panel").join(group, "sample_id"), config).items()}
         run.record("metrics", metrics)
     return metrics
 
 
-def freeze(p: G.Packed, config: Config, strength: float, ratio: float) -> dict:
-    """All that scoring new samples needs."""
-    prep, w = G.prepare(p, np.arange(len(p.y)), p.y, config), group_weights(p.groups)
+def annotate(table: DataFrame, identity: DataFrame | None, symbols: DataFrame | None, cell_type: str) -> DataFrame:
+    """table with kind, cell_type, unit, gene_id (the gene a feature is of, or its own name) and gene_symbol ('' if unknown)."""
+    if identity is None:
+        table = table.withColumns({"kind": F.lit("gene_expression"), "cell_type": F.lit(cell_type), "unit": F.lit("count"), "gene_id": F.col("feature_id")})
+    else:
+        table = E.join_identity(table, identity).join(F.broadcast(identity.select("feature_id", F.col("source").alias("gene_id"))), "feature_id", "left")
+    if symbols is None:
+        return table.withColumn("gene_symbol", F.lit(""))
+    return table.join(F.broadcast(symbols.select("gene_id", "gene_symbol")), "gene_id", "left").withColumn("gene_symbol", F.coalesce("gene_symbol", F.lit("")))
+
+
+def panel_results(run: Run, fits: DataFrame, p: G.Packed, config: Config, evidence: DataFrame, coefs) -> dict:
+    """Writes the panel's evidence, gates and frozen state; returns its features and parameters."""
+    r = fits.where("stage = 'final_panel'").select("retained", "strength", "l1_ratio").first()
+    if r is None:
+        raise ValueError("no panel could be chosen from the resamples")
+    features = [p.features[j] for j in r["retained"]]
+    own = coefs("final_panel").where(F.col("feature_id").isin(features)).select("contrast", "feature_id", F.col("coef").alias("panel_coefficient"))
+    table = evidence.join(own, ["contrast", "feature_id"]).join(_stability_columns(coefs("outer_panel"), config, "panel_outer"), ["contrast", "feature_id"])
+    gated = run.table("panel_evidence", E.panel_gates(table, config.outer_selection_threshold, config.sign_threshold, config.coefficient_tolerance))
+    run.csv("panel_evidence", gated)
+    run.record("panel_model", freeze(p, config, r["strength"], r["l1_ratio"], r["retained"]))
+    return {"features": features, "strength": r["strength"], "l1_ratio": r["l1_ratio"], "passing": gated.where("passes_panel_gates").count()}
+
+
+def profile_hashes(long: DataFrame) -> DataFrame:
+    """sample_id, digest of each sample's profile."""
+    entry = F.struct("feature_id", F.round("value", 6).alias("v"))
+    return long.groupBy("sample_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(entry))), 256).alias("digest"))
+
+
+def freeze(p: G.Packed, config: Config, strength: float, ratio: float, allowed: Sequence[int] | None = None) -> dict:
+    """All that scoring new samples needs. allowed: the features of a panel."""
+    if allowed is not None:
+        config = replace(config, candidate_method="none")
+    prep, w = G.prepare(p, np.arange(len(p.y)), p.y, config, None if allowed is None else np.asarray(allowed, int)), group_weights(p.groups)
     a = prep.transform(p.x, p.covariates)
-    fit = elastic_net(a, p.y, w, config.outcome_type, strength, ratio, max_iter=config.max_iter) if a.shape[1] else dummy(p.y, w, config.outcome_type, max(2, len(p.classes)))
+    fit = G.net(a, p.y, w, config, strength, ratio) if a.shape[1] else dummy(p.y, w, config.outcome_type, max(2, len(p.classes)))
     return {
         "features": list(p.features), "classes": list(p.classes), "selected": prep.selected.tolist(), "center": prep.center.tolist(), "scale": prep.scale.tolist(), "reference": None if prep.reference is None else prep.reference.tolist(),
-        "fill": None if prep.fill is None else prep.fill.tolist(), "covariate_center": prep.c_center.tolist(), "covariate_scale": prep.c_scale.tolist(), "coef": fit.coef.tolist(), "intercept": fit.intercept.tolist(), "samples": list(p.samples), "groups": sorted(set(p.groups)),
+        "fill": None if prep.fill is None else prep.fill.tolist(), "covariates": [{"name": n, "levels": v} for n, v in zip(config.covariates, prep.encoder.levels)], "covariate_center": prep.encoder.center.tolist(), "covariate_scale": prep.encoder.scale.tolist(),
+        "coef": fit.coef.tolist(), "intercept": fit.intercept.tolist(), "samples": list(p.samples), "groups": sorted(set(p.groups)),
     }
 
 
+def covariate_columns(model: dict, covariates: DataFrame) -> list:
+    """The scaled columns of a frozen encoder, as expressions; raises on levels that training lacks."""
+    raw = []
+    for c in model["covariates"]:
+        if c["levels"] is None:
+            raw.append(F.col(c["name"]).cast("double"))
+            continue
+        text = F.col(c["name"]).cast("string")
+        if not covariates.where(text.isNull() | ~text.isin(*c["levels"])).isEmpty():
+            raise ValueError(f"covariate {c['name']} has a level that training lacks")
+        raw += [(text == level).cast("double") for level in c["levels"][1:]]
+    return [(x - m) / s for x, m, s in zip(raw, model["covariate_center"], model["covariate_scale"])]
+
+
 def score_frozen(spark: SparkSession, model: dict, long: DataFrame, config: Config, covariates: DataFrame | None = None) -> DataFrame:
     """sample_id, class, p (or the response) of new samples, as joins with the frozen state."""
     universe = spark.createDataFrame([(i, f) for i, f in enumerate(model["features"])], "ord int, feature_id string")
@@ -182,9 +359,10 @@ def score_frozen(spark: SparkSession, model: dict, long: DataFrame, config: Conf
         scores = E.linear_scores(z, spark.createDataFrame(coefs, "class int, feature_id string, coef double"), classes)
     else:
         scores = x.select("sample_id").distinct().withColumn("class", F.explode(F.array(*map(F.lit, range(len(model["intercept"])))))).join(classes, "class").select("sample_id", "class", F.col("intercept").alias("score"))
-    if covariates is not None and model["covariate_center"]:
-        m = len(model["selected"])
-        parts = [((F.col(c) - model["covariate_center"][i]) / model["covariate_scale"][i]) for i, c in enumerate([c for c in covariates.columns if c != "sample_id"])]
+    if model.get("covariates"):
+        if covariates is None:
+            raise ValueError("the model needs its covariates")
+        m, parts = len(model["selected"]), covariate_columns(model, covariates)
         add = F.array(*[sum((part * float(model["coef"][k][m + i]) for i, part in enumerate(parts)), F.lit(0.0)) for k in range(len(model["coef"]))])
         scores = scores.join(covariates.select("sample_id", add.alias("__add")), "sample_id").select("sample_id", "class", (F.col("score") + F.element_at("__add", F.col("class") + 1)).alias("score"))
     if config.outcome_type == "continuous":
@@ -195,13 +373,17 @@ def score_frozen(spark: SparkSession, model: dict, long: DataFrame, config: Conf
     return E.softmax(scores)
 
 
-def external_validate(spark: SparkSession, run: str | Path, long: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Predictions of a complete, unchanged run for samples and groups that it has not seen."""
-    import json
-
-    manifest = verify(run, ["model", "feature_universe"])
-    config = load_config(None, {k: v for k, v in manifest["configuration"].items()})
-    model = json.loads((Path(run) / "model.json").read_text())
+def external_validate(spark: SparkSession, run: str | Path, long: DataFrame, metadata: DataFrame, model_kind: str = "full", contract: dict | None = None) -> DataFrame:
+    """Predictions of a complete, unchanged run for samples, groups and profiles that it has not seen. model_kind: full or panel;
+    contract: of the cells that distribution features come from (distribution.contract), which must equal the run's."""
+    if model_kind not in ("full", "panel"):
+        raise ValueError("model_kind must be full or panel")
+    name = "model" if model_kind == "full" else "panel_model"
+    manifest = verify(run, [name, "feature_universe"], spark)
+    config = load_config(None, manifest["configuration"])
+    if manifest.get("cell_feature_contract") != (strict(contract) if contract else None):
+        raise ValueError("the cells' gene universe or normalisation differs from the training run's")
+    model = read_record(spark, run, name)
     seen = spark.createDataFrame([(s,) for s in model["samples"]], "sample_id string")
     if not metadata.select("sample_id").join(seen, "sample_id", "left_semi").isEmpty():
         raise ValueError("a sample of the training study is in the external one")
@@ -209,10 +391,34 @@ def external_validate(spark: SparkSession, run: str | Path, long: DataFrame, met
         groups = spark.createDataFrame([(g,) for g in model["groups"]], f"`{config.group}` string")
         if not metadata.select(F.col(config.group).cast("string").alias(config.group)).join(groups, config.group, "left_semi").isEmpty():
             raise ValueError("a group of the training study is in the external one")
+    known = spark.read.parquet(Store(spark, run).path("profile_hashes.parquet"))
+    if config.input_scale != "features" and not profile_hashes(long).join(known.select("digest"), "digest", "left_semi").isEmpty():
+        raise ValueError("a profile of the training study is in the external one under another name")
     covariates = metadata.select("sample_id", *config.covariates) if config.covariates else None
     return score_frozen(spark, model, long, config, covariates)
 
 
+def evaluate_external(spark: SparkSession, run: str | Path, long: DataFrame, metadata: DataFrame, output: str | Path, model_kind: str = "full", contract: dict | None = None) -> dict:
+    """external_validate with metrics against the outcomes in metadata, written as a run of its own."""
+    scored = external_validate(spark, run, long, metadata, model_kind, contract)
+    config = load_config(None, verify(run, ["model"], spark)["configuration"])
+    classes = read_record(spark, run, "model")["classes"]
+    y, group = F.col(config.outcome), F.col(config.group or "sample_id").cast("string").alias("group")
+    if config.outcome_type == "continuous":
+        truth = metadata.select("sample_id", group, y.cast("double").alias("y"))
+    else:
+        codes = spark.createDataFrame([(c, float(k)) for k, c in enumerate(classes)], "__label string, y double")
+        truth = metadata.select("sample_id", group, y.cast("string").alias("__label")).join(F.broadcast(codes), "__label", "left")
+        if not truth.where("y is null").isEmpty():
+            raise ValueError("the external study has an outcome class that training lacks")
+    with Run(spark, output, {"training_run": str(run), "model_kind": model_kind, "training_transform_refit": False}) as out:
+        table = out.table("external_predictions", scored)
+        out.csv("external_predictions", table)
+        metrics = outcome_metrics(table.join(truth.select("sample_id", "group", "y"), "sample_id"), config)
+        out.record("external_metrics", {"metrics": metrics, "classes": classes, "model_kind": model_kind})
+    return metrics
+
+
 def family(configs_by_type: dict[str, Config]) -> dict[str, Config]:
     """One run for each cell type, its alpha divided by their number."""
     n = len(configs_by_type)

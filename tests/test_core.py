@@ -151,7 +151,7 @@ def test_run_external_and_tampering(spark, tmp_path):
         external_validate(spark, tmp_path / "run", long, meta)
     with pytest.raises(ValueError, match="not empty"):
         run_analysis(spark, long, meta, config, tmp_path / "run")
-    assert "auc" in open(write_report(spark, tmp_path / "run")).read()
+    assert "auc" in open(write_report(spark, tmp_path / "run").removeprefix("file:")).read()
     model = tmp_path / "run/model.json"
     model.write_text(model.read_text().replace("0", "1", 1))
     with pytest.raises(ValueError, match="changed"):

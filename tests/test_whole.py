@@ -86,9 +86,8 @@ def test_runs_check_the_study_and_refuse_what_they_lack(spark, tmp_path):
     big = long.withColumn("value", F.when(F.col("sample_id") == "s005", F.col("value") * 100).otherwise(F.col("value"))).withColumn("sample_id", named("sample_id"))
     called = meta.withColumns({"sample_id": named("sample_id"), "phenotype": F.when(F.col("phenotype") == "0", "case").otherwise("control")})
     assert study_warnings(big, called, config) == ["id_contains_outcome", "library_outlier:s005"]
-    for more in (dict(panel_validation=True), dict(supporting_de=True), dict(de_pair_group=True)):
-        with pytest.raises(ValueError, match="not built"):
-            run_analysis(spark, long, meta, Config(**(SMALL | more)), tmp_path / "refused")
+    with pytest.raises(ValueError, match="no count tests"):
+        run_analysis(spark, long, meta, Config(**(SMALL | {"de_pair_group": True})), tmp_path / "refused")
     assert not (tmp_path / "refused").exists()
 
 
@@ -124,25 +123,6 @@ def test_pseudobulk_sums_cells_that_pass(spark):
         pseudobulk_studies(cells, counts, Config(cell_type_value="C"))
 
 
-def test_every_answered_conversation_gives_a_pair(spark, sf_dir):
-    import duckdb
-
-    from cohortlens.llm import chat
-
-    rows = [(k, t, role, f"{role} {k}.{t}") for k in (-5, 7, 8, 900, 2**61) for t, role in enumerate(("user", "assistant", "user", "assistant"))] + [(9, 0, "user", "alone")]
-    got = {r["pair_id"]: r["rejected"] for r in chat.format_preferences(*chat.all_preference_sides(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
-    follows = {-5: 7, 7: 8, 8: 900, 900: 2**61, 2**61: -5}
-    assert got == {k: f"<|assistant|>\nassistant {n}.1<|end|>\n" for k, n in follows.items()}
-    none = spark.createDataFrame(rows[-1:], "conv_id long, turn long, role string, text string")
-    assert chat.format_preferences(*chat.all_preference_sides(none)).isEmpty()
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet' WHERE conv_id % 3 <> 1")  # gaps
-    sparse = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id % 3 != 1")
-    df = chat.format_preferences(*chat.all_preference_sides(sparse))
-    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({chat.ORACLE_ALL})").fetchall())
-    assert df.select("pair_id").distinct().count() == sparse.where("role = 'assistant'").select("conv_id").distinct().count()
-
-
 def test_queries_over_all_donors_and_genes(spark, sf_dir):
     from cohortlens.sources.study import study
 
