@@ -5,8 +5,8 @@ line (5 fields in version 1, 10 in version 2, parsed from the right because the
 is the declared length of the document that follows. ``to_warc`` synthesises the equivalent WARC record: identifier,
 ISO timestamp, type, payload and block digests, lengths.
 
-An identifier is a UUID (version 8): 60 bits of the payload digest, then the record's key in 62 bits (two's complement),
-so a revisit can name its response, and a reader finds the key, without a table.
+An identifier is a UUID (version 8): 57 bits of the payload digest, then a bit that says whether the record has a key, and the
+key in 64 bits (two's complement), so a revisit can name its response, and a reader finds the key, without a table.
 
 Records are written as ordinary WARC files by Spark's text writer, with the record terminator CRLF CRLF as line
 separator and gzip, so any file system that Spark reaches will do and a lost task is just run again. Files are read as
@@ -14,11 +14,11 @@ binaries and cut by declared lengths, never by searching for separators. Payload
 
 Deduplication: of records with equal payloads of at least ``MIN_DUPLICATE`` bytes the one with the smallest key is the
 response, the others are revisits without payload. Found by one aggregation over digests with partial sums; the join that
-hands the response's key to the others is spread over ``SALTS`` salts.
+hands the response's key to the others is spread over ``SALTS`` salts where the duplicated digests are too many to broadcast.
 
-Defined results. Null html: empty payload. Null or odd url: "about:blank", white space percent-encoded. Rows without
-page_id, which cannot be named in an archive, are left out; page_id lies in [-2**61, 2**61). Rows repeated with one
-page_id are all written, each as response if that page_id is the smallest. Empty tables give no rows.
+Defined results. Null html: empty payload. Null or odd url: "about:blank", white space percent-encoded. A row without
+page_id is a record without key, never the smallest: a revisit of the smallest key with its payload, a response if there is none.
+Rows repeated with one page_id are all written, each as response if that page_id is the smallest. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import BROADCAST_ROWS, broadcast_if_small, materialize, new_path
 
 MIN_DUPLICATE = 100
 SALTS = 32
@@ -44,8 +44,8 @@ VERSION_FIELDS = {
 }
 
 
-def http_message(key: int, payload: bytes) -> bytes:
-    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Archive-Key: {key}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+def http_message(key: int | None, payload: bytes) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Archive-Key: {'-' if key is None else key}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
 def build_arc(records, version: int) -> bytes:
@@ -86,23 +86,25 @@ def parse_arc(data: bytes):
         at = end + 1 + size
 
 
-def record_id(digest: str, key: int) -> str:
-    bits = int(digest[:15], 16)
-    high = (bits >> 12 << 16) | (8 << 12) | (bits & 0xFFF)
-    x = f"{high:016x}{(2 << 62) | (key & (1 << 62) - 1):016x}"
+def record_id(digest: str, key: int | None) -> str:
+    free = int(digest[:15], 16) >> 3 << 65 | (key is not None) << 64 | (key or 0) & (1 << 64) - 1  # 122 bits
+    x = f"{free >> 74:012x}8{free >> 62 & 0xFFF:03x}{2 << 62 | free & (1 << 62) - 1:016x}"
     return f"<urn:uuid:{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}>"
 
 
-def key_of(identifier: str) -> int:
-    low = int(identifier.strip("<>").rsplit(":", 1)[1].replace("-", "")[16:], 16) & (1 << 62) - 1
-    return low - (1 << 62) if low >> 61 else low
+def key_of(identifier: str) -> int | None:
+    x = identifier.strip("<>").rsplit(":", 1)[1].replace("-", "")
+    free = int(x[:12], 16) << 74 | int(x[13:16], 16) << 62 | int(x[16:], 16) & (1 << 62) - 1
+    key = free & (1 << 64) - 1
+    return (key - (1 << 64) if key >> 63 else key) if free >> 64 & 1 else None
 
 
 def to_warc(record, refers_to: int | None = None) -> str:
     """The WARC record, without its terminator, of a parsed ARC record holding an HTTP message."""
     url, ip, date, _, doc = record
     head, _, payload = doc.partition(b"\r\n\r\n")
-    key = int(re.search(rb"(?im)^X-Archive-Key: (-?\d+)", head)[1])
+    key = re.search(rb"(?im)^X-Archive-Key: (-?\d*)", head)[1]
+    key = None if key == b"-" else int(key)
     digest = hashlib.sha256(payload).hexdigest()
     block = doc if refers_to is None else head + b"\r\n\r\n"
     more = f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: {record_id(digest, refers_to)}\r\n" if refers_to is not None else ""
@@ -134,9 +136,14 @@ def parse_warc(data: bytes):
 def mark_revisits(slim: DataFrame) -> DataFrame:
     """slim: page_id, digest, n_bytes. The rows that revisit another: page_id, digest, refers_to (once each)."""
     large = slim.where(F.col("n_bytes") >= MIN_DUPLICATE)
-    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = large.select("page_id", "digest", F.pmod(F.hash("page_id"), F.lit(SALTS)).alias("salt"))
-    return rows.join(first, ["digest", "salt"]).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    other = F.col("page_id").isNull() | (F.col("page_id") > F.col("refers_to"))
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count_if(F.col("page_id").isNull()).alias("nameless"))
+    first = materialize(first.where("last > refers_to or (nameless > 0 and refers_to is not null)").select("digest", "refers_to"), "warc-first")
+    n, keys = first.count(), ["digest"]
+    if n > BROADCAST_ROWS:
+        first, keys = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"]
+        large = large.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS)))
+    return large.join(broadcast_if_small(first, n), keys).where(other).select("page_id", "digest", "refers_to").distinct()
 
 
 def _convert(batches):
@@ -144,11 +151,11 @@ def _convert(batches):
         rows = batch.to_pylist()
         out = []
         for version in (1, 2):
-            own = [r for r in rows if r["page_id"] % 2 == version - 1]
+            own = [r for r in rows if (r["page_id"] or 0) % 2 == version - 1]
             source = []
             for r in own:
                 url = quote(r["url"] or "about:blank", safe=":/?#[]@!$&'()*+,;=%~")
-                seconds = r["page_id"] % 86_400
+                seconds = (r["page_id"] or 0) % 86_400
                 date = f"20000101{seconds // 3600:02d}{seconds // 60 % 60:02d}{seconds % 60:02d}"
                 source.append((url, "192.0.2.1", date, "text/html", http_message(r["page_id"], (r["html"] or "").encode())))
             for r, record in zip(own, parse_arc(build_arc(source, version)), strict=True):
@@ -158,12 +165,14 @@ def _convert(batches):
 
 def pages_to_warc(pages: DataFrame, path: str) -> None:
     """Write each row of pages (page_id, url, html) as an ARC record, convert it, and write the WARC files to path."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).where("page_id is not null")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     slim = rows.select("page_id", "digest", F.octet_length("html").alias("n_bytes"))
     total = slim.agg(F.sum(F.col("n_bytes") + 1024)).first()[0] or 0
     files = max(1, -(-total // FILE_BYTES))
-    both = rows.repartition(files, "page_id", "digest").join(mark_revisits(slim).repartition(files, "page_id", "digest").hint("shuffle_hash"), ["page_id", "digest"], "left")
+    named = lambda df: df.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("-")))
+    marks = named(mark_revisits(slim)).select("key", "digest", "refers_to")
+    both = named(rows).repartition(files, "key", "digest").join(marks.repartition(files, "key", "digest").hint("shuffle_hash"), ["key", "digest"], "left")
     both.select("page_id", "url", "html", "refers_to").mapInArrow(_convert, "value string").write.option("lineSep", TERMINATOR).option("compression", "gzip").text(path)
 
 
@@ -198,7 +207,7 @@ def op6_arc_to_warc(spark, sf_dir):
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM f
 """
