@@ -6,7 +6,8 @@ if its upper bound reaches the k-th highest lower bound, or the k-th exact score
 from the original components in double precision, summed in order of the dimensions, and kept in heaps of k per query
 that are merged over the cells. Pruning never drops a possible member, so the lists are exact, not approximate.
 
-Defined results: see vectors.clean_vectors for what takes part. Zero vectors take no part. Vectors meet only those of
+Defined results: see vectors.clean_vectors for what takes part. Components of any finite size may meet: where a bound overflows,
+the pair is recomputed; a product that overflows itself scores as double arithmetic has it. Zero vectors take no part. Vectors meet only those of
 their own length. A query's own id is never its neighbour. Ties go to the smaller vec_id; with fewer candidates than k
 all are returned. Empty tables give no rows; other columns are ignored.
 """
@@ -24,13 +25,20 @@ TILE_QUERIES, TILE_CANDIDATES = 2048, 8192
 SUB_Q, SUB_C = 256, 4096
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, free of overflow and underflow of the squares."""
+    most = np.abs(x).max(axis=1)
+    unit = x / np.where(most > 0, most, 1)[:, None]
+    return most * np.sqrt((unit * unit).sum(axis=1))
+
+
 def quantise(x: np.ndarray):
     """int8 codes (as float32, for a BLAS product that is exact below 2**24), scales, norms of the coded vector and of
-    the residual."""
+    the residual. Where the scale underflows, the codes are 0 and the residual is the whole vector."""
     scale = np.abs(x).max(axis=1) / 127.0
-    codes = np.rint(x / scale[:, None])
+    codes = np.rint(np.clip(x / np.where(scale > 0, scale, 1)[:, None], -127, 127)) * (scale > 0)[:, None]
     coded = codes * scale[:, None]
-    return codes.astype(np.float32), scale, np.linalg.norm(coded, axis=1), np.linalg.norm(x - coded, axis=1)
+    return codes.astype(np.float32), scale, norms(coded), norms(x - coded)
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -55,7 +63,10 @@ def cell_top(k: int):
                 slack = q_rest[rows, None] * (c_coded + c_rest)[None, cols] + q_coded[rows, None] * c_rest[None, cols]
                 slack *= 1 + 1e-9
                 slack += 1e-12 * (q_coded + q_rest)[rows, None] * (c_coded + c_rest)[None, cols]
+                slack += 1e-300  # products of tiny norms underflow
                 low, high = near - slack, near + slack
+                wild = ~(np.isfinite(near) & np.isfinite(slack))  # overflow proves nothing
+                low[wild], high[wild] = -np.inf, np.inf
                 own = q_ids[rows, None] == c_ids[None, cols]
                 low[own] = high[own] = -np.inf
                 floor = np.full(low.shape[0], -np.inf)

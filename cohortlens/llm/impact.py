@@ -8,7 +8,11 @@ half a level's width, and an unprocessed dimension contributes at most its weigh
 each level a query stops if the k-th highest lower bound proves that only k candidates can be members, or once all
 segments are in; the possible members are rescored exactly from the integers. So the result is exact whenever it stops.
 
-Defined results: see vectors.clean_vectors for what takes part; zero vectors do. Vectors meet only those of their own
+Intervals are in doubles, widened by their rounding where sums may pass 2**52; scores are rescored in 64-bit integers, or in
+Python's where those could overflow.
+
+Defined results: see vectors.clean_vectors for what takes part; zero vectors do. A component beyond a long counts as the nearest
+long (from 2**53 on it is a multiple of its double's spacing), and a score beyond a long is given, and ordered, as the nearest long. Vectors meet only those of their own
 length. A query's own id is never returned. Ties go to the smaller vec_id; with fewer candidates than k all are
 returned. Empty tables give no rows; other columns are ignored.
 """
@@ -46,8 +50,17 @@ def segments(c: np.ndarray, shift: int):
     return sorted(out, key=lambda s: -s[0])
 
 
+def rescore(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of c with q as longs; beyond a long the nearest one."""
+    if np.abs(c.astype(float)).max(initial=0) * np.abs(q.astype(float)).sum() < 2**62:
+        return c @ q
+    wide = c.astype(object) @ q.astype(object)
+    return np.array([min(max(int(v), -(2**63)), 2**63 - 1) for v in wide], np.int64)
+
+
 def cell_top(k: int):
     def cell(q_ids, q, c_ids, c):
+        c, q = np.maximum(c, -(2**63) + 1), np.maximum(q, -(2**63) + 1)  # so that magnitudes are longs
         most = max(1, int(np.abs(c).max()))
         shift = max(0, most.bit_length() - LEVELS.bit_length() + 1)
         index = segments(c, shift)
@@ -68,14 +81,15 @@ def cell_top(k: int):
                     at += 1
                 left = (index[at][0] + 1) * width - 1 if at < len(index) else width - 1
                 gap = seen * ((width - 1) / 2) + (total[None, :] - seen) * left
+                gap += np.where(total * most < 2**52, 0.0, total * most * 1e-12)[None, :]
                 own_row = c_ids[:, None] == q_ids[open_q][None, :]
-                low, high = np.where(own_row, -np.inf, acc - gap), np.where(own_row, -np.inf, acc + gap)
+                low, high = (np.where(own_row, -np.inf, np.clip(x, -(2.0**63), 2.0**63)) for x in (acc - gap, acc + gap))
                 floor = np.partition(low, len(c) - k, axis=0)[len(c) - k] if len(c) > k else np.full(len(open_q), -np.inf)
                 live = (high >= floor[None, :]) & ~own_row
                 stop = (live.sum(axis=0) <= k) | (at >= len(index))
                 for col in np.flatnonzero(stop):
                     rows = np.flatnonzero(live[:, col])
-                    scores = c[rows] @ q[open_q[col]]
+                    scores = rescore(c[rows], q[open_q[col]])
                     top = best(scores, c_ids[rows], k)
                     found_q.append(np.full(len(top), q_ids[open_q[col]]))
                     found_c.append(c_ids[rows[top]])

@@ -50,7 +50,7 @@ def matrix(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, highest first, ties to the smaller id."""
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, ~scores if scores.dtype.kind == "i" else -scores))[:k]  # the least long has no negative
 
 
 def merge_heaps(partial: DataFrame, k: int, score_type: str) -> DataFrame:

@@ -65,3 +65,35 @@ def test_bounds_hold_for_extreme_scales():
     qi, ci, s = ann.cell_top(5)(np.arange(40) + 1000, q, np.arange(500), c)
     want = np.sort(np.array([ann.exact(np.repeat(q[i:i + 1], 500, axis=0), c) for i in range(40)]), axis=1)[:, ::-1][:, :5]
     assert np.array_equal(np.array(s).reshape(40, 5), want)
+
+
+def test_tiny_and_huge_components(spark):
+    """A scale that underflows proves nothing, and neither does a bound that overflows."""
+    ids = [0, 1, 2, 3, 4]
+    vectors = [[5e-324, 0.0], [1e300, 1.0], [2e300, 1.0], [1e-310, 0.0], [-1e300, 0.0]]
+    df = spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<double>")
+    got = rows(ann.nearest(df, F.col("id") == 0, 3))
+    assert got == [(0, 1, 2, 5e-324 * 2e300), (0, 2, 1, 5e-324 * 1e300), (0, 3, 3, 0.0)]
+    assert [r[2] for r in rows(ann.nearest(df, F.col("id") == 2, 4))] == [1, 3, 0, 4]
+
+
+def test_scores_beyond_a_long_are_its_ends(spark):
+    df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 1.0]), (2, [-1e17, 1.0]), (3, [1.0, 1.0]), (4, [1e13, 0.0])], "vec_id long, embedding array<double>")
+    top, least = 2**63 - 1, -(2**63)
+    assert rows(impact.top_scores(df, F.col("id") == 0, 4)) == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 4, top), (0, 4, 2, least)]  # ties go to the smaller id
+    assert rows(impact.top_scores(df, F.col("id") == 0, 1)) == [(0, 1, 1, top)]
+    assert rows(impact.top_scores(df, F.col("id") == 3, 4))[:2] == [(3, 1, 0, top), (3, 2, 1, top)]
+
+
+def test_large_integers_stay_exact(spark):
+    """Sums beyond what doubles hold are rescored in integers."""
+    rng = np.random.default_rng(5)
+    vectors = np.rint(rng.normal(size=(80, 3)) * 2**18) + rng.integers(0, 3, (80, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = [[int(x) * 1024 for x in v] for v in vectors]
+    assert max(abs(x) for v in whole for x in v) ** 2 > 2**55
+    want = []
+    for q in (0, 40):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in range(80) if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert rows(impact.top_scores(df, F.col("id") % 40 == 0, 5)) == want
