@@ -256,15 +256,8 @@ def scl10(spark, d):
     return C.multiset_digest(C.profile_hash(s.counts, s.cells, "brands"))
 
 
-@query("snk4_sample_feature_matrix", PSEUDO_SQL + " SELECT sample_id, " + ", ".join(f"sum(count) FILTER (gene_id = 'Brand#{i}')::BIGINT AS brand_{i}" for i in (1, 2, 3)) + " FROM pseudo WHERE state = 'F' GROUP BY 1")
+@query("snk4_sample_feature_matrix", PSEUDO_SQL + " SELECT state, sample_id, " + ", ".join(f"sum(count) FILTER (gene_id = 'Brand#{i}')::BIGINT AS brand_{i}" for i in range(1, 26)) + " FROM pseudo GROUP BY 1, 2")
 def snk4(spark, d):
-    s = study(spark, d)
-    wide = C.pseudobulk(s.cells, s.counts, 5).where("state = 'F'").groupBy("sample_id").pivot("gene_id", ["Brand#1", "Brand#2", "Brand#3"]).agg(F.sum("count"))
-    return wide.select("sample_id", *[F.col(f"`Brand#{i}`").alias(f"brand_{i}") for i in (1, 2, 3)])
-
-
-@query("snk4_all_genes_matrix", PSEUDO_SQL + " SELECT state, sample_id, " + ", ".join(f"sum(count) FILTER (gene_id = 'Brand#{i}')::BIGINT AS brand_{i}" for i in range(1, 26)) + " FROM pseudo GROUP BY 1, 2")
-def snk4_all(spark, d):
     s = study(spark, d)
     genes = sorted(r[0] for r in s.genes.select("gene_id").distinct().collect())  # genes: a declared dimension
     wide = C.pseudobulk(s.cells, s.counts, 5).groupBy("state", "sample_id").pivot("gene_id", genes).agg(F.sum("count"))

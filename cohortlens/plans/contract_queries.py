@@ -227,19 +227,10 @@ def jn16(spark, d):
     return C.pseudobulk(s.cells, s.counts, 5).where("state = 'F'").join(ok, "sample_id").select("sample_id", "gene_id", "count")
 
 
-@query("src2_bulk_long_form", EXPR_SQL + " SELECT sample_id, feature_id, value FROM expr WHERE feature_id IN ('Brand#1', 'Brand#2', 'Brand#3')")
+@query("src2_bulk_long_form", EXPR_SQL + " SELECT sample_id, feature_id, value FROM expr")
 def src2(spark, d):
     from ..sources.matrices import to_long, to_wide
 
-    s = study(spark, d)
-    wide = to_wide(expression(s), ["Brand#1", "Brand#2", "Brand#3"])
-    return to_long(wide, metadata(s))
-
-
-@query("src2_all_genes_long_form", EXPR_SQL + " SELECT sample_id, feature_id, value FROM expr")
-def src2_all(spark, d):
-    from ..sources.matrices import to_long, to_wide
-
     s = study(spark, d)
     genes = sorted(r[0] for r in s.genes.select("gene_id").distinct().collect())  # genes: a declared dimension
     return to_long(to_wide(expression(s), genes), metadata(s))

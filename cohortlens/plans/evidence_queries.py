@@ -162,30 +162,36 @@ def agg25(spark, d):
     return E.modal_parameters(_losses(spark, d))
 
 
-CORR = pq.EXPR + f""", cx AS (SELECT * FROM cpm WHERE feature_id IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6')), cor AS (SELECT a.feature_id AS a, b.feature_id AS b, {kq.PEARSON.format(x='a.value', y='b.value')} AS r FROM cx a JOIN cx b ON a.sample_id = b.sample_id AND a.feature_id < b.feature_id GROUP BY 1, 2)"""
+CORR = pq.EXPR + f""", cx AS (SELECT * FROM cpm WHERE feature_id IN (SELECT feature_id FROM ({SQL['srt4_correlation_candidates']}))), cor AS (SELECT a.feature_id AS a, b.feature_id AS b, {kq.PEARSON.format(x='a.value', y='b.value')} AS r FROM cx a JOIN cx b ON a.sample_id = b.sample_id AND a.feature_id < b.feature_id GROUP BY 1, 2)"""
 
 
 @query("cor1_correlation_matrix", CORR + " SELECT a, b, round(greatest(least(r, 1), -1), 6) AS r FROM cor")
 def cor1(spark, d):
-    x = P.log_cpm(kq.expression(study(spark, d)))
-    few = spark.createDataFrame([(f"Brand#{i}",) for i in range(1, 7)], "feature_id string")
-    return E.correlation_matrix(x, few).select("a", "b", *r6("r"))
-
+    return E.correlation_matrix(P.log_cpm(kq.expression(study(spark, d))), srt4(spark, d)).select("a", "b", *r6("r"))
 
-CORR_RANKED = CORR.replace("('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6')", f"(SELECT feature_id FROM ({SQL['srt4_correlation_candidates']}))")
 
+# groups of the candidates by complete linkage: at each step the two nearest groups merge, while all their members correlate by LINK
+LINK = 0.2
+LINKAGE = CORR.replace("WITH ", "WITH RECURSIVE ", 1) + f""", far AS (SELECT map(list(k), list(v)) AS m FROM (SELECT a || '|' || b AS k, 1 - abs(greatest(least(r, 1), -1)) AS v FROM cor UNION ALL SELECT b || '|' || a, 1 - abs(greatest(least(r, 1), -1)) FROM cor)),
+seed AS (SELECT (SELECT list([feature_id] ORDER BY feature_id) FROM ({SQL['srt4_correlation_candidates']})) AS g, m FROM far),
+lk AS (SELECT g, m FROM seed UNION ALL SELECT list_concat(list_concat(g[1:near.i - 1], [list_concat(g[near.i], g[near.j])]), list_concat(g[near.i + 1:near.j - 1], g[near.j + 1:])), m FROM (
+  SELECT g, m, list_sort(flatten(list_transform(range(1, len(g)), lambda i: list_transform(range(i + 1, len(g) + 1), lambda j:
+    {{'d': list_max(flatten(list_transform(g[i], lambda a: list_transform(g[j], lambda b: m[a || '|' || b])))), 'i': i, 'j': j}}))))[1] AS near FROM lk WHERE len(g) > 1) WHERE near.d <= 1 - {LINK}),
+members AS (SELECT unnest(own) AS feature_id, 'correlation_' || lpad(k::VARCHAR, 3, '0') AS group_id FROM (SELECT own, row_number() OVER (ORDER BY list_min(own)) AS k FROM (SELECT unnest(g) AS own FROM (SELECT g FROM lk ORDER BY len(g) LIMIT 1))))"""
+MEMBERS_SQL = LINKAGE + COEF.removeprefix(BASE_SQL) + ", x AS (SELECT group_id, contrast, fit_id, feature_id, (abs(coef) > 1e-8)::INT AS s FROM coefs JOIN members USING (feature_id))"
 
-@query("cor1_ranked_candidates", CORR_RANKED + " SELECT a, b, round(greatest(least(r, 1), -1), 6) AS r FROM cor")
-def cor1_ranked(spark, d):
-    return E.correlation_matrix(P.log_cpm(kq.expression(study(spark, d))), srt4(spark, d)).select("a", "b", *r6("r"))
 
+def _members(spark, d):
+    """feature_id, group_id of the candidates, linked over their correlations: as many rows as srt4 has candidates."""
+    names = [r["feature_id"] for r in srt4(spark, d).collect()]
+    matrix = E.correlation_matrix(P.log_cpm(kq.expression(study(spark, d))), srt4(spark, d)).collect()
+    groups = E.complete_linkage(names, {(r["a"], r["b"]): r["r"] for r in matrix}, LINK)
+    return spark.createDataFrame(sorted(groups.items()), "feature_id string, group_id string")
 
-MEMBERS = {f"Brand#{i}": f"correlation_{(i - 1) // 3 + 1:03d}" for i in range(1, 10)}
-MEMBERS_SQL = COEF + ", members AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in MEMBERS.items()) + ") t(feature_id, group_id)), x AS (SELECT group_id, contrast, fit_id, feature_id, (abs(coef) > 1e-8)::INT AS s FROM coefs JOIN members USING (feature_id))"
 
-
-def _members(spark):
-    return spark.createDataFrame(list(MEMBERS.items()), "feature_id string, group_id string")
+@query("cor1_complete_linkage", LINKAGE + " SELECT feature_id, group_id FROM members")
+def cor1_linkage(spark, d):
+    return _members(spark, d)
 
 
 GROUPS = MEMBERS_SQL + ", gf AS (SELECT * FROM (SELECT group_id, contrast, avg(s) AS selection_frequency FROM (SELECT group_id, contrast, fit_id, max(s) AS s FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN (SELECT group_id, contrast, min(s) AS minimum_member_frequency, count(*) AS n_members FROM (SELECT group_id, contrast, feature_id, avg(s) AS s FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (group_id, contrast))"
@@ -193,20 +199,20 @@ GROUPS = MEMBERS_SQL + ", gf AS (SELECT * FROM (SELECT group_id, contrast, avg(s
 
 @query("agg28_group_frequency", GROUPS + " SELECT group_id, contrast, round(selection_frequency, 6) AS selection_frequency, round(minimum_member_frequency, 6) AS minimum_member_frequency, n_members FROM gf")
 def agg28(spark, d):
-    return E.group_frequencies(coefficients(spark, d), _members(spark), TOL).select("group_id", "contrast", *r6("selection_frequency", "minimum_member_frequency"), "n_members")
+    return E.group_frequencies(coefficients(spark, d), _members(spark, d), TOL).select("group_id", "contrast", *r6("selection_frequency", "minimum_member_frequency"), "n_members")
 
 
 @query("agg29_substitution", MEMBERS_SQL + """, p AS (SELECT a.group_id, a.contrast, a.feature_id AS a, b.feature_id AS b, count(*) AS n, sum(a.s * b.s) AS k, sum(a.s) AS na, sum(b.s) AS nb FROM x a JOIN x b ON a.group_id = b.group_id AND a.contrast = b.contrast AND a.fit_id = b.fit_id AND a.feature_id < b.feature_id GROUP BY 1, 2, 3, 4)
 SELECT group_id, contrast, a, b, round((na + nb - k) / n, 6) AS frequency_any, round(k / n, 6) AS frequency_both, round((na + nb - 2 * k) / nullif(na + nb - k, 0), 6) AS exclusive_given_any, CASE WHEN na * (n - na) * nb * (n - nb) > 0 THEN round((n * k - na * nb) / sqrt(na * (n - na) * nb * (n - nb)), 6) END AS selection_phi FROM p""")
 def agg29(spark, d):
-    return E.substitution(coefficients(spark, d), _members(spark), TOL).select("group_id", "contrast", "a", "b", *r6("frequency_any", "frequency_both", "exclusive_given_any", "selection_phi"))
+    return E.substitution(coefficients(spark, d), _members(spark, d), TOL).select("group_id", "contrast", "a", "b", *r6("frequency_any", "frequency_both", "exclusive_given_any", "selection_phi"))
 
 
 @query("jn10_group_membership", GROUPS + " SELECT f.feature_id, f.contrast, coalesce(m.group_id, 'not_assessed') AS group_id, round(g.selection_frequency, 6) AS group_frequency FROM (SELECT DISTINCT feature_id, contrast FROM coefs) f LEFT JOIN members m USING (feature_id) LEFT JOIN gf g ON g.group_id = m.group_id AND g.contrast = f.contrast")
 def jn10(spark, d):
-    c = coefficients(spark, d)
-    freq = E.group_frequencies(c, _members(spark), TOL).select("group_id", "contrast", F.round("selection_frequency", 6).alias("group_frequency"))
-    return c.select("feature_id", "contrast").distinct().join(_members(spark), "feature_id", "left").join(freq, ["group_id", "contrast"], "left").select("feature_id", "contrast", F.coalesce("group_id", F.lit("not_assessed")).alias("group_id"), "group_frequency")
+    c, m = coefficients(spark, d), _members(spark, d)
+    freq = E.group_frequencies(c, m, TOL).select("group_id", "contrast", F.round("selection_frequency", 6).alias("group_frequency"))
+    return c.select("feature_id", "contrast").distinct().join(m, "feature_id", "left").join(freq, ["group_id", "contrast"], "left").select("feature_id", "contrast", F.coalesce("group_id", F.lit("not_assessed")).alias("group_id"), "group_frequency")
 
 
 def _identity(spark, d):
@@ -283,16 +289,8 @@ def scl7_softmax(spark, d):
     return E.softmax(_linear(spark, d)).select("sample_id", "class", *r6("p"))
 
 
-@query("rep1_distribution_evidence", cq.VALUES_SQL + ", m AS (SELECT sample_id, min(outcome) AS outcome, min(batch) AS batch FROM cells GROUP BY 1) SELECT sample_id, state, gene_id AS source, outcome, batch, n_cells, CASE WHEN n_cells >= 20 THEN round(s / n_cells, 6) END AS value FROM grid JOIN m USING (sample_id) WHERE gene_id IN ('Brand#1', 'Brand#2')")
+@query("rep1_distribution_evidence", cq.VALUES_SQL + ", m AS (SELECT sample_id, min(outcome) AS outcome, min(batch) AS batch FROM cells GROUP BY 1) SELECT sample_id, state, gene_id AS source, outcome, batch, n_cells, CASE WHEN n_cells >= 20 THEN round(s / n_cells, 6) END AS value FROM grid JOIN m USING (sample_id) WHERE gene_id IN (SELECT feature_id FROM (" + SQL["srt6_preview_limit"] + "))")
 def rep1(spark, d):
-    s = study(spark, d)
-    top = spark.createDataFrame([("Brand#1",), ("Brand#2",)], "source string")
-    long = C.gene_blocks(cq._grid(spark, d), (), cq.MIN_CELLS).where("kind = 'gene_mean'").join(F.broadcast(top), "source")
-    return long.join(kq.metadata(s).select("sample_id", "outcome", "batch"), "sample_id").join(C.cell_totals(s.cells), ["sample_id", "state"]).select("sample_id", "state", "source", "outcome", "batch", "n_cells", *r6("value"))
-
-
-@query("rep1_ranked_evidence", SQL["rep1_distribution_evidence"].replace("('Brand#1', 'Brand#2')", f"(SELECT feature_id FROM ({SQL['srt6_preview_limit']}))"))
-def rep1_ranked(spark, d):
     s = study(spark, d)
     top = srt6(spark, d).select(F.col("feature_id").alias("source")).distinct()
     long = C.gene_blocks(cq._grid(spark, d), (), cq.MIN_CELLS).where("kind = 'gene_mean'").join(F.broadcast(top), "source")

@@ -188,18 +188,15 @@ def spl4(spark, d):
     return S.leave_one_out(kq.metadata(study(spark, d)), "donor")
 
 
-LBO = kq.BASE_SQL + """, m AS (SELECT DISTINCT sample_id, donor, CASE WHEN state = 'P' THEN 'Z' ELSE batch END AS batch FROM cells WHERE donor < 'J' OR state <> 'P'), b AS (SELECT DISTINCT batch AS held FROM m)
+# cells of state P are another batch, which every donor has: its training side is empty
+LBO = kq.BASE_SQL + """, m AS (SELECT DISTINCT sample_id, donor, CASE WHEN state = 'P' THEN 'Z' ELSE batch END AS batch FROM cells), b AS (SELECT DISTINCT batch AS held FROM m)
 SELECT held AS batch, sample_id, 'test' AS role FROM m JOIN b ON held = batch UNION ALL SELECT held, sample_id, 'train' FROM m CROSS JOIN b WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.donor = m.donor AND x.batch = held)"""
 
 
-def _rebatched(spark, d):
-    c = study(spark, d).cells.where("donor < 'J' or state != 'P'")
-    return c.select("sample_id", "donor", F.when(F.col("state") == "P", "Z").otherwise(F.col("batch")).alias("batch")).distinct()
-
-
 @query("spl5_leave_batch_out", LBO)
 def spl5(spark, d):
-    return S.leave_batch_out(_rebatched(spark, d), "donor", "batch")
+    c = study(spark, d).cells
+    return S.leave_batch_out(c.select("sample_id", "donor", F.when(F.col("state") == "P", "Z").otherwise(F.col("batch")).alias("batch")).distinct(), "donor", "batch")
 
 
 @query("jn12_purged_training", LBO.replace("SELECT held AS batch, sample_id, 'test' AS role FROM m JOIN b ON held = batch UNION ALL SELECT held, sample_id, 'train'", "SELECT held AS batch, sample_id"))
@@ -207,33 +204,19 @@ def jn12(spark, d):
     return spl5(spark, d).where("role = 'train'").drop("role")
 
 
-# the same with all donors in every state
-LBO_ALL = LBO.replace(" WHERE donor < 'J' OR state <> 'P'", "")
-
-
-@query("spl5_all_donors_batch_out", LBO_ALL)
-def spl5_all(spark, d):
-    c = study(spark, d).cells
-    m = c.select("sample_id", "donor", F.when(F.col("state") == "P", "Z").otherwise(F.col("batch")).alias("batch")).distinct()
-    return S.leave_batch_out(m, "donor", "batch")
-
-
-@query("jn12_all_donors_training", LBO_ALL.replace("SELECT held AS batch, sample_id, 'test' AS role FROM m JOIN b ON held = batch UNION ALL SELECT held, sample_id, 'train'", "SELECT held AS batch, sample_id"))
-def jn12_all(spark, d):
-    return spl5_all(spark, d).where("role = 'train'").drop("role")
-
-
 @query("jn13_group_semi_join", FOLDS + " SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT \"group\" FROM f WHERE fold = 0)")
 def jn13(spark, d):
     chosen = spl1(spark, d).where("fold = 0").select(F.col("group").alias("o_custkey"))
     return table(spark, d, "orders").join(chosen, "o_custkey", "left_semi").select("o_orderkey")
 
 
-TIMES = "WITH t AS (SELECT o_custkey AS \"group\", min(o_orderdate::DATE - DATE '1970-01-01')::DOUBLE AS first, max(o_orderdate::DATE - DATE '1970-01-01')::DOUBLE AS last FROM orders WHERE o_orderkey % 8 = 0 GROUP BY 1)"
+# a group is a customer's year: whole histories span the table and leave no training side
+TIMES = "WITH t AS (SELECT o_custkey || ':' || year(o_orderdate::DATE) AS \"group\", min(o_orderdate::DATE - DATE '1970-01-01')::DOUBLE AS first, max(o_orderdate::DATE - DATE '1970-01-01')::DOUBLE AS last FROM orders GROUP BY 1)"
 
 
 def _times(spark, d):
-    return S.group_times(table(spark, d, "orders").where("o_orderkey % 8 = 0").withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("double")), "o_custkey", "day")
+    o = table(spark, d, "orders").withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("double"))
+    return S.group_times(o.withColumn("customer_year", F.concat_ws(":", "o_custkey", F.year("o_orderdate"))), "customer_year", "day")
 
 
 @query("win4_group_times", TIMES + " SELECT * FROM t")
@@ -258,39 +241,7 @@ def jn15(spark, d):
 def win5(spark, d):
     from pyspark.sql import Window as W
 
-    return _times(spark, d).select("first").distinct().withColumn("bucket", (F.ntile(7).over(W.orderBy("first")) - 1).cast("int"))
-
-
-# the same over all orders: a group is a customer's year, as whole histories span the table and leave no training side
-YEARS = "WITH t AS (SELECT o_custkey || ':' || year(o_orderdate::DATE) AS \"group\", min(o_orderdate::DATE - DATE '1970-01-01')::DOUBLE AS first, max(o_orderdate::DATE - DATE '1970-01-01')::DOUBLE AS last FROM orders GROUP BY 1)"
-YEAR_FOLDS = TEMPORAL.replace(TIMES, YEARS)
-
-
-def _year_times(spark, d):
-    o = table(spark, d, "orders").withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("double"))
-    return S.group_times(o.withColumn("customer_year", F.concat_ws(":", "o_custkey", F.year("o_orderdate"))), "customer_year", "day")
-
-
-@query("win4_customer_year_times", YEARS + " SELECT * FROM t")
-def win4_years(spark, d):
-    return _year_times(spark, d)
-
-
-@query("spl6_customer_year_folds", YEAR_FOLDS + " SELECT fold, \"group\", 'test' AS role FROM t JOIN w USING (first) UNION ALL SELECT fold, \"group\", 'train' FROM t JOIN b ON last < begin - 30")
-def spl6_years(spark, d):
-    return S.temporal_folds(_year_times(spark, d), 3, 0.5, 30)
-
-
-@query("jn15_customer_year_range_join", YEAR_FOLDS + " SELECT fold, \"group\" FROM t JOIN b ON last < begin - 30")
-def jn15_years(spark, d):
-    return spl6_years(spark, d).where("role = 'train'").drop("role")
-
-
-@query("win5_customer_year_windows", YEARS + " SELECT first, (ntile(7) OVER (ORDER BY first) - 1)::INTEGER AS bucket FROM (SELECT DISTINCT first FROM t)")
-def win5_years(spark, d):
-    from pyspark.sql import Window as W
-
-    return _year_times(spark, d).select("first").distinct().withColumn("bucket", (F.ntile(7).over(W.orderBy("first")) - 1).cast("int"))
+    return _times(spark, d).select("first").distinct().withColumn("bucket", (F.ntile(7).over(W.orderBy("first")) - 1).cast("int"))  # days: a small dimension
 
 
 @query("spl7_class_coverage", FOLDS + ", n AS (SELECT unnest(range(5))::INTEGER AS fold) SELECT n.fold, count(DISTINCT label) AS classes, count(DISTINCT label) = (SELECT count(DISTINCT label) FROM g) AS covers FROM n JOIN f ON f.fold <> n.fold GROUP BY 1")

@@ -14,13 +14,12 @@ from test_core import SMALL, frames, packed, synthetic
 def test_temporal_queries_read_all_orders(spark, sf_dir):
     q, orders = registry.queries(), spark.read.parquet(f"{sf_dir}/orders.parquet")
     year = lambda df: df.select(F.concat_ws(":", "o_custkey", F.year("o_orderdate")).alias("group")).distinct()
-    times = q["win4_customer_year_times"](spark, sf_dir)
+    times = q["win4_group_times"](spark, sf_dir)
     assert times.select("group").exceptAll(year(orders)).isEmpty() and year(orders).exceptAll(times.select("group")).isEmpty()
-    assert times.count() > q["win4_group_times"](spark, sf_dir).count()
-    roles = {(r["fold"], r["role"]): r["count"] for r in q["spl6_customer_year_folds"](spark, sf_dir).groupBy("fold", "role").count().collect()}
+    roles = {(r["fold"], r["role"]): r["count"] for r in q["spl6_temporal_folds"](spark, sf_dir).groupBy("fold", "role").count().collect()}
     assert set(roles) == {(f, r) for f in range(3) for r in ("train", "test")}  # no side is empty
-    assert q["jn15_customer_year_range_join"](spark, sf_dir).count() == sum(n for (_, r), n in roles.items() if r == "train")
-    assert q["win5_customer_year_windows"](spark, sf_dir).count() == times.select("first").distinct().count()
+    assert q["jn15_temporal_range_join"](spark, sf_dir).count() == sum(n for (_, r), n in roles.items() if r == "train")
+    assert q["win5_occasion_windows"](spark, sf_dir).count() == times.select("first").distinct().count()
 
 
 def test_count_tests_screen_the_training_rows(spark):
@@ -128,16 +127,16 @@ def test_queries_over_all_donors_and_genes(spark, sf_dir):
 
     q, s = registry.queries(), study(spark, sf_dir)
     genes = {r[0] for r in s.genes.select("gene_id").collect()}
-    folds = q["spl5_all_donors_batch_out"](spark, sf_dir)
+    folds = q["spl5_leave_batch_out"](spark, sf_dir)
     for state, test in (("P", "batch = 'Z'"), (None, "true")):
         want = (s.cells.where(F.col("state") == state) if state else s.cells).select("sample_id").distinct()
         assert want.exceptAll(folds.where("role = 'test'").where(test).select("sample_id").distinct()).isEmpty()
-    assert q["jn12_all_donors_training"](spark, sf_dir).count() == folds.where("role = 'train'").count() > 0
-    assert {r[0] for r in q["src2_all_genes_long_form"](spark, sf_dir).select("feature_id").distinct().collect()} == genes
-    matrix = q["snk4_all_genes_matrix"](spark, sf_dir)
+    assert q["jn12_purged_training"](spark, sf_dir).count() == folds.where("role = 'train'").count() > 0
+    assert {r[0] for r in q["src2_bulk_long_form"](spark, sf_dir).select("feature_id").distinct().collect()} == genes
+    matrix = q["snk4_sample_feature_matrix"](spark, sf_dir)
     assert len(matrix.columns) == 2 + len(genes) and matrix.select("state").distinct().count() == s.cells.select("state").distinct().count()
     ranked = {r[0] for r in q["srt4_correlation_candidates"](spark, sf_dir).select("feature_id").collect()}
-    pairs = q["cor1_ranked_candidates"](spark, sf_dir).collect()
+    pairs = q["cor1_correlation_matrix"](spark, sf_dir).collect()
     assert {r["a"] for r in pairs} | {r["b"] for r in pairs} == ranked
     shown = {r[0] for r in q["srt6_preview_limit"](spark, sf_dir).select("feature_id").distinct().collect()}
-    assert {r[0] for r in q["rep1_ranked_evidence"](spark, sf_dir).select("source").distinct().collect()} == shown
+    assert {r[0] for r in q["rep1_distribution_evidence"](spark, sf_dir).select("source").distinct().collect()} == shown
