@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import ranked, running, share_bucket
+
 EPS = 2.220446049250313e-16
 
 
@@ -46,11 +48,16 @@ def confusion(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return c.select("*", sens.alias("sensitivity"), spec.alias("specificity"), F.when(both, (sens + spec) / 2).alias("balanced_accuracy"), F.when(both & one_sided, F.lit(0.0)).when(both, mcc).alias("mcc"))
 
 
+def _steps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """tp and fp of each distinct score within keys, and their running sums by falling score."""
+    hit, miss = F.when(F.col("y") == 1, F.col("w")).otherwise(0.0), F.when(F.col("y") == 1, 0.0).otherwise(F.col("w"))
+    g = rows.groupBy(*keys, "p").agg(F.sum(hit).alias("tp"), F.sum(miss).alias("fp"))
+    return running(g, keys, -share_bucket(F.col("p")), [F.desc("p")], ["tp", "fp"])
+
+
 def curve(rows: DataFrame) -> DataFrame:
     """Cumulative weighted counts by falling score, ties collapsed: p, tp, fp, cum_tp, cum_fp."""
-    g = rows.groupBy("p").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("tp"), F.sum(F.when(F.col("y") == 1, 0.0).otherwise(F.col("w"))).alias("fp"))
-    run = W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return g.withColumn("cum_tp", F.sum("tp").over(run)).withColumn("cum_fp", F.sum("fp").over(run))
+    return _steps(rows, [])
 
 
 def ranking(rows: DataFrame) -> DataFrame:
@@ -84,11 +91,8 @@ def one_vs_rest(rows: DataFrame) -> DataFrame:
 def macro_ranking(rows: DataFrame) -> DataFrame:
     """Unweighted means of one-vs-rest AUC and average precision, and the summed Brier score."""
     long = one_vs_rest(rows)
-    g = long.groupBy("class", "p").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("tp"), F.sum(F.when(F.col("y") == 1, 0.0).otherwise(F.col("w"))).alias("fp"))
-    run = W.partitionBy("class").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    g = g.withColumn("ct", F.sum("tp").over(run)).withColumn("cf", F.sum("fp").over(run))
-    per = g.groupBy("class").agg(
-        F.try_divide(F.sum(F.col("fp") * (F.col("ct") - F.col("tp") / 2)), F.sum("tp") * F.sum("fp")).alias("auc"), F.try_divide(F.sum(F.col("tp") * F.col("ct") / (F.col("ct") + F.col("cf"))), F.sum("tp")).alias("ap"))
+    per = _steps(long, ["class"]).groupBy("class").agg(
+        F.try_divide(F.sum(F.col("fp") * (F.col("cum_tp") - F.col("tp") / 2)), F.sum("tp") * F.sum("fp")).alias("auc"), F.try_divide(F.sum(F.col("tp") * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))), F.sum("tp")).alias("ap"))
     means = per.agg(F.when(F.count("auc") == F.count("*"), F.avg("auc")).alias("roc_auc_macro_ovr"), F.when(F.count("ap") == F.count("*"), F.avg("ap")).alias("pr_auc_macro_ovr"))
     n = long.agg((F.sum(F.col("w") * (F.col("p") - F.col("y")) ** 2) / F.sum(F.when(F.col("class") == 0, F.col("w")))).alias("brier_multiclass_sum"))
     return means.join(F.broadcast(n))
@@ -118,13 +122,26 @@ def hard_label(probs: Column) -> Column:
 
 def benjamini_hochberg(tests: DataFrame, pvalue: str = "p", family: list[str] | None = None) -> DataFrame:
     """tests with padj, monotone and at most 1, within each family; null p-values stay null and count for nothing."""
-    family = family or []
-    known = F.col(pvalue).isNotNull()
-    w = W.partitionBy(*family, known) if family else W.partitionBy(known)
-    rank = F.row_number().over(w.orderBy(pvalue))
-    x = tests.withColumn("__r", rank).withColumn("__q", F.col(pvalue) * F.count("*").over(w) / F.col("__r"))
-    after = w.orderBy("__r").rowsBetween(W.currentRow, W.unboundedFollowing)
-    return x.withColumn("padj", F.when(known, F.least(F.min("__q").over(after), F.lit(1.0)))).drop("__r", "__q")
+    keys = list(family or [])
+    x = tests.withColumn("__b", share_bucket(F.col(pvalue)))
+    known = ranked(x.where(F.col(pvalue).isNotNull()), keys, F.col("__b"), [pvalue], "__r")
+    size = known.groupBy(*keys).agg(F.count("*").alias("__m")) if keys else known.agg(F.count("*").alias("__m"))
+    known = known.join(size.select(*[F.col(k).alias(f"__f_{k}") for k in keys], "__m"), _same(keys) if keys else F.lit(True)).drop(*[f"__f_{k}" for k in keys])
+    known = known.withColumn("__q", F.col(pvalue) * F.col("__m") / F.col("__r"))
+    least = known.groupBy(*keys, "__b").agg(F.min("__q").alias("__q_b"))
+    after = W.partitionBy(*(keys or [F.lit(0)])).orderBy("__b").rowsBetween(1, W.unboundedFollowing)
+    later = least.select(*[F.col(k).alias(f"__f_{k}") for k in keys], F.col("__b").alias("__f___b"), F.min("__q_b").over(after).alias("__later"))
+    own = F.min("__q").over(W.partitionBy(*keys, "__b").orderBy("__r").rowsBetween(W.currentRow, W.unboundedFollowing))
+    known = known.withColumn("__own", own).join(later, _same([*keys, "__b"]))
+    done = known.select(*tests.columns, F.least("__own", "__later", F.lit(1.0)).alias("padj"))
+    return done.unionByName(tests.where(F.col(pvalue).isNull()).withColumn("padj", F.lit(None).cast("double")))
+
+
+def _same(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.equal_null(k, f"__f_{k}")
+    return out
 
 
 def permutation_pvalue(losses: DataFrame, observed: str = "perm_id = 0") -> DataFrame:

@@ -105,9 +105,9 @@ def ids_with_labels(metadata: DataFrame, labels: DataFrame, min_length: int = 3)
 def library_outliers(libraries: DataFrame) -> DataFrame:
     """libraries: sample_id, library. Adds deviation and outlier: |log1p - median| > max(5 * 1.4826 * MAD, 1.5)."""
     x = libraries.withColumn("log_library", F.log1p("library"))
-    whole = W.partitionBy(F.lit(1))
-    x = x.withColumn("deviation", F.abs(F.col("log_library") - F.median("log_library").over(whole)))
-    return x.withColumn("outlier", F.col("deviation") > F.greatest(F.lit(5 * 1.4826) * F.median("deviation").over(whole), F.lit(1.5)))
+    x = x.join(F.broadcast(x.agg(F.median("log_library").alias("__m")))).withColumn("deviation", F.abs(F.col("log_library") - F.col("__m"))).drop("__m")  # one row
+    x = x.join(F.broadcast(x.agg(F.median("deviation").alias("__d"))))
+    return x.withColumn("outlier", F.col("deviation") > F.greatest(F.lit(5 * 1.4826) * F.col("__d"), F.lit(1.5))).drop("__d")
 
 
 def class_balance(metadata: DataFrame, outcome: str, group: str) -> DataFrame:

@@ -117,7 +117,7 @@ def differential_expression(long: DataFrame, metadata: DataFrame, condition: str
         return pd.DataFrame(rows, columns=["feature_id", "contrast", "base_mean", "log2_fold_change", "standard_error", "p"])
 
     tests = long.groupBy("feature_id").applyInPandas(test, "feature_id string, contrast string, base_mean double, log2_fold_change double, standard_error double, p double")
-    return benjamini_hochberg(tests, "p")
+    return benjamini_hochberg(tests.persist(), "p")  # read several times; a row a gene and contrast
 
 
 def screen(counts: np.ndarray, x: np.ndarray, tested: list[int], eligible: np.ndarray, replicates: int) -> np.ndarray:
@@ -179,4 +179,4 @@ def supporting_tests(states: DataFrame, metadata: DataFrame, condition: str, n_c
             out = t if out is None else out.unionByName(t)
         except ValueError as e:
             failed[state] = str(e)
-    return (benjamini_hochberg(out, "p") if out is not None else None), failed
+    return (benjamini_hochberg(out.persist(), "p") if out is not None else None), failed

@@ -7,34 +7,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
+
 
 def shuffled(*keys: Column) -> Column:
     return F.md5(F.concat_ws(":", *[k.cast("string") for k in keys]))
 
 
+def _hashed(df: DataFrame, keys: list[str], seed: int, first: Column | None = None) -> DataFrame:
+    """df with rank along the seed's hashes of group (after first, a number), within keys."""
+    h = shuffled(F.lit(seed), F.col("group"))
+    part = F.substring(h, 1, 2)  # 256 even buckets
+    bucket = part if first is None else F.struct(first.alias("n"), part.alias("h"))
+    return ranked(df, keys, bucket, [*([] if first is None else [first]), h, "group"])
+
+
 def stratified_folds(groups: DataFrame, folds: int, seed: int) -> DataFrame:
     """groups: group, label (one row a group). Adds fold: each class is dealt over all folds, starting at its own offset."""
-    order = W.partitionBy("label").orderBy(shuffled(F.lit(seed), F.col("group")), "group")
-    offset = F.dense_rank().over(W.orderBy("label"))
-    return groups.withColumn("fold", ((F.row_number().over(order) + offset - 2) % folds).cast("int"))
+    labels = groups.select("label").distinct().withColumn("__offset", F.row_number().over(W.orderBy("label"))).withColumnRenamed("label", "__label")  # classes
+    x = _hashed(groups, ["label"], seed).join(F.broadcast(labels), F.equal_null("label", "__label"))
+    return x.select(*groups.columns, ((F.col("rank") + F.col("__offset") - 2) % folds).cast("int").alias("fold"))
 
 
 def plain_folds(groups: DataFrame, folds: int, seed: int) -> DataFrame:
     """Near-equal folds of shuffled groups, the first ones taking the remainder."""
-    return groups.withColumn("fold", (F.ntile(folds).over(W.orderBy(shuffled(F.lit(seed), F.col("group")), "group")) - 1).cast("int"))
+    n = F.broadcast(groups.agg(F.count("*").alias("__n")))  # one row
+    x = _hashed(groups, [], seed).join(n).withColumns({"__q": F.floor(F.col("__n") / folds), "__r": F.col("__n") % folds})
+    long = F.col("__r") * (F.col("__q") + 1)  # groups in the folds with one more
+    k = F.col("rank") - 1
+    fold = F.when(k < long, F.floor(k / (F.col("__q") + 1))).otherwise(F.col("__r") + F.floor((k - long) / F.greatest("__q", F.lit(1))))
+    return x.select(*groups.columns, fold.cast("int").alias("fold"))
 
 
 def balanced_folds(sizes: DataFrame, folds: int, seed: int) -> DataFrame:
     """sizes: group, n. Groups in falling size (ties shuffled) are dealt to and fro over the folds."""
-    order = W.orderBy(F.desc("n"), shuffled(F.lit(seed), F.col("group")), "group")
-    k = F.row_number().over(order) - 1
+    k = F.col("rank") - 1
     turn, at = F.floor(k / folds), k % folds
-    return sizes.withColumn("fold", F.when(turn % 2 == 0, at).otherwise(folds - 1 - at).cast("int"))
+    return _hashed(sizes, [], seed, -F.col("n")).select(*sizes.columns, F.when(turn % 2 == 0, at).otherwise(folds - 1 - at).cast("int").alias("fold"))
 
 
 def leave_one_out(metadata: DataFrame, key: str) -> DataFrame:
     """fold, sample_id of the test side: one fold for each value of key, numbered in order."""
-    return metadata.select((F.dense_rank().over(W.orderBy(key)) - 1).cast("int").alias("fold"), "sample_id")
+    values = metadata.select(key).distinct()
+    bucket = F.substring(key, 1, 2) if dict(metadata.dtypes)[key] == "string" else F.lit(0)
+    folds = ranked(values, [], bucket, [key], "__fold").select(F.col(key).alias("__key"), (F.col("__fold") - 1).cast("int").alias("fold"))
+    return metadata.join(folds, F.equal_null(key, "__key")).select("fold", "sample_id")
 
 
 def leave_batch_out(metadata: DataFrame, group: str, batch: str) -> DataFrame:
@@ -99,8 +116,8 @@ def subsample_groups(groups: DataFrame, size: int, inner_folds: int, seed: int,
 def permute_labels(groups: DataFrame, seed: int, permutation: int) -> DataFrame:
     """groups: group, stratum, label. Labels exchanged among the groups of a stratum: the label of rank i in group order goes
     to the group of rank i in hash order."""
-    by_name = W.partitionBy("stratum").orderBy("group")
-    by_hash = W.partitionBy("stratum").orderBy(shuffled(F.lit(seed), F.lit(permutation), F.col("group")), "group")
-    labels = groups.select("stratum", "label", F.row_number().over(by_name).alias("k"))
-    places = groups.select("stratum", "group", F.row_number().over(by_hash).alias("k"))
+    h = shuffled(F.lit(seed), F.lit(permutation), F.col("group"))
+    by_name = F.substring(F.col("group").cast("string"), 1, 2) if dict(groups.dtypes)["group"] == "string" else F.floor(F.col("group") / 4096)
+    labels = ranked(groups.select("stratum", "group", "label"), ["stratum"], by_name, ["group"], "k").drop("group")
+    places = ranked(groups.select("stratum", "group"), ["stratum"], F.substring(h, 1, 2), [h, "group"], "k")
     return places.join(labels, ["stratum", "k"]).select("group", "stratum", "label")
