@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEY = ("sample_id", "state")
@@ -37,19 +38,19 @@ def cell_totals(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*KEY).agg(F.count("*").alias("n_cells"))
 
 
-def pseudobulk(cells: DataFrame, counts: DataFrame, min_cells: int = 1) -> DataFrame:
-    """state, sample_id, gene_id, count, n_cells on the complete grid of kept (state, sample) and genes of the counts."""
+def pseudobulk(cells: DataFrame, counts: DataFrame, min_cells: int = 1, genes: DataFrame | None = None) -> DataFrame:
+    """state, sample_id, gene_id, count, n_cells on the complete grid of kept (state, sample) and genes (default: of the counts)."""
     groups = cell_totals(cells).where(F.col("n_cells") >= min_cells)
     sums = counts.join(cells.select("cell_id", *KEY), "cell_id").groupBy(*KEY, "gene_id").agg(F.sum("count").alias("count"))
-    universe = counts.agg(F.array_sort(F.collect_set("gene_id")).alias("g"))  # one row: the gene dimension
+    universe = (counts if genes is None else genes).agg(F.array_sort(F.collect_set("gene_id")).alias("g"))  # one row: the gene dimension
     grid = groups.join(F.broadcast(universe)).select(*KEY, "n_cells", F.explode("g").alias("gene_id"))
     return grid.join(sums, [*KEY, "gene_id"], "left").select("state", "sample_id", "gene_id", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "n_cells")
 
 
 def log_normalize(cells: DataFrame, counts: DataFrame, scale: float = 1e4) -> DataFrame:
     """counts with value = ln(1 + scale * count / library); the library is of the full gene universe."""
-    libraries = counts.groupBy("cell_id").agg(F.sum("count").alias("library"))
-    return counts.join(cells.select("cell_id", *KEY), "cell_id").join(libraries, "cell_id").withColumn("value", F.log1p(F.lit(scale) * F.col("count") / F.greatest("library", F.lit(1))))
+    library = F.sum("count").over(W.partitionBy("cell_id"))  # a cell's genes at most
+    return counts.withColumn("library", library).join(cells.select("cell_id", *KEY), "cell_id").withColumn("value", F.log1p(F.lit(scale) * F.col("count") / F.greatest("library", F.lit(1))))
 
 
 def gene_moments(values: DataFrame, thresholds: Sequence[float] = ()) -> DataFrame:
@@ -112,14 +113,22 @@ def gene_blocks(grid: DataFrame, thresholds: Sequence[float], min_cells: int) ->
 
 
 def pair_moments(values: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) declared: sums over all cells; only cells with both genes add to the product."""
-    gene = values.groupBy(*KEY, "gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
-    side = lambda g: values.select("cell_id", *KEY, F.col("gene_id").alias(g), F.col("value").alias(f"v{g}")).join(F.broadcast(pairs), g)  # noqa: E731  declared pairs are a small dimension
-    both = side("a").join(side("b").select("cell_id", "a", "b", "vb"), ["cell_id", "a", "b"]).groupBy(*KEY, "a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("ab"))
-    of = lambda g: gene.select(*KEY, F.col("gene_id").alias(g), F.col("s").alias(f"s{g}"), F.col("ss").alias(f"ss{g}"))
-    keys = values.select(*KEY).distinct().join(F.broadcast(pairs.agg(F.collect_list(F.struct("a", "b")).alias("p")))).select(*KEY, F.explode("p").alias("p")).select(*KEY, "p.a", "p.b")
-    out = keys.join(of("a"), [*KEY, "a"], "left").join(of("b"), [*KEY, "b"], "left").join(both, [*KEY, "a", "b"], "left")
-    return out.na.fill(0.0, ["sa", "ssa", "sb", "ssb", "ab"])
+    """pairs (a, b) declared: sums over all cells; only cells with both genes add to the product. One pass: a cell's values of declared
+    genes as a map, its pairs from that."""
+    names = sorted({(r["a"], r["b"]) for r in pairs.select("a", "b").collect()})  # declared
+    declared = sorted({g for p in names for g in p})
+    sums = ("sa", "ssa", "sb", "ssb", "ab")
+    own = F.map_from_entries(F.collect_list(F.when(F.col("gene_id").isin(declared), F.struct("gene_id", "value")))).alias("m")
+    cell = values.groupBy("cell_id", *KEY).agg(own)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.try_element_at("m", F.lit(a)).alias("a"), F.try_element_at("m", F.lit(b)).alias("b")) for i, (a, b) in enumerate(names)]))
+    x = cell.select(*KEY, each.alias("x")).select(*KEY, "x.*").where("a is not null or b is not null or i = 0")  # the first pair keeps every group
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0.0)).alias(name)
+    a, b = F.col("a"), F.col("b")
+    per = x.groupBy(*KEY, "i").agg(total(a, "sa"), total(a * a, "ssa"), total(b, "sb"), total(b * b, "ssb"), total(a * b, "ab"))
+    found = per.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct(*sums)))).alias("m"))
+    none = F.struct(*[F.lit(0.0).alias(c) for c in sums])
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.try_element_at("m", F.lit(i)), none).alias("s")) for i, (a, b) in enumerate(names)]))
+    return found.select(*KEY, grid.alias("x")).select(*KEY, "x.a", "x.b", "x.s.*")
 
 
 def program_scores(cells: DataFrame, values: DataFrame, programs: DataFrame) -> DataFrame:

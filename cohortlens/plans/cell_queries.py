@@ -103,7 +103,7 @@ PSEUDO_SQL = BASE_SQL + GROUPS_SQL + """, pseudo AS (SELECT g.state, g.sample_id
 @query("agg1_pseudobulk", PSEUDO_SQL + " SELECT * FROM pseudo")
 def agg1(spark, d):
     s = study(spark, d)
-    return C.pseudobulk(s.cells, s.counts, 5)
+    return C.pseudobulk(s.cells, s.counts, 5, s.genes)
 
 
 @query("jn2_cell_destination", BASE_SQL + " SELECT state, sample_id, count(*) AS entries, sum(count)::BIGINT AS total FROM counts JOIN cells USING (cell_id) GROUP BY 1, 2")
@@ -259,8 +259,8 @@ def scl10(spark, d):
 @query("snk4_sample_feature_matrix", PSEUDO_SQL + " SELECT state, sample_id, " + ", ".join(f"sum(count) FILTER (gene_id = 'Brand#{i}')::BIGINT AS brand_{i}" for i in range(1, 26)) + " FROM pseudo GROUP BY 1, 2")
 def snk4(spark, d):
     s = study(spark, d)
-    genes = sorted(r[0] for r in s.genes.select("gene_id").distinct().collect())  # genes: a declared dimension
-    wide = C.pseudobulk(s.cells, s.counts, 5).groupBy("state", "sample_id").pivot("gene_id", genes).agg(F.sum("count"))
+    genes = sorted(r[0] for r in s.genes.collect())  # genes: a declared dimension
+    wide = C.pseudobulk(s.cells, s.counts, 5, s.genes).groupBy("state", "sample_id").pivot("gene_id", genes).agg(F.sum("count"))
     return wide.select("state", "sample_id", *[F.col(f"`{g}`").alias(g.lower().replace("#", "_")) for g in genes])
 
 

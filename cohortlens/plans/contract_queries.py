@@ -36,7 +36,7 @@ def metadata(s):
 
 def expression(s):
     """sample_id, feature_id, value on the complete grid: pseudobulk over all states."""
-    return C.pseudobulk(s.cells.withColumn("state", F.lit("all")), s.counts).select("sample_id", F.col("gene_id").alias("feature_id"), F.col("count").cast("double").alias("value"))
+    return C.pseudobulk(s.cells.withColumn("state", F.lit("all")), s.counts, genes=s.genes).select("sample_id", F.col("gene_id").alias("feature_id"), F.col("count").cast("double").alias("value"))
 
 
 @query("prj1_required_columns", BASE_SQL + " SELECT 'donor' AS \"column\", count(*) FILTER (donor IS NULL OR trim(donor) = '') AS violations FROM cells UNION ALL SELECT 'state', count(*) FILTER (state IS NULL OR trim(state) = '') FROM cells UNION ALL SELECT 'batch', count(*) FILTER (batch IS NULL OR trim(batch) = '') FROM cells")
@@ -224,7 +224,7 @@ def jn14(spark, d):
 def jn16(spark, d):
     s = study(spark, d)
     ok = C.cell_totals(s.cells.where("state = 'F'")).where("n_cells >= 40").select("sample_id")
-    return C.pseudobulk(s.cells, s.counts, 5).where("state = 'F'").join(ok, "sample_id").select("sample_id", "gene_id", "count")
+    return C.pseudobulk(s.cells, s.counts, 5, s.genes).where("state = 'F'").join(ok, "sample_id").select("sample_id", "gene_id", "count")
 
 
 @query("src2_bulk_long_form", EXPR_SQL + " SELECT sample_id, feature_id, value FROM expr")
@@ -232,7 +232,7 @@ def src2(spark, d):
     from ..sources.matrices import to_long, to_wide
 
     s = study(spark, d)
-    genes = sorted(r[0] for r in s.genes.select("gene_id").distinct().collect())  # genes: a declared dimension
+    genes = sorted(r[0] for r in s.genes.collect())  # genes: a declared dimension
     return to_long(to_wide(expression(s), genes), metadata(s))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import cells as C
@@ -38,9 +39,8 @@ def coefficients(spark, d):
     t = x.groupBy(fit.alias("fit_id"), F.col("outcome").alias("contrast"), F.col("gene_id").alias("feature_id")).agg(F.sum("count").alias("c"))
     names = F.broadcast(s.genes.agg(F.array_sort(F.collect_set("gene_id")).alias("g")))
     grid = n.join(names).select("fit_id", "contrast", "n", F.explode("g").alias("feature_id")).join(t, ["fit_id", "contrast", "feature_id"], "left").na.fill(0, ["c"])
-    mean = grid.withColumn("m", F.col("c") / F.col("n"))
-    total = grid.groupBy("fit_id", "feature_id").agg((F.sum("c") / F.sum("n")).alias("t"))
-    diff = mean.join(total, ["fit_id", "feature_id"]).withColumn("x", F.round(F.col("m") - F.col("t"), 1))
+    whole = W.partitionBy("fit_id", "feature_id")  # contrasts
+    diff = grid.withColumn("x", F.round(F.col("c") / F.col("n") - F.sum("c").over(whole) / F.sum("n").over(whole), 1))
     return diff.select("fit_id", "contrast", "feature_id", F.when(F.abs("x") >= 0.4, F.col("x")).otherwise(0.0).alias("coef"))
 
 

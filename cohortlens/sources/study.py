@@ -20,12 +20,11 @@ MITO_PREFIX = "Brand#2"
 
 @dataclass(frozen=True)
 class Study:
+    """genes: the declared universe, gene_id once each."""
+
     cells: DataFrame
     counts: DataFrame
-
-    @property
-    def genes(self) -> DataFrame:
-        return self.counts.select("gene_id").distinct()
+    genes: DataFrame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,14 +39,16 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
         F.col("o_orderkey").alias("cell_id"), F.concat("n_name", F.lit(":"), "c_mktsegment").alias("sample_id"), F.col("n_name").alias("donor"), F.col("r_name").alias("batch"),
         F.col("o_orderstatus").alias("state"), F.col("c_mktsegment").alias("outcome"), F.col("c_acctbal").alias("account"), F.to_date("o_orderdate").alias("day"), F.col("c_custkey").alias("customer"),
     )
-    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    counts = canonical_counts(lines.select(F.col("l_orderkey").alias("cell_id"), F.col("p_brand").alias("gene_id"), F.col("l_quantity").alias("count")))
-    return Study(cells, counts.join(cells.select("cell_id"), "cell_id", "left_semi"))
+    parts = t("part").select("p_partkey", F.col("p_brand").alias("gene_id"))
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    counts = canonical_counts(lines.select(F.col("l_orderkey").alias("cell_id"), "gene_id", F.col("l_quantity").alias("count")))
+    return Study(cells, counts.join(cells.select("cell_id"), "cell_id", "left_semi"), parts.select("gene_id").distinct())
 
 
 def canonical_counts(entries: DataFrame) -> DataFrame:
-    """Sum repeated (cell, gene) entries and drop explicit zeros."""
-    return entries.groupBy("cell_id", "gene_id").agg(F.sum("count").cast("long").alias("count")).where("count != 0")
+    """Sum repeated (cell, gene) entries and drop explicit zeros. Dealt by cell once: sums, libraries and joins by cell then need no
+    other exchange."""
+    return entries.repartition("cell_id").groupBy("cell_id", "gene_id").agg(F.sum("count").cast("long").alias("count")).where("count != 0")
 
 
 CELLS_SQL = """cells AS (SELECT o_orderkey AS cell_id, n_name || ':' || c_mktsegment AS sample_id, n_name AS donor, r_name AS batch, o_orderstatus AS state, c_mktsegment AS outcome,
