@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_column, crc_fold, text_batches, tidied
+from .common import add_column, crc_fold, free_prefix, text_batches, tidied
 
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
@@ -91,7 +91,6 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
     sample = known.select("doc_id", "y", F.md5(F.col("doc_id").cast("string")).alias("at")).orderBy("at", "doc_id").limit(params.max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("at", "y", "text")  # at most max_rows ids
     bits = params.bits
-    text_batches(docs.sparkSession)
 
     def hashed(batches):
         for batch in batches:
@@ -106,12 +105,15 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
         idx, w = ftrl(rows, params) if rows else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(idx.astype(np.int64)), pa.array(w)], ["i", "w"])
 
-    fitted = rows.mapInArrow(tidied(hashed), "at string, y int, h array<int>").repartition(1).sortWithinPartitions("at").mapInArrow(tidied(learn), "i long, w double").toPandas()
+    with text_batches(docs.sparkSession):
+        fitted = rows.mapInArrow(tidied(hashed), "at string, y int, h array<int>").repartition(1).sortWithinPartitions("at").mapInArrow(tidied(learn), "i long, w double").toPandas()
     return fitted["i"].to_numpy(np.int64), fitted["w"].to_numpy(float)
 
 
-def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = FtrlParams.bits, name: str = "__tox_score") -> DataFrame:
-    """docs with the probability that a text is toxic in column ``name``."""
+def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = FtrlParams.bits, name: str = "__tox_score", keep_text: bool = True) -> DataFrame:
+    """docs with the probability that a text is toxic in column ``name``, as the last; without ``text`` unless keep_text."""
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs have a column {name} already")
     sent = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1].astype(np.float32)))
 
     def scorer():
@@ -129,17 +131,18 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = F
 
         return give
 
-    return add_column(docs, name, "double", scorer)
+    return add_column(docs, name, "double", scorer, keep=keep_text)
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(), threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored under the threshold, with their own columns only."""
-    return score(docs, train(docs, labels, params), params.bits).where(F.col("__tox_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_prefix(docs, "__tox_") + "score"
+    return score(docs, train(docs, labels, params), params.bits, name).where(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_ftrl_toxicity(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.select("doc_id", "text")
-    scored = score(docs, train(docs, labels.select("doc_id", "toxic")))
+    scored = score(docs, train(docs, labels.select("doc_id", "toxic")), name="score", keep_text=False)
     held = F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("__tox_score").alias("score"), (F.col("__tox_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
