@@ -28,6 +28,7 @@ def figure_tables(spark: SparkSession, run: str | Path) -> dict[str, DataFrame]:
     }
     if store.exists("path.parquet"):
         out["path"] = read("path").select("strength", F.explode("coefs").alias("c")).select("strength", "c.*")
+    out["principal_components"] = read("principal_components")
     members, groups = read("correlation_members"), read("correlation_groups")
     out |= {"correlations": read("correlations"), "correlation_groups": groups.join(members.groupBy("group_id").agg(F.array_sort(F.collect_list("feature_id")).alias("members")), "group_id")}
     if "de_log2fc" in evidence.columns:
@@ -46,12 +47,15 @@ def figure_tables(spark: SparkSession, run: str | Path) -> dict[str, DataFrame]:
 
 
 def write_report(spark: SparkSession, run: str | Path, rows: int = 25) -> str:
-    """report.html beside the run: metrics, blockers, the first features, limits."""
+    """report.html and report.md in the run: metrics, blockers, the study, the first features, limits. Returns the former's path."""
     store = Store(spark, run)
     metrics, qc = (json.loads(store.read(f"{n}.json")) for n in ("metrics", "qc_report"))
     top = spark.read.parquet(store.path("evidence.parquet")).where(F.col("evidence_rank") <= rows).orderBy("evidence_rank").select("evidence_rank", "feature_id", "contrast", "selection_frequency", "sign_consistency", "coefficient", "evidence_status").collect()
     esc = lambda v: html.escape(f"{v:.4g}" if isinstance(v, float) else str(v))
     table = lambda head, body: "<table><tr>" + "".join(f"<th>{esc(h)}</th>" for h in head) + "</tr>" + "".join("<tr>" + "".join(f"<td>{esc(c)}</td>" for c in r) + "</tr>" for r in body) + "</table>"
     page = "<!doctype html><meta charset='utf-8'><title>Run</title><h1>Run</h1>" + table(("metric", "value"), sorted((k, v) for k, v in metrics.items())) + "<h2>Study</h2>" + table(("figure", "value"), sorted(qc.items())) + "<h2>Features</h2>" + table(top[0].__fields__ if top else (), top) + "<h2>Limits</h2><ul>" + "".join(f"<li>{esc(x)}</li>" for x in LIMITS) + "</ul>"
+    text = lambda head, body: "\n".join("| " + " | ".join(str(f"{c:.4g}" if isinstance(c, float) else c).replace("|", "\\|") for c in r) + " |" for r in (head, ["-"] * len(head), *body))
+    parts = ["# Run", text(("metric", "value"), sorted((k, v) for k, v in metrics.items())), "## Study", text(("figure", "value"), sorted(qc.items())), "## Features", text(top[0].__fields__, top) if top else "none", "## Limits", "\n".join(f"- {x}" for x in LIMITS)]
+    store.write("report.md", "\n\n".join(parts).encode())
     store.write("report.html", page.encode())
     return store.path("report.html")

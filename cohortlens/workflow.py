@@ -211,6 +211,7 @@ def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, conf
         run.record("qc_report", {"samples": len(p.samples), "features": len(p.features), "groups": len(set(p.groups)), "classes": list(p.classes), "gate_blockers": blockers, "warnings": warnings, "batch": batch})
         run.record("feature_universe", {"features": list(p.features), "samples": list(p.samples), "classes": list(p.classes)})
         run.table("profile_hashes", profile_hashes(long))
+        run.table("principal_components", principal_components(spark, p, config))
         batches = config.assess_batches and config.batch is not None and len(np.unique(p.batches)) > 1
         fits = fits_of(spark, run, p, config, batches)
         broken = fits.where("error is not null and perm_id = 0 and stage not like 'batch%' and stage not like '%_search'").select("stage", "error").first()
@@ -298,6 +299,19 @@ def panel_results(run: Run, fits: DataFrame, p: G.Packed, config: Config, eviden
     return {"features": features, "strength": r["strength"], "l1_ratio": r["l1_ratio"], "passing": gated.where("passes_panel_gates").count()}
 
 
+def principal_components(spark: SparkSession, p: G.Packed, config: Config) -> DataFrame:
+    """sample_id, pc1, pc2, ratio1, ratio2, outcome, batch over all samples (descriptive): the packed matrix is on the driver already."""
+    plain = replace(config, candidate_method="none")
+    a = G.prepare(replace(p, covariates=p.covariates[:, :0], categorical=()), np.arange(len(p.y)), p.y, plain).transform(p.x, p.covariates[:, :0])
+    u, s, _ = np.linalg.svd(a - a.mean(axis=0), full_matrices=False)
+    whole = float((s**2).sum()) or 1.0
+    axes = np.zeros((len(p.y), 2))
+    axes[:, : min(2, len(s))] = (u * s)[:, :2]
+    ratio = [float(v) for v in np.r_[s[:2] ** 2 / whole, 0.0, 0.0][:2]]
+    outcome = [p.classes[int(v)] if p.classes else str(float(v)) for v in p.y]
+    return spark.createDataFrame([(i, float(x), float(y), *ratio, o, str(b)) for i, (x, y), o, b in zip(p.samples, axes, outcome, p.batches)], "sample_id string, pc1 double, pc2 double, ratio1 double, ratio2 double, outcome string, batch string")
+
+
 def profile_hashes(long: DataFrame) -> DataFrame:
     """sample_id, digest of each sample's profile."""
     entry = F.struct("feature_id", F.round("value", 6).alias("v"))
