@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. Rejected by quality or toxicity: gone. Of near copies (five-word shingles, similarity 0.8): the smallest
 doc_id stays. Mixing uses a document at most once and spends 90 % of the tokens left, by weights. Packing returns pieces.
+
+Defined results. Null text: as ''; an empty text may be kept and is one piece. Null lang or source: ''. Null doc_id: no label and no
+copy of another; its rows stay. Rows that share a doc_id are judged each by the classifiers, and stay or go together in near_dedup.
+Very long texts are read whole, and cut into pieces by packing only. Without labels the classifiers reject nothing. Columns beside
+doc_id, text, lang and source stay as they are, whatever their names, until packing. Empty tables give no rows.
 """
 
 from __future__ import annotations

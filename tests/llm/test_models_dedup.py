@@ -36,6 +36,78 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
 
 
+def plain_features(text, bits):
+    """The hashes of a text's features, by whole numbers."""
+    import re
+    import zlib
+
+    words = [w for w in re.split(r"[\W\d_]+", text.lower()) if w]
+    crc = [zlib.crc32(w.encode()) for w in words]
+    out = crc + [zlib.crc32(w[:4].encode(), 4) for w in words] + [zlib.crc32(w[:6].encode(), 6) for w in words]
+    out += [(a * 0x9E3779B1) % 2**32 ^ b ^ 2 for a, b in zip(crc, crc[1:])]
+    out += [(a * 0x9E3779B1) % 2**32 ^ (b * 0x85EBCA6B) % 2**32 ^ 3 for a, b in zip(crc, crc[2:])]
+    mixed = [(h ^ h >> 15) * 0x2C1B3C6D % 2**32 for h in out]
+    return {(h ^ h >> 13) % 2**bits for h in mixed}
+
+
+def plain_ftrl(rows, p):
+    """The published updates, coordinate by coordinate."""
+    from math import copysign, exp, sqrt
+
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= p.l1 else (copysign(p.l1, zi) - zi) / ((p.beta + sqrt(n.get(i, 0.0))) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for hashes, y in rows:
+            w = {i: weight(i) for i in hashes}
+            g = 1 / (1 + exp(-max(-35, min(35, sum(w.values()))))) - y
+            if abs(g) < 1e-4:
+                continue
+            for i in hashes:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (sqrt(old + g * g) - sqrt(old)) / p.alpha * w[i]
+                n[i] = old + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    """Features, the order of rows, the updates and the scores, against arithmetic without arrays."""
+    import hashlib
+    from math import exp
+
+    rng = np.random.default_rng(8)
+    base = [f"{a}ost{b}" for a in "abcdefgh" for b in ("e", "en", "er", "ung")]
+    rows = [(i, " ".join(rng.choice(base, 15)) + (" Räuber!" if i % 5 == 0 else "") + (" it's 9 x_y" if i % 7 == 0 else "")) for i in range(90)]
+    labels = [(i, int(i % 5 == 0)) for i in range(0, 90, 2)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    p = toxicity.FtrlParams(bits=14, l1=0.5, epochs=3)
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", crc_fold(F.col("doc_id")).alias("f")).collect()}
+    text, order = dict(rows), sorted((hashlib.md5(str(i).encode()).hexdigest(), i, y) for i, y in labels if fold[i] != 1)
+    want = plain_ftrl([(sorted(plain_features(text[i], p.bits)) + [2**p.bits], y) for _, i, y in order], p)
+    index, weights = toxicity.train(docs, known, p)
+    assert dict(zip(index.tolist(), weights)) == pytest.approx(want, rel=1e-9)
+    got = {r["doc_id"]: r["__tox_score"] for r in toxicity.score(docs, (index, weights), p.bits).collect()}
+    for i, t in rows:
+        x = sum(want.get(h, 0.0) for h in plain_features(t, p.bits)) + want.get(2**p.bits, 0.0)
+        assert got[i] == pytest.approx(1 / (1 + exp(-x)), rel=1e-5)
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns named as the operators' own are kept as they are."""
+    docs = spark.createDataFrame([(1, "a fine text", "en", "s", 5.0, 6, "q"), (2, "another fine text", "en", "s", 7.0, 8, "r")], "doc_id long, text string, lang string, source string, __tox_score double, __MIX_tokens int, __qua_evidence string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    from cohortlens.llm import mixing
+
+    for kept in (toxicity.keep_civil(docs, labels), quality.keep_good(docs, labels, F.col("source"), F.col("lang")), mixing.keep_mixture(docs, F.lit("d"), mixing.MixtureSpec(budget_percent=100)), neardup.keep_one(docs)):
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect())) and kept.columns == docs.columns
+    for broken in (lambda: toxicity.score(docs, (np.zeros(0, int), np.zeros(0))), lambda: quality.score(docs, labels, F.col("source"), F.col("lang")), lambda: mixing.select_mixture(docs, F.lit("d"), mixing.MixtureSpec())):
+        with pytest.raises(ValueError, match="docs have a column"):
+            broken()
+
+
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(1)
     rows = [(np.append(rng.choice(5000, 60, replace=False), [6000] if y else []).astype(int), int(y)) for y in rng.random(2000) < 0.3]
@@ -77,6 +149,34 @@ def test_quality_on_labelled_documents(spark, sf_dir):
     assert got.count() > 15 and wrong <= max(1, 0.05 * got.count())
 
 
+def test_quality_equals_plain_arithmetic(spark):
+    """The fit is stationary, and evidence and final odds follow from it and the sites' posteriors."""
+    from math import exp, log
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(200):
+        good = i % 3 > 0
+        words = rng.choice(WORDS, 30).tolist()
+        rows.append((i, " ".join(words) + "." if good else "!!! " + " ".join(words[:3] * 10) + " %$#", f"s{i % 4}", ["en", "de"][i % 2]))
+    labels = [(i, int(i % 3 > 0) if rng.random() > 0.1 else int(i % 3 == 0)) for i in range(0, 200, 2)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", crc_fold(F.col("doc_id")).alias("f")).collect()}
+    seen = [(i, y) for i, y in labels if fold[i] != 1]
+    x, y = np.array([quality.describe(rows[i][1]) for i, _ in seen]), np.array([y for _, y in seen], float)
+    model = quality.train(docs, known)
+    mean, sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    p = 1 / (1 + np.exp(-(x @ model[:-1] + model[-1])))
+    assert np.abs(((x - mean) / sd).T @ (y - p) - quality.QualityParams.ridge * model[:-1] * sd).max() < 1e-6 and abs((y - p).sum()) < 1e-3
+    got = {r["doc_id"]: r for r in quality.score(docs, known, F.col("source"), F.col("lang")).collect()}
+    evidence = {i: min(max(1 / (1 + exp(-max(-30, min(30, float(np.dot(quality.describe(t), model[:-1]) + model[-1]))))), quality.EDGE), 1 - quality.EDGE) for i, t, _, _ in rows}
+    assert {i: r["__qua_evidence"] for i, r in got.items()} == pytest.approx(evidence, rel=1e-9)
+    prior, logit = sum(evidence.values()) / len(evidence), lambda v: log(v / (1 - v))
+    for i, r in got.items():
+        odds = logit(evidence[i]) + logit(min(max(r["__qua_path_posterior"], quality.EDGE), 1 - quality.EDGE)) - logit(prior)
+        assert r["__qua_quality"] == pytest.approx(1 / (1 + exp(-odds)), rel=1e-9)
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None), (2, "", "s", "en"), (2, "x", "s", "en"), (None, "y " * 30_000, "s", None)], "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")
@@ -230,4 +330,36 @@ def test_pipeline_stages(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in seen["toxicity"].collect()]
     assert ids(seen["near_dedup"]) == {i for i, (_, c) in classes(rows, 5, 80).items() if i == c}
     assert ids(seen["packing"]) == ids(seen["mixing"])
+    from test_chat_mixing import brute
+
+    plain = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in seen["near_dedup"].collect()]
+    domain = {r["source"]: r["d"] for r in seen["near_dedup"].select("source", p.mixing.domain_of(F.col("source")).alias("d")).distinct().collect()}
+    used = brute(plain, lambda source: domain[source], p.MIXTURE)
+    assert ids(seen["mixing"]) == {i for i, t, _, _ in plain if sum(used[i]) > 0 or not (t or "").split()}
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokens, sizes, fill = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}, {}
+    for r in seen["packing"].collect():
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["length"]
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sizes == {r["doc_id"]: len(tokens.encode(r["text"], add_special_tokens=False).ids) + 1 for r in seen["mixing"].collect()}
+    assert all(sum(n for _, n in spans) <= 2048 and sorted(spans)[0][0] == 0 for spans in fill.values())
     assert {tuple(r) for r in p.run(spark, sf_dir).select("doc_id", "piece", "length", "ids_crc32").collect()} == {tuple(r) for r in seen["packing"].select("doc_id", "piece", "length", "ids_crc32").collect()}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and ids, clashing names, and no rows at all."""
+    import corpus_pipeline as p
+
+    rows = [(None, None, None, None), (1, "", "en", "s"), (2, "word " * 20_000, "en", "s"), (3, "a plain text of some words", "en", "s"), (3, "a plain text of some words", "en", "s"), (3, "another text under the same id", None, "t"), (4, "a plain text of some words", "de", None), (None, "no id but a text", "en", "s")]
+    docs = spark.createDataFrame([(*r, 1.5) for r in rows], "doc_id long, text string, lang string, source string, __tox_score double")
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (None, 0, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for some, wanted in ((docs, True), (docs.limit(0), False)):
+        got = some
+        for name, stage in p.STAGES:
+            got = p.materialize(stage(spark, got, str(tmp_path)), f"odd-{name}")
+            assert name == "packing" or got.columns == docs.columns
+        kept = [r["doc_id"] for r in got.collect()]
+        assert bool(kept) == wanted and (not wanted or {3, None} <= set(kept) and 4 not in kept)
