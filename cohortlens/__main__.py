@@ -109,6 +109,14 @@ def specimen_metadata(cells):
     return K.first_per_key(cells, "sample_id", columns) if columns else cells.select("sample_id").distinct()
 
 
+def cell_digests(kept, counts, config):
+    """sample_id, digest of the cells that pass quality control."""
+    from .operators import cells as C
+    from .operators import distribution as D
+
+    return C.multiset_digest(C.profile_hash(counts, kept, D.contract(counts, config)["gene_universe"]))
+
+
 def run_cells(spark, args) -> None:
     from pyspark.sql import functions as F
 
@@ -124,9 +132,11 @@ def run_cells(spark, args) -> None:
         config = D.feature_config(config)
         views = [D.distribution_features(cells, counts, config, i) for i in range(config.cell_resamples + 1)]
         schema, kept = D.feature_schema(views[0]), D.quality_cells(cells, counts, config)
+        prefix = config.mitochondrial_prefix
+        quality = C.cell_quality(cells, counts, prefix or "")
+        quality = C.technical(quality if prefix else quality.withColumn("mito_fraction", F.lit(0.0)), C.passes(config.cell_min_counts, config.cell_min_genes, config.max_mito_fraction))
         totals = C.pseudobulk(kept, counts, config.min_cells).select("state", "sample_id", F.col("gene_id").alias("feature_id"), F.col("count").cast("double").alias("value"))
-        print(run_analysis(spark, views[0].select("sample_id", "feature_id", "value"), meta, config, args.output, [v.select("sample_id", "feature_id", "value") for v in views[1:]], identity=schema, state_counts=totals, state_cells=C.cell_totals(kept), contract=D.contract(counts, config)))
-        schema.write.mode("errorifexists").parquet(f"{args.output}/feature_schema.parquet")
+        print(run_analysis(spark, views[0].select("sample_id", "feature_id", "value"), meta, config, args.output, [v.select("sample_id", "feature_id", "value") for v in views[1:]], identity=schema, state_counts=totals, state_cells=C.cell_totals(kept), contract=D.contract(counts, config), digests=cell_digests(kept, counts, config), extra={"feature_schema": schema, "cell_quality": quality}))
         return
     studies = pseudobulk_studies(cells, counts, config)
     names = {s: spark.range(1).select(safe_name(F.lit(s))).first()[0] for s in studies}
@@ -157,12 +167,13 @@ def run_external(spark, args) -> None:
     if bool(args.expression) == bool(args.cells) or bool(args.expression) != bool(args.metadata) or bool(args.cells) != bool(args.counts):
         raise ValueError("give either --expression and --metadata, or --cells and --counts")
     config = load_config(None, verify(args.run, ["model"], spark)["configuration"])
-    contract = None
+    contract, digests = None, None
     if args.cells:
         cells, counts = read_cells(spark, args, config)
         meta = specimen_metadata(cells)
         if config.single_cell_mode == "distribution":
             long, contract = D.distribution_features(cells, counts, config).select("sample_id", "feature_id", "value"), D.contract(counts, config)
+            digests = cell_digests(D.quality_cells(cells, counts, config), counts, config)
         else:
             if not config.cell_type_value:
                 raise ValueError("the run has no cell type to select")
@@ -173,7 +184,7 @@ def run_external(spark, args) -> None:
         meta = S.read_metadata(spark, args.metadata, named, config.covariates)
         meta = meta.withColumnRenamed(meta.columns[0], "sample_id")
         long = S.to_long(S.read_delimited(spark, args.expression), meta, args.orientation)
-    print(evaluate_external(spark, args.run, long, meta, args.output, args.model_kind, contract))
+    print(evaluate_external(spark, args.run, long, meta, args.output, args.model_kind, contract, digests))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -194,11 +194,12 @@ def write_tensors(run: Run, fits: DataFrame, p: G.Packed, config: Config) -> Non
     run.tensor("coefficients", **arrays)
 
 
-def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, config: Config, output: str | Path, perturbed: Sequence[DataFrame] = (), identity: DataFrame | None = None, symbols: DataFrame | None = None, state_counts: DataFrame | None = None, state_cells: DataFrame | None = None, contract: dict | None = None) -> dict:
+def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, config: Config, output: str | Path, perturbed: Sequence[DataFrame] = (), identity: DataFrame | None = None, symbols: DataFrame | None = None, state_counts: DataFrame | None = None, state_cells: DataFrame | None = None, contract: dict | None = None, digests: DataFrame | None = None, extra: dict[str, DataFrame] | None = None) -> dict:
     """long: sample_id, feature_id, value; metadata: sample_id and the configured columns; perturbed: the same features from
     subsamples of the cells; identity: feature_id, kind, cell_type, source, unit of features that are not genes; symbols: gene_id,
     gene_symbol; state_counts (state, sample_id, feature_id, value) and state_cells (state, sample_id, n_cells): counts behind distribution
-    features; contract: what external cells must share. Writes the run; returns its summary."""
+    features; contract: what external cells must share; digests: sample_id, digest of the samples' cells (default: of the profiles); extra:
+    further tables to write. Writes the run; returns its summary."""
     if config.de_pair_group and not (config.candidate_method == "deseq2" or config.supporting_de):
         raise ValueError("de_pair_group has no count tests to apply to")
     with Run(spark, output, {"configuration": asdict(config), "version": "0.2.0", "cell_feature_contract": contract}) as run:
@@ -210,7 +211,9 @@ def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, conf
         p = replace(p, perturbed=tuple(G.pack(v, metadata, config).x for v in perturbed))
         run.record("qc_report", {"samples": len(p.samples), "features": len(p.features), "groups": len(set(p.groups)), "classes": list(p.classes), "gate_blockers": blockers, "warnings": warnings, "batch": batch})
         run.record("feature_universe", {"features": list(p.features), "samples": list(p.samples), "classes": list(p.classes)})
-        run.table("profile_hashes", profile_hashes(long))
+        run.table("profile_hashes", profile_hashes(long) if digests is None else digests.select("sample_id", "digest"))
+        for name, df in (extra or {}).items():
+            run.table(name, df)
         run.table("principal_components", principal_components(spark, p, config))
         batches = config.assess_batches and config.batch is not None and len(np.unique(p.batches)) > 1
         fits = fits_of(spark, run, p, config, batches)
@@ -255,6 +258,8 @@ def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, conf
                 table = E.join_expression_tests(table, tests.select("gene_id", "contrast", "cell_type", "de_log2fc", "de_padj"))
         gated = E.feature_gates(table, blockers, config.selection_threshold, config.sign_threshold, config.outer_selection_threshold, tol, needed, tested)
         evidence = run.table("evidence", E.final_order(gated))
+        if identity is not None:
+            run.table("specimen_evidence", specimen_evidence(evidence, long, metadata, config))
         run.csv("biomarkers", evidence.orderBy("evidence_rank"))
         run.csv("biomarker_stability", stability.orderBy("contrast", "feature_id"))
         run.csv("coefficients", evidence.select("evidence_rank", "contrast", "feature_id", "kind", "cell_type", "coefficient", "coefficient_direction").orderBy("evidence_rank"))
@@ -274,6 +279,13 @@ def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, conf
     return metrics
 
 
+def specimen_evidence(evidence: DataFrame, long: DataFrame, metadata: DataFrame, config: Config, features: int = 6) -> DataFrame:
+    """The values behind the best-ranked features, a row a specimen and feature, with the outcome and the batch."""
+    top = evidence.groupBy("feature_id", "kind", "cell_type", "gene_id", "unit").agg(F.min("evidence_rank").alias("evidence_rank")).orderBy("evidence_rank").limit(features)
+    about = metadata.select("sample_id", F.col(config.outcome).alias("outcome"), (F.col(config.batch) if config.batch else F.lit(None).cast("string")).alias("batch"))
+    return long.join(F.broadcast(top), "feature_id").join(about, "sample_id")
+
+
 def annotate(table: DataFrame, identity: DataFrame | None, symbols: DataFrame | None, cell_type: str) -> DataFrame:
     """table with kind, cell_type, unit, gene_id (the gene a feature is of, or its own name) and gene_symbol ('' if unknown)."""
     if identity is None:
@@ -387,9 +399,10 @@ def score_frozen(spark: SparkSession, model: dict, long: DataFrame, config: Conf
     return E.softmax(scores)
 
 
-def external_validate(spark: SparkSession, run: str | Path, long: DataFrame, metadata: DataFrame, model_kind: str = "full", contract: dict | None = None) -> DataFrame:
+def external_validate(spark: SparkSession, run: str | Path, long: DataFrame, metadata: DataFrame, model_kind: str = "full", contract: dict | None = None, digests: DataFrame | None = None) -> DataFrame:
     """Predictions of a complete, unchanged run for samples, groups and profiles that it has not seen. model_kind: full or panel;
-    contract: of the cells that distribution features come from (distribution.contract), which must equal the run's."""
+    contract and digests: of the cells that distribution features come from (distribution.contract, cells.multiset_digest); the former
+    must equal the run's, the latter must be new."""
     if model_kind not in ("full", "panel"):
         raise ValueError("model_kind must be full or panel")
     name = "model" if model_kind == "full" else "panel_model"
@@ -406,15 +419,16 @@ def external_validate(spark: SparkSession, run: str | Path, long: DataFrame, met
         if not metadata.select(F.col(config.group).cast("string").alias(config.group)).join(groups, config.group, "left_semi").isEmpty():
             raise ValueError("a group of the training study is in the external one")
     known = spark.read.parquet(Store(spark, run).path("profile_hashes.parquet"))
-    if config.input_scale != "features" and not profile_hashes(long).join(known.select("digest"), "digest", "left_semi").isEmpty():
+    own = digests if digests is not None else profile_hashes(long) if config.input_scale != "features" else None  # summaries may tie
+    if own is not None and not own.join(known.select("digest"), "digest", "left_semi").isEmpty():
         raise ValueError("a profile of the training study is in the external one under another name")
     covariates = metadata.select("sample_id", *config.covariates) if config.covariates else None
     return score_frozen(spark, model, long, config, covariates)
 
 
-def evaluate_external(spark: SparkSession, run: str | Path, long: DataFrame, metadata: DataFrame, output: str | Path, model_kind: str = "full", contract: dict | None = None) -> dict:
+def evaluate_external(spark: SparkSession, run: str | Path, long: DataFrame, metadata: DataFrame, output: str | Path, model_kind: str = "full", contract: dict | None = None, digests: DataFrame | None = None) -> dict:
     """external_validate with metrics against the outcomes in metadata, written as a run of its own."""
-    scored = external_validate(spark, run, long, metadata, model_kind, contract)
+    scored = external_validate(spark, run, long, metadata, model_kind, contract, digests)
     config = load_config(None, verify(run, ["model"], spark)["configuration"])
     classes = read_record(spark, run, "model")["classes"]
     y, group = F.col(config.outcome), F.col(config.group or "sample_id").cast("string").alias("group")

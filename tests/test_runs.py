@@ -270,7 +270,14 @@ def test_command_line_on_cells(spark, tmp_path, capsys):
     command("single-cell", *old, "--single-cell-mode", "distribution", "--supporting-de", "--cell-resamples", 1, "--output", tmp_path / "run", *quick)
     evidence = spark.read.parquet(str(tmp_path / "run/evidence.parquet"))
     assert {"frequency_cells_0", "frequency_cells_1", "de_padj"} <= set(evidence.columns) and set(r[0] for r in evidence.select("cell_type").distinct().collect()) == {"type_A", "type_B"}
+    shown = spark.read.parquet(str(tmp_path / "run/specimen_evidence.parquet"))
+    assert shown.select("feature_id").distinct().count() == 6 and shown.count() == 6 * 16
+    assert spark.read.parquet(str(tmp_path / "run/cell_quality.parquet")).agg(F.sum("cells")).first()[0] == 8 * 2 * 2 * 8
     command("external", "--run", tmp_path / "run", *new, "--output", tmp_path / "external")
+    renamed = spark.read.parquet(str(tmp_path / "old_cells")).withColumns({c: F.concat(F.lit("y"), c) for c in ("sample_id", "donor")})
+    renamed.write.parquet(str(tmp_path / "renamed_cells"))
+    assert main(["external", "--run", str(tmp_path / "run"), "--cells", str(tmp_path / "renamed_cells"), "--counts", str(tmp_path / "old_counts"), "--output", str(tmp_path / "again")]) == 1
+    assert "another name" in capsys.readouterr().err
     spark.read.parquet(str(tmp_path / "new_counts")).where("gene_id != 'gene_0007'").write.parquet(str(tmp_path / "fewer"))
     assert main(["external", "--run", str(tmp_path / "run"), "--cells", str(tmp_path / "new_cells"), "--counts", str(tmp_path / "fewer"), "--output", str(tmp_path / "refused")]) == 1
     assert "gene universe" in capsys.readouterr().err
