@@ -6,7 +6,8 @@
    counts: bins with the same history are one range, and a step fills a whole range. The plan's size depends on the
    capacity, not on the number of documents.
 3. Each piece gets its rank within its length and takes the planned slot of that rank. Ranks come from buckets of about
-   ``BUCKET`` pieces per length with prefix sums over buckets, so a length shared by a third of all pieces is no hot group.
+   ``BUCKET`` pieces per length with prefix sums over blocks of ``BLOCK`` buckets and over the buckets of a block, so a length
+   shared by a third of all pieces is no hot group: of n pieces n / 32,768 rows meet in a task.
 
 Defined results. Null text: as ''. Null doc_id: kept. Rows repeated exactly and ids used twice are packed each. An
 empty text is one piece holding the separator. Empty tables give no rows; other columns are ignored.
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import materialize, text_batches, tidied, worker_state
 
 CAPACITY = 2048
-BUCKET = 512
+BUCKET = 128
+#: Buckets that are summed together.
+BLOCK = 256
 #: A worker remembers so many words (about 50 MB) for good, later ones within a call only; that changes speed only.
 MEMO_WORDS = 200_000
 #: Not white space to the tokenizer's patterns, but to str.split.
@@ -60,8 +63,11 @@ class WordEncoder:
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         memo, merge, rest, parts, out = self.memo, self.merge, set(), [], {}
         for w in new:
+            if merge and w.isascii() and w.isalpha():
+                out[w] = merge(w.lower())
+                continue
             head = w.rstrip(string.punctuation)
-            if merge and head and head.isalpha() and max(head) < "\u0250" and "\u0130" not in head:
+            if merge and head.isalpha() and (head.isascii() or max(head) < "\u0250" and "\u0130" not in head):
                 low, tail = head.lower(), w[len(head):]
                 ids = memo.get(low) or out.get(low) or merge(low)
                 if not tail:
@@ -120,7 +126,8 @@ def word_merger(path: str):
     if order != sorted(order) or order and max(singles) > order[0]:
         return None
     core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
-    return lambda word: array("I", core._encode_single_piece(word.encode() + b"\xff")).tobytes()
+    piece = getattr(getattr(core, "_core_bpe", None), "encode_single_piece", core._encode_single_piece)  # without the wrapper's checks
+    return lambda word: array("I", piece(word.encode() + b"\xff")).tobytes()
 
 
 def encoder(path: str) -> WordEncoder:
@@ -198,21 +205,30 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
-    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_pieces(tokenizer, capacity, separator)), PIECES)
 
 
+def first_ranks(buckets: DataFrame) -> DataFrame:
+    """buckets: length, bucket, n. base: the pieces of that length in the buckets before, summed by blocks of BLOCK buckets, then within them."""
+    x = buckets.withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    earlier = lambda keys, by: W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    before = lambda keys, by: F.coalesce(F.sum("n").over(earlier(keys, by)), F.lit(0))
+    blocks = x.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", before(["length"], "block").alias("start"))
+    within = x.withColumn("within", before(["length", "block"], "bucket"))
+    return within.join(blocks, ["length", "block"]).select("length", "bucket", (F.col("start") + F.col("within")).alias("base"))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (PIECES) with sequence_id and offset."""
     spark = pieces.sparkSession
-    pieces = materialize(pieces, "pack-pieces")
+    with text_batches(spark):
+        pieces = materialize(pieces, "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     plan = np.array(sorted(plan_best_fit(counts, capacity)), dtype=np.int64).reshape(-1, 6)
     dealt = F.broadcast(spark.createDataFrame([(k, -(-n // BUCKET)) for k, n in counts.items()], "length long, buckets long"))
     pieces = pieces.join(dealt, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
     own = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = first_ranks(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     ranked = pieces.withColumn("own", F.row_number().over(own)).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("own") - 1)
     sent = spark.sparkContext.broadcast(plan)
     step = max(counts.values(), default=0) + 1
