@@ -94,17 +94,53 @@ def test_ranks_over_many_buckets(spark, monkeypatch):
     assert packing.pack(pieces.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json"])
-def test_counts_and_cache(spark, name):
+def test_ranks_over_many_blocks(spark, monkeypatch):
+    """A length that most pieces share: ranks stay gapless over buckets and blocks of buckets."""
+    monkeypatch.setattr(packing, "BUCKET", 2)
+    monkeypatch.setattr(packing, "BLOCK", 3)
+    pieces = spark.createDataFrame([(i, 0, 0, 9 if i % 10 else 2000, i) for i in range(200)], packing.PIECES)
+    buckets = pieces.groupBy("length", (F.col("doc_id") % 37).alias("bucket")).agg(F.count("*").alias("n"))
+    for length in (9, 2000):
+        at = 0
+        own = {r["bucket"]: r["n"] for r in buckets.where(F.col("length") == length).collect()}
+        for r in sorted(packing.first_ranks(buckets).where(F.col("length") == length).collect(), key=lambda r: r["bucket"]):
+            assert r["base"] == at
+            at += own[r["bucket"]]
+    got = packing.pack(pieces).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 200 and len({r["sequence_id"] for r in got}) == 21
+
+
+def test_packing_of_odd_ids(spark):
+    """Null and repeated ids: every row is packed."""
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "c"), (1, "c"), (1, "d e f")], "doc_id long, text string")
+    got = packing.pack(packing.tokenize(rows, public_tokenizers.path("word_bpe_49k.json"))).collect()
+    assert sorted((str(r["doc_id"]), r["piece"], r["length"]) for r in got) == sorted([("None", 0, 3), ("None", 0, 3), ("1", 0, 2), ("1", 0, 2), ("1", 0, 4)])
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 5
+
+
+@pytest.mark.parametrize("name, most", [("piece_bpe_32k.model", 200_000), ("word_bpe_49k.json", 200_000), ("piece_bpe_32k.model", 0)])
+def test_counts_and_cache(spark, name, most, monkeypatch):
+    """most 0: texts are shuffled to the misses instead of encoded where they lie."""
+    monkeypatch.setattr(token_counts, "BROADCAST_ROWS", most)
     path, cache = public_tokenizers.path(name), new_path(spark, "test-cache")
-    count = token_counts.load(path)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        count = lambda text: len(sp.encode(text))
+    else:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        count = lambda text: len(t.encode(text, add_special_tokens=False).ids)
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(docs(spark), path, cache).collect()}
-    assert got == {i: (len((t or "").encode()), count([t or ""])[0]) for i, t in enumerate(TEXTS)}
+    assert got == {i: (len((t or "").encode()), count(t or "")) for i, t in enumerate(TEXTS)}
     known = spark.read.parquet(cache)
     assert known.count() == len({t or "" for t in TEXTS})  # copies are encoded once
+    before = known.count()
     again = token_counts.count_tokens(docs(spark, [*TEXTS, "new"]), path, cache)
     assert again.count() == len(TEXTS) + 1
-    assert spark.read.parquet(cache).count() == known.count() + 1 or spark.read.parquet(cache).count() == len({t or "" for t in TEXTS}) + 1
+    assert spark.read.parquet(cache).count() == before + 1  # the rest was known
     assert token_counts.count_tokens(docs(spark, []), path, new_path(spark, "test-cache")).count() == 0
 
 
@@ -119,12 +155,14 @@ PAGES = "page_id long, url string, html string, refers_to string"
 
 def test_archives_round_trip(spark):
     long = "<html>" + "é\r\n\r\nWARC/1.1\r\n" * 30
-    rows = [(1, "http://a/", long), (2, "http://a b/\n", long), (3, None, None), (4, "u", "short"), (5, "u", "short"), (0, "u", long), (7, "u", "y" * 3_000_000), (None, "u", "z"), (-9, "u", "only"), (7, "u", "y" * 3_000_000)]
+    rows = [(1, "http://a/", long), (2, "http://a b/\n", long), (3, None, None), (4, "u", "short"), (5, "u", "short"), (0, "u", long), (7, "u", "y" * 3_000_000), (None, "u", "z"), (None, "u", long), (None, "u", "w" * 200), (None, "u", "w" * 200), (2**62, "u", "big"), (-(2**63), "u", "least"), (-9, "u", "only"), (7, "u", "y" * 3_000_000)]
     path = new_path(spark, "test-warc")
     warc.pages_to_warc(spark.createDataFrame([(*r, "clash") for r in rows], PAGES).repartition(3), path)
-    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, path).collect())
+    got = [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, path).collect()]
     n = len(long.encode())
-    assert got == sorted([(0, n, "response", None), (1, n, "revisit", 0), (2, n, "revisit", 0), (3, 0, "response", None), (4, 5, "response", None), (5, 5, "response", None), (7, 3_000_000, "response", None), (7, 3_000_000, "response", None), (-9, 4, "response", None)], key=lambda x: x[0])
+    want = [(0, n, "response", None), (1, n, "revisit", 0), (2, n, "revisit", 0), (3, 0, "response", None), (4, 5, "response", None), (5, 5, "response", None), (-9, 4, "response", None)]
+    want += [(7, 3_000_000, "response", None)] * 2 + [(None, 1, "response", None), (None, n, "revisit", 0), (2**62, 3, "response", None), (-(2**63), 5, "response", None)] + [(None, 200, "response", None)] * 2
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def test_empty_archive(spark):
@@ -145,6 +183,6 @@ def test_arc_versions(version):
     assert head["WARC-Date"] == "1999-01-02T03:04:05Z" and block == docs[0][4] and warc.key_of(head["WARC-Record-ID"]) == 5
 
 
-@pytest.mark.parametrize("key", [0, 1, -1, 2**61 - 1, -(2**61)])
+@pytest.mark.parametrize("key", [None, 0, 1, -1, 2**61, 2**63 - 1, -(2**63)])
 def test_identifiers_hold_keys(key):
     assert warc.key_of(warc.record_id("ab" * 32, key)) == key
