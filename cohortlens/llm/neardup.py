@@ -620,3 +620,18 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TRE
 
 def op7_chosen_path_dedup(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2, percent=80)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
+sets AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+one AS (SELECT rep, n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.rep AS a, b.rep AS b FROM one a JOIN one b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT rep AS a, rep AS root FROM sets UNION SELECT links.b, reach.root FROM reach JOIN links USING (a)),
+label AS (SELECT a AS rep, min(root) AS component_id FROM reach GROUP BY a)
+SELECT documents.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component_id, documents.doc_id) AS component_id, coalesce(component_id = documents.doc_id, true) AS kept
+FROM documents JOIN s ON s.doc_id IS NOT DISTINCT FROM documents.doc_id LEFT JOIN sets USING (s) LEFT JOIN label USING (rep)
+"""

@@ -26,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_block_ann": ann.ORACLE,
         "op3_impact_topk": impact.ORACLE,
         "op6_arc_to_warc": warc.ORACLE,
+        "op7_chosen_path_dedup": neardup.ORACLE,
         "op8_preference_formatting": chat.ORACLE,
     }

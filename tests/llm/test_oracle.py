@@ -1,0 +1,23 @@
+"""Every query of the subpackage with SQL against DuckDB on the same Parquet tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from cohortlens.llm import registry
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
+        path = f"{sf_dir}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    df = registry.queries()[name](spark, sf_dir)
+    cols = sorted(df.columns)
+    got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+    result = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == cols
+    assert got == sorted((tuple(r[names.index(c)] for c in cols) for r in result.fetchall()), key=repr)
