@@ -2,8 +2,8 @@
 
 Components become integers (floor(scale * x)). A tile of candidates is indexed as posting segments: for every
 dimension and sign the candidates whose magnitude falls in one impact level (the magnitude without its low ``SHIFT``
-bits). Segments are processed in descending order of impact over all dimensions, each adding query weight times impact
-to the accumulators of its postings. Every accumulator has a proven interval: a processed posting is off by at most
+bits). Segments are processed in descending order of impact over all dimensions, adding query weight times impact to the
+accumulators of their postings; those of one level are spread over a block and added by one product for a batch of queries. Every accumulator has a proven interval: a processed posting is off by at most
 half a level's width, and an unprocessed dimension contributes at most its weight times the largest impact left. After
 each level a query stops if the k-th highest lower bound proves that only k candidates can be members, or once all
 segments are in; the possible members are rescored exactly from the integers. So the result is exact whenever it stops.
@@ -33,26 +33,20 @@ LEVELS = 16
 
 
 def segments(c: np.ndarray, shift: int):
-    """[(impact level, dimension, sign, candidates)] by descending level; level 0 holds no segment (magnitudes under
-    1 << shift stay in the bounds)."""
-    out = []
+    """[(impact level, candidates, dimensions, signs)] by descending level: the posting segments of a level, one for each dimension and
+    sign, behind one another. Level 0 has none (magnitudes under 1 << shift stay in the bounds)."""
     level = np.abs(c) >> shift
-    for d in range(c.shape[1]):
-        order = np.argsort(-level[:, d], kind="stable")
-        order = order[level[order, d] > 0]
-        cuts = np.flatnonzero(np.diff(level[order, d])) + 1
-        for part in np.split(order, cuts):
-            if len(part):
-                for sign in (1, -1):
-                    own = part[(c[part, d] > 0) == (sign > 0)]
-                    if len(own):
-                        out.append((int(level[part[0], d]), d, sign, own))
-    return sorted(out, key=lambda s: -s[0])
-
-
-def rescore(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of c with q as longs; beyond a long the nearest one."""
-    if np.abs(c.astype(float)).max(initial=0) * np.abs(q.astype(float)).sum() < 2**62:
+    rows, dims = np.nonzero(level)
+    at, sign = level[rows, dims], np.sign(c[rows, dims])
+    order = np.lexsort((rows, -sign, dims, -at))
+    rows, dims, at, sign = rows[order], dims[order], at[order], sign[order].astype(np.float64)
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else []
+    return [(int(at[i]), rows[i:j], dims[i:j], sign[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+
+def rescore(c: np.ndarray, q: np.ndarray, fits: bool) -> np.ndarray:
+    """Inner products of the rows of c with q as longs, where they fit; else beyond a long the nearest one."""
+    if fits:
         return c @ q
     wide = c.astype(object) @ q.astype(object)
     return np.array([min(max(int(v), -(2**63)), 2**63 - 1) for v in wide], np.int64)
@@ -70,32 +64,36 @@ def cell_top(k: int):
             open_q = np.arange(a, min(a + BATCH, len(q)))
             weight = q[open_q].astype(np.float64)
             total = np.abs(weight).sum(axis=1)
-            acc, seen = np.zeros((len(c), len(open_q))), np.zeros((len(c), len(open_q)))
+            acc, seen = np.zeros((len(open_q), len(c))), np.zeros((len(open_q), len(c)))
             at = 0
             while len(open_q):
-                level = index[at][0] if at < len(index) else 0
-                while at < len(index) and index[at][0] == level:
-                    _, d, sign, own = index[at]
-                    acc[own] += weight[:, d] * (sign * (level * width + (width - 1) / 2))
-                    seen[own] += np.abs(weight[:, d])
+                if at < len(index):
+                    level, rows, dims, sign = index[at]
+                    posted = np.zeros(c.shape[::-1])
+                    posted[dims, rows] = sign
+                    acc += (weight * (level * width + (width - 1) / 2)) @ posted
+                    seen += np.abs(weight) @ np.abs(posted, out=posted)
                     at += 1
                 left = (index[at][0] + 1) * width - 1 if at < len(index) else width - 1
-                gap = seen * ((width - 1) / 2) + (total[None, :] - seen) * left
-                gap += np.where(total * most < 2**52, 0.0, total * most * 1e-12)[None, :]
-                own_row = c_ids[:, None] == q_ids[open_q][None, :]
-                low, high = (np.where(own_row, -np.inf, np.clip(x, -(2.0**63), 2.0**63)) for x in (acc - gap, acc + gap))
-                floor = np.partition(low, len(c) - k, axis=0)[len(c) - k] if len(c) > k else np.full(len(open_q), -np.inf)
-                live = (high >= floor[None, :]) & ~own_row
-                stop = (live.sum(axis=0) <= k) | (at >= len(index))
-                for col in np.flatnonzero(stop):
-                    rows = np.flatnonzero(live[:, col])
-                    scores = rescore(c[rows], q[open_q[col]])
+                # (width - 1) / 2 for what is processed, at most left for the rest
+                gap = seen * ((width - 1) / 2 - left) + (total * left + np.where(total * most < 2**52, 0.0, total * most * 1e-12))[:, None]
+                low, high = acc - gap, acc + gap
+                if (total * most).max() >= 2.0**63:
+                    low, high = (np.clip(x, -(2.0**63), 2.0**63) for x in (low, high))
+                own = np.minimum(np.searchsorted(c_ids, q_ids[open_q]), len(c) - 1)
+                mine = np.flatnonzero(c_ids[own] == q_ids[open_q])
+                low[mine, own[mine]] = high[mine, own[mine]] = -np.inf
+                floor = np.partition(low, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(open_q), -np.inf)
+                live = (high >= floor[:, None]) & (high > -np.inf)
+                stop = (live.sum(axis=1) <= k) | (at >= len(index))
+                for i in np.flatnonzero(stop):
+                    rows = np.flatnonzero(live[i])
+                    scores = rescore(c[rows], q[open_q[i]], most * total[i] < 2.0**62)
                     top = best(scores, c_ids[rows], k)
-                    found_q.append(np.full(len(top), q_ids[open_q[col]]))
+                    found_q.append(np.full(len(top), q_ids[open_q[i]]))
                     found_c.append(c_ids[rows[top]])
                     found_s.append(scores[top])
-                keep = ~stop
-                open_q, weight, total, acc, seen = open_q[keep], weight[keep], total[keep], acc[:, keep], seen[:, keep]
+                open_q, weight, total, acc, seen = (x[~stop] for x in (open_q, weight, total, acc, seen))
         return np.concatenate(found_q), np.concatenate(found_c), np.concatenate(found_s)
 
     return cell
