@@ -37,7 +37,39 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+#: Paths written inside each open scratch(), innermost last.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Inside, an operator that ends with its own last materialize() names what outlives it: the tables that materialize() wrote here are
+    deleted at the end, but those given to the function that this yields."""
+    kept: set[str] = set()
+    _open.append([])
+    try:
+        yield lambda *tables: kept.update(t._table_path for t in tables)
+    finally:
+        made = _open.pop()
+        for path in made:
+            if path not in kept:
+                delete(spark, path)
+            elif _open:
+                _open[-1].append(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage through Hadoop's file system API."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: A table may be broadcast when it has at most so many (narrow) rows: about 20 MB.

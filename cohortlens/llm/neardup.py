@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, materialize, text_batches, tidied
+from .common import BROADCAST_ROWS, broadcast_if_small, materialize, scratch, text_batches, tidied
 
 HASHES = 64
 TREES = 12
@@ -558,7 +558,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
         first = linked.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("f"))
         sets = first.select("k1", "k2", F.col("f.doc_id").alias("rep"), F.col("f.n_shingles").alias("n"), F.col("f.sig").alias("sig"))
         sets = materialize(sets.mapInArrow(tidied(_marks), "k1 long, k2 long, rep long, n long, sig binary, mark binary"), "near-distinct")
-        label = _classes(sets, docs, size, limits, trees)
+        with scratch(docs.sparkSession) as keep:  # some dozens of tables go
+            label = materialize(_classes(sets, docs, size, limits, trees), "near-classes")
+            keep(label)
     classes = sets.select("k1", "k2", "rep").join(label, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
@@ -568,17 +570,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
 def _classes(sets: DataFrame, docs: DataFrame, size: int, limits: Limits, trees: int) -> DataFrame:
     """(rep, label) of the sets in a link."""
     ends = lambda pairs: pairs.select(F.explode(F.array("hub", "other")).alias("doc_id"))
-    stars, members = crowd_stars(sets, limits), None
+    spark, members = sets.sparkSession, None
+    with scratch(spark) as keep:
+        stars = crowd_stars(sets, limits)
+        if stars is not None:
+            stars = materialize(stars, "near-stars")
+            keep(stars)
     whole = sets.select("rep", "n", "sig", "mark", F.col("rep").alias("cls"), F.lit(False).alias("crowd"))
     links = None
     if stars is not None:
-        stars = materialize(stars, "near-stars")
         links = materialize(confirm(stars, texts_of(docs, ends(stars)), size, limits.percent), "near-confirmed")
         members = materialize(links.select(F.col("hub").alias("cls"), F.col("other").alias("rep")).unionByName(links.select(F.col("hub").alias("cls"), F.col("hub").alias("rep")).distinct()), "near-members")
         whole = sets.select("rep", "n", "sig", "mark").join(broadcast_if_small(members, members.count()), "rep", "left")
         whole = whole.select("rep", "n", "sig", "mark", F.coalesce("cls", "rep").alias("cls"), F.col("cls").isNotNull().alias("crowd"))
-    found, rest = candidate_pairs(whole, limits, trees)
-    found = materialize(found.groupBy("hub", "other").agg(F.min("wave").alias("wave"), F.max("wave").alias("last")), "near-pairs")
+    with scratch(spark) as keep:
+        found, rest = candidate_pairs(whole, limits, trees)
+        found = materialize(found.groupBy("hub", "other").agg(F.min("wave").alias("wave"), F.max("wave").alias("last")), "near-pairs")
+        rest = rest if rest is None else materialize(rest, "near-large")
+        keep(found, *([] if rest is None else [rest]))
     pairs, edges = found.where("wave < 3").select("hub", "other", "wave"), found.where("last = 3").select("hub", "other")
     ids = ends(pairs)
     texts = texts_of(docs, ids if rest is None else ids.unionByName(rest.select(F.col("cls").alias("doc_id"))))
@@ -614,7 +623,9 @@ def _marks(batches):
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """docs without the documents that are near copies of one with a smaller doc_id in their class."""
-    gone = materialize(near_duplicates(docs, size, percent, trees).where("not kept").select("doc_id").distinct(), "near-gone")
+    with scratch(docs.sparkSession) as keep:
+        gone = materialize(near_duplicates(docs, size, percent, trees).where("not kept").select("doc_id").distinct(), "near-gone")
+        keep(gone)
     return docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -31,13 +31,13 @@ def clean_vectors(df: DataFrame, vector: str, drop_zero: bool) -> DataFrame:
 
 
 def grid(rows: DataFrame, is_query: Column, tile_q: int, tile_c: int) -> tuple[DataFrame, DataFrame]:
-    """(candidates, queries), each with dim and the cell's numbers ct and qt."""
+    """(candidates, queries), each with the columns of rows (id among them) and the cell's numbers ct and qt."""
     n, n_q = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     cts, qts = max(1, -(-n // tile_c)), max(1, -(-n_q // tile_q))
     ct, qt = F.pmod(F.xxhash64("id"), F.lit(cts)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(qts)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    cand = rows.select("id", "vec", "dim", ct.alias("ct"), every(qts).alias("qt"))
-    query = rows.where(is_query).select("id", "vec", "dim", qt.alias("qt"), every(cts).alias("ct"))
+    cand = rows.select("*", ct.alias("ct"), every(qts).alias("qt"))
+    query = rows.where(is_query).select("*", qt.alias("qt"), every(cts).alias("ct"))
     return cand, query
 
 

@@ -279,6 +279,23 @@ def test_crowds_are_collapsed(spark):
     assert stars.count() > 350
 
 
+def test_tables_of_a_scratch_go(spark):
+    from cohortlens.llm.common import materialize, path_exists, scratch
+
+    with scratch(spark) as outer:
+        with scratch(spark) as keep:
+            gone, kept = (materialize(spark.range(3), f"test-{k}") for k in range(2))
+            keep(kept)
+        assert not path_exists(spark, gone._table_path) and kept.count() == 3
+        last = materialize(spark.range(4), "test-last")
+        outer(last)
+    assert not path_exists(spark, kept._table_path) and last.count() == 4
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        lost = materialize(spark.range(1), "test-lost")
+        1 / 0
+    assert not path_exists(spark, lost._table_path) and materialize(spark.range(2), "test-free").count() == 2
+
+
 def test_very_long_texts(spark):
     words = [f"w{k}" for k in range(60_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:-5000])), (3, " ".join(words[20_000:])), (4, "w1 w2")]

@@ -59,12 +59,19 @@ def test_odd_vectors(spark, run):
     assert rows(run(frame(spark, [0], [[1, 1]]), F.col("id") == 0, 5)) == []
 
 
-def test_bounds_hold_for_extreme_scales():
+def test_bounds_hold_for_extreme_scales(spark):
     rng = np.random.default_rng(2)
-    q, c = rng.normal(size=(40, 9)) * 10.0 ** rng.integers(-12, 12, (40, 1)), rng.normal(size=(500, 9)) * 10.0 ** rng.integers(-12, 12, (500, 1))
-    qi, ci, s = ann.cell_top(5)(np.arange(40) + 1000, q, np.arange(500), c)
-    want = np.sort(np.array([ann.exact(np.repeat(q[i:i + 1], 500, axis=0), c) for i in range(40)]), axis=1)[:, ::-1][:, :5]
-    assert np.array_equal(np.array(s).reshape(40, 5), want)
+    v = rng.normal(size=(540, 9)) * 10.0 ** rng.integers(-12, 12, (540, 1))
+    low, high = ann.bounds(ann.quantise(v[:40]), ann.quantise(v[40:]))
+    true = np.array([ann.exact(np.repeat(v[i:i + 1], 500, axis=0), v[40:]) for i in range(40)])
+    assert (low <= true).all() and (true <= high).all()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for q, _, _, s in rows(ann.nearest(df, F.col("id") < 40, 5, tile_c=100)):
+        got.setdefault(q, []).append(s)
+    for i in range(40):
+        every = np.delete(ann.exact(np.repeat(v[i:i + 1], 540, axis=0), v), i)
+        assert got[i] == np.sort(every)[::-1][:5].tolist()
 
 
 def test_tiny_and_huge_components(spark):
