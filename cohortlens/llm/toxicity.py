@@ -8,7 +8,7 @@ collected (at most 2**``bits`` of them) and broadcast; every document is then sc
 
 Defined results. Null or empty text: the intercept's score. Null doc_id: scored; counts as not held out. Labels: of several
 for one doc_id the largest counts; null labels are ignored; without any label every score is 0.5. Only ``text`` is
-ever an input of a score. Repeated rows are scored each. Empty tables give no rows. Other columns stay as they are.
+ever an input of a score. Of documents that share a doc_id, that whose sorted features come first is learned from; all are scored. Empty tables give no rows. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     sample = known.select("doc_id", "y", F.md5(F.col("doc_id").cast("string")).alias("at")).orderBy("at", "doc_id").limit(params.max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("at", "y", "text")  # at most max_rows ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("at", "y", "text")  # at most max_rows ids, maybe of many rows
     bits = params.bits
 
     def hashed(batches):
@@ -106,7 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
         yield pa.RecordBatch.from_arrays([pa.array(idx.astype(np.int64)), pa.array(w)], ["i", "w"])
 
     with text_batches(docs.sparkSession):
-        fitted = rows.mapInArrow(tidied(hashed), "at string, y int, h array<int>").repartition(1).sortWithinPartitions("at").mapInArrow(tidied(learn), "i long, w double").toPandas()
+        rows = rows.mapInArrow(tidied(hashed), "at string, y int, h array<int>").groupBy("at", "y").agg(F.min("h").alias("h"))
+        fitted = rows.repartition(1).sortWithinPartitions("at").mapInArrow(tidied(learn), "i long, w double").toPandas()
     return fitted["i"].to_numpy(np.int64), fitted["w"].to_numpy(float)
 
 
