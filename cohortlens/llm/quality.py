@@ -12,8 +12,8 @@ by shuffle with adaptive splitting of skewed sites. Texts go through Python once
 their evidence, which sites are summed from and their posteriors joined to.
 
 Defined results. Null or empty text: features of ''. Null host or path: ''. Labels: of several for one doc_id the
-smallest counts; null labels are ignored; without labels of both classes the evidence is 0.5 throughout. Repeated rows
-are scored each and count each in their site. Empty tables give no rows. Other columns stay as they are.
+smallest counts; null labels are ignored; without labels of both classes the evidence is 0.5 throughout. Of documents that
+share a doc_id, that whose features come first is fitted on; all are scored and count in their site. Empty tables give no rows. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -77,8 +77,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> np.ndarray | None:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(params.max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", F.md5(F.col("doc_id").cast("string")).alias("at"), "text")  # at most max_rows ids
-    got = add_column(rows, "x", "double[]", lambda: lambda texts: [describe(t) for t in texts]).select("at", "y", "x").toPandas().sort_values(["at", "y"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", F.md5(F.col("doc_id").cast("string")).alias("at"), "text")  # at most max_rows ids, maybe of many rows
+    described = add_column(rows, "x", "double[]", lambda: lambda texts: [describe(t) for t in texts], keep=False)
+    got = described.groupBy("at", "y").agg(F.min("x").alias("x")).toPandas().sort_values("at")
     if got["y"].nunique() < 2:
         return None
     return fit(np.array(got["x"].tolist(), dtype=float), got["y"].to_numpy(float), params.ridge)

@@ -108,6 +108,19 @@ def test_stages_keep_clashing_columns(spark):
             broken()
 
 
+def test_training_takes_one_row_an_id(spark):
+    """An id of many rows counts once, so what reaches the learner is bounded by max_rows."""
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(rng.choice(WORDS, 12)) + (" VILE!!" if i % 3 == 0 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 != 0)) for i in range(60)], "doc_id long, toxic int, quality int")
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    often = spark.createDataFrame(texts + texts[:20] + [texts[0]] * 200, "doc_id long, text string")
+    p = toxicity.FtrlParams(bits=12, l1=0.5, epochs=2)
+    (i, w), (j, v) = toxicity.train(once, labels, p), toxicity.train(often, labels, p)
+    assert len(i) and i.tolist() == j.tolist() and w.tolist() == v.tolist()
+    assert quality.train(once, labels).tolist() == quality.train(often, labels).tolist()
+
+
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(1)
     rows = [(np.append(rng.choice(5000, 60, replace=False), [6000] if y else []).astype(int), int(y)) for y in rng.random(2000) < 0.3]
