@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, impact, mixing, neardup, packing, quality, token_counts, toxicity, warc
+from . import ann, chat, impact, mixing, neardup, packing, quality, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_preference_formatting": chat.op8_preference_formatting,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_site_quality": quality.op10_site_quality,
+        "op11_bk_simhash": simhash.op11_bk_simhash,
     }
 
 
