@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, impact, mixing, neardup, packing, quality, simhash, token_counts, toxicity, warc
+from . import ann, chat, impact, mixing, neardup, packing, quality, simhash, token_counts, toxicity, tput, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_site_quality": quality.op10_site_quality,
         "op11_bk_simhash": simhash.op11_bk_simhash,
+        "op12_tput_search": tput.op12_tput_search,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_arc_to_warc": warc.ORACLE,
         "op7_chosen_path_dedup": neardup.ORACLE,
         "op8_preference_formatting": chat.ORACLE,
+        "op12_tput_search": tput.ORACLE,
     }
