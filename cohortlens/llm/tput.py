@@ -5,10 +5,12 @@ dealt by ranges of (term, falling impact, row) and written sorted: each list lie
 fills as many as it needs, and the footers let a scan skip what lies below a threshold. A list's contribution to an item is the term's
 weight times the impact, so one order of the list serves all items. Then for each item, with m lists and k results:
 
-1. Heads: the k best postings of every list. Sums of their contributions are lower bounds; tau is the k-th highest.
-2. Uniform threshold: every posting that contributes tau / m or more. A document with none of these stays below tau. Sums give better
-   lower bounds and a better tau; what a document may still have in the lists where it was not seen, below the threshold and the head,
-   gives its upper bound. Documents whose upper bound is below tau go; ties stay.
+1. Heads: the k best postings of every list. Their documents are looked up in all lists, as sums over heads alone would be poor bounds
+   (a document is in few heads); tau is the k-th highest of these scores.
+2. Uniform threshold: every posting that contributes tau / m or more. A document with none of these stays below tau. The postings fetched
+   travel once, to their document, and meet the items there: sums by item and document are taken where they lie, and
+   only documents whose upper bound reaches tau leave the task (ties stay). The bound adds to the sum what the lists
+   where the document was not seen may still hold, below the threshold and the head.
 3. Lookups: exact scores of the documents left, from all lists, and the k best of them.
 
 All arithmetic on scores is on whole numbers, so the bounds are exact and no document is lost. Lists, terms and candidates are broadcast while
@@ -60,7 +62,9 @@ def _occurrences(known: dict[bytes, int] | None):
                     continue
                 ids.append(doc_id)
                 lengths.append(len(words))
-                for t, c in Counter(words).items() if known is None else Counter(filter(None.__ne__, map(known.get, words))).items():
+                for t, c in Counter(words if known is None else map(known.get, words)).items():
+                    if t is None:
+                        continue
                     flat.append(t.decode() if known is None else t)
                     counts.append(c)
                 at.append(len(flat))
@@ -98,22 +102,30 @@ def kth(scores: DataFrame, k: int, value: str) -> DataFrame:
     return scores.select("item_id", value, F.row_number().over(order).alias("r")).where(F.col("r") <= k).groupBy("item_id").agg(F.max(F.when(F.col("r") == k, F.col(value))).alias("tau"))
 
 
-def heads(postings: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """Phase 1: the lists with ``top`` (their highest impact) and tau of their item, 0 where fewer than k documents are seen."""
+def look_up(postings: DataFrame, lists: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The exact score of each wanted (item_id, row)."""
+    return postings.join(wanted, "row").join(lists, ["item_id", "term_id"]).groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+
+
+def heads(postings: DataFrame, lists: DataFrame, k: int, **small) -> DataFrame:
+    """Phase 1: the lists with ``top`` (their highest impact) and tau of their item, 0 where the heads show fewer than k documents."""
     best = Window.partitionBy("term_id").orderBy(F.desc("impact"), "row")
     head = materialize(postings.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), "tput-heads")
-    seen = head.join(lists, "term_id").groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("low"))
+    shown = materialize(head.join(lists, "term_id").select("item_id", "row").distinct(), "tput-shown")
+    scores = look_up(postings, lists, broadcast_if_small(shown, shown.count(), **small))
     tops = head.groupBy("term_id").agg(F.max("impact").alias("top"))
-    return lists.join(tops, "term_id").join(kth(seen, k, "low"), "item_id", "left").withColumn("tau", F.coalesce("tau", F.lit(0)))
+    return lists.join(tops, "term_id").join(kth(scores, k, "score"), "item_id", "left").withColumn("tau", F.coalesce("tau", F.lit(0)))
 
 
-def fetch(postings: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
-    """Phase 2: asked (item_id, term_id, w, least, unseen) -> (item_id, row, low, bound) of the postings from their list's ``least`` impact on;
-    bound sums what the lists where the row was seen could have given unseen."""
+def fetch(postings: DataFrame, asked: DataFrame, limits: DataFrame, rows: int, **small) -> DataFrame:
+    """Phase 2: asked (item_id, term_id, w, least, unseen), limits (item_id, most, tau) -> (item_id, row, low, high) of the documents seen from
+    their lists' ``least`` impact on whose upper bound reaches tau. ``unseen`` is what a list can give to a document not seen there."""
     floor = asked.groupBy("term_id").agg(F.min("least").alias("floor"))
-    above = postings.join(broadcast_if_small(floor, rows), "term_id").where("impact >= floor").drop("floor")
-    found = above.join(broadcast_if_small(asked, rows), "term_id").where("impact >= least")
-    return found.groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("low"), F.sum("unseen").alias("bound"))
+    above = postings.join(broadcast_if_small(floor, rows, **small), "term_id").where("impact >= floor").drop("floor")
+    found = above.repartition("row").join(broadcast_if_small(asked, rows, **small), "term_id").where("impact >= least")
+    sums = found.groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("low"), F.sum("unseen").alias("bound"))
+    sums = sums.join(broadcast_if_small(limits, rows, **small), "item_id").withColumn("high", F.col("low") + F.col("most") - F.col("bound"))
+    return sums.where("high >= tau").select("item_id", "row", "low", "high")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = K, term_limit: int = TERMS, broadcast: int | None = None) -> DataFrame:
@@ -132,19 +144,18 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, term_limit: int = TERM
         rows = lists.count()
         lists_small = broadcast_if_small(lists, rows, **small)
 
-        asked = heads(postings, lists_small, k)
+        asked = heads(postings, lists_small, k, **small)
         asked = asked.join(lists.groupBy("item_id").agg(F.count("*").alias("m")), "item_id")
         asked = asked.withColumn("least", F.expr("greatest((tau + w * m - 1) div (w * m), 1L)"))
         asked = materialize(asked.select("item_id", "term_id", "w", "least", F.expr("w * least(least - 1, top)").alias("unseen"), "tau"), "tput-asked")
+        limits = materialize(asked.groupBy("item_id").agg(F.sum("unseen").alias("most"), F.max("tau").alias("tau")), "tput-limits")
 
-        found = materialize(fetch(postings, asked, rows), "tput-found")
-        most = asked.groupBy("item_id").agg(F.sum("unseen").alias("most"), F.max("tau").alias("first"))
-        limits = materialize(most.join(kth(found, k, "low"), "item_id", "left").select("item_id", "most", F.greatest("first", F.coalesce("tau", F.lit(0))).alias("tau")), "tput-limits")
-        left = found.join(broadcast_if_small(limits, rows, **small), "item_id").where(F.col("low") + F.col("most") - F.col("bound") >= F.col("tau")).select("item_id", "row")
+        found = materialize(fetch(postings, asked, limits, rows, **small), "tput-found")
+        better = broadcast_if_small(kth(found, k, "low"), rows, **small)  # no more rows than items
+        left = found.join(better, "item_id", "left").where("tau is null or high >= tau").select("item_id", "row")
         left = materialize(left, "tput-candidates")
 
-        meets = postings.join(broadcast_if_small(left, left.count(), **small), "row").join(lists_small, ["item_id", "term_id"])
-        scores = meets.groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score")).where("score > 0")
+        scores = look_up(postings, lists_small, broadcast_if_small(left, left.count(), **small)).where("score > 0")
         scores = documents.select("row", "doc_id").join(scores, "row")
         order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
         out = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

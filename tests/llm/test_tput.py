@@ -66,9 +66,9 @@ def test_threshold_spares_most_postings(spark):
     docs = [(i, f"{t} {rare[i % 12]}" if i % 5 == 0 else t) for i, t in docs] + [(5000, " ".join(rare))]
     seen, fetch = [], tput.fetch
 
-    def counted(postings, asked, n):
+    def counted(postings, asked, *rest):
         seen.append((postings.join(asked, "term_id").count(), postings.join(asked, "term_id").where("impact >= least").count()))
-        return fetch(postings, asked, n)
+        return fetch(postings, asked, *rest)
 
     tput.fetch = counted
     try:
