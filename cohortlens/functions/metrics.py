@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import ranked, running, share_bucket
+from .ranks import bucket_of, cuts, running
 
 EPS = 2.220446049250313e-16
 
@@ -52,7 +52,7 @@ def _steps(rows: DataFrame, keys: list[str]) -> DataFrame:
     """tp and fp of each distinct score within keys, and their running sums by falling score."""
     hit, miss = F.when(F.col("y") == 1, F.col("w")).otherwise(0.0), F.when(F.col("y") == 1, 0.0).otherwise(F.col("w"))
     g = rows.groupBy(*keys, "p").agg(F.sum(hit).alias("tp"), F.sum(miss).alias("fp"))
-    return running(g, keys, -share_bucket(F.col("p")), [F.desc("p")], ["tp", "fp"])
+    return running(g, keys, -bucket_of(F.col("p"), cuts(g, F.col("p"))), [F.desc("p")], ["tp", "fp"])
 
 
 def curve(rows: DataFrame) -> DataFrame:
@@ -122,19 +122,17 @@ def hard_label(probs: Column) -> Column:
 
 def benjamini_hochberg(tests: DataFrame, pvalue: str = "p", family: list[str] | None = None) -> DataFrame:
     """tests with padj, monotone and at most 1, within each family; null p-values stay null and count for nothing."""
-    keys = list(family or [])
-    x = tests.withColumn("__b", share_bucket(F.col(pvalue)))
-    known = ranked(x.where(F.col(pvalue).isNotNull()), keys, F.col("__b"), [pvalue], "__r")
-    size = known.groupBy(*keys).agg(F.count("*").alias("__m")) if keys else known.agg(F.count("*").alias("__m"))
-    known = known.join(size.select(*[F.col(k).alias(f"__f_{k}") for k in keys], "__m"), _same(keys) if keys else F.lit(True)).drop(*[f"__f_{k}" for k in keys])
-    known = known.withColumn("__q", F.col(pvalue) * F.col("__m") / F.col("__r"))
-    least = known.groupBy(*keys, "__b").agg(F.min("__q").alias("__q_b"))
+    keys, p = list(family or []), F.col("__p")
+    g = tests.where(F.col(pvalue).isNotNull()).groupBy(*keys, F.col(pvalue).alias("__p")).agg(F.count("*").alias("__n"))  # equal p-values share a rank
+    g = running(g.withColumn("__b", bucket_of(p, cuts(g, p))), keys, F.col("__b"), ["__p"], ["__n"])
+    size = g.groupBy(*[F.col(k).alias(f"__f_{k}") for k in keys]).agg(F.max("cum___n").alias("__m")) if keys else g.agg(F.max("cum___n").alias("__m"))
+    g = g.join(size, _same(keys)).drop(*[f"__f_{k}" for k in keys]).withColumn("__q", p * F.col("__m") / F.col("cum___n"))
     after = W.partitionBy(*(keys or [F.lit(0)])).orderBy("__b").rowsBetween(1, W.unboundedFollowing)
-    later = least.select(*[F.col(k).alias(f"__f_{k}") for k in keys], F.col("__b").alias("__f___b"), F.min("__q_b").over(after).alias("__later"))
-    own = F.min("__q").over(W.partitionBy(*keys, "__b").orderBy("__r").rowsBetween(W.currentRow, W.unboundedFollowing))
-    known = known.withColumn("__own", own).join(later, _same([*keys, "__b"]))
-    done = known.select(*tests.columns, F.least("__own", "__later", F.lit(1.0)).alias("padj"))
-    return done.unionByName(tests.where(F.col(pvalue).isNull()).withColumn("padj", F.lit(None).cast("double")))
+    later = g.groupBy(*keys, "__b").agg(F.min("__q").alias("__q_b")).select(*[F.col(k).alias(f"__f_{k}") for k in keys], F.col("__b").alias("__f___b"), F.min("__q_b").over(after).alias("__later"))
+    own = F.min("__q").over(W.partitionBy(*keys, "__b").orderBy("__p").rowsBetween(W.currentRow, W.unboundedFollowing))
+    g = g.withColumn("__own", own).join(later, _same([*keys, "__b"]))
+    adjusted = g.select(*[F.col(k).alias(f"__f_{k}") for k in keys], F.col("__p").alias(f"__f_{pvalue}"), F.least("__own", "__later", F.lit(1.0)).alias("padj"))
+    return tests.join(adjusted, _same([*keys, pvalue]), "left").select(*tests.columns, "padj")
 
 
 def _same(keys: list[str]) -> Column:

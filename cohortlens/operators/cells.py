@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.digests import summed
+from ..functions.ranks import quantiles
+
 KEY = ("sample_id", "state")
 
 
@@ -142,12 +145,14 @@ def program_scores(cells: DataFrame, values: DataFrame, programs: DataFrame) ->
 
 
 def program_blocks(scores: DataFrame, thresholds: dict[str, float], min_cells: int) -> DataFrame:
-    """sample_id, state, program with mean, variance, q90 and fraction above the program's threshold."""
-    limit = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(thresholds.items()) for x in kv]), F.col("program"))
+    """sample_id, state, program with mean, variance, q90 and fraction above the program's threshold (null for programs without one)."""
+    limit = F.lit(None).cast("double")
+    for program, least in thresholds.items():  # declared
+        limit = F.when(F.col("program") == program, F.lit(float(least))).otherwise(limit)
     g = scores.groupBy(*KEY, "program").agg(
         F.count("*").alias("n_cells"), F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("ss"),
-        F.percentile("score", F.lit(0.9)).alias("q90"), F.count_if(F.col("score") > limit).alias("over"),
-    )
+        F.when(F.max(limit).isNotNull(), F.count_if(F.col("score") > limit)).alias("over"),
+    ).join(quantiles(scores, [*KEY, "program"], "score", {"q90": 0.9}), [*KEY, "program"])
     cols = {"program_mean": mean(), "program_variance": variance(), "program_q90": F.col("q90"), "program_fraction": mean("over")}
     return g.select(*KEY, "program", *[_if_enough(v, min_cells).alias(k) for k, v in cols.items()])
 
@@ -193,14 +198,5 @@ def profile_hash(counts: DataFrame, cells: DataFrame, universe: str) -> DataFram
 
 
 def multiset_digest(profiles: DataFrame) -> DataFrame:
-    """sample_id, n_cells, digest: the sum of the cells' digests modulo 2**256, in hexadecimal. Order does not matter and
-    multiplicity does. Eight sums of 32-bit limbs, then the carries."""
-    limb = lambda i: F.sum(F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"l{i}")
-    out = profiles.groupBy("sample_id").agg(F.count("*").alias("n_cells"), *[limb(i) for i in range(8)])
-    carry = F.lit(0).cast("long")
-    words = []
-    for i in range(7, -1, -1):
-        total = F.col(f"l{i}") + carry
-        words.append(F.lpad(F.lower(F.hex(total.bitwiseAND(0xFFFFFFFF))), 8, "0"))
-        carry = F.shiftright(total, 32)
-    return out.select("sample_id", "n_cells", F.concat(*reversed(words)).alias("digest"))
+    """sample_id, n_cells, digest: the sum of the cells' digests modulo 2**256, in hexadecimal."""
+    return summed(profiles, ["sample_id"], F.col("digest"), "n_cells")

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.digests import entry, summed
+from ..functions.ranks import quantiles
+
 
 def encode_outcome(metadata: DataFrame, outcome: str, positive: str | None = None) -> DataFrame:
     """label, code: labels in sorted order from 0, the positive one last. The label dimension is one row a class."""
@@ -64,11 +67,15 @@ def dataset_contract(metadata: DataFrame, features: DataFrame, group: str) -> Da
     return out
 
 
+def profile_digests(long: DataFrame) -> DataFrame:
+    """sample_id, digest of each sample's values that are not zero, whatever their order."""
+    return summed(long, ["sample_id"], entry(F.col("feature_id"), F.col("value")))
+
+
 def profile_duplicates(long: DataFrame, groups: DataFrame) -> DataFrame:
-    """digest, n_groups, n_samples of identical profiles in different groups. groups: sample_id, group."""
-    entry = F.concat_ws("=", "feature_id", F.when(F.col("value") == 0, F.lit("0")).otherwise(F.round("value", 6).cast("decimal(38,6)").cast("string")))
-    digest = long.groupBy("sample_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("digest"))
-    return digest.join(groups, "sample_id").groupBy("digest").agg(F.count_distinct("group").alias("n_groups"), F.count("*").alias("n_samples")).where("n_groups > 1")
+    """digest, n_groups, n_samples of identical profiles in different groups. groups: sample_id, group. Values are compared exactly; a zero
+    of either sign is as good as an absent value, a null is not."""
+    return profile_digests(long).join(groups, "sample_id").groupBy("digest").agg(F.count_distinct("group").alias("n_groups"), F.count("*").alias("n_samples")).where("n_groups > 1")
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -79,13 +86,14 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((vx > 1e-12) & (vy > 1e-12), (F.sum(x * y) - sx * sy / n) / F.sqrt(F.when((vx > 1e-12) & (vy > 1e-12), vx * vy)))
 
 
-def target_copies(long: DataFrame, target: DataFrame, n_classes: int | None) -> DataFrame:
-    """feature_id, n_distinct, r, copies_target. target: sample_id, y. With classes only features of at most so many
-    values are tested; continuous targets test all."""
+def target_copies(long: DataFrame, target: DataFrame, n_classes: int | None, min_count: float | None = None) -> DataFrame:
+    """feature_id, n_distinct, r, copies_target. target: sample_id, y. With classes only features of at most so many values are tested;
+    continuous targets test all. With min_count, counts that never reach it are not tested: no fold can use them."""
     j = long.join(target, "sample_id")
-    out = j.groupBy("feature_id").agg(F.count_distinct("value").alias("n_distinct"), pearson(F.col("value"), F.col("y")).alias("r"))
+    out = j.groupBy("feature_id").agg(F.count_distinct("value").alias("n_distinct"), pearson(F.col("value"), F.col("y")).alias("r"), F.max("value").alias("__most"))
     few = F.col("n_distinct") <= n_classes if n_classes else F.lit(True)
-    return out.withColumn("copies_target", F.coalesce(few & (F.abs("r") > 1 - 1e-12), F.lit(False)))
+    few = few & (F.col("__most") >= min_count) if min_count is not None else few
+    return out.withColumn("copies_target", F.coalesce(few & (F.abs("r") > 1 - 1e-12), F.lit(False))).drop("__most")
 
 
 def covariate_leakage(metadata: DataFrame, covariates: Sequence[str], outcome: str) -> DataFrame:
@@ -105,8 +113,8 @@ def ids_with_labels(metadata: DataFrame, labels: DataFrame, min_length: int = 3)
 def library_outliers(libraries: DataFrame) -> DataFrame:
     """libraries: sample_id, library. Adds deviation and outlier: |log1p - median| > max(5 * 1.4826 * MAD, 1.5)."""
     x = libraries.withColumn("log_library", F.log1p("library"))
-    x = x.join(F.broadcast(x.agg(F.median("log_library").alias("__m")))).withColumn("deviation", F.abs(F.col("log_library") - F.col("__m"))).drop("__m")  # one row
-    x = x.join(F.broadcast(x.agg(F.median("deviation").alias("__d"))))
+    x = x.join(F.broadcast(quantiles(x, [], "log_library", {"__m": 0.5}))).withColumn("deviation", F.abs(F.col("log_library") - F.col("__m"))).drop("__m")  # one row
+    x = x.join(F.broadcast(quantiles(x, [], "deviation", {"__d": 0.5})))
     return x.withColumn("outlier", F.col("deviation") > F.greatest(F.lit(5 * 1.4826) * F.col("__d"), F.lit(1.5))).drop("__d")
 
 
@@ -136,8 +144,10 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def eta_squared(df: DataFrame, batch: str, y: str) -> DataFrame:
     """Share of the variance of y between batches, weighted by rows."""
-    means = df.withColumn("m", F.avg(y).over(W.partitionBy(batch)))
-    g = means.agg(F.var_pop("m").alias("between"), F.var_pop(y).alias("all"))
+    per = df.where(F.col(y).isNotNull()).groupBy(batch).agg(F.count("*").alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
+    whole = F.broadcast(per.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("__m")))  # one row
+    off = F.col("n") * (F.col("m") - F.col("__m")) * (F.col("m") - F.col("__m"))
+    g = per.join(whole).agg(F.sum(off).alias("between"), (F.sum(off) + F.sum(F.col("n") * F.col("v"))).alias("all"))
     return g.select(F.when(F.col("all") > 0, F.col("between") / F.when(F.col("all") > 0, F.col("all"))).alias("eta_squared"))
 
 

@@ -55,7 +55,7 @@ def distribution_features(cells: DataFrame, counts: DataFrame, config: Config, p
         members = spark.createDataFrame([(p, g) for p, gs in config.programs.items() for g in gs], "program string, gene_id string")
         scores = C.program_scores(modeled, values, members)
         if program_blocks:
-            wide = C.program_blocks(scores, dict(config.program_thresholds) or {p: 0.0 for p in config.programs}, config.min_cells)
+            wide = C.program_blocks(scores, dict(config.program_thresholds), config.min_cells)
             each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in sorted(program_blocks)]))
             parts.append(wide.select("sample_id", "state", F.col("program").alias("source"), each.alias("x")).select("sample_id", "x.kind", "state", "source", "x.value"))
         if "program_correlation" in blocks and len(config.programs) > 1:

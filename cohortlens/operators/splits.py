@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranks import ranked
+from ..functions.ranks import bucket_of, cuts, ranked
 
 
 def shuffled(*keys: Column) -> Column:
@@ -49,8 +49,7 @@ def balanced_folds(sizes: DataFrame, folds: int, seed: int) -> DataFrame:
 def leave_one_out(metadata: DataFrame, key: str) -> DataFrame:
     """fold, sample_id of the test side: one fold for each value of key, numbered in order."""
     values = metadata.select(key).distinct()
-    bucket = F.substring(key, 1, 2) if dict(metadata.dtypes)[key] == "string" else F.lit(0)
-    folds = ranked(values, [], bucket, [key], "__fold").select(F.col(key).alias("__key"), (F.col("__fold") - 1).cast("int").alias("fold"))
+    folds = ranked(values, [], bucket_of(F.col(key), cuts(values, F.col(key))), [key], "__fold").select(F.col(key).alias("__key"), (F.col("__fold") - 1).cast("int").alias("fold"))
     return metadata.join(folds, F.equal_null(key, "__key")).select("fold", "sample_id")
 
 
@@ -102,22 +101,25 @@ def subsample_size(n_groups: int, fraction: float, inner_folds: int) -> int:
     return min(n_groups - 1, max(inner_folds, -(-int(n_groups * fraction * 10**9) // 10**9)))
 
 
-def subsample_groups(groups: DataFrame, size: int, inner_folds: int, seed: int, resample: int, tries: int = 20) -> DataFrame:
-    """The groups of one stability resample: of ``tries`` hash-ranked candidate sets of whole groups the first in which every
-    class has at least inner_folds groups. groups: group, label (null for continuous outcomes)."""
-    cand = groups.select("group", "label", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
-    order = W.partitionBy("try").orderBy(shuffled(F.lit(seed), F.lit(resample), F.col("try"), F.col("group")), "group")
-    cand = cand.withColumn("k", F.row_number().over(order)).where(F.col("k") <= size)
+def subsample_groups(groups: DataFrame, size: int, inner_folds: int, seed: int, resample: int, tries: int = 200) -> DataFrame:
+    """The groups of one stability resample: the ``size`` first by hash, in the first of ``tries`` orders that leaves every class at least
+    inner_folds of them; an error if none does. groups: group, label (null for continuous outcomes). Mostly the first order will do; each
+    costs an aggregation, whose rows are the classes."""
     classes = groups.select(F.count_distinct("label")).first()[0]
-    ok = cand.groupBy("try", "label").agg(F.count("*").alias("n")).groupBy("try").agg(F.count("label").alias("c"), F.min("n").alias("m")).where((F.col("c") == classes) & (F.col("m") >= inner_folds)).agg(F.min("try").alias("try"))
-    return cand.join(F.broadcast(ok), "try").select("group", "label")
+    for turn in range(tries):
+        h = shuffled(F.lit(seed), F.lit(resample), F.lit(turn), F.col("group"))
+        chosen = ranked(groups.select("group", "label"), [], F.substring(h, 1, 2), [h, "group"], "k").where(F.col("k") <= size).drop("k")
+        per = [r["n"] for r in chosen.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()]
+        if len(per) == classes and all(n >= inner_folds for n in per):
+            return chosen
+    raise ValueError("no subsample leaves every class enough groups for the inner folds: raise the fraction, or add groups")
 
 
 def permute_labels(groups: DataFrame, seed: int, permutation: int) -> DataFrame:
     """groups: group, stratum, label. Labels exchanged among the groups of a stratum: the label of rank i in group order goes
     to the group of rank i in hash order."""
     h = shuffled(F.lit(seed), F.lit(permutation), F.col("group"))
-    by_name = F.substring(F.col("group").cast("string"), 1, 2) if dict(groups.dtypes)["group"] == "string" else F.floor(F.col("group") / 4096)
+    by_name = bucket_of(F.col("group"), cuts(groups, F.col("group")))
     labels = ranked(groups.select("stratum", "group", "label"), ["stratum"], by_name, ["group"], "k").drop("group")
     places = ranked(groups.select("stratum", "group"), ["stratum"], F.substring(h, 1, 2), [h, "group"], "k")
     return places.join(labels, ["stratum", "k"]).select("group", "stratum", "label")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..functions.ranks import bucket_of, cuts, ranked, with_group
 from ..operators import cells as C
 from ..operators import contracts as K
 from ..sources.study import BASE_SQL, study, table
@@ -108,10 +108,10 @@ def chk3(spark, d):
 PEARSON = "CASE WHEN sum({x}*{x}) - sum({x})*sum({x})/count(*) > 1e-12 AND sum({y}*{y}) - sum({y})*sum({y})/count(*) > 1e-12 THEN (sum({x}*{y}) - sum({x})*sum({y})/count(*)) / sqrt((sum({x}*{x}) - sum({x})*sum({x})/count(*)) * (sum({y}*{y}) - sum({y})*sum({y})/count(*))) END"
 
 
-@query("chk4_target_copies", EXPR_SQL + f", t AS (SELECT feature_id, count(DISTINCT value) AS n_distinct, {PEARSON.format(x='value', y='account')} AS r FROM expr JOIN meta USING (sample_id) GROUP BY 1) SELECT feature_id, n_distinct, round(r, 6) AS r, coalesce(abs(r) > 1 - 1e-12, false) AS copies_target FROM t")
+@query("chk4_target_copies", EXPR_SQL + f", t AS (SELECT feature_id, count(DISTINCT value) AS n_distinct, max(value) AS most, {PEARSON.format(x='value', y='account')} AS r FROM expr JOIN meta USING (sample_id) GROUP BY 1) SELECT feature_id, n_distinct, round(r, 6) AS r, coalesce(most >= 5 AND abs(r) > 1 - 1e-12, false) AS copies_target FROM t")
 def chk4(spark, d):
     s = study(spark, d)
-    return K.target_copies(expression(s), metadata(s).select("sample_id", F.col("account").alias("y")), None).select("feature_id", "n_distinct", *r6("r"), "copies_target")
+    return K.target_copies(expression(s), metadata(s).select("sample_id", F.col("account").alias("y")), None, 5).select("feature_id", "n_distinct", *r6("r"), "copies_target")
 
 
 @query("chk5_covariate_leakage", META_SQL + ", l AS (SELECT 'donor' AS covariate, donor AS level, outcome FROM meta UNION ALL SELECT 'batch', batch, outcome FROM meta), k AS (SELECT covariate, level, count(DISTINCT outcome) AS k FROM l GROUP BY 1, 2) SELECT covariate, count(*) AS levels, count(*) > greatest(10, (SELECT count(*) FROM meta) / 2) AS high_cardinality, max(k) = 1 AS determines_outcome FROM k GROUP BY 1")
@@ -153,9 +153,9 @@ def set1(spark, d):
     return K.key_differences(table(spark, d, "customer").withColumnRenamed("c_custkey", "k"), table(spark, d, "orders").withColumnRenamed("o_custkey", "k"), "k")
 
 
-@query("set2_overlap", "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0")
+@query("set2_overlap", "SELECT l_suppkey AS k FROM lineitem INTERSECT SELECT s_suppkey FROM supplier")
 def set2(spark, d):
-    return K.group_overlap(table(spark, d, "lineitem").where("l_quantity > 49").withColumnRenamed("l_suppkey", "k"), table(spark, d, "supplier").where("s_acctbal > 0").withColumnRenamed("s_suppkey", "k"), "k")
+    return K.group_overlap(table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "k"), table(spark, d, "supplier").withColumnRenamed("s_suppkey", "k"), "k")
 
 
 @query("set3_difference", "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
@@ -174,7 +174,7 @@ def set4(spark, d):
 @query("set5_ordered_dedup", "WITH e AS (SELECT user_id, min(ts) AS t FROM events GROUP BY 1) SELECT user_id, row_number() OVER (ORDER BY t, user_id) AS position FROM e")
 def set5(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("t"))
-    return e.select("user_id", F.row_number().over(W.orderBy("t", "user_id")).cast("long").alias("position"))
+    return ranked(e, [], bucket_of(F.col("t"), cuts(e, F.col("t"))), ["t", "user_id"], "position").select("user_id", "position")
 
 
 @query("agg18_crosstab", "SELECT lang, toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
@@ -195,7 +195,7 @@ def agg20(spark, d):
 
 @query("win2_group_mean", META_SQL + " SELECT sample_id, round(avg(account) OVER (PARTITION BY batch), 6) AS batch_mean FROM meta")
 def win2(spark, d):
-    return metadata(study(spark, d)).select("sample_id", F.round(F.avg("account").over(W.partitionBy("batch")), 6).alias("batch_mean"))
+    return with_group(metadata(study(spark, d)), ["batch"], batch_mean=F.avg("account")).select("sample_id", *r6("batch_mean"))
 
 
 @query("agg31_distinct_counts", META_SQL + " SELECT count(DISTINCT donor) AS donors, count(DISTINCT outcome) AS classes, count(DISTINCT batch) AS batches, count(*) AS samples FROM meta")
@@ -236,11 +236,11 @@ def src2(spark, d):
     return to_long(to_wide(expression(s), genes), metadata(s))
 
 
-@query("src6_annotations", BASE_SQL + " SELECT g.gene_id, coalesce(gene_symbol, '') AS gene_symbol FROM (SELECT DISTINCT gene_id FROM counts) g LEFT JOIN (SELECT p_brand AS gene_id, min(p_name) AS gene_symbol FROM part WHERE p_size < 25 AND p_brand <> 'Brand#9' GROUP BY 1) USING (gene_id)")
+@query("src6_annotations", BASE_SQL + " SELECT g.gene_id, coalesce(gene_symbol, '') AS gene_symbol FROM (SELECT DISTINCT gene_id FROM counts) g LEFT JOIN (SELECT p_brand AS gene_id, min(p_name) AS gene_symbol FROM part WHERE p_brand <> 'Brand#9' GROUP BY 1) USING (gene_id)")
 def src6(spark, d):
     from ..sources.matrices import annotate
 
-    names = table(spark, d, "part").where("p_size < 25 and p_brand != 'Brand#9'").groupBy(F.col("p_brand").alias("gene_id")).agg(F.min("p_name").alias("gene_symbol"))
+    names = table(spark, d, "part").where("p_brand != 'Brand#9'").groupBy(F.col("p_brand").alias("gene_id")).agg(F.min("p_name").alias("gene_symbol"))
     return annotate(study(spark, d).genes, names)
 
 

@@ -245,9 +245,9 @@ def _gated(spark, d, blockers=()):
     return E.feature_gates(t, blockers, 0.3, 0.6, 0.2, TOL)
 
 
-@query("gat1_evidence_gates", GATED + " SELECT contrast, feature_id, ok AS passes_feature_stability_gates, ok AS passes_robustness_gates, CASE WHEN ok THEN 'candidate_predictive_association' ELSE 'exploratory_only' END AS evidence_status FROM gated")
+@query("gat1_evidence_gates", GATED + " SELECT contrast, feature_id, ok AS passes_feature_stability_gates, ok AS passes_robustness_gates, CASE WHEN ok THEN 'candidate_predictive_association' ELSE 'exploratory_only' END AS evidence_status, 'not_established' AS biological_validation, 'not_established' AS causal_claim FROM gated")
 def gat1(spark, d):
-    return _gated(spark, d).select("contrast", "feature_id", "passes_feature_stability_gates", "passes_robustness_gates", "evidence_status")
+    return _gated(spark, d).select("contrast", "feature_id", "passes_feature_stability_gates", "passes_robustness_gates", "evidence_status", "biological_validation", "causal_claim")
 
 
 @query("gat2_panel_gates", GATED + " SELECT contrast, feature_id, coalesce(ok AND abs(coefficient / 2) > 0.01 AND sign(coefficient) = sign(coefficient_median_selected) AND outer_selection_frequency >= 0.4 AND outer_sign_consistency >= 0.6 AND sign(coefficient) = outer_dominant_sign, false) AS passes_panel_gates FROM gated")

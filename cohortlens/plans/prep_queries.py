@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions.ranks import with_group
 from ..operators import contracts as K
 from ..operators import prep as P
 from ..operators import splits as S
@@ -287,9 +288,7 @@ def agg16(spark, d):
 
 @query("win3_group_sizes", SCORED + " SELECT doc_id, count(*) OVER (PARTITION BY source) AS n FROM s")
 def win3(spark, d):
-    from pyspark.sql import Window as W
-
-    return _scored(spark, d).select("doc_id", F.count("*").over(W.partitionBy("source")).alias("n"))
+    return with_group(_scored(spark, d), ["source"], n=F.count("*")).select("doc_id", "n")
 
 
 @query("met1_log_loss", SCORED + " SELECT round(sum(w * -ln(CASE WHEN y = 1 THEN greatest(p, 2.220446049250313e-16) ELSE 1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16) END)) / sum(w), 6) AS log_loss FROM r")
@@ -368,16 +367,21 @@ def met4_macro(spark, d):
 PV = "WITH t AS (SELECT p_partkey AS test, p_brand AS family, ((p_partkey * 7919 % 997) + 1) / 1000.0::DOUBLE * ((p_partkey * 7919 % 997) + 1) / 1000.0::DOUBLE AS p FROM part)"
 
 
-@query("win6_benjamini_hochberg", PV + ", r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS k, count(*) OVER (PARTITION BY family) AS m FROM t) SELECT test, round(p, 6) AS p, round(least(1, min(p * m / k) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS padj FROM r")
+ADJUSTED = PV + """, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS k, count(*) OVER (PARTITION BY family) AS m FROM t),
+adjusted AS (SELECT test, family, p, least(1, min(p * m / k) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS padj FROM r)"""
+
+
+@query("win6_benjamini_hochberg", ADJUSTED + " SELECT test, round(p, 6) AS p, round(padj, 6) AS padj FROM adjusted")
 def win6(spark, d):
     u = ((F.col("p_partkey") * 7919 % 997) + 1) / F.lit(1000.0)
     t = table(spark, d, "part").select(F.col("p_partkey").alias("test"), F.col("p_brand").alias("family"), (u * ((F.col("p_partkey") * 7919 % 997) + 1) / F.lit(1000.0)).alias("p"))
     return M.benjamini_hochberg(t, "p", ["family"]).select("test", *r6("p", "padj"))
 
 
-@query("agg26_min_adjusted_p", PV + " SELECT family AS gene_id, round(coalesce(min(p), 1), 6) AS padj FROM t GROUP BY 1")
+@query("agg26_min_adjusted_p", ADJUSTED + " SELECT family AS gene_id, round(coalesce(min(padj), 1), 6) AS padj FROM adjusted GROUP BY 1")
 def agg26(spark, d):
-    return win6(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("test"), F.col("p_brand").alias("gene_id")), "test").groupBy("gene_id").agg(F.round(F.coalesce(F.min("p"), F.lit(1.0)), 6).alias("padj"))
+    genes = table(spark, d, "part").select(F.col("p_partkey").alias("test"), F.col("p_brand").alias("gene_id"))
+    return win6(spark, d).join(genes, "test").groupBy("gene_id").agg(F.coalesce(F.min("padj"), F.lit(1.0)).alias("padj"))
 
 
 @query("agg27_expression_prevalence", EXPR + " SELECT feature_id, round(avg((value > 100)::INT), 6) AS prevalence FROM expr GROUP BY 1")
@@ -393,7 +397,7 @@ def mod9(spark, d):
     return x.groupBy("y").agg(F.sum("w").alias("w")).select("y", F.round(F.col("w") / F.sum("w").over(W.partitionBy(F.lit(1))), 6).alias("prior"))
 
 
-@query("val2_permutation_pvalue", "WITH l AS (SELECT p_size AS perm_id, count(*)::DOUBLE AS statistic FROM part WHERE p_size < 40 GROUP BY 1) SELECT round((1 + count(*) FILTER (statistic >= (SELECT statistic FROM l WHERE perm_id = 1) - 1e-12)) / (1 + count(*)), 6) AS pvalue FROM l WHERE perm_id <> 1")
+@query("val2_permutation_pvalue", "WITH l AS (SELECT p_size AS perm_id, count(*)::DOUBLE AS statistic FROM part GROUP BY 1) SELECT round((1 + count(*) FILTER (statistic >= (SELECT statistic FROM l WHERE perm_id = 1) - 1e-12)) / (1 + count(*)), 6) AS pvalue FROM l WHERE perm_id <> 1")
 def val2_pvalue(spark, d):
-    l = table(spark, d, "part").where("p_size < 40").groupBy(F.col("p_size").alias("perm_id")).agg(F.count("*").cast("double").alias("statistic"))
+    l = table(spark, d, "part").groupBy(F.col("p_size").alias("perm_id")).agg(F.count("*").cast("double").alias("statistic"))
     return M.permutation_pvalue(l, "perm_id = 1").select(*r6("pvalue"))

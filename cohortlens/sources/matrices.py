@@ -55,10 +55,10 @@ def to_long(wide: DataFrame, sample_ids: DataFrame, orientation: str = "auto") -
     """sample_id, feature_id, value from a matrix with one id column. sample_ids: sample_id. The orientation is that in which
     the ids of exactly one axis equal the samples; NaN becomes null."""
     first, *columns = wide.columns
-    wanted = {r[0] for r in sample_ids.select("sample_id").distinct().collect()}  # the specimens: a study has few
     if orientation == "auto":
-        rows = {r[0] for r in wide.select(first).collect()} if wide.count() == len(wanted) else set()
-        by_row, by_column = rows == wanted, set(columns) == wanted
+        wanted = sample_ids.select(F.col("sample_id").cast("string").alias("id")).distinct()
+        equal = lambda ids: wanted.exceptAll(ids).isEmpty() and ids.exceptAll(wanted).isEmpty()
+        by_row, by_column = equal(wide.select(F.col(f"`{first}`").cast("string").alias("id"))), equal(wide.sparkSession.createDataFrame([(c,) for c in columns], "id string"))
         if by_row == by_column:
             raise ValueError("the samples must match exactly one axis of the matrix")
         orientation = "samples" if by_row else "features"

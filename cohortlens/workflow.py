@@ -38,7 +38,7 @@ def check_study(long: DataFrame, metadata: DataFrame, config: Config) -> list[st
         balance = K.class_balance(metadata, config.outcome, group).collect()
         blockers += ["few_groups_in_a_class"] if any(r["few_groups"] for r in balance) else []
     y = metadata.select("sample_id", (F.col(config.outcome).cast("double") if config.outcome_type == "continuous" else F.xxhash64(config.outcome).cast("double")).alias("y"))
-    if config.outcome_type != "multiclass" and not K.target_copies(long, y, 2 if config.outcome_type == "binary" else None).where("copies_target").isEmpty():
+    if config.outcome_type != "multiclass" and not K.target_copies(long, y, 2 if config.outcome_type == "binary" else None, config.min_count if config.input_scale == "counts" else None).where("copies_target").isEmpty():
         blockers.append("target_copy")
     if metadata.select(group).distinct().count() < config.min_groups_gate:
         blockers.append("small_cohort")
@@ -211,7 +211,7 @@ def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, conf
         p = replace(p, perturbed=tuple(G.pack(v, metadata, config).x for v in perturbed))
         run.record("qc_report", {"samples": len(p.samples), "features": len(p.features), "groups": len(set(p.groups)), "classes": list(p.classes), "gate_blockers": blockers, "warnings": warnings, "batch": batch})
         run.record("feature_universe", {"features": list(p.features), "samples": list(p.samples), "classes": list(p.classes)})
-        run.table("profile_hashes", profile_hashes(long) if digests is None else digests.select("sample_id", "digest"))
+        run.table("profile_hashes", K.profile_digests(long) if digests is None else digests.select("sample_id", "digest"))
         for name, df in (extra or {}).items():
             run.table(name, df)
         run.table("principal_components", principal_components(spark, p, config))
@@ -324,12 +324,6 @@ def principal_components(spark: SparkSession, p: G.Packed, config: Config) -> Da
     return spark.createDataFrame([(i, float(x), float(y), *ratio, o, str(b)) for i, (x, y), o, b in zip(p.samples, axes, outcome, p.batches)], "sample_id string, pc1 double, pc2 double, ratio1 double, ratio2 double, outcome string, batch string")
 
 
-def profile_hashes(long: DataFrame) -> DataFrame:
-    """sample_id, digest of each sample's profile."""
-    entry = F.struct("feature_id", F.round("value", 6).alias("v"))
-    return long.groupBy("sample_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(entry))), 256).alias("digest"))
-
-
 def freeze(p: G.Packed, config: Config, strength: float, ratio: float, allowed: Sequence[int] | None = None) -> dict:
     """All that scoring new samples needs. allowed: the features of a panel."""
     if allowed is not None:
@@ -419,7 +413,7 @@ def external_validate(spark: SparkSession, run: str | Path, long: DataFrame, met
         if not metadata.select(F.col(config.group).cast("string").alias(config.group)).join(groups, config.group, "left_semi").isEmpty():
             raise ValueError("a group of the training study is in the external one")
     known = spark.read.parquet(Store(spark, run).path("profile_hashes.parquet"))
-    own = digests if digests is not None else profile_hashes(long) if config.input_scale != "features" else None  # summaries may tie
+    own = digests if digests is not None else K.profile_digests(long) if config.input_scale != "features" else None  # summaries may tie
     if own is not None and not own.join(known.select("digest"), "digest", "left_semi").isEmpty():
         raise ValueError("a profile of the training study is in the external one under another name")
     covariates = metadata.select("sample_id", *config.covariates) if config.covariates else None
