@@ -6,7 +6,7 @@ import argparse
 import sys
 from dataclasses import fields, replace
 
-from .config import Config
+from .config import EVERY_CELL, Config
 
 #: Keys of the configuration that single-cell and bulk runs take as lists, by the name of their option.
 LISTS = {"covariates": "covariate", "cell_states": "cell-state", "feature_blocks": "feature-block", "feature_genes": "feature-gene"}
@@ -30,15 +30,17 @@ def parser() -> argparse.ArgumentParser:
     bulk = sub.add_parser("bulk", help="delimited expression matrix and metadata")
     bulk.add_argument("--expression", required=True)
     bulk.add_argument("--annotations", help="CSV with gene_id, gene_symbol, joined after modelling")
-    cells = sub.add_parser("single-cell", help="Parquet tables cells and counts")
-    cells.add_argument("--cells", required=True)
-    cells.add_argument("--counts", required=True)
+    cells = sub.add_parser("single-cell", help="an H5AD file, or Parquet tables cells and counts")
+    cells.add_argument("--h5ad")
+    cells.add_argument("--cells")
+    cells.add_argument("--counts")
     external = sub.add_parser("external", help="score and evaluate new samples with a complete run")
     external.add_argument("--run", required=True)
     external.add_argument("--expression")
     external.add_argument("--metadata")
     external.add_argument("--cells", help="with --counts, of a run on distribution features")
     external.add_argument("--counts")
+    external.add_argument("--h5ad", help="in place of both")
     external.add_argument("--model-kind", choices=("full", "panel"), default="full")
     mtx = sub.add_parser("import-mtx", help="Matrix Market to Parquet tables")
     for name in ("matrix", "genes", "barcodes"):
@@ -89,12 +91,26 @@ def pseudobulk_studies(cells, counts, config) -> dict:
 
 
 def read_cells(spark, args, config):
-    """(cells with the column state, counts); the state is the configured cell type's column."""
-    cells, counts = spark.read.parquet(args.cells), spark.read.parquet(args.counts)
-    if config.cell_type and config.cell_type != "state":
-        cells = cells.drop("state").withColumnRenamed(config.cell_type, "state")
-    if config.sample_id != "sample_id":
-        cells = cells.withColumnRenamed(config.sample_id, "sample_id")
+    """(cells with sample_id, state and the columns that have a role, counts); the state is the configured cell type's column. Columns that
+    lack, or have blanks, are errors."""
+    from pyspark.sql import functions as F
+
+    from .operators import contracts as K
+    from .sources.h5ad import read_h5ad
+
+    if bool(args.h5ad) == bool(args.cells) or bool(args.cells) != bool(args.counts):
+        raise ValueError("give either --h5ad, or --cells and --counts")
+    cells, counts = read_h5ad(spark, args.h5ad, config.layer, config.chunk_size) if args.h5ad else (spark.read.parquet(args.cells), spark.read.parquet(args.counts))
+    if not config.cell_type and "state" not in cells.columns:
+        cells = cells.withColumn("state", F.lit(EVERY_CELL))
+    roles = dict.fromkeys([config.outcome, *config.covariates, *(c for c in (config.group, config.batch, config.permutation_strata, config.time) if c)])
+    source = {"cell_id": "cell_id", "sample_id": config.sample_id, "state": config.cell_type or "state"} | {c: c for c in roles if c != config.sample_id}
+    if lacking := sorted(set(source.values()) - set(cells.columns)):
+        raise ValueError("the cells lack the columns " + ", ".join(lacking))
+    cells = cells.select(*[F.col(f"`{c}`").cast("string").alias(n) if n in ("sample_id", "state") else F.col(f"`{c}`").alias(n) for n, c in source.items()])
+    blank = [r["column"] for r in K.missing_cells(cells, list(source)).where("violations > 0").collect()]
+    if blank:
+        raise ValueError("the cells have blanks in " + ", ".join(sorted(blank)))
     return cells, counts
 
 
@@ -164,11 +180,12 @@ def run_external(spark, args) -> None:
     from .sources.runs import verify
     from .workflow import evaluate_external
 
-    if bool(args.expression) == bool(args.cells) or bool(args.expression) != bool(args.metadata) or bool(args.cells) != bool(args.counts):
-        raise ValueError("give either --expression and --metadata, or --cells and --counts")
+    of_cells = bool(args.cells or args.counts or args.h5ad)
+    if bool(args.expression) == of_cells or bool(args.expression) != bool(args.metadata):
+        raise ValueError("give either --expression and --metadata, or --h5ad, or --cells and --counts")
     config = load_config(None, verify(args.run, ["model"], spark)["configuration"])
     contract, digests = None, None
-    if args.cells:
+    if of_cells:
         cells, counts = read_cells(spark, args, config)
         meta = specimen_metadata(cells)
         if config.single_cell_mode == "distribution":
@@ -189,6 +206,7 @@ def run_external(spark, args) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
 
     from .sources import matrices as S
@@ -210,7 +228,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             run_cells(spark, args)
         return 0
-    except (ValueError, OSError, ImportError) as e:
+    except (ValueError, OSError, ImportError, PySparkException) as e:
         print(f"ERROR: {e}", file=sys.stderr)
         return 1
 

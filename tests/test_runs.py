@@ -204,33 +204,6 @@ def test_pinned_files(spark, tmp_path):
     assert not (tmp_path / "kept/y.csv").exists()
 
 
-class FakeFile(dict):
-    """As much of an open H5AD file as the source reads."""
-
-    attrs = {"_index": "names"}
-
-    def __enter__(self):
-        return self
-
-    def __exit__(self, *_):
-        return False
-
-
-@pytest.mark.parametrize("sparse", [True, False])
-def test_h5ad_blocks(monkeypatch, sparse):
-    from cohortlens.sources import h5ad
-
-    dense = np.array([[0, 2, 0], [1, 0, 0], [0, 0, 0], [4, 0, 5], [0, 6, 0]], float)
-    rows, cols = np.nonzero(dense)
-    matrix = {"indptr": np.r_[0, np.cumsum((dense != 0).sum(axis=1))], "indices": cols, "data": dense[rows, cols]} if sparse else dense
-    names = lambda xs: FakeFile(names=np.array([x.encode() for x in xs]))
-    file = FakeFile(obs=names(["c0", "c1", "c2", "c3", "c4"]), var=names(["g0", "g1", "g2"]), X=matrix)
-    monkeypatch.setattr(h5ad.H5adReader, "_open", lambda self: (file, file["X"]))
-    reader = h5ad.H5adReader({"path": "x.h5ad", "chunk_size": "2"})
-    got = [tuple(r.values()) for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
-    assert len(reader.partitions()) == 3 and got == [(f"c{i}", f"g{j}", dense[i, j]) for i, j in zip(rows, cols)]
-
-
 def test_command_line_runs(spark, tmp_path, capsys):
     from cohortlens.__main__ import main
 
