@@ -388,13 +388,56 @@ def test_synthetic_studies(spark, tmp_path):
 
     for scenario in Y.SCENARIOS:
         long, meta, truth = Y.bulk(spark, 24, 8, 3, scenario)
-        assert long.count() == 192 and meta.count() == 24 and len(truth) == (0 if scenario == "noise" else 4)
+        assert long.count() == 192 and meta.count() == 24 and len(truth) == {"noise": 0, "batch_confounded": 0, "correlated": 6, "multiclass": 6}.get(scenario, 4)
     cells_, counts = Y.cells(spark, 3, 6, 4)
     assert cells_.count() == 48 and C.pseudobulk(cells_, counts).count() == 12 * 6
     Y.write_example(spark, tmp_path / "e", samples=12, features=5)
     assert load_config(tmp_path / "e/config.json").group == "donor"
 
 
+def test_synthetic_scenarios_plant_what_they_say(spark):
+    from cohortlens.sources import synthetic as Y
+
+    def study(scenario, samples=90, features=30):
+        long, meta, truth = Y.bulk(spark, samples, features, 5, scenario)
+        assert sorted(map(tuple, long.repartition(3).collect())) == sorted(map(tuple, Y.bulk(spark, samples, features, 5, scenario)[0].collect()))
+        wide = long.toPandas().pivot(index="sample_id", columns="feature_id", values="value")
+        return np.log(wide.to_numpy() + 1), meta.orderBy("sample_id").toPandas(), truth
+
+    shift = lambda x, y: x[y].mean(axis=0) - x[~y].mean(axis=0)
+    x, m, truth = study("signal")
+    d = shift(x, (m.phenotype == "1").to_numpy())
+    assert (abs(d[:4]) > 1).all() and (np.sign(d[:4]) == list(truth.values())).all() and (abs(d[4:]) < 0.5).all() and (m.phenotype == "1").sum() == 45
+    x, m, truth = study("batch_confounded")
+    assert truth == {} and ((m.batch == "batch_case") == (m.phenotype == "1")).all() and (shift(x, (m.phenotype == "1").to_numpy())[:20] > 1).all()
+    x, m, _ = study("correlated")
+    r = np.corrcoef(x[:, :8].T)
+    assert r[:6, :6].min() > 0.8 and abs(r[:6, 6:]).max() < 0.5 and (shift(x, (m.phenotype == "1").to_numpy())[:6] > 1).all()
+    x, m, _ = study("multiclass")
+    assert all((shift(x, (m.phenotype == str(c)).to_numpy())[2 * c:2 * c + 2] > 1).all() for c in range(3))
+    x, m, _ = study("batch_specific")
+    inside, one = (m.batch == "batch_0").to_numpy(), (m.phenotype == "1").to_numpy()
+    assert (shift(x[inside], one[inside])[:4] > 1).all() and (abs(shift(x[~inside], one[~inside])[:4]) < 0.6).all()
+    x, m, _ = study("outliers")
+    assert x[0].mean() > x[1:].mean() + 5
+    assert (study("imbalance")[1].phenotype == "1").sum() == 18 and (study("noise")[2]) == {}
+    x, m, _ = study("continuous")
+    assert (np.corrcoef(x[:, :4].T, m.phenotype)[4, :4] * [1, 1, -1, -1] > 0.8).all()
+
+
+def test_synthetic_cells_do_not_depend_on_partitions(spark):
+    from cohortlens.sources import synthetic as Y
+
+    cells_, counts = Y.cells(spark, 4, 10, 25)
+    again = [d.repartition(5) for d in Y.cells(spark, 4, 10, 25)]
+    digest = lambda c, k: sorted(map(tuple, C.multiset_digest(C.profile_hash(k, c, "u")).collect()))
+    assert digest(cells_, counts) == digest(*again)
+    assert digest(cells_, counts) != digest(*Y.cells(spark, 4, 10, 25, seed=8))
+    means = C.pseudobulk(cells_, counts).join(cells_.select("sample_id", "phenotype").distinct(), "sample_id").groupBy("gene_id").pivot("phenotype", ["0", "1"]).agg(F.sum("count")).toPandas().sort_values("gene_id")
+    ratio = (means["1"] / means["0"]).to_numpy()
+    assert (ratio[:4] > 3).all() and (ratio[4:] < 2).all() and ratio[4:].min() > 0.5
+
+
 def test_distribution_features(spark):
     from cohortlens.operators import distribution as D
     from cohortlens.sources import synthetic as Y
