@@ -115,23 +115,74 @@ def gene_blocks(grid: DataFrame, thresholds: Sequence[float], min_cells: int) ->
     return long.select(*KEY, "f.kind", "f.source", _if_enough(F.col("f.value"), min_cells).alias("value"))
 
 
-def pair_moments(values: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) declared: sums over all cells; only cells with both genes add to the product. One pass: a cell's values of declared
-    genes as a map, its pairs from that."""
-    names = sorted({(r["a"], r["b"]) for r in pairs.select("a", "b").collect()})  # declared
-    declared = sorted({g for p in names for g in p})
+#: Doubles of a dense block of cells, and of their products.
+BLOCK = 1 << 21
+
+
+def _gram(size: int, left: list[int], right: list[int]):
+    """Rows (sample_id, state, at, v), a cell's places among the declared names and its values there, sorted by group -> for each group of a
+    task the sums by place (a = b) and the sums of products by pair (sample_id, state, a, b, s, ss). Cells are multiplied a dense block at a time."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = max(1, BLOCK // max(size, len(left), 1))
+        key, sums = None, None
+
+        def flush():
+            s, ss, ab = sums
+            a, b = np.r_[np.arange(size), left].astype(np.int32), np.r_[np.arange(size), right].astype(np.int32)
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.string()), pa.array(a), pa.array(b), pa.array(np.r_[s, np.zeros(len(left))]), pa.array(np.r_[ss, ab])], ["sample_id", "state", "a", "b", "s", "ss"])
+
+        for batch in batches:
+            keys = list(zip(batch.column("sample_id").to_pylist(), batch.column("state").to_pylist()))
+            begins = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])] if keys else []
+            for begin, end in zip(begins, [*begins[1:], len(keys)]):
+                if keys[begin] != key:
+                    if key is not None:
+                        yield flush()
+                    key, sums = keys[begin], [np.zeros(size), np.zeros(size), np.zeros(len(left))]
+                for k in range(begin, end, rows):
+                    part = batch.slice(k, min(rows, end - k))
+                    at, v = part.column("at"), part.column("v")
+                    x = np.zeros((part.num_rows, size))
+                    x[np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = v.flatten().to_numpy()
+                    sums[0] += x.sum(axis=0)
+                    sums[1] += (x * x).sum(axis=0)
+                    sums[2] += np.einsum("ij,ij->j", x[:, left], x[:, right])
+        if key is not None:
+            yield flush()
+
+    return run
+
+
+def pair_sums(values: DataFrame, name: str, value: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """sample_id, state, a, b, sa, ssa, sb, ssb, ab of each group that has a row and each declared pair of names: sums over its cells, an
+    absent value being a zero. values: cell_id, sample_id, state and the two columns. A cell's declared values form one row; rows are dealt by
+    ranges of (group, cell), so a group of any size is split evenly and a task meets few groups; tasks multiply blocks of cells and
+    send on a row a group and pair. The plan does not grow with the pairs."""
+    spark, declared = values.sparkSession, sorted({n for p in pairs for n in p})
+    place = {n: i for i, n in enumerate(declared)}
+    places = F.broadcast(spark.createDataFrame(list(place.items()), f"{name} string, __at int"))  # declared names
+    own = values.where(F.col(value) != 0).join(places, name).groupBy("cell_id", *KEY).agg(F.sort_array(F.collect_list(F.struct("__at", F.col(value).cast("double").alias("__v")))).alias("e"))
+    own = own.select("cell_id", *KEY, F.col("e.__at").alias("at"), F.col("e.__v").alias("v"))
+    dealt = own.repartitionByRange(*KEY, "cell_id").sortWithinPartitions(*KEY).drop("cell_id")
+    found = dealt.mapInArrow(_gram(len(declared), [place[a] for a, _ in pairs], [place[b] for _, b in pairs]), "sample_id string, state string, a int, b int, s double, ss double")
+    found = found.groupBy(*KEY, "a", "b").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    one = lambda side: found.where("a = b").select(*KEY, F.col("a").alias(side), F.col("s").alias(f"s{side}"), F.col("ss").alias(f"ss{side}"))
+    wanted = spark.createDataFrame([(a, b, place[a], place[b]) for a, b in pairs], "an string, bn string, a int, b int")
+    grid = values.select(*KEY).distinct().join(F.broadcast(wanted.agg(F.collect_list(F.struct("*")).alias("p"))))  # one row: the declared pairs
+    grid = grid.select(*KEY, F.explode("p").alias("p")).select(*KEY, "p.*")
+    out = grid.join(one("a"), [*KEY, "a"], "left").join(one("b"), [*KEY, "b"], "left").join(found.where("a <> b").select(*KEY, "a", "b", F.col("ss").alias("ab")), [*KEY, "a", "b"], "left")
     sums = ("sa", "ssa", "sb", "ssb", "ab")
-    own = F.map_from_entries(F.collect_list(F.when(F.col("gene_id").isin(declared), F.struct("gene_id", "value")))).alias("m")
-    cell = values.groupBy("cell_id", *KEY).agg(own)
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.try_element_at("m", F.lit(a)).alias("a"), F.try_element_at("m", F.lit(b)).alias("b")) for i, (a, b) in enumerate(names)]))
-    x = cell.select(*KEY, each.alias("x")).select(*KEY, "x.*").where("a is not null or b is not null or i = 0")  # the first pair keeps every group
-    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0.0)).alias(name)
-    a, b = F.col("a"), F.col("b")
-    per = x.groupBy(*KEY, "i").agg(total(a, "sa"), total(a * a, "ssa"), total(b, "sb"), total(b * b, "ssb"), total(a * b, "ab"))
-    found = per.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct(*sums)))).alias("m"))
-    none = F.struct(*[F.lit(0.0).alias(c) for c in sums])
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.try_element_at("m", F.lit(i)), none).alias("s")) for i, (a, b) in enumerate(names)]))
-    return found.select(*KEY, grid.alias("x")).select(*KEY, "x.a", "x.b", "x.s.*")
+    return out.select(*KEY, F.col("an").alias("a"), F.col("bn").alias("b"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sums])
+
+
+def pair_moments(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) of genes, declared: the sums of pair_sums."""
+    return pair_sums(values, "gene_id", "value", sorted({(r["a"], r["b"]) for r in pairs.select("a", "b").collect()}))
 
 
 def program_scores(cells: DataFrame, values: DataFrame, programs: DataFrame) -> DataFrame:
@@ -159,11 +210,11 @@ def program_blocks(scores: DataFrame, thresholds: dict[str, float], min_cells: i
 
 def program_correlations(scores: DataFrame) -> DataFrame:
     """For every pair of programs (a < b), the correlation of their scores within each (sample, state)."""
-    b = scores.select("cell_id", F.col("program").alias("b"), F.col("score").alias("vb"))
-    pairs = scores.withColumnsRenamed({"program": "a", "score": "va"}).join(b, "cell_id").where("a < b")
-    x, y = F.col("va"), F.col("vb")
-    g = pairs.groupBy(*KEY, "a", "b").agg(F.count("*").alias("n_cells"), F.sum(x).alias("sa"), F.sum(y).alias("sb"), F.sum(x * x).alias("ssa"), F.sum(y * y).alias("ssb"), F.sum(x * y).alias("ab"))
-    return g.select(*KEY, "a", "b", correlation("sa", "sb", "ssa", "ssb", "ab").alias("value"))
+    names = sorted(r[0] for r in scores.select("program").distinct().collect())  # declared
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    totals = scores.where(F.col("program") == names[0]).groupBy(*KEY).agg(F.count("*").alias("n_cells")) if names else cell_totals(scores)
+    found = pair_sums(scores, "program", "score", pairs).join(totals, [*KEY])
+    return found.select(*KEY, "a", "b", correlation("sa", "sb", "ssa", "ssb", "ab").alias("value"))
 
 
 def technical(quality: DataFrame, keep: Column) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import json
 import math
@@ -16,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a file that an executor hashes as one value.
+HASHED = 1 << 28
+
+
 def strict(value: Any) -> Any:
     """JSON-ready: numbers that are not finite become null, tuples lists, keys text."""
     if isinstance(value, float):
@@ -66,9 +69,22 @@ class Store:
             stream.close()
 
     def hashes(self) -> dict[str, str]:
-        """name -> SHA-256 of every data file below the folder; files are read by executors."""
+        """name -> SHA-256 of every data file below the folder. Executors hash files of up to HASHED bytes, each one value; larger ones stream
+        through the driver's JVM in a buffer, as a hash has no parts."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root)
-        return {r["path"].removeprefix(self.root + "/"): r["h"] for r in files.select("path", F.sha2("content", 256).alias("h")).collect()}
+        own = {r["path"]: r["h"] for r in files.where(F.col("length") <= HASHED).select("path", F.sha2("content", 256).alias("h")).collect()}
+        own |= {r["path"]: self.digest(r["path"]) for r in files.where(F.col("length") > HASHED).select("path").collect()}
+        return {k.removeprefix(self.root + "/"): v for k, v in own.items()}
+
+    def digest(self, path: str) -> str:
+        """SHA-256 of one file, read in a buffer."""
+        jvm = self.spark.sparkContext._jvm
+        stream = jvm.java.security.DigestInputStream(self.fs.open(self.make(path)), jvm.java.security.MessageDigest.getInstance("SHA-256"))
+        try:
+            jvm.org.apache.commons.io.IOUtils.copyLarge(stream, jvm.java.io.OutputStream.nullOutputStream())
+        finally:
+            stream.close()
+        return bytes(stream.getMessageDigest().digest()).hex()
 
 
 def as_json(value: Any) -> bytes:
@@ -131,7 +147,7 @@ def verify(folder: str | Path, names: list[str] | None = None, spark: SparkSessi
     if names is not None and (lacking := set(names) - {k.rsplit(".", 1)[0] for k in want}):
         raise ValueError(f"the run has no {', '.join(sorted(lacking))}")
     try:
-        got = store.hashes() if names is None else {k: hashlib.sha256(store.read(k)).hexdigest() for k in want if store.exists(k)}
+        got = store.hashes() if names is None else {k: store.digest(store.path(k)) for k in want if store.exists(k)}
     except (Py4JJavaError, PySparkException) as e:
         raise ValueError("a file of the run has changed and cannot be read") from e
     for name, digest in want.items():

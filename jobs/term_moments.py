@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import cells as C
 from cohortlens.sources.texts import corpus_study
+from cohortlens.streaming.moments import replace_partitions
 from jobs.command import defaults, main
 
 log = logging.getLogger("jobs.term_moments")
@@ -36,11 +37,6 @@ SETTINGS = defaults(__file__)
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
-def _replace(df: DataFrame, path: str, *partitions: str) -> None:
-    """Write the partitions of df in place of those of the same values."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
-
-
 def partials(docs: DataFrame, thresholds: list[float]) -> tuple[DataFrame, DataFrame]:
     """The additive sums of some documents: moments by (source, language, word), and cells by (source, language)."""
     study = corpus_study(docs)
@@ -86,8 +82,8 @@ def take_new(spark: SparkSession, documents: str, output: str, settings: dict) -
     def add(batch: DataFrame, batch_id: int) -> None:
         moments, totals = partials(batch, settings["thresholds"])
         number = F.lit(batch_id).cast("long").alias("batch")
-        _replace(moments.select("*", number), f"{output}/partial_moments", "batch", "state")
-        _replace(totals.select("*", number), f"{output}/partial_cells", "batch", "state")
+        replace_partitions(moments.select("*", number), f"{output}/partial_moments", "batch", "state")
+        replace_partitions(totals.select("*", number), f"{output}/partial_cells", "batch", "state")
         rows = batch.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("left_out")).first()
         log.info("batch %d: read %d documents, left out %d without doc_id", batch_id, rows["n"], rows["left_out"])
 
@@ -107,7 +103,7 @@ def publish(spark: SparkSession, output: str, settings: dict) -> None:
     touched = totals.where(F.col("batch") > (-1 if mark is None else mark)).select("state").distinct()
     of = lambda df: df.join(touched, "state", "left_semi").drop("batch")  # noqa: E731  languages: partitions are pruned by the join
     moments = C.merge_moments(of(read(spark, output, "partial_moments", settings)))
-    _replace(features(moments, of(totals).groupBy(*C.KEY).agg(F.sum("n_cells").alias("n_cells")), settings), f"{output}/features", "state")
+    replace_partitions(features(moments, of(totals).groupBy(*C.KEY).agg(F.sum("n_cells").alias("n_cells")), settings), f"{output}/features", "state")
     spark.range(1).select(F.lit(last).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{output}/mark")
     written = read(spark, output, "features", settings).join(touched, "state", "left_semi").groupBy("state").count().orderBy("state").collect()
     log.info("published batch %d: wrote %s", last, ", ".join(f"{r['state']}: {r['count']} rows" for r in written) or "no rows")

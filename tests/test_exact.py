@@ -181,3 +181,92 @@ def test_areas_of_scores_in_a_narrow_band(spark, monkeypatch):
     df = spark.createDataFrame([(int(b), float(a), 1.0) for a, b in zip(p, y)], "y int, p double, w double")
     wins = (p[y == 1][:, None] > p[y == 0]).mean() + (p[y == 1][:, None] == p[y == 0]).mean() / 2
     assert M.ranking(df).first()["roc_auc"] == pytest.approx(wins, abs=1e-9)
+
+
+# pairs, linkage, hashes -----------------------------------------------------------------------------------------------
+
+def sparse_cells(spark, n=400, genes=12, seed=9):
+    rng = np.random.default_rng(seed)
+    x = np.where(rng.random((n, genes)) < 0.4, np.round(rng.gamma(2.0, 1.0, (n, genes)), 3), 0.0)
+    group = np.where(np.arange(n) < n * 3 // 4, 0, np.arange(n) % 3)  # one sample holds most cells
+    rows = [(int(i), f"s{group[i]}", "A", f"g{j:02d}", float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+    return x, group, spark.createDataFrame(rows, "cell_id long, sample_id string, state string, gene_id string, value double")
+
+
+def test_pair_sums_equal_matrix_products(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 64)  # many blocks
+    x, group, values = sparse_cells(spark)
+    pairs = [(f"g{i:02d}", f"g{j:02d}") for i in range(12) for j in range(i + 1, 12)] + [("g00", "absent")]
+    got = {(r["sample_id"], r["a"], r["b"]): (r["sa"], r["ssa"], r["sb"], r["ssb"], r["ab"]) for r in C.pair_moments(values, spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert len(got) == 3 * len(pairs)
+    for s in range(3):
+        own = x[group == s]
+        for a, b in pairs[:-1]:
+            u, v = own[:, int(a[1:])], own[:, int(b[1:])]
+            assert got[f"s{s}", a, b] == pytest.approx((u.sum(), u @ u, v.sum(), v @ v, u @ v))
+        assert got[f"s{s}", "g00", "absent"][2:] == (0, 0, 0)
+
+
+def test_plans_do_not_grow_with_pairs(spark):
+    _, _, values = sparse_cells(spark, 20)
+    size = lambda n: len(C.pair_moments(values, spark.createDataFrame([(f"g{i:04d}", f"h{i:04d}") for i in range(n)], "a string, b string"))._jdf.queryExecution().optimizedPlan().toString())
+    assert size(1000) < 1.2 * size(2)
+
+
+def test_correlations_of_many_programs(spark):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((60, 50)) < 0.5, rng.random((60, 50)), 0.0)
+    scores = spark.createDataFrame([(i, "s", "A", f"p{j:02d}", float(x[i, j])) for i in range(60) for j in range(50)], "cell_id long, sample_id string, state string, program string, score double")
+    r = np.corrcoef(x.T)
+    got = C.program_correlations(scores).collect()
+    assert len(got) == 50 * 49 // 2 and all(row["value"] == pytest.approx(r[int(row["a"][1:]), int(row["b"][1:])]) for row in got)
+
+
+def plain_linkage(names, dist, most):
+    groups = [[n] for n in sorted(names)]
+    while len(groups) > 1:
+        d, i, j = min((max(dist[a, b] for a in groups[i] for b in groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        if d > most + 1e-15:
+            break
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("digits", [1, 6])
+def test_linkage_equals_plain_steps(digits):
+    from cohortlens.operators.evidence import complete_linkage
+
+    rng = np.random.default_rng(digits)
+    names = [f"f{i:02d}" for i in range(24)]
+    r = {(a, b): float(np.round(rng.random() * 2 - 1, digits)) for i, a in enumerate(names) for b in names[i + 1:]}  # one digit: many ties
+    dist = {k: 1 - abs(v) for k, v in r.items()} | {(b, a): 1 - abs(v) for (a, b), v in r.items()}
+    for threshold in (0.1, 0.4, 0.8):
+        got = complete_linkage(names[::-1], r, threshold)
+        groups = {frozenset(n for n in names if got[n] == g) for g in set(got.values())}
+        assert groups == plain_linkage(names, dist, 1 - threshold)
+        assert sorted(set(got.values())) == [f"correlation_{k + 1:03d}" for k in range(len(groups))] and got["f00"] == "correlation_001"
+
+
+def test_linkage_of_a_thousand_features():
+    import time
+
+    from cohortlens.operators.evidence import complete_linkage
+
+    rng = np.random.default_rng(1)
+    names, c = [f"f{i:04d}" for i in range(1000)], np.corrcoef(rng.normal(size=(1000, 30)))
+    began = time.perf_counter()
+    complete_linkage(names, {(names[i], names[j]): c[i, j] for i in range(1000) for j in range(i + 1, 1000)}, 0.01)
+    assert time.perf_counter() - began < 20
+
+
+def test_large_files_are_hashed_in_a_buffer(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from cohortlens.sources import runs
+
+    monkeypatch.setattr(runs, "HASHED", 1000)
+    (tmp_path / "a").mkdir()
+    content = {"small.bin": b"x" * 10, "a/large.bin": bytes(range(256)) * 4000}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    assert runs.Store(spark, tmp_path).hashes() == {k: hashlib.sha256(v).hexdigest() for k, v in content.items()}
