@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -39,13 +40,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
-    if _open:
-        _open[-1].append(path)
+    scopes = _open.get()
+    if scopes:
+        scopes[-1].append(path)
     return out
 
 
-#: Paths written inside each open scratch(), innermost last.
-_open: list[list[str]] = []
+#: Paths written inside each open scratch() of this thread or task, innermost last: another one's tables are its own affair.
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
 
 
 @contextlib.contextmanager
@@ -53,16 +55,17 @@ def scratch(spark: SparkSession):
     """Inside, an operator that ends with its own last materialize() names what outlives it: the tables that materialize() wrote here are
     deleted at the end, but those given to the function that this yields."""
     kept: set[str] = set()
-    _open.append([])
+    outer, made = _open.get(), []
+    token = _open.set((*outer, made))
     try:
         yield lambda *tables: kept.update(t._table_path for t in tables)
     finally:
-        made = _open.pop()
+        _open.reset(token)
         for path in made:
             if path not in kept:
                 delete(spark, path)
-            elif _open:
-                _open[-1].append(path)
+            elif outer:
+                outer[-1].append(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
