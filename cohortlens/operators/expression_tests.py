@@ -1,10 +1,10 @@
-"""Count tests between conditions: negative-binomial log-linear models gene by gene.
+"""Count tests between conditions: negative-binomial log-linear models gene by gene, for any number of cell states at once.
 
 Size factors are medians of ratios over positive counts. Dispersions are estimated by profile likelihood per gene, a trend
-a0 + a1 / mean is fitted over genes, and each gene's dispersion is shrunk toward it. Contrasts are Wald tests; adjusted
-p-values are Benjamini-Hochberg over all genes and contrasts. Genes are independent tasks; the design has one row a
-sample and lives on the driver. Counts with a large Cook's distance in designs of at least 7 samples a condition are replaced by
-trimmed means before a second fit.
+a0 + a1 / mean is fitted over a state's genes, and each gene's dispersion is shrunk toward it. Contrasts are Wald tests; adjusted
+p-values are Benjamini-Hochberg over all genes, contrasts and states. A (state, gene) is a row with its counts as an array, dealt once; the
+states' designs, a row a sample, go to the tasks with the function. Counts with a large Cook's distance in designs of at
+least 7 samples a condition are replaced by trimmed means before a second fit.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import nb_dispersion, nb_fit, normal_two_sided, size_factors
 from ..functions.metrics import benjamini_hochberg
-from .prep import prevalence
 
 
 def design_matrix(meta: pd.DataFrame, condition: str, categorical=(), numeric=(), continuous: bool = False) -> tuple[np.ndarray, list[str], list[int]]:
@@ -52,19 +51,46 @@ def design_matrix(meta: pd.DataFrame, condition: str, categorical=(), numeric=()
     return x, names, list(range(nuisance, x.shape[1]))
 
 
-def sample_factors(long: DataFrame) -> dict[str, float]:
-    """sample_id -> size factor, from the long counts; one row a sample comes to the driver."""
-    n = long.select("sample_id").distinct().count()
-    center = long.where("value > 0").groupBy("feature_id").agg((F.sum(F.log("value")) / n).alias("center"))
-    f = long.where("value > 0").join(center, "feature_id").groupBy("sample_id").agg(F.exp(F.median(F.log("value") - F.col("center"))).alias("f"))
-    out = {r["sample_id"]: r["f"] for r in f.collect()}
-    mid = math.exp(sum(map(math.log, out.values())) / len(out))
-    return {k: v / mid for k, v in out.items()}
+class Design:
+    """What the tests of one state need of its samples: ids in order, the design matrix, its names, the tested columns, samples in
+    the smallest condition (0: continuous)."""
+
+    def __init__(self, meta: pd.DataFrame, condition: str, categorical=(), numeric=(), continuous: bool = False):
+        meta = meta.sort_values("sample_id").reset_index(drop=True)
+        self.x, self.names, self.tested = design_matrix(meta, condition, categorical, numeric, continuous)
+        self.at = {s: i for i, s in enumerate(meta["sample_id"])}
+        self.replicates = 0 if continuous else int(meta[condition].value_counts().min())
+        self.offset: np.ndarray | None = None
+
+
+def eligible_counts(counts: DataFrame, samples: DataFrame, min_count: float, min_prevalence: float) -> DataFrame:
+    """state, feature_id, e (sample_id, value of the positive counts) of genes counted min_count times in enough of their state's samples.
+    counts: state, sample_id, feature_id, value; samples: state, sample_id."""
+    own = counts.join(samples, ["state", "sample_id"])
+    share = F.avg((F.col("value") >= min_count).cast("double"))
+    positive = F.sort_array(F.collect_list(F.when(F.col("value") > 0, F.struct("sample_id", "value"))))  # a state's samples at most
+    return own.groupBy("state", "feature_id").agg(share.alias("share"), positive.alias("e")).where(F.col("share") >= min_prevalence).drop("share")
+
+
+def sample_factors(genes: DataFrame, sizes: dict[str, int]) -> dict[str, dict[str, float]]:
+    """state -> sample_id -> size factor, from genes (state, feature_id, e); one row a sample and state comes to the driver. sizes: samples of a state."""
+    n = F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv])[F.col("state")]
+    logs = F.transform("e", lambda x: F.log(x["value"]))
+    centred = genes.withColumn("center", F.aggregate(logs, F.lit(0.0), lambda s, v: s + v) / n).select("state", "center", F.explode("e").alias("x"))
+    f = centred.groupBy("state", F.col("x.sample_id").alias("sample_id")).agg(F.exp(F.median(F.log("x.value") - F.col("center"))).alias("f"))
+    out: dict[str, dict[str, float]] = {}
+    for r in f.collect():
+        out.setdefault(r["state"], {})[r["sample_id"]] = r["f"]
+    for own in out.values():
+        mid = math.exp(sum(map(math.log, own.values())) / len(own))
+        own |= {k: v / mid for k, v in own.items()}
+    return out
 
 
-def _vectors(pdf: pd.DataFrame, at: dict[str, int], n: int) -> np.ndarray:
-    y = np.zeros(n)
-    y[[at[s] for s in pdf["sample_id"]]] = np.rint(pdf["value"].to_numpy(float))
+def _counts(entries, design: Design) -> np.ndarray:
+    y = np.zeros(len(design.at))
+    for x in entries:
+        y[design.at[x["sample_id"]]] = np.rint(x["value"])
     return y
 
 
@@ -85,39 +111,65 @@ def _wald_fit(y, x, offset, alpha, replicates) -> tuple[np.ndarray, np.ndarray]:
     return beta, cov
 
 
+def count_tests(counts: DataFrame, designs: dict[str, Design], min_count: float, min_prevalence: float, failed: dict[str, str]) -> DataFrame:
+    """state, feature_id, contrast, base_mean, log2_fold_change, standard_error, p of the states that have a design; those whose samples have no
+    size factor go to ``failed``. The number of jobs does not depend on that of the states."""
+    spark = counts.sparkSession
+    samples = spark.createDataFrame([(state, s) for state, d in designs.items() for s in d.at], "state string, sample_id string")
+    genes = eligible_counts(counts, F.broadcast(samples), min_count, min_prevalence).persist()  # read three times: a row a gene and state
+    factors = sample_factors(genes, {state: len(d.at) for state, d in designs.items()})
+    for state, d in list(designs.items()):
+        own = factors.get(state, {})
+        if lacking := sorted(set(d.at) - set(own)):
+            failed[state] = "no eligible gene is counted in " + ", ".join(lacking[:5])
+            del designs[state]
+        else:
+            d.offset = np.log([own[s] for s in d.at])
+    genes = genes.where(F.col("state").isin(list(designs)))
+
+    def rough(batches):
+        for pdf in batches:
+            rows = []
+            for state, gene, entries in zip(pdf["state"], pdf["feature_id"], pdf["e"]):
+                d = designs[state]
+                y = _counts(entries, d)
+                rows.append((state, gene, float((y / np.exp(d.offset)).mean()), nb_dispersion(y, d.x, d.offset)))
+            yield pd.DataFrame(rows, columns=["state", "feature_id", "mean", "dispersion"])
+
+    def trend(pdf):
+        state, d = pdf["state"].iloc[0], designs[pdf["state"].iloc[0]]
+        return pd.DataFrame([(state, *_trend(pdf["mean"].to_numpy(), pdf["dispersion"].to_numpy(), len(d.x) - d.x.shape[1]))], columns=["state", "a0", "a1", "spread"])
+
+    # two numbers a gene of the universe meet in a state's task; sorted, as the fit's last digits follow their order
+    rough_rows = genes.mapInPandas(rough, "state string, feature_id string, mean double, dispersion double")
+    trends = rough_rows.groupBy("state").applyInPandas(lambda pdf: trend(pdf.sort_values("feature_id")), "state string, a0 double, a1 double, spread double")
+
+    def test(batches):
+        for pdf in batches:
+            rows = []
+            for state, gene, entries, a0, a1, spread in zip(*(pdf[c] for c in ("state", "feature_id", "e", "a0", "a1", "spread"))):
+                d = designs[state]
+                y = _counts(entries, d)
+                mean = float((y / np.exp(d.offset)).mean())
+                alpha = nb_dispersion(y, d.x, d.offset, (math.log(max(a0 + a1 / max(mean, 1e-8), 1e-8)), spread))
+                beta, cov = _wald_fit(y, d.x, d.offset, alpha, d.replicates)
+                for j in d.tested:
+                    se = math.sqrt(max(cov[j, j], 0))
+                    rows.append((state, gene, d.names[j], mean, float(beta[j] / math.log(2)), float(se / math.log(2)), normal_two_sided(beta[j] / se) if se > 0 else None))
+            yield pd.DataFrame(rows, columns=["state", "feature_id", "contrast", "base_mean", "log2_fold_change", "standard_error", "p"])
+
+    schema = "state string, feature_id string, contrast string, base_mean double, log2_fold_change double, standard_error double, p double"
+    return genes.join(F.broadcast(trends), "state").mapInPandas(test, schema)  # a row a state
+
+
 def differential_expression(long: DataFrame, metadata: DataFrame, condition: str, categorical=(), numeric=(), continuous: bool = False, min_count: float = 5.0, min_prevalence: float = 0.2) -> DataFrame:
     """feature_id, contrast, base_mean, log2_fold_change, standard_error, p, padj. long: raw counts; metadata: sample_id and the
     design's columns."""
-    ok = prevalence(long, metadata.select("sample_id"), min_count, min_prevalence).select("feature_id")
-    long = long.join(ok, "feature_id", "left_semi")
-    meta = metadata.toPandas().sort_values("sample_id").reset_index(drop=True)
-    x, names, tested = design_matrix(meta, condition, categorical, numeric, continuous)
-    factors = sample_factors(long)
-    offset = np.log([factors[s] for s in meta["sample_id"]])
-    at, n = {s: i for i, s in enumerate(meta["sample_id"])}, len(meta)
-    replicates = 0 if continuous else int(meta[condition].value_counts().min())
-
-    def rough(pdf):
-        y = _vectors(pdf, at, n)
-        return pd.DataFrame({"feature_id": [pdf["feature_id"].iloc[0]], "mean": [float((y / np.exp(offset)).mean())], "dispersion": [nb_dispersion(y, x, offset)]})
-
-    genes = long.groupBy("feature_id").applyInPandas(rough, "feature_id string, mean double, dispersion double").toPandas()
-    a0, a1, spread = _trend(genes["mean"].to_numpy(), genes["dispersion"].to_numpy(), n - x.shape[1])
-
-    def test(pdf):
-        y = _vectors(pdf, at, n)
-        mean = float((y / np.exp(offset)).mean())
-        prior = (math.log(max(a0 + a1 / max(mean, 1e-8), 1e-8)), spread)
-        alpha = nb_dispersion(y, x, offset, prior)
-        beta, cov = _wald_fit(y, x, offset, alpha, replicates)
-        rows = []
-        for j in tested:
-            se = math.sqrt(max(cov[j, j], 0))
-            rows.append((pdf["feature_id"].iloc[0], names[j], mean, float(beta[j] / math.log(2)), float(se / math.log(2)), normal_two_sided(beta[j] / se) if se > 0 else None))
-        return pd.DataFrame(rows, columns=["feature_id", "contrast", "base_mean", "log2_fold_change", "standard_error", "p"])
-
-    tests = long.groupBy("feature_id").applyInPandas(test, "feature_id string, contrast string, base_mean double, log2_fold_change double, standard_error double, p double")
-    return benjamini_hochberg(tests.persist(), "p")  # read several times; a row a gene and contrast
+    design, failed = Design(metadata.toPandas(), condition, categorical, numeric, continuous), {}
+    tests = count_tests(long.withColumn("state", F.lit("all")), {"all": design}, min_count, min_prevalence, failed)
+    if failed:
+        raise ValueError(failed["all"])
+    return benjamini_hochberg(tests.drop("state").persist(), "p")  # read several times; a row a gene and contrast
 
 
 def screen(counts: np.ndarray, x: np.ndarray, tested: list[int], eligible: np.ndarray, replicates: int) -> np.ndarray:
@@ -168,15 +220,18 @@ def _trend(mean: np.ndarray, disp: np.ndarray, df: int) -> tuple[float, float, f
     return a0, a1, float(max((1.4826 * np.median(np.abs(resid - np.median(resid)))) ** 2 - noise, 0.25))
 
 
-def supporting_tests(states: DataFrame, metadata: DataFrame, condition: str, n_cells: DataFrame, min_cells: int = 20, **design) -> tuple[DataFrame, dict[str, str]]:
-    """Tests for each state of (state, sample_id, feature_id, value) over samples with enough cells, adjusted as one family;
-    states that cannot be tested are reported with the reason instead."""
-    out, failed = None, {}
-    for state in sorted(r[0] for r in states.select("state").distinct().collect()):
-        ok = n_cells.where((F.col("state") == state) & (F.col("n_cells") >= min_cells)).select("sample_id")
+def supporting_tests(states: DataFrame, metadata: DataFrame, condition: str, n_cells: DataFrame, min_cells: int = 20, categorical=(), numeric=(), continuous: bool = False, min_count: float = 5.0, min_prevalence: float = 0.2) -> tuple[DataFrame | None, dict[str, str]]:
+    """Tests of each state of (state, sample_id, feature_id, value) over samples with enough cells, adjusted as one family; states whose
+    design cannot be tested are reported with the reason instead."""
+    names = [r[0] for r in states.select("state").distinct().orderBy("state").collect()]  # cell states, and below samples: a study's dimensions
+    kept: dict[str, set[str]] = {}
+    for r in n_cells.where(F.col("n_cells") >= min_cells).select("state", "sample_id").distinct().collect():
+        kept.setdefault(r["state"], set()).add(r["sample_id"])
+    meta, designs, failed = metadata.toPandas(), {}, {}
+    for state in names:
         try:
-            t = differential_expression(states.where(F.col("state") == state).join(ok, "sample_id", "left_semi").drop("state"), metadata.join(ok, "sample_id", "left_semi"), condition, **design).drop("padj").withColumn("state", F.lit(state))
-            out = t if out is None else out.unionByName(t)
+            designs[state] = Design(meta[meta["sample_id"].isin(kept.get(state, ()))], condition, categorical, numeric, continuous)
         except ValueError as e:
             failed[state] = str(e)
-    return (benjamini_hochberg(out.persist(), "p") if out is not None else None), failed
+    tests = count_tests(states, designs, min_count, min_prevalence, failed) if designs else None
+    return benjamini_hochberg(tests.persist(), "p") if designs else None, failed

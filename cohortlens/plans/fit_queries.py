@@ -93,8 +93,7 @@ def pth1_coefficient_path(spark, d):
 @query
 def de1_count_tests(spark, d):
     s = study(spark, d)
-    meta = kq.metadata(s).where(F.col("outcome").isin("BUILDING", "MACHINERY")).select("sample_id", "outcome")
-    return X.differential_expression(kq.expression(s).join(meta.select("sample_id"), "sample_id", "left_semi"), meta, "outcome")
+    return X.differential_expression(kq.expression(s), kq.metadata(s).select("sample_id", "outcome"), "outcome")
 
 
 @query

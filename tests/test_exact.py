@@ -270,3 +270,46 @@ def test_large_files_are_hashed_in_a_buffer(spark, tmp_path, monkeypatch):
     for name, data in content.items():
         (tmp_path / name).write_bytes(data)
     assert runs.Store(spark, tmp_path).hashes() == {k: hashlib.sha256(v).hexdigest() for k, v in content.items()}
+
+
+# count tests of many states -------------------------------------------------------------------------------------------
+
+def states_study(spark, states, samples=16, genes=12):
+    rng = np.random.default_rng(12)
+    y = np.arange(samples) % 2
+    rows = []
+    for k, state in enumerate(states):
+        x = rng.negative_binomial(20, 20 / (20 + np.exp(4 + 1.5 * np.outer(y, np.arange(genes) == k % genes))))
+        rows += [(state, f"s{i:02d}", f"g{j:02d}", float(x[i, j])) for i in range(samples) for j in range(genes)]
+    counts = spark.createDataFrame(rows, "state string, sample_id string, feature_id string, value double")
+    meta = spark.createDataFrame([(f"s{i:02d}", str(v)) for i, v in enumerate(y)], "sample_id string, phenotype string")
+    cells = spark.createDataFrame([(s, f"s{i:02d}", 50) for s in states for i in range(samples)], "state string, sample_id string, n_cells int")
+    return counts, meta, cells
+
+
+def test_states_are_tested_together_as_if_alone(spark):
+    from cohortlens.operators import expression_tests as X
+
+    counts, meta, cells = states_study(spark, ["A", "B", "C"])
+    cells = cells.where("state <> 'C' or sample_id < 's03'")  # too few samples for C
+    empty = counts.where("state = 'A'").withColumns({"state": F.lit("D"), "value": F.when(F.col("sample_id") == "s00", 0.0).otherwise(F.col("value"))})
+    tests, failed = X.supporting_tests(counts.unionByName(empty), meta, "phenotype", cells.unionByName(cells.where("state = 'A'").withColumn("state", F.lit("D"))))
+    got = {(r["state"], r["feature_id"]): r for r in tests.collect()}
+    assert set(failed) == {"C", "D"} and "degrees of freedom" in failed["C"] and "s00" in failed["D"] and len(got) == 24
+    for state in ("A", "B"):
+        for r in X.differential_expression(counts.where(F.col("state") == state).drop("state"), meta, "phenotype").collect():
+            assert (got[state, r["feature_id"]]["p"], got[state, r["feature_id"]]["log2_fold_change"]) == pytest.approx((r["p"], r["log2_fold_change"]), rel=1e-9)
+    assert got["A", "g00"]["padj"] < 1e-4 and got["B", "g01"]["padj"] < 1e-4 and got["A", "g05"]["padj"] > 0.01
+    assert [got[k]["padj"] for k in sorted(got)] == pytest.approx(list(plain_adjusted([got[k]["p"] for k in sorted(got)])))
+
+
+def test_jobs_do_not_grow_with_states(spark):
+    from cohortlens.operators import expression_tests as X
+
+    def jobs(states, group):
+        spark.sparkContext.setJobGroup(group, group)
+        counts, meta, cells = states_study(spark, states, 8, 4)
+        X.supporting_tests(counts, meta, "phenotype", cells)[0].count()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert abs(jobs([f"t{k}" for k in range(12)], "many") - jobs(["t0", "t1"], "few")) <= 2
