@@ -1,7 +1,9 @@
 """Packing, token counts and archives: exact round trips and brute force."""
 
+import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -178,11 +180,83 @@ def test_arc_versions(version):
     assert list(warc.parse_arc(data)) == docs
     with pytest.raises(ValueError):
         list(warc.parse_arc(data[:-3]))
-    record = warc.to_warc(docs[0]).encode() + warc.TERMINATOR.encode()
-    ((head, block),) = warc.parse_warc(record)
+    ((head, block),) = warc.parse_warc(warc.to_warc(docs[0], 5))
     assert head["WARC-Date"] == "1999-01-02T03:04:05Z" and block == docs[0][4] and warc.key_of(head["WARC-Record-ID"]) == 5
 
 
 @pytest.mark.parametrize("key", [None, 0, 1, -1, 2**61, 2**63 - 1, -(2**63)])
 def test_identifiers_hold_keys(key):
     assert warc.key_of(warc.record_id("ab" * 32, key)) == key
+
+
+def arc_file(version, records, break_="\n"):
+    """An archive as other crawlers wrote them: written out by hand, with bytes of any kind."""
+    fields = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}[version]
+    about = f"{version} 1 InternetArchive\n{fields}\n\n".encode()
+    more = " 200 abc - 0 x.arc" if version == 2 else ""
+    out = f"filedesc://IA-001102.arc 0.0.0.0 19960923142103 text/plain{more} {len(about)}\n".encode() + about
+    for url, date, kind, doc in records:
+        out += f"{break_}{url} 192.0.2.7 {date} {kind}{more} {len(doc)}\n".encode("latin-1") + doc
+    return out + break_.encode()
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Records without any private header: payloads that are no UTF-8, lines ended by a single line feed, messages without length, dns and
+    plain documents, short dates, several gzip members, addresses with spaces."""
+    import gzip
+
+    latin = b"<html>caf\xe9 \xff\xfe\x00\n\r\n\r\nend</html>" * 8
+    ok = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n"
+    one = [("http://a/ b?q=1", "19970101000000", "text/html", ok + latin), ("dns:a", "19970101000000", "text/dns", b"19970101 a. IN A 192.0.2.7\n"), ("http://a/lf", "199702", "text/html", b"HTTP/1.0 200 OK\nA: b\n\n" + latin), ("http://a/none", "19970301000000", "no-type", b""), ("http://a/empty", "19970301000001", "text/html", ok)]
+    two = [("http://b/early", "19960101000000", "text/html", ok + latin), ("http://b/plain", "19970101000000", "text/plain", b"\x80 no message"), ("http://b/small", "19970101000000", "text/html", ok + b"tiny"), ("http://b/small", "19970101000000", "text/html", ok + b"tiny"), ("http://b/head", "19970101000000", "text/html", b"HTTP/1.0 304 Not Modified")]
+    (tmp_path / "one.arc").write_bytes(arc_file(1, one, "\r\n"))
+    data = arc_file(2, two)
+    (tmp_path / "two.arc.gz").write_bytes(gzip.compress(data[:300]) + gzip.compress(data[300:]))
+    (tmp_path / "nothing.arc").write_bytes(b"")
+    out = new_path(spark, "test-foreign")
+    warc.convert(spark, str(tmp_path), out)
+    rows = warc.read_warc(spark, out, info=True).collect()
+    assert sorted(r["record_type"] for r in rows) == sorted(["warcinfo"] * 2 + ["response"] * 5 + ["revisit"] * 2 + ["resource"] * 3)
+    assert len({r["record_id"] for r in rows}) == len(rows) and all(r["page_id"] is None for r in rows)
+    by = {r["url"]: r for r in rows if r["url"] not in (None, "http://b/small")}
+    assert by["http://b/early"]["record_type"] == "response"  # the earliest capture
+    for url in ("http://a/ b?q=1", "http://a/lf"):
+        assert (by[url]["record_type"], by[url]["refers_to_id"], by[url]["payload_bytes"]) == ("revisit", by["http://b/early"]["record_id"], len(latin))
+        assert by[url]["payload_digest"] == hashlib.sha256(latin).hexdigest()
+    assert by["http://a/lf"]["date"] == "1997-02-01T00:00:00Z" and by["http://a/empty"]["payload_bytes"] == 0
+    assert {u: by[u]["content_type"] for u in ("dns:a", "http://a/none", "http://b/plain")} == {"dns:a": "text/dns", "http://a/none": "application/octet-stream", "http://b/plain": "text/plain"}
+    whole = {}
+    for path in Path(out.removeprefix("file:")).glob("part-*"):
+        data = path.read_bytes()
+        assert gzip.decompress(data) == b"".join(warc.members(data))  # any gzip reader takes the files
+        for content in warc.members(data):
+            ((head, block),) = warc.parse_warc(content)  # a record a member
+            whole.setdefault((head.get("WARC-Target-URI"), head["WARC-Date"]), []).append((head, block))
+    assert whole["http://b/early", "1996-01-01T00:00:00Z"][0][1] == ok + latin
+    assert whole["http://a/lf", "1997-02-01T00:00:00Z"][0][1] == b"HTTP/1.0 200 OK\nA: b\n\n"
+    assert {h["WARC-Filename"] for h, _ in whole[None, "1996-09-23T14:21:03Z"]} == {"IA-001102.arc"}
+
+
+@pytest.mark.parametrize("broken, text", [(b"filedesc://x 0.0.0.0 19960923142103 text/plain 9\n3 1 x\ny z\n", "version"), (arc_file(1, [("http://a/", "1997", "text/html", b"abc")])[:-2], "cut short"), (arc_file(2, []) + b"http://a/ 1.2.3.4 1997 text/html 3\nabc", "header line"), (b"no archive", "header line")])
+def test_damaged_archives(broken, text):
+    with pytest.raises(ValueError, match=text):
+        list(warc.arc_records(broken))
+
+
+@pytest.mark.parametrize("size", [0, 10, 1 << 16, (1 << 24) + 5])
+def test_members_end_with_the_byte_between_rows(size):
+    import gzip
+    import random
+
+    data = random.Random(size).randbytes(min(size, 1000)) * (size // 1000 + 1)
+    assert gzip.decompress(warc.member(data[:size]) + b"\x00") == data[:size]
+
+
+def test_many_revisits_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr("cohortlens.llm.common.BROADCAST_ROWS", 1)
+    rows = [(i, f"http://x/{i}", "same text " * 20 if i % 3 else f"own text {i} " * 20, "-") for i in range(60)]
+    path = new_path(spark, "test-warc")
+    warc.pages_to_warc(spark.createDataFrame(rows, PAGES).repartition(4), path)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, path).collect()}
+    assert got == {i: ("response", None) if i % 3 == 0 or i == 1 else ("revisit", 1) for i in range(60)}
