@@ -121,7 +121,8 @@ BLOCK = 1 << 21
 
 def _gram(size: int, left: list[int], right: list[int]):
     """Rows (sample_id, state, at, v), a cell's places among the declared names and its values there, sorted by group -> for each group of a
-    task the sums by place (a = b) and the sums of products by pair (sample_id, state, a, b, s, ss). Cells are multiplied a dense block at a time."""
+    task the sums by place (a = b), the sums of products by pair, and at a = b = -1 the cells (sample_id, state, a, b, s, ss). Cells are
+    multiplied a dense block at a time."""
 
     def run(batches):
         import numpy as np
@@ -131,10 +132,10 @@ def _gram(size: int, left: list[int], right: list[int]):
         key, sums = None, None
 
         def flush():
-            s, ss, ab = sums
-            a, b = np.r_[np.arange(size), left].astype(np.int32), np.r_[np.arange(size), right].astype(np.int32)
+            s, ss, ab, cells = sums
+            a, b = np.r_[np.arange(-1, size), left].astype(np.int32), np.r_[np.arange(-1, size), right].astype(np.int32)
             n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.string()), pa.array(a), pa.array(b), pa.array(np.r_[s, np.zeros(len(left))]), pa.array(np.r_[ss, ab])], ["sample_id", "state", "a", "b", "s", "ss"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.string()), pa.array(a), pa.array(b), pa.array(np.r_[cells, s, np.zeros(len(left))]), pa.array(np.r_[0.0, ss, ab])], ["sample_id", "state", "a", "b", "s", "ss"])
 
         for batch in batches:
             keys = list(zip(batch.column("sample_id").to_pylist(), batch.column("state").to_pylist()))
@@ -143,12 +144,13 @@ def _gram(size: int, left: list[int], right: list[int]):
                 if keys[begin] != key:
                     if key is not None:
                         yield flush()
-                    key, sums = keys[begin], [np.zeros(size), np.zeros(size), np.zeros(len(left))]
+                    key, sums = keys[begin], [np.zeros(size), np.zeros(size), np.zeros(len(left)), 0.0]
                 for k in range(begin, end, rows):
                     part = batch.slice(k, min(rows, end - k))
                     at, v = part.column("at"), part.column("v")
                     x = np.zeros((part.num_rows, size))
                     x[np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = v.flatten().to_numpy()
+                    sums[3] += part.num_rows
                     sums[0] += x.sum(axis=0)
                     sums[1] += (x * x).sum(axis=0)
                     sums[2] += np.einsum("ij,ij->j", x[:, left], x[:, right])
@@ -159,30 +161,31 @@ def _gram(size: int, left: list[int], right: list[int]):
 
 
 def pair_sums(values: DataFrame, name: str, value: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """sample_id, state, a, b, sa, ssa, sb, ssb, ab of each group that has a row and each declared pair of names: sums over its cells, an
-    absent value being a zero. values: cell_id, sample_id, state and the two columns. A cell's declared values form one row; rows are dealt by
-    ranges of (group, cell), so a group of any size is split evenly and a task meets few groups; tasks multiply blocks of cells and
-    send on a row a group and pair. The plan does not grow with the pairs."""
+    """sample_id, state, n_rows, a, b, sa, ssa, sb, ssb, ab of each group that has a row and each declared pair of names: sums over its cells,
+    an absent value being a zero; n_rows: its cells with a row. values: cell_id, sample_id, state and the two columns. A cell's declared
+    values form one row; rows are dealt by ranges of (group, cell), so a group of any size is split evenly and a task meets few groups;
+    tasks multiply blocks of cells and send on a row a group and pair. The plan does not grow with the pairs."""
     spark, declared = values.sparkSession, sorted({n for p in pairs for n in p})
     place = {n: i for i, n in enumerate(declared)}
     places = F.broadcast(spark.createDataFrame(list(place.items()), f"{name} string, __at int"))  # declared names
-    own = values.where(F.col(value) != 0).join(places, name).groupBy("cell_id", *KEY).agg(F.sort_array(F.collect_list(F.struct("__at", F.col(value).cast("double").alias("__v")))).alias("e"))
+    entry = F.when(F.col("__at").isNotNull() & (F.col(value) != 0), F.struct("__at", F.col(value).cast("double").alias("__v")))
+    own = values.join(places, name, "left").groupBy("cell_id", *KEY).agg(F.sort_array(F.collect_list(entry)).alias("e"))
     own = own.select("cell_id", *KEY, F.col("e.__at").alias("at"), F.col("e.__v").alias("v"))
     dealt = own.repartitionByRange(*KEY, "cell_id").sortWithinPartitions(*KEY).drop("cell_id")
     found = dealt.mapInArrow(_gram(len(declared), [place[a] for a, _ in pairs], [place[b] for _, b in pairs]), "sample_id string, state string, a int, b int, s double, ss double")
     found = found.groupBy(*KEY, "a", "b").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    one = lambda side: found.where("a = b").select(*KEY, F.col("a").alias(side), F.col("s").alias(f"s{side}"), F.col("ss").alias(f"ss{side}"))
-    wanted = spark.createDataFrame([(a, b, place[a], place[b]) for a, b in pairs], "an string, bn string, a int, b int")
-    grid = values.select(*KEY).distinct().join(F.broadcast(wanted.agg(F.collect_list(F.struct("*")).alias("p"))))  # one row: the declared pairs
-    grid = grid.select(*KEY, F.explode("p").alias("p")).select(*KEY, "p.*")
-    out = grid.join(one("a"), [*KEY, "a"], "left").join(one("b"), [*KEY, "b"], "left").join(found.where("a <> b").select(*KEY, "a", "b", F.col("ss").alias("ab")), [*KEY, "a", "b"], "left")
-    sums = ("sa", "ssa", "sb", "ssb", "ab")
-    return out.select(*KEY, F.col("an").alias("a"), F.col("bn").alias("b"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sums])
+    sums = found.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b"), F.struct("s", "ss")))).alias("m"))  # a group's declared names and pairs
+    wanted = spark.createDataFrame([(a, b, place[a], place[b]) for a, b in pairs], "a string, b string, i int, j int")
+    grid = sums.join(F.broadcast(wanted.agg(F.collect_list(F.struct("*")).alias("p")))).select(*KEY, "m", F.explode("p").alias("p"))  # one row: the declared pairs
+    at = lambda i, j, part: F.try_element_at("m", F.struct(i.alias("a"), j.alias("b")))[part]
+    i, j, none = F.col("p.i"), F.col("p.j"), F.lit(-1)
+    columns = {"sa": at(i, i, "s"), "ssa": at(i, i, "ss"), "sb": at(j, j, "s"), "ssb": at(j, j, "ss"), "ab": at(i, j, "ss")}
+    return grid.select(*KEY, at(none, none, "s").cast("long").alias("n_rows"), "p.a", "p.b", *[v.alias(c) for c, v in columns.items()])
 
 
 def pair_moments(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) of genes, declared: the sums of pair_sums."""
-    return pair_sums(values, "gene_id", "value", sorted({(r["a"], r["b"]) for r in pairs.select("a", "b").collect()}))
+    return pair_sums(values, "gene_id", "value", sorted({(r["a"], r["b"]) for r in pairs.select("a", "b").collect()})).drop("n_rows")
 
 
 def program_scores(cells: DataFrame, values: DataFrame, programs: DataFrame) -> DataFrame:
@@ -208,12 +211,11 @@ def program_blocks(scores: DataFrame, thresholds: dict[str, float], min_cells: i
     return g.select(*KEY, "program", *[_if_enough(v, min_cells).alias(k) for k, v in cols.items()])
 
 
-def program_correlations(scores: DataFrame) -> DataFrame:
-    """For every pair of programs (a < b), the correlation of their scores within each (sample, state)."""
-    names = sorted(r[0] for r in scores.select("program").distinct().collect())  # declared
+def program_correlations(scores: DataFrame, programs: Sequence[str] | None = None) -> DataFrame:
+    """For every pair of programs (a < b), the correlation of their scores within each (sample, state). programs: their declared names."""
+    names = sorted(programs if programs is not None else [r[0] for r in scores.select("program").distinct().collect()])
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    totals = scores.where(F.col("program") == names[0]).groupBy(*KEY).agg(F.count("*").alias("n_cells")) if names else cell_totals(scores)
-    found = pair_sums(scores, "program", "score", pairs).join(totals, [*KEY])
+    found = pair_sums(scores, "program", "score", pairs).withColumnRenamed("n_rows", "n_cells")
     return found.select(*KEY, "a", "b", correlation("sa", "sb", "ssa", "ssb", "ab").alias("value"))
 
 

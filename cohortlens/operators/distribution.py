@@ -59,7 +59,7 @@ def distribution_features(cells: DataFrame, counts: DataFrame, config: Config, p
             each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in sorted(program_blocks)]))
             parts.append(wide.select("sample_id", "state", F.col("program").alias("source"), each.alias("x")).select("sample_id", "x.kind", "state", "source", "x.value"))
         if "program_correlation" in blocks and len(config.programs) > 1:
-            pc = C.program_correlations(scores).join(groups, [*C.KEY])
+            pc = C.program_correlations(scores, config.programs).join(groups, [*C.KEY])
             parts.append(pc.select("sample_id", F.lit("program_correlation").alias("kind"), "state", F.to_json(F.array("a", "b")).alias("source"), enough(F.col("value")).alias("value")))
     if not parts:
         raise ValueError("no feature block is configured")

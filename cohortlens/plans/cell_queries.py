@@ -190,13 +190,14 @@ for _name, _col, _sql in (
   FROM scores x JOIN scores y ON x.cell_id = y.cell_id AND x.program < y.program GROUP BY 1, 2, 3, 4)
 SELECT sample_id, state, a, b, CASE WHEN n >= 3 AND ssa - sa * sa / n > 1e-10 AND ssb - sb * sb / n > 1e-10 THEN round(greatest(least((ab - sa * sb / n) / sqrt((ssa - sa * sa / n) * (ssb - sb * sb / n)), 1), -1), 6) END AS value FROM pc""")
 def agg13(spark, d):
-    return C.program_correlations(_scores(spark, d)).select("sample_id", "state", "a", "b", *r6("value"))
+    return C.program_correlations(_scores(spark, d), PROGRAMS).select("sample_id", "state", "a", "b", *r6("value"))
 
 
 @query("jn6_program_pairs", SCORES_SQL + " SELECT x.program AS a, y.program AS b, count(*) AS n FROM scores x JOIN scores y ON x.cell_id = y.cell_id AND x.program < y.program GROUP BY 1, 2")
 def jn6(spark, d):
-    s = _scores(spark, d)
-    return s.select("cell_id", F.col("program").alias("a")).join(s.select("cell_id", F.col("program").alias("b")), "cell_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    names = sorted(PROGRAMS)
+    pairs = C.pair_sums(_scores(spark, d), "program", "score", [(a, b) for i, a in enumerate(names) for b in names[i + 1:]])
+    return pairs.groupBy("a", "b").agg(F.sum("n_rows").alias("n"))
 
 
 @query("agg14_technical_qc", QUALITY_SQL + f" SELECT sample_id, count(*) AS cells, count(*) FILTER (NOT ({KEEP_SQL})) AS failed, round(avg(library), 6) AS mean_library, round(avg(detected), 6) AS mean_detected, round(avg(mito_fraction), 6) AS mean_mito FROM quality GROUP BY 1")

@@ -9,6 +9,7 @@ from ..operators import cells as C
 from ..operators import contracts as K
 from ..operators import evidence as E
 from ..operators import prep as P
+from ..sources.shared import written
 from ..sources.study import BASE_SQL, study, table
 from . import cell_queries as cq
 from . import contract_queries as kq
@@ -56,6 +57,11 @@ SUMMARY = RANKED + """, summary AS (SELECT contrast, feature_id, avg((abs(coef)
 FREQ = COEF + ", fs AS (SELECT contrast, feature_id, avg((abs(coef) > 1e-8)::INT) AS frequency, coalesce(greatest(count(*) FILTER (coef > 1e-8), count(*) FILTER (coef < -1e-8)) / nullif(count(*) FILTER (abs(coef) > 1e-8), 0), 0) AS consistency, sign(sum(sign(coef)))::DOUBLE AS dominant_sign FROM coefs GROUP BY 1, 2)"
 
 
+def _coefs(spark, d):
+    """The coefficients as a written table, for queries that read them more than once."""
+    return written(coefficients(spark, d), "coefficients")
+
+
 def _summary(spark, d):
     return E.stability_summary(coefficients(spark, d), TOL)
 
@@ -183,8 +189,9 @@ MEMBERS_SQL = LINKAGE + COEF.removeprefix(BASE_SQL) + ", x AS (SELECT group_id,
 
 def _members(spark, d):
     """feature_id, group_id of the candidates, linked over their correlations: as many rows as srt4 has candidates."""
-    names = [r["feature_id"] for r in srt4(spark, d).collect()]
-    matrix = E.correlation_matrix(P.log_cpm(kq.expression(study(spark, d))), srt4(spark, d)).collect()
+    top = written(srt4(spark, d), "candidates")
+    names = [r["feature_id"] for r in top.collect()]
+    matrix = E.correlation_matrix(P.log_cpm(kq.expression(study(spark, d))), top).collect()
     groups = E.complete_linkage(names, {(r["a"], r["b"]): r["r"] for r in matrix}, LINK)
     return spark.createDataFrame(sorted(groups.items()), "feature_id string, group_id string")
 
@@ -199,18 +206,18 @@ GROUPS = MEMBERS_SQL + ", gf AS (SELECT * FROM (SELECT group_id, contrast, avg(s
 
 @query("agg28_group_frequency", GROUPS + " SELECT group_id, contrast, round(selection_frequency, 6) AS selection_frequency, round(minimum_member_frequency, 6) AS minimum_member_frequency, n_members FROM gf")
 def agg28(spark, d):
-    return E.group_frequencies(coefficients(spark, d), _members(spark, d), TOL).select("group_id", "contrast", *r6("selection_frequency", "minimum_member_frequency"), "n_members")
+    return E.group_frequencies(_coefs(spark, d), _members(spark, d), TOL).select("group_id", "contrast", *r6("selection_frequency", "minimum_member_frequency"), "n_members")
 
 
 @query("agg29_substitution", MEMBERS_SQL + """, p AS (SELECT a.group_id, a.contrast, a.feature_id AS a, b.feature_id AS b, count(*) AS n, sum(a.s * b.s) AS k, sum(a.s) AS na, sum(b.s) AS nb FROM x a JOIN x b ON a.group_id = b.group_id AND a.contrast = b.contrast AND a.fit_id = b.fit_id AND a.feature_id < b.feature_id GROUP BY 1, 2, 3, 4)
 SELECT group_id, contrast, a, b, round((na + nb - k) / n, 6) AS frequency_any, round(k / n, 6) AS frequency_both, round((na + nb - 2 * k) / nullif(na + nb - k, 0), 6) AS exclusive_given_any, CASE WHEN na * (n - na) * nb * (n - nb) > 0 THEN round((n * k - na * nb) / sqrt(na * (n - na) * nb * (n - nb)), 6) END AS selection_phi FROM p""")
 def agg29(spark, d):
-    return E.substitution(coefficients(spark, d), _members(spark, d), TOL).select("group_id", "contrast", "a", "b", *r6("frequency_any", "frequency_both", "exclusive_given_any", "selection_phi"))
+    return E.substitution(_coefs(spark, d), _members(spark, d), TOL).select("group_id", "contrast", "a", "b", *r6("frequency_any", "frequency_both", "exclusive_given_any", "selection_phi"))
 
 
 @query("jn10_group_membership", GROUPS + " SELECT f.feature_id, f.contrast, coalesce(m.group_id, 'not_assessed') AS group_id, round(g.selection_frequency, 6) AS group_frequency FROM (SELECT DISTINCT feature_id, contrast FROM coefs) f LEFT JOIN members m USING (feature_id) LEFT JOIN gf g ON g.group_id = m.group_id AND g.contrast = f.contrast")
 def jn10(spark, d):
-    c, m = coefficients(spark, d), _members(spark, d)
+    c, m = _coefs(spark, d), _members(spark, d)
     freq = E.group_frequencies(c, m, TOL).select("group_id", "contrast", F.round("selection_frequency", 6).alias("group_frequency"))
     return c.select("feature_id", "contrast").distinct().join(m, "feature_id", "left").join(freq, ["group_id", "contrast"], "left").select("feature_id", "contrast", F.coalesce("group_id", F.lit("not_assessed")).alias("group_id"), "group_frequency")
 
@@ -239,7 +246,7 @@ gated AS (SELECT *, coalesce(selection_frequency >= 0.3 AND sign_consistency >=
 
 
 def _gated(spark, d, blockers=()):
-    c = coefficients(spark, d)
+    c = _coefs(spark, d)
     o = E.frequency_and_sign(c.where(F.col("fit_id").endswith(":F")), TOL).select("contrast", "feature_id", F.round("frequency", 9).alias("outer_selection_frequency"), F.round("consistency", 9).alias("outer_sign_consistency"), F.col("dominant_sign").alias("outer_dominant_sign"))
     t = _rounded(E.stability_summary(c, TOL)).withColumn("coefficient", F.round("coefficient_mean", 9)).join(o, ["contrast", "feature_id"])
     return E.feature_gates(t, blockers, 0.3, 0.6, 0.2, TOL)

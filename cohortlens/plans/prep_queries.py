@@ -9,6 +9,7 @@ from ..functions.ranks import with_group
 from ..operators import contracts as K
 from ..operators import prep as P
 from ..operators import splits as S
+from ..sources.shared import written
 from ..sources.study import study, table
 from . import cell_queries as cq
 from . import contract_queries as kq
@@ -33,9 +34,10 @@ MISSING = EXPR + ", gappy AS (SELECT sample_id, feature_id, CASE WHEN value < 12
 
 
 def _base(spark, d):
+    """Expression, metadata and training samples of the specimens: small tables, written as each step of a preparation reads them again."""
     s = study(spark, d)
-    meta = kq.metadata(s)
-    return kq.expression(s), meta, meta.where("batch != 'ASIA'").select("sample_id")
+    meta = written(kq.metadata(s), "metadata")
+    return written(kq.expression(s), "expression"), meta, meta.where("batch != 'ASIA'").select("sample_id")
 
 
 def _gappy(long):
