@@ -45,6 +45,9 @@ MIN_DUPLICATE = 100
 SALTS = 32
 #: Payload bytes of an archive that is written here, about.
 FILE_BYTES = 64 << 20
+#: How hard records are compressed, and legacy ones that this module exports; bytes that are decompressed at a time.
+LEVEL, LEGACY_LEVEL = 4, 1
+STEP = 8192
 TERMINATOR = b"\r\n\r\n"
 VERSION_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -58,7 +61,7 @@ def http_message(key: int | None, payload: bytes) -> bytes:
 
 
 def arc_lines(records, version: int):
-    """The version block, then each of records (url, ip, 14-digit date, content type, document) with its header line; a line break goes between."""
+    """The version block, then each of records (url, ip, 14-digit date, content type, document) with its header line; a line break follows each."""
     about = f"{version} 0 legacy\n{VERSION_FIELDS[version]}\n".encode()
     extra = " 200 - - 0 -" if version == 2 else ""
     head = f"filedesc://export.arc 0.0.0.0 20000101000000 text/plain{extra} {len(about)}\n".encode() + about
@@ -199,15 +202,17 @@ def members(data: bytes):
         if data:
             yield data
         return
-    rest = memoryview(data)
-    while len(rest) and bytes(rest[:2]) == b"\x1f\x8b":
-        one = zlib.decompressobj(31)
-        content = one.decompress(rest)
-        if not one.eof:
-            raise ValueError("an archive is cut short")
-        if content:
-            yield content
-        rest = rest[len(rest) - len(one.unused_data):]
+    view, at = memoryview(data), 0
+    while data[at:at + 2] == b"\x1f\x8b":
+        one, content = zlib.decompressobj(31), []
+        while not one.eof:
+            part = view[at:at + STEP]  # what follows a member is copied, so little at a time
+            if not part:
+                raise ValueError("an archive is cut short")
+            content.append(one.decompress(part))
+            at += len(part) - len(one.unused_data)
+        if any(content):
+            yield b"".join(content)
 
 
 def mark_revisits(slim: DataFrame) -> DataFrame:
@@ -260,9 +265,9 @@ def read_arc(spark, path: str, keyed: bool = False, bodies: bool = True) -> Data
     return files.mapInArrow(_read_arc(keyed, bodies), schema)
 
 
-def member(record: bytes) -> bytes:
+def member(record: bytes, level: int = LEVEL) -> bytes:
     """record as a gzip member without its last byte, which is 0."""
-    data = gzip.compress(record, 6, mtime=0)
+    data = gzip.compress(record, level, mtime=0)
     if data[-1]:
         data += gzip.compress(b"", mtime=0)
     return data[:-1]
@@ -274,9 +279,9 @@ def _convert(batches):
         yield pa.RecordBatch.from_arrays([pa.array([member(to_warc(r[:5], r[5], r[6])) for r in zip(*cols)], pa.binary())], ["value"])
 
 
-def _write(rows: DataFrame, path: str, separator: str) -> None:
-    """Rows of bytes as files: text is written as the bytes that it is."""
-    rows.select(F.col("value").cast("string")).write.option("lineSep", separator).text(path)
+def _write(rows: DataFrame, path: str) -> None:
+    """Members without their last byte as files: text is written as the bytes that it is, and the byte between."""
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\x00").text(path)
 
 
 def convert(spark, arc_path: str, warc_path: str, keyed: bool = False) -> None:
@@ -288,7 +293,7 @@ def convert(spark, arc_path: str, warc_path: str, keyed: bool = False) -> None:
         of = marks.select(F.col("key").alias("k"), F.col("digest").alias("d"), "refers_to")
         records = read_arc(spark, arc_path, keyed)
         both = records.join(broadcast_if_small(of, n), F.equal_null("key", "k") & (F.col("digest") == F.col("d")), "left").drop("k", "d")
-        _write(both.mapInArrow(_convert, "value binary"), warc_path, "\x00")
+        _write(both.mapInArrow(_convert, "value binary"), warc_path)
 
 
 def _export(batches):
@@ -307,7 +312,7 @@ def _export(batches):
     if first is None:
         return
     for line in arc_lines(itertools.chain([first], every), TaskContext.get().partitionId() % 2 + 1):
-        rows.append(line)
+        rows.append(member(line + b"\n", LEGACY_LEVEL))
         if len(rows) >= 500:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
             rows = []
@@ -320,7 +325,7 @@ def export_arc(pages: DataFrame, path: str) -> None:
     total = rows.agg(F.sum(F.coalesce(F.length("html"), F.lit(0)) + 1024)).first()[0] or 0
     files = -(-total // FILE_BYTES)
     rows = rows.repartition(files) if files > rows.rdd.getNumPartitions() else rows
-    rows.mapInArrow(_export, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    _write(rows.mapInArrow(_export, "value binary"), path)
 
 
 def pages_to_warc(pages: DataFrame, path: str) -> None:
