@@ -1,7 +1,7 @@
 """Fits of many contexts as tables.
 
 A unit is one fit: an outer fold of a repeat of a permutation, a held-out batch, a stability resample, or one of their inner folds. Its sides are
-rows (unit, sample_id, group, y, role). From there on everything is keyed by unit: training statistics, filters, the screen, the scaler
+rows (unit, sample_id, group, batch, y, role). From there on everything is keyed by unit: training statistics, filters, the screen, the scaler
 and the standardised rows are aggregates and joins, folds and permutations are ranks of hashes, tuning is an aggregation over inner folds.
 Only the solver sees a unit as a whole, at most max_features columns of its samples; Spark deals the units. The study is neither collected nor
 broadcast, and the plan does not grow with the number of units.
@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.kernels import dummy, elastic_net, group_weights, mean_loss
+from ..functions.metrics import benjamini_hochberg
 from ..sources.shared import written
 from . import evidence as E
+from . import expression_tests as X
 from . import prep as P
 from . import splits as S
 
 KEYS = ("stage", "perm_id", "repeat", "fold")
-SIDE = ("unit", "sample_id", "group", "y", "role")
+SIDE = ("unit", "sample_id", "group", "batch", "y", "role")
 FITS = "unit string, strength double, l1_ratio double, converged boolean, loss double, baseline_loss double, coefs array<struct<contrast:int,position:int,coef:double>>, preds array<struct<sample_id:string,class:int,p:double,baseline:double>>"
 
 
@@ -128,9 +130,9 @@ def _named(rows: DataFrame) -> DataFrame:
 
 def inner_sides(sides: DataFrame, config: Config) -> DataFrame:
     """Sides of the inner folds of each unit's training rows, with parent: the unit."""
-    rows = sides.where("role = 'train'").select(F.col("unit").alias("context"), "sample_id", "group", "y")
+    rows = sides.where("role = 'train'").select(F.col("unit").alias("context"), "sample_id", "group", "batch", "y")
     rows = dealt(group_folds(rows, config.inner_folds, F.lit(config.seed), config.outcome_type != "continuous"), config.inner_folds, "inner")
-    return rows.select(F.concat_ws("/", "context", F.col("inner").cast("string")).alias("unit"), "sample_id", "group", "y", "role", F.col("context").alias("parent"))
+    return rows.select(F.concat_ws("/", "context", F.col("inner").cast("string")).alias("unit"), "sample_id", "group", "batch", "y", "role", F.col("context").alias("parent"))
 
 
 def faults(sides: DataFrame, classes: int, held_out: bool) -> DataFrame:
@@ -145,7 +147,7 @@ def faults(sides: DataFrame, classes: int, held_out: bool) -> DataFrame:
 # preparation ----------------------------------------------------------------------------------------------------------
 
 def normalized(long: DataFrame, sides: DataFrame, config: Config) -> DataFrame:
-    """unit, sample_id, group, y, role, feature_id, raw, value: the units' rows under the configured normalisation and imputation, both learnt
+    """unit, sample_id, group, batch, y, role, feature_id, raw, value: the units' rows under the configured normalisation and imputation, both learnt
     from each unit's training rows."""
     raw = long.withColumn("raw", F.col("value"))
     if config.normalization == "logcpm":
@@ -174,7 +176,8 @@ def selected(rows: DataFrame, config: Config, allowed: DataFrame | None = None)
     if config.candidate_method == "association":
         moments = moments.drop("score").join(_association(train, config.outcome_type == "continuous"), ["unit", "feature_id"])
     elif config.candidate_method == "deseq2":
-        raise ValueError("count tests are no screen here")
+        tested = expression_screen(train, config).where(F.col("padj") <= config.de_fdr)
+        moments = moments.drop("score").join(tested.select("unit", "feature_id", (-F.col("padj")).alias("score")), ["unit", "feature_id"])
     if config.candidate_method != "none":
         best = W.partitionBy("unit").orderBy(F.desc(F.round("score", 9)), "feature_id")
         moments = moments.withColumn("k", F.row_number().over(best)).where(F.col("k") <= config.max_features).drop("k")
@@ -195,8 +198,24 @@ def _association(train: DataFrame, continuous: bool) -> DataFrame:
     return t.select(*keys, F.when(F.col("within") > 0, between / F.when(F.col("within") > 0, F.col("within") / (F.col("n") - F.col("k")))).otherwise(1e300).alias("score"))
 
 
+def expression_screen(train: DataFrame, config: Config) -> DataFrame:
+    """unit, feature_id, padj of the raw counts (train: unit, sample_id, group, batch, y, feature_id, raw of training rows): the least adjusted p-value over
+    the contrasts of a gene, each unit's tests one family. The tests of all units are one plan; a row a unit and sample makes the designs."""
+    continuous = config.outcome_type == "continuous"
+    beside = [c for c, used in (("batch", config.batch), ("group", config.de_pair_group)) if used]
+    rows = train.select("unit", "sample_id", "group", "batch", "y").distinct().toPandas()
+    rows["condition"] = rows["y"] if continuous else rows["y"].map(lambda v: f"{int(v):06d}")
+    designs_ = {unit: X.Design(own, "condition", beside, (), continuous) for unit, own in rows.groupby("unit")}
+    failed: dict[str, str] = {}
+    tests = X.count_tests(train.select(F.col("unit").alias("state"), "sample_id", "feature_id", F.col("raw").alias("value")), designs_, config.min_count, config.min_prevalence, failed)
+    if failed:
+        raise ValueError("; ".join(f"{k}: {v}" for k, v in sorted(failed.items())))
+    adjusted = benjamini_hochberg(written(tests, "screen-tests"), "p", ["state"])
+    return adjusted.groupBy(F.col("state").alias("unit"), "feature_id").agg(F.coalesce(F.min("padj"), F.lit(1.0)).alias("padj"))
+
+
 def designs(long: DataFrame, sides: DataFrame, config: Config, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(unit, sample_id, group, y, role, v: the standardised selected features in order), and the table of ``selected``."""
+    """(unit, sample_id, group, batch, y, role, v: the standardised selected features in order), and the table of ``selected``."""
     rows = normalized(long, sides, config)
     state = written(selected(rows, config, allowed), "selected")
     z = rows.join(state, ["unit", "feature_id"]).select(*SIDE, "position", ((F.col("value") - F.col("center")) / F.col("scale")).alias("z"))

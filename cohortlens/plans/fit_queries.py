@@ -114,6 +114,19 @@ def de1_count_tests(spark, d):
     return X.differential_expression(kq.expression(s), kq.metadata(s).select("sample_id", "outcome"), "outcome")
 
 
+@query
+def mod4_expression_screen(spark, d):
+    """Adjusted p-values of the genes in each of three training sides, whole nations held out."""
+    s = study(spark, d)
+    meta = written(kq.metadata(s).select("sample_id", F.col("donor").alias("group"), "batch", F.col("outcome").alias("label")), "metadata")
+    codes = K.encode_outcome(meta, "label")
+    samples = meta.join(F.broadcast(codes), "label").withColumn("y", F.col("code").cast("double")).drop("code", "label")  # classes
+    config = Config(outcome="label", outcome_type="multiclass", group="group", outer_folds=3, candidate_method="deseq2")
+    sides = written(T.outer_sides(samples, config), "sides")
+    rows = T.normalized(written(kq.expression(s), "expression"), sides.where("role = 'train'"), config)
+    return T.expression_screen(rows, config)
+
+
 @query
 def pca1_two_components(spark, d):
     from pyspark.ml.feature import PCA

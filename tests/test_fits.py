@@ -120,3 +120,19 @@ def test_plans_do_not_grow_with_units(spark):
     long, _, samples, classes = study(spark, samples=24, features=6)
     size = lambda n: len(T.designs(long, T.outer_sides(samples, Config(**BASE), n), Config(**BASE))[0]._jdf.queryExecution().optimizedPlan().toString())
     assert size(40) < 1.1 * size(2)
+
+
+def test_count_tests_screen_every_training_side_at_once(spark):
+    """The screen inside nested validation is the packed grid's, fold by fold."""
+    long, meta, samples, classes = study(spark, samples=24, features=10)
+    config = Config(**(BASE | {"candidate_method": "deseq2", "de_fdr": 0.2, "outer_folds": 2, "strengths": (0.05,), "l1_ratios": (0.5,)}))
+    p = G.pack(long, meta, config)
+    want = G.run_units(spark, p, G.outer_units(p, config), config).cache()
+    fits = T.Fits(long, T.outer_sides(samples, config), config, classes)
+    names = {i: f for i, f in enumerate(p.features)}
+    retained = {(r["repeat"], r["fold"]): {names[j] for j in r["retained"]} for r in want.collect()}
+    got = {}
+    for r in fits.state.join(fits.fits.select("unit", "repeat", "fold"), "unit").collect():
+        got.setdefault((r["repeat"], r["fold"]), set()).add(r["feature_id"])
+    assert got == retained and any(retained.values())
+    same(fits.predictions(), G.predictions(want, p), ["sample_id", "repeat", "fold", "class"], ["p", "baseline"], 1e-3)
