@@ -7,11 +7,12 @@ Only the solver sees a unit as a whole, at most max_features columns of its samp
 broadcast, and the plan does not grow with the number of units.
 
 Study: long (sample_id, feature_id, value on the complete grid) and samples (sample_id, y, group, batch, and stratum if permuted within strata).
-y: class codes from 0, or the response. Covariates and views of perturbed cells are not taken here.
+y: class codes from 0, or the response. Covariates come as a table of their own (``covariate_values``). Views of perturbed cells are not taken here.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 import pandas as pd
@@ -214,14 +215,50 @@ def expression_screen(train: DataFrame, config: Config) -> DataFrame:
     return adjusted.groupBy(F.col("state").alias("unit"), "feature_id").agg(F.coalesce(F.min("padj"), F.lit(1.0)).alias("padj"))
 
 
-def designs(long: DataFrame, sides: DataFrame, config: Config, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(unit, sample_id, group, batch, y, role, v: the standardised selected features in order), and the table of ``selected``."""
+def covariate_values(metadata: DataFrame, covariates: Sequence[str]) -> DataFrame:
+    """sample_id, at (the covariate's number), level (null: a number), value. A null covariate is an error where it is read."""
+    kinds, parts = dict(metadata.dtypes), None
+    for at, c in enumerate(covariates):  # declared
+        text = kinds[c] in ("string", "boolean")
+        known = F.coalesce(F.col(c).cast("string" if text else "double"), F.raise_error(F.lit("a covariate has missing values")).cast("string" if text else "double"))
+        part = metadata.select("sample_id", F.lit(at).alias("at"), (known if text else F.lit(None).cast("string")).alias("level"), (F.lit(1.0) if text else known).alias("value"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def unseen_levels(sides: DataFrame, values: DataFrame) -> DataFrame:
+    """unit of those with a held-out level that training lacks."""
+    rows = sides.join(values.where("level is not null"), "sample_id")
+    of = lambda role: rows.where(F.col("role") == role).select("unit", "at", "level").distinct()
+    return of("test").join(of("train"), ["unit", "at", "level"], "left_anti").select("unit").distinct()
+
+
+def covariate_vectors(sides: DataFrame, values: DataFrame) -> DataFrame:
+    """unit, sample_id, c: numbers and indicators of all levels but the first, of each unit's training rows, scaled by these rows."""
+    rows = sides.select("unit", "sample_id", "role").join(values, "sample_id")
+    n = sides.where("role = 'train'").groupBy("unit").agg(F.count("*").alias("n"))
+    g = rows.where("role = 'train'").groupBy("unit", "at", "level").agg(F.sum("value").alias("s"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).join(n, "unit")
+    share = F.col("s") / F.col("n")
+    g = g.withColumns({"center": F.when(F.col("level").isNull(), F.col("mean")).otherwise(share), "sd": F.when(F.col("level").isNull(), F.col("sd")).otherwise(F.sqrt(share * (1 - share)))})
+    place = F.row_number().over(W.partitionBy("unit", "at").orderBy("level"))  # levels: a covariate has few
+    columns = g.withColumn("k", place).where("level is null or k > 1").select("unit", "at", F.col("level").alias("of"), "center", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd"))
+    own = F.when(F.col("of").isNull(), F.col("value")).otherwise((F.col("of") == F.col("level")).cast("double"))
+    each = rows.join(columns, ["unit", "at"]).select("unit", "sample_id", F.struct("at", "of", ((own - F.col("center")) / F.col("sd")).alias("z")).alias("x"))
+    return each.groupBy("unit", "sample_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("unit", "sample_id", F.col("x.z").alias("c"))
+
+
+def designs(long: DataFrame, sides: DataFrame, config: Config, allowed: DataFrame | None = None, covariates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(unit, sample_id, group, batch, y, role, v: the standardised selected features in order, c: the covariates' columns), and the table of
+    ``selected``."""
     rows = normalized(long, sides, config)
     state = written(selected(rows, config, allowed), "selected")
     z = rows.join(state, ["unit", "feature_id"]).select(*SIDE, "position", ((F.col("value") - F.col("center")) / F.col("scale")).alias("z"))
     vectors = z.groupBy(*SIDE).agg(F.sort_array(F.collect_list(F.struct("position", "z"))).alias("e"))  # at most max_features, or a panel
     none = sides.select(*SIDE).join(state.select("unit").distinct(), "unit", "left_anti").withColumn("v", F.array().cast("array<double>"))  # nothing selected
-    return vectors.select(*SIDE, F.col("e.z").alias("v")).unionByName(none), state
+    both = vectors.select(*SIDE, F.col("e.z").alias("v")).unionByName(none)
+    beside = covariate_vectors(sides, covariates) if covariates is not None else None
+    both = both.join(beside, ["unit", "sample_id"], "left") if beside is not None else both.withColumn("c", F.lit(None).cast("array<double>"))
+    return both.select(*SIDE, "v", F.coalesce("c", F.array().cast("array<double>")).alias("c")), state
 
 
 # fits -----------------------------------------------------------------------------------------------------------------
@@ -229,14 +266,14 @@ def designs(long: DataFrame, sides: DataFrame, config: Config, allowed: DataFram
 def _sides(pdf: pd.DataFrame):
     import numpy as np
 
-    pdf, columns = pdf.sort_values("sample_id"), len(pdf["v"].iloc[0])
+    pdf, widths = pdf.sort_values("sample_id"), {k: len(pdf[k].iloc[0]) for k in ("v", "c")}
     for role in ("train", "test"):
         own = pdf[pdf["role"] == role]
-        x = np.array([np.asarray(v, float) for v in own["v"]]).reshape(len(own), columns)
-        yield x, own["y"].to_numpy(float), group_weights(own["group"].to_numpy()) if len(own) else np.zeros(0), own["sample_id"].tolist()
+        x, c = (np.array([np.asarray(v, float) for v in own[k]]).reshape(len(own), n) for k, n in widths.items())
+        yield x, c, own["y"].to_numpy(float), group_weights(own["group"].to_numpy()) if len(own) else np.zeros(0), own["sample_id"].tolist()
 
 
-def inner_losses(designs_: DataFrame, config: Config) -> DataFrame:
+def inner_losses(designs_: DataFrame, config: Config, covariates_only: bool = False) -> DataFrame:
     """unit, strength, l1_ratio, loss (infinite where the fit did not converge), n_selected: the grid on each inner fold."""
     kind, tolerance, tol, steps = config.outcome_type, config.coefficient_tolerance, config.tolerance / 1000, config.max_iter
     strengths, ratios = sorted(config.strengths, reverse=True), config.l1_ratios
@@ -244,27 +281,38 @@ def inner_losses(designs_: DataFrame, config: Config) -> DataFrame:
     def run(pdf):
         import numpy as np
 
-        (a, y, w, _), (b, yt, wt, _) = _sides(pdf)
+        (x, c, y, w, _), (xt, ct, yt, wt, _) = _sides(pdf)
+        a, b, m = (c, ct, 0) if covariates_only else (np.hstack([x, c]), np.hstack([xt, ct]), x.shape[1])
         rows = []
-        for ratio in ratios if a.shape[1] else ():
+        for ratio in ratios:
             start = None
             for strength in strengths:
                 start = elastic_net(a, y, w, kind, strength, ratio, tol, steps, start)
                 loss = mean_loss(yt, start.predict(b, kind), wt, kind) if start.converged else np.inf
-                rows.append((pdf["unit"].iloc[0], strength, ratio, loss, float((np.abs(start.contrasts(kind)) > tolerance).any(axis=0).sum())))
+                rows.append((pdf["unit"].iloc[0], strength, ratio, loss, float((np.abs(start.contrasts(kind)[:, :m]) > tolerance).any(axis=0).sum())))
         return pd.DataFrame(rows, columns=["unit", "strength", "l1_ratio", "loss", "n_selected"])
 
     return designs_.groupBy("unit").applyInPandas(run, "unit string, strength double, l1_ratio double, loss double, n_selected double")
 
 
-def tuned(long: DataFrame, sides: DataFrame, config: Config, classes: int) -> tuple[DataFrame, DataFrame]:
-    """(the tuning table by context, the unit; unit, strength, l1_ratio chosen). Units with a faulty inner fold have none."""
+def tuned(long: DataFrame, sides: DataFrame, config: Config, classes: int, covariates: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(the tuning table by context, the unit; unit, strength, l1_ratio chosen; the latter for covariates alone, if any). Units with a faulty inner
+    fold have none."""
     inner = written(inner_sides(sides, config), "inner-sides")
     bad = faults(inner, classes, True).where("error is not null").select("unit")
+    bad = bad.unionByName(unseen_levels(inner, covariates)) if covariates is not None else bad
     broken = inner.join(bad, "unit", "left_semi").select("parent").distinct()
     inner = inner.join(broken, "parent", "left_anti")
-    losses = inner_losses(designs(long, inner, config)[0], config).withColumn("context", F.substring_index("unit", "/", 1))
-    table = written(E.tuning_table(losses), "tuning")
+    vectors = designs(long, inner, config, None, covariates)[0]
+    if covariates is None:
+        return *_best(inner_losses(vectors, config), config), None
+    vectors = written(vectors, "inner-designs")
+    return *_best(inner_losses(vectors, config), config), _best(inner_losses(vectors, config, True), config)[1]
+
+
+def _best(losses: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """The tuning table of inner losses, and the point that the rule chooses for each unit."""
+    table = written(E.tuning_table(losses.withColumn("context", F.substring_index("unit", "/", 1))), "tuning")
     if config.tuning_rule == "one_se":
         best = E.one_standard_error(table)
     else:
@@ -274,8 +322,8 @@ def tuned(long: DataFrame, sides: DataFrame, config: Config, classes: int) -> tu
 
 
 def refits(designs_: DataFrame, chosen: DataFrame, config: Config, classes: int) -> DataFrame:
-    """FITS of units at their parameters (unit, strength, l1_ratio; several a unit are several fits), the test rows predicted beside a fit without
-    predictors."""
+    """FITS of units at their parameters (unit, strength, l1_ratio; several a unit are several fits; base_strength and base_ratio for the covariates
+    alone), the test rows predicted beside a fit of the covariates alone, or without predictors."""
     kind, tol, steps, k = config.outcome_type, config.tolerance / 1000, config.max_iter, max(2, classes)
     columns = [c.split()[0] for c in FITS.split(", ")]
 
@@ -283,20 +331,25 @@ def refits(designs_: DataFrame, chosen: DataFrame, config: Config, classes: int)
         import numpy as np
 
         unit, strength, ratio = pdf["unit"].iloc[0], float(pdf["strength"].iloc[0]), float(pdf["l1_ratio"].iloc[0])
-        (a, y, w, _), (b, yt, wt, names) = _sides(pdf)
+        (x, c, y, w, _), (xt, ct, yt, wt, names) = _sides(pdf)
+        a, b, m = np.hstack([x, c]), np.hstack([xt, ct]), x.shape[1]
         fit = elastic_net(a, y, w, kind, strength, ratio, tol, steps) if a.shape[1] else dummy(y, w, kind, k)
-        con = fit.contrasts(kind)
+        con = fit.contrasts(kind)[:, :m]
         coefs = [{"contrast": int(c), "position": int(j), "coef": float(con[c, j])} for c in range(len(con)) for j in np.flatnonzero(con[c])]
         loss = base = None
         preds = []
         if len(yt):
             p = fit.predict(b, kind)
-            q = dummy(y, w, kind, k).predict(b[:, :0], kind)
+            bs, br = pdf["base_strength"].iloc[0], pdf["base_ratio"].iloc[0]
+            base_fit = elastic_net(c, y, w, kind, float(bs), float(br), tol, steps) if c.shape[1] else dummy(y, w, kind, k)
+            q = base_fit.predict(ct, kind)
             loss, base = mean_loss(yt, p, wt, kind), mean_loss(yt, q, wt, kind)
             p, q = (v[:, None] if v.ndim == 1 else v for v in (p, q))
             preds = [{"sample_id": s, "class": c, "p": float(p[i, c]), "baseline": float(q[i, c])} for i, s in enumerate(names) for c in range(p.shape[1])]
         return pd.DataFrame([(unit, strength, ratio, bool(fit.converged), loss, base, coefs, preds)], columns=columns)
 
+    if "base_strength" not in chosen.columns:
+        chosen = chosen.withColumns({"base_strength": F.lit(None).cast("double"), "base_ratio": F.lit(None).cast("double")})
     return designs_.join(chosen, "unit").groupBy("unit", "strength", "l1_ratio").applyInPandas(run, FITS)
 
 
@@ -304,19 +357,23 @@ class Fits:
     """Tuned fits of sides: ``fits`` (KEYS and FITS, error where a unit could not be fitted), ``tuning`` by context, ``state`` (the features that
     each unit selected)."""
 
-    def __init__(self, long: DataFrame, sides: DataFrame, config: Config, classes: int, held_out: bool = True, chosen: DataFrame | None = None, allowed: DataFrame | None = None):
-        if config.covariates:
-            raise ValueError("covariates are not taken here")
+    def __init__(self, long: DataFrame, sides: DataFrame, config: Config, classes: int, held_out: bool = True, chosen: DataFrame | None = None, allowed: DataFrame | None = None, covariates: DataFrame | None = None):
         self.config, self.classes, self.long = config, classes, long
         sides = written(sides, "sides")
         errors = written(faults(sides, classes, held_out), "faults")
+        if covariates is not None:
+            unseen = unseen_levels(sides, covariates).withColumn("unseen", F.lit("a covariate has a level that training lacks"))
+            errors = written(errors.join(unseen, "unit", "left").select("unit", F.coalesce("error", "unseen").alias("error")), "faults")
         sound = sides.join(errors.where("error is null").select("unit"), "unit")
         self.tuning = None
         if chosen is None:
-            self.tuning, chosen = tuned(long, sound, config, classes)
+            self.tuning, chosen, base = tuned(long, sound, config, classes, covariates)
+            chosen = chosen.join(base.select("unit", F.col("strength").alias("base_strength"), F.col("l1_ratio").alias("base_ratio")), "unit") if base is not None else chosen
+        elif covariates is not None and held_out:
+            raise ValueError("held-out fits with covariates are tuned, as their baseline is")
         if allowed is not None:
             config = replace(config, candidate_method="none")
-        vectors, self.state = designs(long, sound, config, allowed)
+        vectors, self.state = designs(long, sound, config, allowed, covariates)
         fits = written(refits(vectors, chosen, config, classes), "fits")
         units = sides.select("unit", *KEYS).distinct().join(errors, "unit")
         fitted = units.join(fits, "unit", "left")

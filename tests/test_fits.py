@@ -136,3 +136,28 @@ def test_count_tests_screen_every_training_side_at_once(spark):
         got.setdefault((r["repeat"], r["fold"]), set()).add(r["feature_id"])
     assert got == retained and any(retained.values())
     same(fits.predictions(), G.predictions(want, p), ["sample_id", "repeat", "fold", "class"], ["p", "baseline"], 1e-3)
+
+
+@pytest.mark.parametrize("kind", ["binary", "continuous"])
+def test_covariates_and_their_baseline_equal_the_packed_grid(spark, kind):
+    long, meta, samples, classes = study(spark, kind)
+    rng = np.random.default_rng(1)
+    rows = [(r["sample_id"], str(rng.choice(["north", "south", "west"])), float(rng.normal(40, 9) + 5 * r["y"])) for r in samples.orderBy("sample_id").collect()]
+    meta = meta.join(spark.createDataFrame(rows, "sample_id string, site string, age double"), "sample_id")
+    config = Config(**(BASE | {"outcome_type": kind, "covariates": ("site", "age"), "strengths": (0.05, 0.2)}))
+    p = G.pack(long, meta, config)
+    want = G.run_units(spark, p, G.outer_units(p, config), config).cache()
+    assert want.where("error is not null").isEmpty()
+    fits = T.Fits(long, T.outer_sides(samples, config), config, classes, covariates=T.covariate_values(meta, config.covariates))
+    same(fits.fits, want, ["repeat", "fold"], ["strength", "l1_ratio", "loss", "baseline_loss"])
+    same(fits.predictions(), G.predictions(want, p), ["sample_id", "repeat", "fold", "class"], ["p", "baseline"])
+
+
+def test_levels_that_training_lacks(spark):
+    long, meta, samples, classes = study(spark)
+    config = Config(**(BASE | {"covariates": ("site",)}))
+    meta = meta.withColumn("site", F.when(F.col("sample_id") == "s000", "only here").otherwise("elsewhere"))
+    fits = T.Fits(long, T.outer_sides(samples, config), config, classes, covariates=T.covariate_values(meta, ["site"])).fits
+    assert sorted((r["error"] or "") for r in fits.collect()).count("a covariate has a level that training lacks") == 1
+    with pytest.raises(Exception, match="missing values"):
+        T.covariate_values(meta.withColumn("site", F.lit(None).cast("string")), ["site"]).collect()
