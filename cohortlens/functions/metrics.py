@@ -55,9 +55,9 @@ def _steps(rows: DataFrame, keys: list[str]) -> DataFrame:
     return running(g, keys, -bucket_of(F.col("p"), cuts(g, F.col("p"))), [F.desc("p")], ["tp", "fp"])
 
 
-def curve(rows: DataFrame) -> DataFrame:
-    """Cumulative weighted counts by falling score, ties collapsed: p, tp, fp, cum_tp, cum_fp."""
-    return _steps(rows, [])
+def curve(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Cumulative weighted counts by falling score, ties collapsed, within keys: p, tp, fp, cum_tp, cum_fp."""
+    return _steps(rows, keys or [])
 
 
 def ranking(rows: DataFrame) -> DataFrame:
@@ -77,9 +77,9 @@ def calibration_bin(p: Column, bins: int = 5) -> Column:
     return F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int")
 
 
-def calibration(rows: DataFrame, bins: int = 5) -> DataFrame:
-    """bin, mean_probability, observed_fraction, n_rows, weight."""
-    return rows.groupBy(calibration_bin(F.col("p"), bins).alias("bin")).agg(
+def calibration(rows: DataFrame, bins: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """bin, mean_probability, observed_fraction, n_rows, weight, within keys."""
+    return rows.groupBy(*(keys or []), calibration_bin(F.col("p"), bins).alias("bin")).agg(
         mean_of(F.col("p")).alias("mean_probability"), mean_of(F.col("y").cast("double")).alias("observed_fraction"), F.count("*").alias("n_rows"), F.sum("w").alias("weight"))
 
 

@@ -225,7 +225,8 @@ def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, conf
         panel = {"improvement": loss["outer_panel", 0]["improvement"] if ("outer_panel", 0) in loss else None, "pvalue": permutation_test(loss, "outer_panel", config.permutations)} if config.panel_validation else None
         validation = batch_validation(fits, p)
         run.record("batch_validation", validation)
-        predictions = run.table("predictions", G.predictions(fits, p))
+        group = metadata.select("sample_id", F.col(config.group or "sample_id").cast("string").alias("group"))
+        predictions = run.table("predictions", G.predictions(fits, p).join(group, "sample_id"))
         coefs = lambda stage: G.coefficients(fits, p, stage)
         tol, tested = config.coefficient_tolerance, validation["status"] == "tested"
         stability = run.table("stability", E.stability_summary(coefs("stability"), tol))
@@ -270,9 +271,8 @@ def run_analysis(spark: SparkSession, long: DataFrame, metadata: DataFrame, conf
         best = fits.where("stage = 'final'").select("strength", "l1_ratio").first()
         run.table("path", G.run_units(spark, p, G.path_units(p, best["l1_ratio"], sorted(config.strengths)), config))
         run.record("model", freeze(p, config, best["strength"], best["l1_ratio"]))
-        group = metadata.select("sample_id", F.col(config.group or "sample_id").cast("string").alias("group"))
         metrics = {"loss": seen["loss"], "baseline_loss": seen["baseline_loss"], "loss_improvement": seen["improvement"], "pvalue": pvalue, "blockers": blockers, "warnings": warnings, "unconverged": unconverged, "passing": evidence.where("passes_robustness_gates").count()}
-        metrics |= outcome_metrics(predictions.join(group, "sample_id"), config)
+        metrics |= outcome_metrics(predictions, config)
         if panel is not None:
             metrics["panel"] = panel | panel_results(run, fits, p, config, evidence, coefs) | {f"oof_{k}": v for k, v in outcome_metrics(G.predictions(fits, p, "outer_panel").join(group, "sample_id"), config).items()}
         run.record("metrics", metrics)
