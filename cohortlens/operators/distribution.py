@@ -44,7 +44,7 @@ def distribution_features(cells: DataFrame, counts: DataFrame, config: Config, p
     if gene_blocks:
         genes = spark.createDataFrame([(g,) for g in config.feature_genes], "gene_id string") if config.feature_genes else counts.select("gene_id").distinct()
         limits = config.gene_thresholds if "gene_tail" in blocks else ()
-        grid = C.on_grid(groups, genes, C.gene_moments(values.join(F.broadcast(genes), "gene_id"), limits))
+        grid = C.on_grid(groups, genes, C.gene_moments(values.join(F.broadcast(genes) if config.feature_genes else genes, "gene_id"), limits))
         parts.append(C.gene_blocks(grid, limits, config.min_cells).where(F.col("kind").isin(*gene_blocks)).select("sample_id", "kind", "state", "source", "value"))
     if "gene_correlation" in blocks and config.gene_pairs:
         pairs = spark.createDataFrame([tuple(p) for p in config.gene_pairs], "a string, b string")
