@@ -83,17 +83,29 @@ def outer_sides(samples: DataFrame, config: Config, permutations: int = 0) -> Da
     """Sides and KEYS of nested validation of the observed labels and of permutations."""
     rows = permuted(samples, config, permutations).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(config.repeats - 1))))
     rows = rows.withColumn("context", unit_name(F.col("perm_id"), F.col("repeat")))
-    if config.cv_strategy != "grouped":
-        raise ValueError("outer folds are made of groups here")
-    rows = dealt(group_folds(rows, config.outer_folds, F.lit(config.seed) + F.col("repeat"), config.outcome_type != "continuous"), config.outer_folds)
+    if config.cv_strategy == "grouped":
+        rows = dealt(group_folds(rows, config.outer_folds, F.lit(config.seed) + F.col("repeat"), config.outcome_type != "continuous"), config.outer_folds)
+    elif config.cv_strategy == "temporal":
+        raise ValueError("outer folds in time are not made here")
+    else:
+        rows = rows.join(held_out(samples, config.cv_strategy == "leave_batch_out"), "sample_id")
     return _named(rows.withColumn("stage", F.lit("outer")))
 
 
+def held_out(samples: DataFrame, batches: bool) -> DataFrame:
+    """sample_id, fold, role: each group, or each batch, held out in the order of their names; rows of a held-out batch's groups in other
+    batches have no role."""
+    key = "batch" if batches else "group"
+    number = samples.select(F.col(key).alias("held")).distinct().withColumn("fold", (F.dense_rank().over(W.orderBy("held")) - 1).cast("int"))  # a study's
+    if batches:
+        return S.leave_batch_out(samples, "group", "batch").withColumnRenamed("batch", "held").join(number, "held").select("sample_id", "fold", "role")
+    folds = samples.select("sample_id", F.col(key).alias("held")).join(number, "held").drop("held")
+    return dealt(folds, number.count())
+
+
 def batch_sides(samples: DataFrame) -> DataFrame:
     """Sides and KEYS: each batch held out, its groups' other rows left out."""
-    roles = S.leave_batch_out(samples, "group", "batch").select(F.col("batch").alias("held"), "sample_id", "role")
-    number = samples.select(F.col("batch").alias("held")).distinct().withColumn("fold", F.dense_rank().over(W.orderBy("held")) - 1)  # batches
-    rows = roles.join(number, "held").join(samples, "sample_id")
+    rows = held_out(samples, True).join(samples, "sample_id")
     return _named(rows.select("*", F.lit("batch").alias("stage"), F.lit(0).alias("perm_id"), F.lit(0).alias("repeat")))
 
 
@@ -353,6 +365,14 @@ def refits(designs_: DataFrame, chosen: DataFrame, config: Config, classes: int)
     return designs_.join(chosen, "unit").groupBy("unit", "strength", "l1_ratio").applyInPandas(run, FITS)
 
 
+def stability_fits(long: DataFrame, samples: DataFrame, config: Config, classes: int, covariates: DataFrame | None = None) -> list[tuple[str, Fits]]:
+    """(normalisation, fits) of the stability resamples, which take the configured normalisations in turn."""
+    sides = written(stability_sides(samples, config), "stability-sides")
+    methods = config.stability_normalizations or (config.normalization,)
+    own = lambda i: sides.where(F.col("fold") % len(methods) == i)
+    return [(m, Fits(long, own(i), replace(config, normalization=m), classes, held_out=False, covariates=covariates)) for i, m in enumerate(methods)]
+
+
 class Fits:
     """Tuned fits of sides: ``fits`` (KEYS and FITS, error where a unit could not be fitted), ``tuning`` by context, ``state`` (the features that
     each unit selected)."""

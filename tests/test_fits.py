@@ -70,6 +70,29 @@ def test_batches_resamples_and_paths_equal_the_packed_grid(spark):
     same(few.coefficients(), G.coefficients(packed, p, "panel").withColumn("fit_id", F.lit("panel:0:0:0")), ["fit_id", "contrast", "feature_id"], ["coef"], 1e-4)
 
 
+@pytest.mark.parametrize("strategy", ["leave_batch_out", "leave_group_out"])
+def test_outer_folds_that_hold_out_names_equal_the_packed_grid(spark, strategy):
+    long, meta, samples, classes = study(spark, samples=24, features=6)
+    if strategy == "leave_group_out":
+        samples = samples.withColumn("group", F.concat(F.lit("d"), F.col("y").cast("int").cast("string"), F.substring("batch", 2, 1)))
+        meta = meta.drop("donor").join(samples.select("sample_id", F.col("group").alias("donor")), "sample_id")
+    config = Config(**(BASE | {"cv_strategy": strategy, "strengths": (0.1,), "l1_ratios": (0.5,)}))
+    p = G.pack(long, meta, config)
+    want = G.run_units(spark, p, G.outer_units(p, config), config)
+    same(T.Fits(long, T.outer_sides(samples, config), config, classes).fits, want, ["fold"], ["loss", "baseline_loss"])
+
+
+def test_resamples_take_normalisations_in_turn(spark):
+    long, meta, samples, classes = study(spark)
+    config = Config(**(BASE | {"stability_normalizations": ("median_ratio", "logcpm"), "strengths": (0.1,), "l1_ratios": (0.5,)}))
+    p = G.pack(long, meta, config)
+    want = {(r["fit_id"], r["feature_id"]): (r["coef"], r["normalization"]) for r in G.coefficients(G.run_units(spark, p, G.stability_units(p, config), config), p, "stability").collect()}
+    got = {(int(r["fit_id"].rsplit(":", 1)[1]), r["feature_id"]): (r["coef"], m) for m, f in T.stability_fits(long, samples, config, classes) for r in f.coefficients().collect()}
+    assert set(got) == set(want) and len(got) == 4 * 14
+    for k in want:
+        assert got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-4)
+
+
 def test_permutations_exchange_whole_groups(spark):
     _, meta, samples, _ = study(spark, "continuous")
     samples = samples.withColumn("y", F.pmod(F.hash("group"), F.lit(5)).cast("double")).withColumn("stratum", F.pmod(F.hash("group"), F.lit(3)).cast("string"))

@@ -172,3 +172,15 @@ def test_command_line(spark, tmp_path):
         done = subprocess.run([sys.executable, "-m", "jobs.marker_terms", "--documents", docs, "--labels", labels, "--output", f"{tmp_path}/cli", "--config", f"{tmp_path}/own.json"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
         assert done.returncode == 0 and "read 400 labelled documents of 8 sources" in done.stderr and "wrote en:" in done.stderr, done.stderr[-2000:]
     assert marker_terms.read_evidence(spark, f"{tmp_path}/cli").where("gene_id = 'venom' and stable").count() == 1
+
+
+def test_jobs_on_paths_that_only_spark_opens(spark, tmp_path):
+    docs, labels = planted(spark, tmp_path)
+    (tmp_path / "out").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.jobs.link./at", f"file://{tmp_path}")
+    at = "viewfs://jobs/at"
+    marker_terms.run(spark, f"{at}/docs", f"{at}/labels", f"{at}/out/one")
+    assert marker_terms.read_evidence(spark, f"{at}/out/one").where("gene_id = 'venom'").count() == 1
+    for _ in range(2):
+        term_moments.run(spark, f"{at}/docs", f"{at}/out/two")
+    assert term_moments.read(spark, f"{at}/out/two", "features").where("gene_id = 'venom'").count() == 8
