@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .study import Study
+from .study import Study, dealt
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters and digits of ASCII, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The specimen or state of documents that name none: an empty partition value would come back as null.
 UNKNOWN = "unknown"
+#: Characters of texts that a task takes, about (their words, counted by document, need some hundred MB), and what a row weighs besides its text.
+CHARS, ROW = 8_000_000, 32
 
 
 def named(column: str) -> Column:
@@ -21,9 +23,12 @@ def named(column: str) -> Column:
 
 def corpus_study(docs: DataFrame) -> Study:
     """docs: doc_id, text, lang, source. Rows without doc_id are left out; rows that share one are one cell, whose words add up and whose
-    source and language are the smallest. A document without words is a cell without counts. The texts are dealt by document once: counts,
-    libraries and joins by cell then need no other exchange, and words are only ever summed where they lie."""
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("cell_id"), "text", named("source").alias("sample_id"), named("lang").alias("state")).repartition("cell_id")
+    source and language are the smallest. A document without words is a cell without counts. The texts are dealt by document once, in
+    shares of about CHARS characters (a pass counts them): counts, libraries and joins by cell then need no other exchange, and words are only
+    ever summed where they lie."""
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("cell_id"), "text", named("source").alias("sample_id"), named("lang").alias("state"))
+    size = known.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + ROW)).first()[0]
+    known = dealt(known, size, CHARS)
     cells = known.groupBy("cell_id").agg(F.min("sample_id").alias("sample_id"), F.min("state").alias("state"))
     words = known.select("cell_id", F.explode(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("gene_id"))
     counts = words.groupBy("cell_id", "gene_id").agg(F.count("*").alias("count"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.plans import registry
 from cohortlens.sources import study as S
+from cohortlens.sources import texts as T
 
 
 def shares(df):
@@ -28,3 +29,18 @@ def test_entries_of_a_task_are_bounded(spark, sf_dir, monkeypatch, share):
 
 def test_few_entries_are_left_to_adaptive_execution(spark, sf_dir):
     assert len(shares(S.study(spark, sf_dir).counts)) <= 4
+
+
+def test_texts_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = rows(T.corpus_study(docs).counts)
+    n, total, longest = docs.agg(F.count("*"), F.sum(F.length("text")), F.max(F.length("text"))).first()
+    monkeypatch.setattr(T, "CHARS", longest)
+    study = T.corpus_study(docs)
+    weights = study.counts.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.col("count") * (F.length("gene_id") + 1)).alias("n")).collect()
+    assert study.counts.rdd.getNumPartitions() == max(-(-(total + n * T.ROW) // longest), spark.sparkContext.defaultParallelism) > 4
+    assert max(r["n"] for r in weights) <= 4 * longest and len(weights) > 4
+    assert rows(study.counts) == want and study.cells.count() == n
+    assert rows(T.corpus_study(docs.where("doc_id < 0")).counts) == []  # nothing to weigh
+    empty = spark.createDataFrame([(i, None, "en", "s") for i in range(50)], "doc_id long, text string, lang string, source string")
+    assert T.corpus_study(empty).cells.count() == 50
