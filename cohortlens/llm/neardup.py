@@ -10,8 +10,8 @@ members, and those that look similar to one become its satellites; a satellite,
 centre's class, and a class counts once in every node from then on. So a crowd costs a row a node, not one a member.
 
 Then ``trees`` independent trees: nodes of at most ``SMALL`` classes are compared exhaustively (all pairs, on 64-byte
-sketches of the minwise hashes); larger ones go on branching, until comparing them exhaustively, in blocks and on full sets,
-is cheap (``WORK``), or for ``DEPTH`` more levels. Nothing leaves a node early. A class stands in a comparison by its centre:
+sketches of the minwise hashes); larger ones go on branching, until comparing them exhaustively, in blocks and on full sets (of
+those whose sketch is anywhere near another one of their block), is cheap (``WORK``), or for ``DEPTH`` more levels. Nothing leaves a node early. A class stands in a comparison by its centre:
 as its members are within distance d = 1 - similarity of it, whatever is similar to a member is within 2 d of the centre (3 d if it is a
 member of another class), and every class that may be so near is compared with all members, exactly and in blocks.
 
@@ -22,7 +22,7 @@ group, a component or a list of links in one task or on the driver.
 
 Recall: two levels down, a tree keeps a pair of similarity 0.8 together in 7 of 10 cases, so ``trees`` = 12 lose one in 10**6;
 where nodes stay large for more levels, under 1 in 1000. All trees share the hashes of a set, and a pair is passed over where
-their estimate is four standard deviations low (1 in 30,000), so losses of different trees are not independent. Confirmed links are exact.
+their estimate is four standard deviations low (1 in 30,000; six in large nodes, under 1 in 10**7), so losses of different trees are not independent. Confirmed links are exact.
 
 Defined results. Null, empty or blank text: an empty set, linked with nothing. Fewer words than a shingle has: the whole
 sequence is the one shingle. Null doc_id: linked with nothing, component null, kept. Rows that share a doc_id stay or go
@@ -53,8 +53,9 @@ WORK = 256
 #: So many links (counted, after each task has reduced its own to a forest) are solved in one task; more by joins.
 FOREST_ROWS = 200_000
 BLOCK = 512
-#: Estimates may be so many standard deviations off before a pair is lost, and before a pair counts as sure.
-SLACK, SURE = 4, 3
+#: Estimates may be so many standard deviations off before a pair is lost, and before a pair counts as sure; WIDE: before a pair of a large
+#: node that is compared exhaustively is lost.
+SLACK, SURE, WIDE = 4, 3, 6
 
 
 def deviation(similarity: float) -> float:
@@ -64,7 +65,7 @@ def deviation(similarity: float) -> float:
 
 class Limits:
     """What follows from percent. least[c], looks[c]: similarity, and its estimate, that a pair of centres has at least if of its c
-    classes with members (0, 1 or 2) some member is similar to the other side."""
+    classes with members (0, 1 or 2) some member is similar to the other side. wide[c]: as looks[c], for large nodes."""
 
     def __init__(self, percent: int):
         if not 1 <= percent <= 100:
@@ -72,6 +73,7 @@ class Limits:
         self.percent, self.similarity = percent, percent / 100
         self.least = np.array([max(0.0, 1 - (c + 1) * (1 - self.similarity)) for c in range(3)])
         self.looks = np.array([max(0.0, x - SLACK * deviation(x)) for x in self.least])
+        self.wide = np.array([max(0.0, x - WIDE * deviation(x)) for x in self.least])
         self.sure = self.similarity + SURE * deviation(self.similarity)
 
 
@@ -307,6 +309,7 @@ def crowd_stars(sets: DataFrame, limits: Limits) -> DataFrame | None:
 
 def place(rows: DataFrame) -> DataFrame:
     """rows: node, cls, repeats allowed. (node, cls, m): the classes of each node that has several, and their number."""
+    rows = rows.repartition("node")  # one exchange for both uses
     mixed = rows.groupBy("node").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("node")
     shared = materialize(rows.join(mixed, "node").select("node", "cls"), "near-shared").distinct()
     return materialize(shared.join(shared.groupBy("node").agg(F.count("*").alias("m")), "node"), "near-placed")
@@ -314,7 +317,7 @@ def place(rows: DataFrame) -> DataFrame:
 
 def candidate_pairs(sets: DataFrame, limits: Limits, trees: int) -> tuple[DataFrame, DataFrame | None]:
     """sets: rep, cls, n, sig, mark, crowd of the distinct sets. Candidate pairs of classes (PAIRS, repeats possible), and the rows
-    (node, cls, m, crowd) of large nodes left to compare exhaustively, if any."""
+    (node, cls, m, n, mark, crowd) of large nodes left to compare exhaustively, if any."""
     described = sets.where("cls = rep").select("cls", "n", "mark", "crowd")
     planted = lambda once: sets.select("rep", "cls", "sig").mapInArrow(tidied(_plant(0, trees, limits.similarity, once)), "node long, rep long, cls long")
     rows, found, rest, n = planted(True), [], None, sets.count()
@@ -327,7 +330,7 @@ def candidate_pairs(sets: DataFrame, limits: Limits, trees: int) -> tuple[DataFr
         if pairs is None:
             break
         if pairs <= WORK * n and copies <= n or depth == DEPTH:
-            rest = large.join(described.select("cls", "crowd"), "cls").select("node", "cls", "m", "crowd")
+            rest = large.join(described, "cls").select("node", "cls", "m", "n", "mark", "crowd")
             break
         nodes = materialize(large.select("node").distinct(), "near-large")
         inside = (planted(False) if depth == 0 else rows).join(broadcast_if_small(nodes, nodes.count()), "node")
@@ -388,8 +391,10 @@ def _ring(limits: Limits):
 def member_links(edges: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, limits: Limits) -> DataFrame:
     """Confirmed links between members (cls, rep; centres too) of the hubs of edges (hub, other) and the others or their members. A
     class is dealt over blocks of about HUB_ROWS members, each of which the sets near it visit."""
-    visits = edges.join(members.withColumnRenamed("cls", "other"), "other", "left").select("hub", F.coalesce("rep", "other").alias("rep")).distinct()
-    marked = visits.join(sets.select("rep", "n", "mark"), "rep").join(sets.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("mark").alias("hub_mark")), "hub")
+    visits = materialize(edges.join(members.withColumnRenamed("cls", "other"), "other", "left").select("hub", F.coalesce("rep", "other").alias("rep")).distinct(), "near-asked")
+    few = visits.count()  # so the sets stay where they are
+    hubs = sets.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("mark").alias("hub_mark")).join(broadcast_if_small(visits.select("hub").distinct(), few), "hub", "left_semi")
+    marked = sets.select("rep", "n", "mark").join(broadcast_if_small(visits, few), "rep").join(hubs, "hub")
     visits = materialize(marked.mapInArrow(tidied(_ring(limits)), "hub long, rep long"), "near-visits")
     own = members.withColumnRenamed("cls", "hub").join(visits.select("hub").distinct(), "hub", "left_semi")
     blocks = materialize(own.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("blocks")), "near-blocks")
@@ -452,12 +457,41 @@ def _cells(size: int, limits: Limits):
     return run
 
 
-def block_links(large: DataFrame, texts: DataFrame, size: int, limits: Limits) -> DataFrame:
-    """PAIRS (see _cells) within nodes compared exhaustively, as a grid of blocks of about BLOCK rows."""
+def _alike(limits: Limits):
+    """The rows of each cell whose sketch allows that they are in a pair that _cells would give."""
+
+    def run(batches):
+        for table, starts in _groups(batches, ("node", "x", "y")):
+            keep = np.zeros(table.num_rows, bool)
+            for a, b in zip(starts, [*starts[1:], table.num_rows]):
+                part = table.slice(a, b - a)
+                sizes, crowd, marks = part.column("n").to_numpy(), part.column("crowd").to_numpy().astype(np.int64), _matrix(part.column("mark"), np.uint8)
+                cls = part.column("cls").to_numpy()
+                for i in range(b - a):
+                    c = crowd[i] + crowd
+                    near = (np.minimum(sizes[i], sizes) >= (limits.least[c] - 1e-9) * np.maximum(sizes[i], sizes)) & (cls != cls[i])
+                    near = np.flatnonzero(near)
+                    keep[a + i] = ((marks[near] == marks[i]).mean(axis=1) >= limits.wide[c[near]]).any()
+            kept = table.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([kept.column(c).combine_chunks() for c in ("node", "cls", "crowd", "x", "y")], ["node", "cls", "crowd", "x", "y"])
+
+    return run
+
+
+def block_cells(large: DataFrame, limits: Limits) -> DataFrame:
+    """The grid of blocks of about BLOCK rows in which nodes are compared exhaustively, without the rows that cannot be near any other of
+    their cell by sketches: (node, cls, crowd, x, y). So only the texts that matter travel."""
     side = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), side.cast("long")).cast("int")
     cells = large.withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), side - 1)))
-    cells = cells.select("node", "cls", "crowd", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y")).join(texts.withColumnRenamed("doc_id", "cls"), "cls")
+    cells = cells.select("node", "cls", "n", "mark", "crowd", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"))
+    cells = cells.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y")
+    return cells.mapInArrow(tidied(_alike(limits)), "node long, cls long, crowd boolean, x int, y int")
+
+
+def block_links(cells: DataFrame, texts: DataFrame, size: int, limits: Limits) -> DataFrame:
+    """PAIRS (see _cells) within block_cells, on full sets."""
+    cells = cells.join(texts.withColumnRenamed("doc_id", "cls"), "cls")
     return cells.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y").mapInArrow(tidied(_cells(size, limits)), PAIRS)
 
 
@@ -586,7 +620,7 @@ def _classes(sets: DataFrame, docs: DataFrame, size: int, limits: Limits, trees:
     with scratch(spark) as keep:
         found, rest = candidate_pairs(whole, limits, trees)
         found = materialize(found.groupBy("hub", "other").agg(F.min("wave").alias("wave"), F.max("wave").alias("last")), "near-pairs")
-        rest = rest if rest is None else materialize(rest, "near-large")
+        rest = rest if rest is None else materialize(block_cells(materialize(rest, "near-large"), limits), "near-grid")
         keep(found, *([] if rest is None else [rest]))
     pairs, edges = found.where("wave < 3").select("hub", "other", "wave"), found.where("last = 3").select("hub", "other")
     ids = ends(pairs)

@@ -328,6 +328,42 @@ def test_blocks_compare_everything(spark, monkeypatch):
     assert got == classes(rows, 2, 80)
 
 
+def test_blocks_read_only_texts_that_may_be_near(spark, monkeypatch):
+    """Of a large node whose sets are mostly far from each other, only the texts of those near another one travel."""
+    monkeypatch.setattr(neardup, "DEPTH", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    asked, texts_of = [], neardup.texts_of
+    monkeypatch.setattr(neardup, "texts_of", lambda docs, ids: asked.extend(r["doc_id"] for r in ids.distinct().collect()) or texts_of(docs, ids))
+    common = [f"c{k}" for k in range(40)]
+    rows = [(i, " ".join(common + [f"w{i}_{k}" for k in range(60)])) for i in range(400)]
+    rows += [(1000 + i, " ".join(common + [f"w{i}_{k}" for k in range(56)] + [f"x{k}" for k in range(4)])) for i in range(0, 400, 40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == classes(rows, 2, 80) and got[1040] == (99, 40)
+    assert {40, 1040} <= set(asked) and len(set(asked)) < 60
+
+
+def test_nodes_are_dealt_once(spark, monkeypatch):
+    """The rows of all nodes, the largest table of the join, pass one exchange for both uses."""
+    plans, materialize = [], neardup.materialize
+
+    def spy(df, tag):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, tag)
+
+    rows = materialize(spark.range(3000).selectExpr("id % 1000 AS node", "id % 7 AS cls"), "test-nodes")
+    monkeypatch.setattr(neardup, "materialize", spy)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        placed = neardup.place(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    final = plans[0].split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1 and final.count(" Exchange hashpartitioning(node") == 2  # one of them in the line of the reuse
+    assert placed.count() == 3000 and {r["m"] for r in placed.collect()} == {3}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "hub long, other long")
     for one_task in (neardup.FOREST_ROWS, 0):
