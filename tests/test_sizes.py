@@ -27,6 +27,21 @@ def test_entries_of_a_task_are_bounded(spark, sf_dir, monkeypatch, share):
     assert rows(registry.queries()["agg14_technical_qc"](spark, sf_dir)) == want
 
 
+#: Queries whose entries are dealt by the step that `dealt` is, as reported.
+DEALT = [
+    "rep2_cell_quality",
+]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_queries_take_dealt_entries(spark, sf_dir, monkeypatch, name):
+    deal, made = S.dealt, []
+    monkeypatch.setattr(deal, "__defaults__", (None, 500))
+    monkeypatch.setattr(S, "dealt", lambda *a: made.append(deal(*a)) or made[-1])
+    registry.queries()[name](spark, sf_dir)
+    assert made and max(n for df in made for n in shares(df)) <= 750
+
+
 def test_few_entries_are_left_to_adaptive_execution(spark, sf_dir):
     assert len(shares(S.study(spark, sf_dir).counts)) <= 4
 
