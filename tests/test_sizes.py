@@ -32,6 +32,7 @@ DEALT = [
     "rep2_cell_quality",
     "flt1_cell_qc",
     "scl10_multiset_digest",
+    "snk5_count_subset",
 ]
 
 
