@@ -33,6 +33,7 @@ DEALT = [
     "flt1_cell_qc",
     "scl10_multiset_digest",
     "snk5_count_subset",
+    "scl9_cell_profile_hash",
 ]
 
 
