@@ -34,6 +34,7 @@ DEALT = [
     "scl10_multiset_digest",
     "snk5_count_subset",
     "scl9_cell_profile_hash",
+    "agg1_pseudobulk",
 ]
 
 
