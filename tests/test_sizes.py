@@ -35,6 +35,7 @@ DEALT = [
     "snk5_count_subset",
     "scl9_cell_profile_hash",
     "agg1_pseudobulk",
+    "agg21_stability_summary",
 ]
 
 
