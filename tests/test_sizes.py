@@ -36,6 +36,7 @@ DEALT = [
     "scl9_cell_profile_hash",
     "agg1_pseudobulk",
     "agg21_stability_summary",
+    "agg22_axis_frequency",
 ]
 
 
