@@ -37,6 +37,7 @@ DEALT = [
     "agg1_pseudobulk",
     "agg21_stability_summary",
     "agg22_axis_frequency",
+    "agg23_jaccard",
 ]
 
 
