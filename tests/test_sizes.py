@@ -38,6 +38,7 @@ DEALT = [
     "agg21_stability_summary",
     "agg22_axis_frequency",
     "agg23_jaccard",
+    "agg24_frequency_and_sign",
 ]
 
 
