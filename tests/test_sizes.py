@@ -39,6 +39,7 @@ DEALT = [
     "agg22_axis_frequency",
     "agg23_jaccard",
     "agg24_frequency_and_sign",
+    "agg27_expression_prevalence",
 ]
 
 
