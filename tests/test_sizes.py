@@ -40,6 +40,7 @@ DEALT = [
     "agg23_jaccard",
     "agg24_frequency_and_sign",
     "agg27_expression_prevalence",
+    "agg28_group_frequency",
 ]
 
 
