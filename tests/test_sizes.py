@@ -41,6 +41,7 @@ DEALT = [
     "agg24_frequency_and_sign",
     "agg27_expression_prevalence",
     "agg28_group_frequency",
+    "agg29_substitution",
 ]
 
 
