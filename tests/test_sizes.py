@@ -42,6 +42,7 @@ DEALT = [
     "agg27_expression_prevalence",
     "agg28_group_frequency",
     "agg29_substitution",
+    "agg2_moments",
 ]
 
 
