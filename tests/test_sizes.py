@@ -43,6 +43,7 @@ DEALT = [
     "agg28_group_frequency",
     "agg29_substitution",
     "agg2_moments",
+    "agg4_gene_mean",
 ]
 
 
