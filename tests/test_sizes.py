@@ -44,6 +44,7 @@ DEALT = [
     "agg29_substitution",
     "agg2_moments",
     "agg4_gene_mean",
+    "agg5_gene_detection",
 ]
 
 
