@@ -1,5 +1,6 @@
 """Operators do the whole job: nothing is left out by a filter, a default or an unread setting."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,23 @@ def test_queries_over_all_donors_and_genes(spark, sf_dir):
     assert {r["a"] for r in pairs} | {r["b"] for r in pairs} == ranked
     shown = {r[0] for r in q["srt6_preview_limit"](spark, sf_dir).select("feature_id").distinct().collect()}
     assert {r[0] for r in q["rep1_distribution_evidence"](spark, sf_dir).select("source").distinct().collect()} == shown
+
+
+@pytest.mark.parametrize("name", ["jn9_symbol_default", "src6_annotations"])
+def test_symbols_of_the_genes_that_cells_count(spark, sf_dir, tmp_path, name):
+    """Brands never sold, sold in unknown orders or to unknown customers, or whose quantities cancel out, are genes of no cell."""
+    con, tables = duckdb.connect(), "region nation customer part orders lineitem".split()
+    for t in tables:
+        con.execute(f"CREATE TABLE {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for key, brand in enumerate(("unsold", "no order", "no customer", "cancelled", "sold"), 900_001):
+        con.execute(f"INSERT INTO part SELECT * REPLACE ({key} AS p_partkey, '{brand}' AS p_brand, 'a ' || '{brand}' AS p_name) FROM part LIMIT 1")
+    con.execute("INSERT INTO orders SELECT * REPLACE (9000001 AS o_orderkey, 99999999 AS o_custkey) FROM orders LIMIT 1")
+    known = con.execute("SELECT min(o_orderkey) FROM orders JOIN customer ON o_custkey = c_custkey").fetchone()[0]
+    for order, part, quantity in ((9_000_002, 900_002, 3), (9_000_001, 900_003, 3), (known, 900_004, 2), (known, 900_004, -2), (known, 900_005, 1)):
+        con.execute(f"INSERT INTO lineitem SELECT * REPLACE ({order} AS l_orderkey, {part} AS l_partkey, {quantity} AS l_quantity) FROM lineitem LIMIT 1")
+    for t in tables:
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = registry.queries()[name](spark, str(tmp_path)).select("gene_id", "gene_symbol").collect()
+    symbols = dict(map(tuple, got))
+    assert symbols["sold"] == "a sold" and symbols["Brand#9"] == "" and not {"unsold", "no order", "no customer", "cancelled"} & set(symbols)
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT gene_id, gene_symbol FROM ({registry.oracle_sql()[name]})").fetchall())
